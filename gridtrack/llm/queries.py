@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridtrack.llm import bpe, packing, sharding, simhash
-from gridtrack.llm.common import documents
+from gridtrack.llm import bpe, packing, quality, sharding, simhash, suffix, toxicity
+from gridtrack.llm.common import documents, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,10 +18,35 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
+def learned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label rows that may be learned from: CRC-32 of the id as text, modulo 4, is not 2."""
+    return read(spark, sf_dir, "labels").select("doc_id", "toxic").where(f"NOT {HELD_OUT}")
+
+
+HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
+
+
+def op4_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, learned_labels(spark, sf_dir))
+    found = toxicity.apply(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -37,7 +62,7 @@ def op9_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_bpe_transducer, op7_simhash, op8_feistel_shards, op9_online_packing)}
+    return {f.__name__: f for f in (op1_perplexity_rules, op4_nearest_toxic, op5_bpe_transducer, op6_suffix_array, op7_simhash, op8_feistel_shards, op9_online_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
