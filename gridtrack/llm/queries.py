@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridtrack.llm import bpe, packing, quality, sharding, simhash, suffix, toxicity
+from gridtrack.llm import bpe, packing, pitman_yor, quality, sharding, simhash, suffix, toxicity
 from gridtrack.llm.common import documents, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,15 @@ def op9_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end=2)
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = "coalesce(crc32(cast(doc_id as string)) % 10 = 0, false)"
+    found = pitman_yor.score(docs, docs.where(f"NOT {held}")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.expr(held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_perplexity_rules, op4_nearest_toxic, op5_bpe_transducer, op6_suffix_array, op7_simhash, op8_feistel_shards, op9_online_packing)}
+    return {f.__name__: f for f in (op1_perplexity_rules, op4_nearest_toxic, op5_bpe_transducer, op6_suffix_array, op7_simhash, op8_feistel_shards, op9_online_packing, op10_pitman_yor)}
 
 
 def oracle_sql() -> dict[str, str]:
