@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridtrack.llm import bpe, packing, pitman_yor, quality, sharding, simhash, suffix, toxicity
+from gridtrack.llm import bpe, hilbert_ann, license_scan, packing, pitman_yor, quality, sharding, simhash, suffix, toxicity
 from gridtrack.llm.common import documents, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def op1_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.search(read(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 def learned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label rows that may be learned from: CRC-32 of the id as text, modulo 4, is not 2."""
     return read(spark, sf_dir, "labels").select("doc_id", "toxic").where(f"NOT {HELD_OUT}")
@@ -69,7 +77,7 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_perplexity_rules, op4_nearest_toxic, op5_bpe_transducer, op6_suffix_array, op7_simhash, op8_feistel_shards, op9_online_packing, op10_pitman_yor)}
+    return {f.__name__: f for f in (op1_perplexity_rules, op2_license_scan, op3_hilbert_neighbours, op4_nearest_toxic, op5_bpe_transducer, op6_suffix_array, op7_simhash, op8_feistel_shards, op9_online_packing, op10_pitman_yor)}
 
 
 def oracle_sql() -> dict[str, str]:
