@@ -215,6 +215,21 @@ def best_by_sentence(text: str, models: dict[str, KneserNey]) -> float:
     return float(np.max([np.add.reduceat(m.log(code), begin) for m in models.values()], axis=0).sum())
 
 
+def log_probabilities(texts: list[str], langs: list[str], models: dict[str, KneserNey]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its log probability and the number of predicted classes."""
+    log, events = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for lang, own in _by_lang(langs).items():
+        code, begin = codes([texts[i] for i in own])
+        p = models[lang].log(code) if lang in models else np.full(len(code), -BITS * np.log(2))
+        log[own] = np.add.reduceat(p, begin)
+        events[own] = np.diff(np.r_[begin, len(code)])
+        if lang in models and len(models) > 1:
+            high = models[lang].entropy + MIXED
+            for i in (i for i in own if -log[i] > high * events[i]):
+                log[i] = max(log[i], best_by_sentence(texts[i], models))
+    return log, events
+
+
 SCORED = pa.schema([("id", pa.int64()), ("lang", pa.string()), *((x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "events")), ("log_prob", pa.float64())])
 SCORED_DDL = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, events long, log_prob double"
 
@@ -231,16 +246,7 @@ def score(docs: DataFrame, models: dict[str, KneserNey], id_col: str = "doc_id",
             columns, flush = rows(SCORED)
             for lo, hi in parts(b.column(1), 2 << 20):
                 texts, langs = b.column(1)[lo:hi].to_pylist(), b.column(2)[lo:hi].to_pylist()
-                log, events = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-                for lang, own in _by_lang(langs).items():
-                    code, begin = codes([texts[i] for i in own])
-                    p = own_models[lang].log(code) if lang in own_models else np.full(len(code), -BITS * np.log(2))
-                    log[own] = np.add.reduceat(p, begin)
-                    events[own] = np.diff(np.r_[begin, len(code)])
-                    if lang in own_models and len(own_models) > 1:
-                        high = own_models[lang].entropy + MIXED
-                        for i in (i for i in own if -log[i] > high * events[i]):
-                            log[i] = max(log[i], best_by_sentence(texts[i], own_models))
+                log, events = log_probabilities(texts, langs, own_models)
                 for doc_id, lang, text, n, p in zip(b.column(0)[lo:hi].to_pylist(), langs, texts, events.tolist(), log.tolist(), strict=True):
                     for c, v in zip(columns, (doc_id, lang, *measures(text), n, p), strict=True):
                         c.append(v)
@@ -276,3 +282,36 @@ def judge(docs: DataFrame, width: float = 4.0, prior: float = 150.0, least_rows:
         {"perplexity": F.exp(-F.col("log_prob") / F.col("events")), "deviation": x, "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))}
     )
     return out.withColumn("kept", ~F.col("base_failed") & F.col("deviation").between(F.col("lower"), F.col("upper"))).drop("median", "log_prob")
+
+
+def keep(docs: DataFrame, width: float = 4.0, prior: float = 150.0, least_rows: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, all columns as they were.
+
+    No join of texts: the rows are scored where they are, against bands found in a first pass.
+    """
+    models = train(docs, id_col, text_col, lang_col)
+    scored = scratch.table(score(docs, models, id_col, text_col, lang_col), "quality")
+    band = {r["lang"]: r for r in bands(scored, width, prior, least_rows).collect()}  # a row a model
+    verdicts = {k: (r["median"], r["lower"], r["upper"]) for k, r in band.items()}
+    shared = docs.sparkSession.sparkContext.broadcast((models, verdicts))
+    named = [x for x in models if x != OTHER]
+    names = docs.columns
+    at_text, at_lang = names.index(text_col), names.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, limits = shared.value
+        for b in batches:
+            for lo, hi in parts(b.column(at_text), 2 << 20):
+                part = b.slice(lo, hi - lo)
+                texts = [t or "" for t in part.column(at_text).to_pylist()]
+                langs = [x if (x or "") in named else OTHER for x in ((y or "") for y in part.column(at_lang).to_pylist())]
+                log, events = log_probabilities(texts, langs, own)
+                good = []
+                for text, lang, p, n in zip(texts, langs, log.tolist(), events.tolist(), strict=True):
+                    n_words, _, _, _, again = measures(text)
+                    median, lower, upper = limits[lang]
+                    x = (-p + prior * median) / (n + prior) - median
+                    good.append(n_words >= 10 and 100 * again <= 20 * n_words and lower <= x <= upper)
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridtrack.llm.common import scratch
 from gridtrack.operators.components import components
@@ -44,15 +44,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` per row, fp a signed long.  Null or wordless text: 0.  Other columns are not read."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    """``(id, th, fp)`` per row: th the text's 64-bit hash, fp a signed long.
+
+    Null or wordless text: fp 0.  Other columns are not read.
+    """
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], schema=schema)
+            fps = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.int64())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, fp long")
 
 
 def variants(fp: Column) -> Column:
@@ -141,16 +145,31 @@ def links(distinct: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp, component_id)``: one row per row of ``docs``, the component's smallest id.
+    """``(id, th, fp, root, component_id)``: one row per row of ``docs``, the component's smallest id.
 
     Texts are lower-cased (A-Z) and cut into three-word shingles; fingerprints link at two or
-    fewer differing bits.  Null ids stay in their component but are never its name unless all its
-    ids are null (then null).  Empty texts share fingerprint 0.  An empty table gives no rows.
+    fewer differing bits; root is the component's smallest fingerprint, th the text's hash.  Null
+    ids stay in their component but are never its name unless all its ids are null (then null).
+    Empty texts share fingerprint 0.  An empty table gives no rows.
     """
     fps = scratch.table(fingerprints(docs, id_col, text_col), "fingerprints")
     first = fps.groupBy("fp").agg(F.min("id").alias("first"))
     roots = components(links(first.select("fp")))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = scratch.table(named.join(least, "root").select("fp", "component_id"), "classes")
-    return fps.join(named, "fp").select("id", "fp", "component_id")
+    named = scratch.table(named.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return fps.join(named, "fp").select("id", "th", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, all columns as they were.
+
+    It has the group's smallest id and, of several texts with that id, the smallest hash; repeated
+    rows are one.  A group whose ids are all null keeps the row of the smallest text hash.
+    """
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("best")
+    chosen = near_duplicates(docs, id_col, text_col).groupBy("root").agg(best).select(F.col("best.id").alias("_id"), F.col("best.th").alias("_th"))
+    own = docs.withColumn("_text", F.xxhash64(F.col(text_col).cast("string")))
+    kept = own.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi")
+    first = Window.partitionBy(id_col, "_text").orderBy(*[c for c in docs.columns if c not in (id_col, text_col)] or ["_text"])
+    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)

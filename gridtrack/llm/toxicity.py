@@ -222,3 +222,19 @@ def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([b.column(0)[lo:hi], pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["id", "score", "evidence"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double, evidence array<long>")
+
+
+def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns as they were; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        features = Features(m.vocabulary)
+        for b in batches:
+            for lo, hi in parts(b.column(at)):
+                part = b.slice(lo, hi - lo)
+                yield part.filter(pa.array([m.score(features.counts(t or ""))[0] < limit for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
