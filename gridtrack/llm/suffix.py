@@ -7,8 +7,8 @@ What is looked for: every string of ``width`` bytes that starts at two places or
    string which is chosen elsewhere too can be repeated: no repeat is lost.  The stretch of a text
    whose windows chose the same place is a *context*; a text's windows are split among its
    contexts.  Equal contexts are counted, not copied.
-2. Shards.  Contexts that chose the same string go to the same shard, one copy of each (two where
-   it occurs more than once).  A string chosen by very many different contexts is hot: its
+2. Shards.  Contexts that chose the same string go to the same shard, one copy of each, with the
+   number of copies.  A string chosen by very many different contexts is hot: its
    contexts are cut into sub-contexts that agree on a longer string, and those are dealt anew.
 3. Suffix arrays.  Each shard's contexts, set apart by a byte that UTF-8 never uses, get a suffix
    array by induced sorting; permuted common prefixes then tell which windows have a neighbour
@@ -116,67 +116,22 @@ def _induce(text: np.ndarray, s_type: np.ndarray, sa: np.ndarray, counts: np.nda
             _scatter(sa, back, text[j], j, -1)
 
 
-def _sais_list(s: list[int], k: int) -> list[int]:
-    """Induced sorting, symbol by symbol: for the reduced strings, whose alphabets are large."""
-    n = len(s)
-    if n == 0:
-        return []
-    if n == 1:
-        return [0]
-    t = [False] * n
-    for i in range(n - 2, -1, -1):
-        t[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and t[i + 1])
-    sizes = [0] * (k + 1)
-    for c in s:
-        sizes[c + 1] += 1
-    for c in range(k):
-        sizes[c + 1] += sizes[c]
-    lms = [i for i in range(1, n) if t[i] and not t[i - 1]]
-
-    def induced(seeds: list[int]) -> list[int]:
-        sa = [-1] * n
-        back = sizes[1:]
-        for i in reversed(seeds):
-            back[s[i]] -= 1
-            sa[back[s[i]]] = i
-        front = sizes[:-1]
-        sa[front[s[n - 1]]] = n - 1
-        front[s[n - 1]] += 1
-        for i in range(n):
-            j = sa[i] - 1
-            if j >= 0 and not t[j]:
-                c = s[j]
-                sa[front[c]] = j
-                front[c] += 1
-        back = sizes[1:]
-        for i in range(n - 1, -1, -1):
-            j = sa[i] - 1
-            if j >= 0 and t[j]:
-                c = s[j]
-                back[c] -= 1
-                sa[back[c]] = j
-        return sa
+def _sort_names(names: np.ndarray, span: int = 1) -> np.ndarray:
+    """Order of the suffixes of a string of names, recursively.
 
-    if not lms:
-        return induced([])
-    sa = induced(lms)
-    nxt = dict(zip(lms, lms[1:] + [n], strict=True))
-    names, name, before = {}, -1, None
-    for i in sa:
-        if i in nxt:
-            piece = s[i : nxt[i] + 1]
-            if piece != before or nxt[i] == n:
-                name += 1
-                before = piece
-            names[i] = name
-    reduced = [names[i] for i in lms]
-    if name + 1 < len(lms):
-        order = [lms[i] for i in _sais_list(reduced, name + 1)]
-    else:
-        order = [0] * len(lms)
-        for i, r in zip(lms, reduced, strict=True):
-            order[r] = i
-    return induced(order)
+    ``names`` are the ranks of runs of ``span`` names each; two runs in a row are named by their
+    pair, and so on until no name occurs twice.
+    """
+    n = len(names)
+    key = names * (n + 1)
+    key[: max(n - span, 0)] += names[span:] + 1
+    order = np.argsort(key, kind="stable")
+    new = np.r_[True, np.diff(key[order]) != 0]
+    if new.all():
+        return order
+    named = np.empty(n, np.int64)
+    named[order] = np.cumsum(new) - 1
+    return _sort_names(named, 2 * span)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -221,7 +176,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     reduced = name[lms]
     top = int(reduced.max()) + 1
     if top < len(lms):
-        order = lms[np.array(_sais_list(reduced.tolist(), top), np.int64)]
+        order = lms[_sort_names(reduced)]
     else:
         order = np.empty(len(lms), np.int64)
         order[reduced] = lms
@@ -262,16 +217,23 @@ def plcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(same_left, 0, out)) - at
 
 
-def repeated_starts(contexts: list[bytes], width: int) -> list[np.ndarray]:
-    """For each context, the starts whose ``width`` bytes also start elsewhere among the contexts."""
+def repeated_starts(contexts: list[bytes], width: int, copies: list[int] | None = None) -> list[np.ndarray]:
+    """For each context, the starts whose ``width`` bytes also start elsewhere among the contexts.
+
+    ``copies`` is how often a context stands for; the suffixes of its copies would be its
+    neighbours in the suffix array, with all its remaining bytes in common.
+    """
     text = np.frombuffer(b"".join(c + SEPARATOR for c in contexts), np.uint8)
     sa = suffix_array(text)
     common = plcp(text, sa)
     best = common.copy()
     best[sa[:-1]] = np.maximum(best[sa[:-1]], common[sa[1:]])
     out, at = [], 0
-    for c in contexts:
-        out.append(np.flatnonzero(best[at : at + max(len(c) - width + 1, 0)] >= width))
+    for i, c in enumerate(contexts):
+        own = best[at : at + max(len(c) - width + 1, 0)]
+        if copies and copies[i] > 1:
+            own = np.maximum(own, np.arange(len(c), width - 1, -1))
+        out.append(np.flatnonzero(own >= width))
         at += len(c) + 1
     return out
 
@@ -393,7 +355,8 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
     in id and text have the same spans.
     """
     found = spots(texts, width, gram)
-    again = found.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram")
+    # tables of their own, so that adaptive execution can split the joins' hot keys
+    again = scratch.table(found.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"), "again")
     places = scratch.table(found.join(again, "gram", "left_semi"), "places")
     contexts = places.groupBy("gram", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk", "first", "size")).alias("at"))
     contexts = scratch.table(contexts, "contexts")
@@ -420,10 +383,8 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
 
     def solve(t: pa.Table) -> pa.Table:
         one = {(g, c, s): (n, r) for g, c, s, n, r in zip(*(t.column(k).to_pylist() for k in ("gram", "ctx", "shift", "copies", "raw")), strict=True)}
-        # two copies stand for a context that occurs more than once
-        order = [k for k, (n, _) in one.items() for _ in range(2 if n > 1 else 1)]
         runs = {}
-        for k, starts in zip(order, repeated_starts([one[k][1] for k in order], width), strict=True):
+        for k, starts in zip(one, repeated_starts([r for _, r in one.values()], width, [n for n, _ in one.values()]), strict=True):
             if len(starts):
                 runs[k] = [(k[2] + int(r[0]), k[2] + int(r[-1]) + width) for r in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)]
         rows = [(g, c, lo, hi) for (g, c, _), own in runs.items() for lo, hi in own]
@@ -431,7 +392,7 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
         return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["gram", "ctx", "lo", "hi"])
 
     runs = every.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards))).groupBy("shard").applyInArrow(solve, "gram long, ctx long, lo int, hi int")
-    runs = runs.groupBy("gram", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # within one context
+    runs = scratch.table(runs.groupBy("gram", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")  # within one context
     back = places.join(runs, ["gram", "ctx"]).select("id", "tk", "first", F.expr("transform(runs, r -> named_struct('lo', first + r.lo, 'hi', first + r.hi))").alias("runs"))
     back = back.dropDuplicates(["id", "tk", "first"]).groupBy("id", "tk").agg(F.flatten(F.collect_list("runs")).alias("spans"))  # as many as one text has contexts
     return back
