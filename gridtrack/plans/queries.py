@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridtrack import functions as fn, scratch
-from gridtrack.operators import association, features, field_ops, tracking
+from gridtrack.operators import association, contours, features, field_ops, rings, tracking
 from gridtrack.sources import fields
+from gridtrack.streaming import tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -503,3 +504,67 @@ def track_periods(spark, d):
 @query(f"WITH RECURSIVE {TRACK_CELLS}, {MET}, p AS (SELECT seq, fid, nfid, greatest((2.0 * n_overlap / (n + nn) - 0.1) / 0.9, 0) AS p_o, greatest(1.9 - CAST(greatest(n, nn) AS DOUBLE) / least(n, nn), 0) / 0.9 AS p_a FROM met) SELECT seq, fid, nfid, round(CAST(p_o AS DOUBLE), 5) AS p_o, round(CAST(p_a AS DOUBLE), 5) AS p_a, round(CAST(0.5 * p_o + 0.5 * p_a AS DOUBLE), 5) AS p FROM p")
 def legacy_successor_probability(spark, d):
     return rounded(tracking.legacy_probability(tracking.overlaps(*_tracked(spark, d))), 5)
+
+
+# ------------------------------------------------------------------ rings, contours, streams
+
+
+@query(f"""WITH RECURSIVE {EMBED}, {comps("c", "v >= 0.0", 8)} SELECT ts, fid, count(*) AS cells FROM (SELECT a.ts, a.x, a.y, a.fid FROM c a LEFT JOIN c b ON a.ts = b.ts AND a.fid = b.fid AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY ALL HAVING count(b.x) < 4) GROUP BY ALL""")
+def feature_ring_cells(spark, d):
+    """Distinct cells on the rings of a feature: its boundary."""
+    found = rings.rings(embed_features(spark, d, 0.0, 8), 8)
+    return found.groupBy("ts", "fid").agg(F.countDistinct("x", "y").alias("cells"))
+
+
+@query(f"""WITH RECURSIVE {EMBED}, {comps("c", "v >= 0.0", 8)}, h0 AS (SELECT f.ts, f.x, f.y, c.fid FROM f LEFT JOIN c USING (ts, x, y)),
+o AS (SELECT DISTINCT c.ts, c.fid, g.x, g.y FROM (SELECT DISTINCT ts, fid FROM c) c, (SELECT a.x, b.y FROM (SELECT unnest(range(-1, 9)) AS x) a, (SELECT unnest(range(-1, 9)) AS y) b) g ANTI JOIN c AS m ON m.ts = c.ts AND m.fid = c.fid AND m.x = g.x AND m.y = g.y),
+r AS (SELECT ts, fid, x, y, (x + 1) * 10 + y + 1 AS lab FROM o UNION SELECT b.ts, b.fid, b.x, b.y, a.lab FROM r a JOIN o b ON a.ts = b.ts AND a.fid = b.fid AND abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.lab < (b.x + 1) * 10 + b.y + 1),
+k AS (SELECT ts, fid, x, y, min(lab) AS lab FROM r GROUP BY ALL)
+SELECT ts, fid, count(DISTINCT lab) - 1 AS n_holes FROM k GROUP BY ALL""")
+def feature_holes(spark, d):
+    """Holes of a feature, the rings that aren't shells."""
+    found = rings.rings(embed_features(spark, d, 0.0, 8), 8).where("seq = 0")
+    return found.groupBy("ts", "fid").agg(F.count(F.when(F.col("kind") == "hole", 1)).alias("n_holes"))
+
+
+LEVELS = [-0.1, -0.05, 0.0]
+SETS_SQL = f"""{EMBED}, lv AS (SELECT unnest([0, 1, 2]) AS k, unnest([-0.1, -0.05, 0.0]) AS t), pf AS (SELECT f.ts * 1000 + k AS ts, x, y, v FROM f, lv WHERE v < t),
+{comps("w", "true", 8, "pf")}, s AS (SELECT ts // 1000 AS ts, CAST(ts % 1000 AS INTEGER) AS level, x, y, v, fid FROM w),
+lo AS (SELECT f.ts, f.x, f.y FROM f JOIN f g ON f.ts = g.ts AND greatest(abs(g.x - f.x), abs(g.y - f.y)) = 1 WHERE f.x BETWEEN 1 AND 6 AND f.y BETWEEN 1 AND 6 GROUP BY f.ts, f.x, f.y, f.v HAVING f.v < min(g.v)),
+ct AS (SELECT s.ts, level, fid, count(*) AS n, min(v) AS vmin, bool_and(s.x BETWEEN 1 AND 6 AND s.y BETWEEN 1 AND 6) AS closed, count(lo.x) AS n_minima FROM s LEFT JOIN lo ON s.ts = lo.ts AND s.x = lo.x AND s.y = lo.y GROUP BY ALL),
+nt AS (SELECT DISTINCT a.ts, a.level, a.fid, b.fid AS parent FROM s a JOIN s b ON a.ts = b.ts AND b.level = a.level + 1 AND a.x = b.x AND a.y = b.y)"""
+
+
+def _sets(spark, d):
+    field = fields.embeddings(spark, d)
+    return field, scratch.table(contours.level_sets(field, LEVELS), "sets")
+
+
+@query(f"WITH RECURSIVE {SETS_SQL} SELECT ts, level, fid, n, round(vmin, 6) AS vmin, closed, n_minima FROM ct")
+def contour_components(spark, d):
+    field, sets = _sets(spark, d)
+    return rounded(contours.contours(sets, field, NX, NY))
+
+
+@query(f"WITH RECURSIVE {SETS_SQL} SELECT ts, level, fid, parent FROM nt")
+def contour_tree(spark, d):
+    return contours.tree(_sets(spark, d)[1])
+
+
+@query(f"""WITH RECURSIVE {SETS_SQL}, g AS (SELECT * FROM ct WHERE closed AND n_minima BETWEEN 1 AND 3)
+SELECT g.ts, g.level, g.fid, g.n, round(CAST(lv.t AS DOUBLE) - g.vmin, 6) AS depth, g.n_minima FROM g JOIN lv ON lv.k = g.level
+WHERE NOT EXISTS (SELECT 1 FROM nt JOIN g h ON h.ts = nt.ts AND h.level = nt.level + 1 AND h.fid = nt.parent WHERE nt.ts = g.ts AND nt.level = g.level AND nt.fid = g.fid)""")
+def cyclones(spark, d):
+    field, sets = _sets(spark, d)
+    return rounded(contours.cyclones(contours.contours(sets, field, NX, NY), contours.tree(sets), LEVELS))
+
+
+@query(SQL["track_edges"])
+def stream_track_edges(spark, d):
+    found = tracker.track_edges(tracker.embedding_stream(spark, d), HIGH, min_p_tot=0.1)
+    return rounded(tracker.run_once(found, "stream-edges"))
+
+
+@query(SQL["field_events_daily"])
+def stream_field_events(spark, d):
+    return tracker.run_once(tracker.event_field_stream(spark, d), "stream-events", "complete")
