@@ -27,7 +27,7 @@ from gridtrack.llm.common import parts, scratch
 from gridtrack.llm.packing import Memo
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+BLOCK = 1024
 MEMO = 200_000
 
 
@@ -94,11 +94,14 @@ class Index:
             sums = np.zeros(BLOCK)
             for t in terms:
                 lo, hi = self.cut[t][b], self.cut[t][b + 1]
-                sums[self.who[t][lo:hi] - b * BLOCK] += q[t] * self.weight[t][lo:hi]
-            hit = np.flatnonzero(sums)
-            own = hit + b * BLOCK
-            hit, own = hit[own != without], own[own != without]
-            ids, cos = np.r_[ids, own], np.r_[cos, sums[hit]]
+                if lo < hi:  # a term has an example once
+                    sums[self.who[t][lo:hi] - b * BLOCK] += q[t] * self.weight[t][lo:hi]
+            if b * BLOCK <= without < (b + 1) * BLOCK:
+                sums[without - b * BLOCK] = 0
+            hit = np.flatnonzero(sums > max(0.0, cos[-1] - 1e-9 if len(cos) == k else 0.0))
+            if not len(hit):
+                continue
+            ids, cos = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([cos, sums[hit]])
             order = np.lexsort((ids, -np.round(cos, 12)))[:k]
             ids, cos = ids[order], cos[order]
         return ids, cos
