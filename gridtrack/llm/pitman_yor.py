@@ -222,8 +222,8 @@ def score(docs: DataFrame, train: DataFrame, words: int = WORDS, most_contexts:
     drawn = spark.range(0, chains, 1, chains).mapInArrow(run_chain, "u int, p binary").toArrow()
     logs = np.zeros((ctx + 1, common.n + 1), np.float64)
     for u, p in zip(drawn.column("u").to_pylist(), drawn.column("p").to_pylist(), strict=True):
-        logs[u] += np.frombuffer(p, "<f4") / chains
-    logs = np.log10(np.maximum(logs, 1e-30)).astype(np.float32)
+        logs[u] += np.frombuffer(p, "<f4").astype(np.float64) / chains
+    logs = np.log10(np.clip(logs, 1e-30, 1.0)).astype(np.float32)
 
     # the restaurant of rare words: one table a word, discount and strength from the counts of counts
     names = spark.createDataFrame([(_hash(w),) for w in common.id], "h long")
