@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridtrack import functions as fn, scratch
-from gridtrack.operators import association, contours, features, field_ops, rings, tracking
+from gridtrack.operators import association, branches, contours, features, field_ops, rings, tracking
 from gridtrack.sources import fields
 from gridtrack.streaming import tracker
 
@@ -568,3 +568,10 @@ def stream_track_edges(spark, d):
 @query(SQL["field_events_daily"])
 def stream_field_events(spark, d):
     return tracker.run_once(tracker.event_field_stream(spark, d), "stream-events", "complete")
+
+
+@query()
+def track_branches_removed(spark, d):
+    cells, steps, links = _links(spark, d)
+    own = tracking.tracks(tracking.vertices(cells, steps, links), links)
+    return rounded(branches.remove_branches(links, own, 3))

@@ -53,3 +53,33 @@ def test_streaming_rules_equal_batch(spark):
     steps = [label_step(np.array([r[1] for r in rows if r[0] == t]), np.array([r[2] for r in rows if r[0] == t]), 8) for t in range(12)]
     got = sorted((t + 1, e[0], e[1], round(e[4], 9)) for t in range(11) for e in link(steps[t], steps[t + 1], 0.5, 4, 0.0))
     assert got == want
+
+
+def test_branch_removal():
+    from gridtrack.operators.branches import prune
+
+    # main 1-2-3-4-5-6-7; a side branch from 2 that ends at once, one from 1 that lives on
+    main = [(i, i + 1, 0.9, 5) for i in range(1, 7)]
+    short, long_ = [(2, 20, 0.3, 2)], [(1, 10, 0.4, 2), *[(i, i + 1, 0.9, 2) for i in range(10, 16)]]
+    edges = main + short + long_
+    cut = set(range(len(edges))) - set(prune(edges, 3))
+    assert [edges[i] for i in cut] == [(1, 10, 0.4, 2)]
+    assert len(prune(edges, -1)) == len(edges)
+    # a branch that comes back within n steps stays
+    loop = main + [(2, 30, 0.2, 1), (30, 4, 0.2, 1)]
+    assert len(prune(loop, 3)) == len(loop)
+
+
+def test_programs(spark, tmp_path):
+    from gridtrack.plans import cli
+
+    rows = [c for t in range(4) for c in box(t, t, 0, 4, 4)]
+    spark.createDataFrame(rows, "ts long, x int, y int, v double").write.parquet(str(tmp_path / "field"))
+    out = lambda n: str(tmp_path / n)
+    cli.main(["identify", "--field", out("field"), "--out", out("f"), "--lower", "0.5"], spark)
+    cli.main(["track", "--features", out("f"), "--out", out("t")], spark)
+    cli.main(["group", "--tracks", out("t"), "--out", out("g"), "--least", "duration=3"], spark)
+    cli.main(["project", "--tracks", out("t"), "--out", out("p")], spark)
+    assert spark.read.parquet(out("g")).first()["grp"] == 2
+    assert spark.read.parquet(out("p")).count() == 64
+    assert spark.read.json(out("t") + "/stats-json").first()["duration"] == 3
