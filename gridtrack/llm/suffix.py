@@ -393,6 +393,8 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
 
     runs = every.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards))).groupBy("shard").applyInArrow(solve, "gram long, ctx long, lo int, hi int")
     runs = scratch.table(runs.groupBy("gram", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")  # within one context
+    for done in (again, contexts, raw):
+        scratch.drop(done)
     back = places.join(runs, ["gram", "ctx"]).select("id", "tk", "first", F.expr("transform(runs, r -> named_struct('lo', first + r.lo, 'hi', first + r.hi))").alias("runs"))
     back = back.dropDuplicates(["id", "tk", "first"]).groupBy("id", "tk").agg(F.flatten(F.collect_list("runs")).alias("spans"))  # as many as one text has contexts
     return back
