@@ -28,11 +28,14 @@ from gridtrack.llm.common import parts, rows, scratch
 CAPACITY = 4096
 OPEN = 64
 CUT = 64  # a closing window's rest from which a document is cut to fill it
-MEMO = 200_000
+MEMO = 300_000
 GROUP = 4096  # windows merged together
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64()), ("open", pa.bool_())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, fill long, open boolean"
 SPECIAL = "<|"
+WORD_END = "</w>"
+TRAILING = ".,;:!?"
+JOINED = 400  # runs of letters encoded together
 
 
 class Memo:
@@ -53,7 +56,12 @@ class Memo:
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit integers, with the end id."""
+    """Ids of a text as little-endian 32-bit integers, with the end id.
+
+    Chunks that the memo lacks are cut into letters and trailing punctuation, which the
+    pre-tokenizer parts as well; new runs of letters are encoded many at a time, joined by spaces,
+    and told apart by their last tokens, which carry the end-of-word mark.
+    """
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,24 +70,74 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.memo, self.end = Memo(MEMO), end.to_bytes(4, "little")
 
+    def _one_by_one(self, chunks: list[str]) -> Iterator[bytes]:
+        for lo in range(0, len(chunks), 10_000):
+            for e in self.tokenizer.encode_batch_fast(chunks[lo : lo + 10_000], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+    def _runs(self, stems: list[str]) -> Iterator[bytes]:
+        """Ids of runs of letters."""
+        groups = [stems[lo : lo + JOINED] for lo in range(0, len(stems), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                yield from self._one_by_one(group)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for n in (4 * ends).tolist():
+                yield raw[begin:n]
+                begin = n
+
+    def _learn(self, chunks: list[str], known: dict[str, bytes | None]) -> None:
+        memo, get = self.memo, self.memo.get
+        stems: dict[str, bytes | None] = {}
+        tails: dict[str, bytes | None] = {}
+        split, other = [], []
+        for c in chunks:
+            stem = c.rstrip(TRAILING)
+            if stem.isalpha():
+                tail = c[len(stem) :]
+                split.append((c, stem, tail))
+                if stem not in stems:
+                    stems[stem] = get(stem) if tail else None
+                if tail and tail not in tails:
+                    tails[tail] = get(tail)
+            else:
+                other.append(c)
+        new = [x for x, v in stems.items() if v is None]
+        for x, v in zip(new, self._runs(new), strict=True):
+            stems[x] = v
+            if len(x) <= 64:
+                memo.put(x, v)
+        rest = [*other, *(t for t, v in tails.items() if v is None)]
+        for x, v in zip(rest, self._one_by_one(rest), strict=True):
+            if x in tails:
+                tails[x] = v
+            known[x] = v
+            if len(x) <= 64:
+                memo.put(x, v)
+        for c, stem, tail in split:
+            known[c] = v = stems[stem] + tails[tail] if tail else stems[stem]
+            if tail and len(c) <= 64:
+                memo.put(c, v)
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """One text after the other.  Texts that spell a special token are encoded whole."""
         split = [None if SPECIAL in t else t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        known = {"": b""}
+        get = self.memo.get
+        known: dict[str, bytes | None] = {"": b""}
         for chunks in split:
-            for c in chunks or ():
-                if c not in known:
-                    known[c] = memo.get(c)
-        new = [c for c, v in known.items() if v is None]
-        for lo in range(0, len(new), 10_000):
-            some = new[lo : lo + 10_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = v = np.array(e.ids, "<u4").tobytes()
-                if len(c) <= 64:
-                    memo.put(c, v)
+            if chunks:
+                for c in set(chunks):
+                    if c not in known:
+                        known[c] = get(c)
+        self._learn([c for c, v in known.items() if v is None], known)
         for t, chunks in zip(texts, split, strict=True):
             if chunks is None:
                 yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + self.end
