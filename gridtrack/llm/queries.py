@@ -80,5 +80,41 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_perplexity_rules, op2_license_scan, op3_hilbert_neighbours, op4_nearest_toxic, op5_bpe_transducer, op6_suffix_array, op7_simhash, op8_feistel_shards, op9_online_packing, op10_pitman_yor)}
 
 
+WINDOWS_SQL = f"""
+WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, i, hash(b[i + 1:i + {suffix.WIDTH}]) AS k FROM (SELECT doc_id, b, unnest(range(n - {suffix.WIDTH - 1})) AS i FROM h WHERE n >= {suffix.WIDTH})),
+s AS (SELECT doc_id, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+j AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {suffix.WIDTH} THEN 0 ELSE 1 END AS new FROM s),
+q AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM j),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + {suffix.WIDTH} AS hi FROM q GROUP BY doc_id, r),
+g AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM runs),
+c AS (SELECT g.doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head, max(hi) AS last FROM g JOIN h USING (doc_id) GROUP BY g.doc_id)
+SELECT h.doc_id, h.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h.h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM h LEFT JOIN c USING (doc_id)"""
+
+
+def shards_sql(shards: int = 40, seed: int = 42) -> str:
+    """The Feistel walk as a recursive query; CRC-32 by its polynomial, a byte a step."""
+    left, right = "l0", "r0"
+    step = "SELECT row, n, a, b, x // b AS l0, x % b AS r0 FROM w WHERE first OR x >= n"
+    for i, (k1, k2, k3) in enumerate(sharding.keys(seed)):
+        even = i % 2 == 0
+        src, dst, m, keep, name = (right, left, "a", right, f"l{i + 1}") if even else (left, right, "b", left, f"r{i + 1}")
+        h = f"(({src} % {sharding.PRIME} * {k1} + {k2}) % {sharding.PRIME})"
+        step = f"SELECT row, n, a, b, {keep}, ({dst} + ({h} * {h} + {k3}) % {sharding.PRIME}) % {m} AS {name} FROM ({step})"
+        left, right = (name, right) if even else (left, name)
+    return f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents),
+d AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, tab),
+c AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents),
+g AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row FROM d),
+w AS (SELECT row, n, a, (n + a - 1) // a AS b, row AS x, true AS first FROM g, c
+  UNION ALL SELECT row, n, a, b, {left} * b + {right} AS x, false AS first FROM ({step}))
+SELECT g.doc_id, g.size, g.text_crc32, 'rows' AS law, CAST(x % {shards} AS INTEGER) AS shard, x // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM g JOIN w ON g.row = w.row AND NOT w.first AND w.x < w.n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_suffix_array": WINDOWS_SQL, "op8_feistel_shards": shards_sql()}
