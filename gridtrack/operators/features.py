@@ -232,3 +232,22 @@ def distance_to_features(cells: DataFrame, nx: int, ny: int) -> DataFrame:
     out = columns.select("ts", "x", F.explode("c").alias("own"), "c")
     least = F.array_min(F.transform("c", lambda z: z.d2 + F.pow(z.y - F.col("own.y"), 2)))
     return out.select("ts", "x", F.col("own.y").alias("y"), F.sqrt(least).alias("dist"))
+
+
+def replace_values(cells: DataFrame, field: DataFrame) -> DataFrame:
+    """Cells with the values of another field; null where it has none."""
+    return cells.drop("v").join(field.select("ts", "x", "y", "v"), ["ts", "x", "y"], "left").select("ts", "x", "y", "v", "fid")
+
+
+def on_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
+    """``(ts, fid, n, n_mask)``: size, and cells on ``mask(ts, x, y)``."""
+    m = mask.select("ts", "x", "y").distinct().withColumn("m", F.lit(1))
+    return cells.join(m, ["ts", "x", "y"], "left").groupBy(*KEY).agg(F.count("*").alias("n"), F.count("m").alias("n_mask"))
+
+
+def overlapping_boxes(cells: DataFrame) -> DataFrame:
+    """Pairs ``fid < nfid`` of a step whose bounding boxes meet, with the meeting box."""
+    box = cells.groupBy(*KEY).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    other = box.toDF("ts", "nfid", "nx0", "nx1", "ny0", "ny1")
+    met = box.join(other, "ts").where("fid < nfid AND x0 <= nx1 AND nx0 <= x1 AND y0 <= ny1 AND ny0 <= y1")
+    return met.select("ts", "fid", "nfid", F.greatest("x0", "nx0").alias("xmin"), F.greatest("y0", "ny0").alias("ymin"), F.least("x1", "nx1").alias("xmax"), F.least("y1", "ny1").alias("ymax"))

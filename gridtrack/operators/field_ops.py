@@ -7,6 +7,8 @@ aggregation by cell gathers them, so a stencil is one shuffle whatever its size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CELL = ["ts", "x", "y"]
@@ -166,3 +168,34 @@ def zones(mask: DataFrame) -> DataFrame:
     w = Window.partitionBy("ts")
     z = lambda c: F.when(F.col(c) < F.min(F.when(F.col("m"), F.col(c))).over(w), 1).when(F.col(c) > F.max(F.when(F.col("m"), F.col(c))).over(w), 5).otherwise(3)
     return mask.select(*CELL, (10 * z("x") + z("y")).alias("zone"))
+
+
+def smooth(field: DataFrame, sigma: float, nx: int, ny: int, truncate: float = 4.0) -> DataFrame:
+    """Gaussian filter of a dense field, axis by axis, edges reflected: each pass is one shuffle."""
+    r = int(truncate * sigma + 0.5)
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
+    total = sum(weights)
+    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / total).alias("w")) for k, w in zip(range(-r, r + 1), weights, strict=True)])
+    for axis, n, other in (("x", nx, "y"), ("y", ny, "x")):
+        # a value goes to every cell whose window, reflected at the edges, meets it
+        cells = field.select("ts", other, "v", F.col(axis).alias("i")).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        m = F.pmod(F.col("to") + F.col("t.k"), F.lit(2 * n))
+        hit = F.when(m < n, m).otherwise(2 * n - 1 - m) == F.col("i")
+        field = cells.withColumn("t", F.explode(taps)).where(hit).groupBy("ts", F.col("to").alias(axis), other).agg(F.sum(F.col("v") * F.col("t.w")).alias("v")).select("ts", "x", "y", "v")
+    return field
+
+
+def circle_mask(grid: DataFrame, distance: Column, radius: float) -> DataFrame:
+    """Cells of ``grid`` whose distance is at most the radius."""
+    return grid.where(distance <= radius)
+
+
+def filter_by_field(points: DataFrame, other: DataFrame, limit: float, below: bool = True) -> DataFrame:
+    """Points where another field (topography, say) is below, or above, a limit."""
+    o = other.select(*CELL, F.col("v").alias("_o"))
+    return points.join(o, CELL).where(F.col("_o") < limit if below else F.col("_o") > limit).drop("_o")
+
+
+def filter_edge(points: DataFrame, band: int, nx: int, ny: int) -> DataFrame:
+    """Points at least ``band`` cells inside the domain."""
+    return points.where(F.col("x").between(band, nx - 1 - band) & F.col("y").between(band, ny - 1 - band))

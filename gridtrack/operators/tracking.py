@@ -186,3 +186,10 @@ def legacy_probability(met: DataFrame, min_overlap: float = 0.1, max_area: float
     p_a = F.greatest(F.lit(max_area) - ratio, F.lit(0.0)) / (max_area - 1)
     p = F.when(p_a < min_area_prob, 0.0).otherwise(weight * p_o + (1 - weight) * p_a)
     return met.select("seq", "fid", "nfid", p_o.alias("p_o"), p_a.alias("p_a"), p.alias("p"))
+
+
+def associated(own: DataFrame, steps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(track, n_associated, ts_associated)``: features and steps of a track with a partner in ``pairs(ts, fid_a)``."""
+    some = pairs.select("ts", F.col("fid_a").alias("fid")).distinct().join(F.broadcast(steps), "ts").select("seq", "fid", F.lit(1).alias("hit"))
+    met = own.join(some, ["seq", "fid"], "left")
+    return met.groupBy("track").agg(F.count("hit").alias("n_associated"), F.countDistinct(F.when(F.col("hit") == 1, F.col("seq"))).alias("ts_associated"))

@@ -575,3 +575,57 @@ def track_branches_removed(spark, d):
     cells, steps, links = _links(spark, d)
     own = tracking.tracks(tracking.vertices(cells, steps, links), links)
     return rounded(branches.remove_branches(links, own, 3))
+
+
+# ------------------------------------------------------------------ further field and feature operators
+
+
+@query(f"""WITH {EMBED}, t AS (SELECT k, exp(-0.5 * k * k) AS w FROM (SELECT unnest(range(-4, 5)) AS k)), q AS (SELECT k, w / (SELECT sum(w) FROM t) AS w FROM t),
+i AS (SELECT c, ((c + k) % 16 + 16) % 16 AS m, w FROM (SELECT unnest(range(8)) AS c), q), j AS (SELECT c, CASE WHEN m < 8 THEN m ELSE 15 - m END AS s, w FROM i),
+a AS (SELECT f.ts, j.c AS x, f.y, sum(f.v * j.w) AS v FROM f JOIN j ON j.s = f.x GROUP BY ALL)
+SELECT a.ts, CAST(a.x AS INTEGER) AS x, CAST(j.c AS INTEGER) AS y, round(sum(a.v * j.w), 5) AS v FROM a JOIN j ON j.s = a.y GROUP BY ALL""")
+def field_smooth(spark, d):
+    return rounded(field_ops.smooth(fields.embeddings(spark, d), 1.0, NX, NY), 5)
+
+
+@query(f"WITH {EMBED} SELECT DISTINCT x, y FROM f WHERE 2 * 6378.137 * asin(sqrt(pow(sin(radians(-40 + y * 0.5 + 38) / 2), 2) + cos(radians(-38)) * cos(radians(-40 + y * 0.5)) * pow(sin(radians(x * 0.5 - 2) / 2), 2))) <= 100")
+def circle_mask(spark, d):
+    grid = fields.embeddings(spark, d).select("x", "y").distinct()
+    return field_ops.circle_mask(grid, fn.great_circle(F.lit(2.0), F.lit(-38.0), F.col("x") * 0.5, -40 + F.col("y") * 0.5), 100.0)
+
+
+LOWS = f"{EMBED}, lo AS (SELECT f.ts, f.x, f.y, f.v FROM f JOIN f g ON f.ts = g.ts AND greatest(abs(g.x - f.x), abs(g.y - f.y)) = 1 WHERE f.x BETWEEN 1 AND 6 AND f.y BETWEEN 1 AND 6 GROUP BY f.ts, f.x, f.y, f.v HAVING f.v < min(g.v))"
+
+
+@query(f"WITH {LOWS} SELECT lo.ts, lo.x, lo.y, round(lo.v, 6) AS v FROM lo WHERE lo.x * lo.y * 0.01 < 0.12 AND x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5")
+def extrema_filtered(spark, d):
+    field = fields.embeddings(spark, d)
+    points = field_ops.extrema(field, 8, NX, NY)
+    topography = field.withColumn("v", F.col("x") * F.col("y") * 0.01)
+    return rounded(field_ops.filter_edge(field_ops.filter_by_field(points, topography, 0.12), 2, NX, NY))
+
+
+@query(f"WITH RECURSIVE {EMBED}, {LAB8} SELECT ts, x, y, round(0.5 - v, 6) AS v, fid FROM c")
+def features_replace_values(spark, d):
+    field = fields.embeddings(spark, d)
+    return rounded(features.replace_values(features.find(field, HIGH), field_ops.mirror(field, 0.25)))
+
+
+@query(f"WITH RECURSIVE {EMBED}, {LAB8} SELECT ts, fid, count(*) AS n, count(*) FILTER (v >= 0.2) AS n_mask FROM c GROUP BY ALL")
+def features_on_mask(spark, d):
+    field = fields.embeddings(spark, d)
+    return features.on_mask(features.find(field, HIGH), field.where("v >= 0.2"))
+
+
+@query(f"""WITH RECURSIVE {EMBED}, {LAB8}, b AS (SELECT ts, fid, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c GROUP BY ALL)
+SELECT a.ts, a.fid, b.fid AS nfid, greatest(a.x0, b.x0) AS xmin, greatest(a.y0, b.y0) AS ymin, least(a.x1, b.x1) AS xmax, least(a.y1, b.y1) AS ymax FROM b a JOIN b ON a.ts = b.ts AND a.fid < b.fid AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
+def feature_overlap_bbox(spark, d):
+    return features.overlapping_boxes(embed_features(spark, d))
+
+
+@query(f"""{TRACK}, z AS (SELECT DISTINCT u.seq, u.fid FROM u WHERE u.v >= 0.15)
+SELECT track, count(z.fid) AS n_associated, count(DISTINCT z.seq) AS ts_associated FROM own LEFT JOIN z ON z.seq = own.seq AND z.fid = own.fid GROUP BY track""")
+def track_associated(spark, d):
+    cells, steps, links = _links(spark, d)
+    own = tracking.tracks(tracking.vertices(cells, steps, links), links)
+    return tracking.associated(own, steps, association.direct(cells, embed_features(spark, d, 0.15)))
