@@ -61,7 +61,7 @@ def _scatter(sa: np.ndarray, where: np.ndarray, chars: np.ndarray, pos: np.ndarr
         sa[where[c]] = pos[0]
         where[c] += step
         return
-    order = np.argsort(chars, kind="stable")
+    order = np.argsort(chars.astype(np.uint8), kind="stable")  # by radix
     c = chars[order]
     first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
     size = np.diff(np.r_[first, len(c)])
@@ -125,7 +125,7 @@ def _sort_names(names: np.ndarray, span: int = 1) -> np.ndarray:
     n = len(names)
     key = names * (n + 1)
     key[: max(n - span, 0)] += names[span:] + 1
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal keys get one name, in whatever order
     new = np.r_[True, np.diff(key[order]) != 0]
     if new.all():
         return order
@@ -354,10 +354,11 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
     spans are byte ranges (lo, hi), sorted and merged.  tk is a hash of the text; rows that agree
     in id and text have the same spans.
     """
-    found = spots(texts, width, gram)
+    found = scratch.table(spots(texts, width, gram), "spots")
     # tables of their own, so that adaptive execution can split the joins' hot keys
     again = scratch.table(found.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"), "again")
     places = scratch.table(found.join(again, "gram", "left_semi"), "places")
+    scratch.drop(found)
     contexts = places.groupBy("gram", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk", "first", "size")).alias("at"))
     contexts = scratch.table(contexts, "contexts")
     kinds = contexts.groupBy("gram").agg(F.count("*").alias("kinds"))
