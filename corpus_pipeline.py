@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages over ``documents``.
 
-quality rules -> toxicity -> SimHash near-duplicates -> suffix-array de-duplication -> packing.
+quality rules -> toxicity -> near-duplicates -> suffix-array de-duplication -> packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
 and hands the table that was written to the next.  The first three stages drop rows, the fourth
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridtrack import scratch
-from gridtrack.llm import packing, quality, queries, simhash, suffix, toxicity
+from gridtrack.llm import jaccard, packing, quality, queries, suffix, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,9 +31,10 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the group's smallest id.
 
-    Documents without a word are alike to the fingerprint and become one.
+    Near: five-word shingles with a Jaccard similarity of 0.8 or more, compared exactly.  Documents
+    without a word are alike and become one.
     """
-    return simhash.keep_one(docs.select(*COLUMNS))
+    return jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,8 +167,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     It has the group's smallest id and, of several texts with that id, the smallest hash; repeated
     rows are one.  A group whose ids are all null keeps the row of the smallest text hash.
     """
+    return only(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def only(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`keep_one` keeps, given their groups ``classes(id, th, root)``."""
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("best")
-    chosen = near_duplicates(docs, id_col, text_col).groupBy("root").agg(best).select(F.col("best.id").alias("_id"), F.col("best.th").alias("_th"))
+    chosen = classes.groupBy("root").agg(best).select(F.col("best.id").alias("_id"), F.col("best.th").alias("_th"))
     own = docs.withColumn("_text", F.xxhash64(F.col(text_col).cast("string")))
     kept = own.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi")
     first = Window.partitionBy(id_col, "_text").orderBy(*[c for c in docs.columns if c not in (id_col, text_col)] or ["_text"])
