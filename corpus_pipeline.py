@@ -38,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of passages of 400 bytes and more that repeat; n_chars follows."""
-    found = suffix.remove(docs, carry=("lang", "source"))
+    """All documents, without passages of over 50 words, or of 400 bytes and more, that repeat; n_chars follows."""
+    found = suffix.remove(docs, carry=("lang", "source"), words=51)
     return found.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 

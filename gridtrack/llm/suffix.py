@@ -20,6 +20,7 @@ What is looked for: every string of ``width`` bytes that starts at two places or
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -419,7 +420,33 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*keep, raw[at:]])
 
 
-def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+CODE = 5  # bytes that stand for a word where passages are counted in words
+
+
+def coded(texts: DataFrame) -> DataFrame:
+    """``texts(id, tk, text)`` with every word of a text as CODE bytes of its hash, seven bits each, and no spaces."""
+    shifts = np.arange(CODE, dtype=np.uint64) * np.uint64(7)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in parts(b.column(2), 4 << 20):
+                out = []
+                for text in b.column(2)[lo:hi].to_pylist():
+                    h = np.array([xxhash.xxh64_intdigest(w, 3) for w in _bytes(text).split()], np.uint64)
+                    out.append((h[:, None] >> shifts & np.uint64(127)).astype(np.uint8).tobytes().decode("ascii"))
+                yield pa.record_batch([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(out, pa.string())], names=["id", "tk", "text"])
+
+    return texts.select("id", "tk", "text").mapInArrow(run, "id long, tk long, text string")
+
+
+def word_spans(raw: bytes, spans: list[dict], words: int) -> list[dict]:
+    """Spans of a coded text as byte ranges of the text itself, from a first word's start to a last word's end."""
+    ranges = [(-(-lo // CODE), hi // CODE) for lo, hi in merged(spans)]
+    at = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", raw)] if ranges else []
+    return [{"lo": at[lo][0], "hi": at[hi - 1][1]} for lo, hi in ranges if hi - lo >= words]
+
+
+def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
     """Cut repeated stretches out of all texts: one row per row of ``docs``.
 
     ``(id, n_bytes, n_removed, n_spans, kept_sha256, kept, *carry)``.  Every byte inside a string
@@ -427,22 +454,32 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT
     the input.  Null texts are empty; repeated rows repeat each other; a text shorter than
     ``width`` stays whole.  ``kept`` is text: where a cut splits a character, its rest is dropped
     there, while kept_sha256 is of the bytes.  ``carry`` names columns handed on untouched.
+    ``words``: also every run of that many words that starts elsewhere, whatever its bytes; words
+    are parted by ASCII spaces and compared by hash, the spaces between them are not compared.
     """
-    found = repeats(_texts(docs, id_col, text_col), width, gram, hot, shard_bytes).withColumnsRenamed({"id": "wid", "tk": "wtk"})
+    texts = _texts(docs, id_col, text_col)
+    found = repeats(texts, width, gram, hot, shard_bytes)
+    if words:
+        found = found.withColumn("kind", F.lit("spans")).unionByName(repeats(coded(texts), CODE * words, max(CODE * words * gram // width, 1), hot, shard_bytes).withColumn("kind", F.lit("runs")))
+        found = found.groupBy("id", "tk").agg(*(F.first(F.when(F.col("kind") == k, F.col("spans")), True).alias(k) for k in ("spans", "runs")))
+    else:
+        found = found.withColumn("runs", F.lit(None).cast(found.schema["spans"].dataType))
+    found = found.withColumnsRenamed({"id": "wid", "tk": "wtk"})
     extra = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"), F.col(text_col).cast("string").alias("text"), *extra)
-    both = own.join(found, F.col("tk").eqNullSafe(F.col("wtk")) & F.col("id").eqNullSafe(F.col("wid")), "left").select("id", "text", "spans", *(f"_{i}" for i in range(len(carry))))
+    both = own.join(found, F.col("tk").eqNullSafe(F.col("wtk")) & F.col("id").eqNullSafe(F.col("wid")), "left").select("id", "text", "spans", "runs", *(f"_{i}" for i in range(len(carry))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in parts(b.column(1)):
                 out = []
-                for text, spans in zip(b.column(1)[lo:hi].to_pylist(), b.column(2)[lo:hi].to_pylist(), strict=True):
-                    raw, cuts = _bytes(text), merged(spans or [])
+                for text, spans, runs in zip(*(b.column(i)[lo:hi].to_pylist() for i in (1, 2, 3)), strict=True):
+                    raw = _bytes(text)
+                    cuts = merged((spans or []) + word_spans(raw, runs or [], words or 0))
                     kept = cut_out(raw, cuts)
                     out.append((len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), text if not cuts else kept.decode("utf-8", "ignore")))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.record_batch([b.column(0)[lo:hi], *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)), *(b.column(3 + i)[lo:hi] for i in range(len(carry)))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(f"_{i}" for i in range(len(carry)))])
+                yield pa.record_batch([b.column(0)[lo:hi], *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)), *(b.column(4 + i)[lo:hi] for i in range(len(carry)))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(f"_{i}" for i in range(len(carry)))])
 
     kinds = dict(both.dtypes)
     ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + "".join(f", _{i} {kinds[f'_{i}']}" for i in range(len(carry)))
