@@ -1,278 +1,443 @@
 """Hierarchical Pitman-Yor language model over words.
 
-Tokens are lower-cased words and one end mark a text.  The ``words`` most frequent tokens are
-*common*; all others are *rare* and enter the context restaurants as one dish.  There is one
-restaurant for each of the ``contexts`` most frequent tokens as the preceding token, and one for
-all other preceding tokens; all share a parent restaurant over common tokens and the rare dish.
-Which rare word it is comes from a further restaurant over rare words whose base measure is
-diffuse: a new table there is a word never seen, so
-
-    P(w | u) = P_u(w)                          w common
-             = P_u(rare) * (c - d t) / (N + a)   w rare and seen (t = 1 under a diffuse base)
-             = P_u(rare) * (a + d T) / (N + a)   w unseen, all unseen words together
-
-sums to one over seen words and "unseen".  Seatings are sampled by Gibbs sweeps: every dish's
-tables in every restaurant are redrawn given the rest, concentrations by a grid step; predictive
-probabilities are averaged over the sweeps after burn-in and over independent chains, which run
-as Spark tasks.
-
-What is broadcast is bounded by ``words`` and ``contexts``, whatever the corpus; counts of rare
-words never leave the executors: texts meet them in a join on the word's hash.
+Tokens are lower-cased words and one end mark a text.  Every distinct token of the training texts
+has a context restaurant of its own (the tokens that follow it), and all restaurants share a parent
+over all distinct tokens and one event "unseen", whose base measure is uniform:
+
+    P(w | u) = (c_uw - d t_uw) / (c_u + a)  +  (a + d T_u) / (c_u + a) * P(w)
+    P(w)     = (c0_w - d0 t0_w) / (C0 + a0) +  (a0 + d0 T0) / (C0 + a0) / (V + 1)
+
+c are customers, t tables; a context's tables are the parent's customers (c0_w = sum of t_uw).
+Nothing is capped: cells (u, w, c), words and their statistics are Spark tables that grow with the
+input.
+
+Seatings are sampled by Gibbs sweeps: each cell's tables are redrawn by seating its customers one
+after the other, given its restaurant's tables and the parent's probability of the last sweep; then
+tables and customers are summed for each word, the parent's tables are redrawn, and the
+concentrations drawn from a grid.  A cell of one customer has one table, so only cells of two and
+more take part.  Independent chains go through the sweeps side by side, as columns.  Random numbers
+are hashes of cell, sweep and chain, and sums are of whole numbers, so that the result does not
+depend on partitions or row order.  Weights are averaged over chains and the sweeps after burn-in;
+the averages still sum to one over seen words and "unseen".
+
+A text's score is the sum of log P(w) + log weight of the parent in w's restaurant (every token is
+as often context as word), and for each pair met in training a correction.  The most frequent
+words and pairs, in number at most ``words`` and ``pairs``, are broadcast; a text's other words and
+pairs meet their values in one join.  Both ways give the same sums.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtrack.llm.common import parts, scratch
 
-WORDS = 131_072
-CONTEXTS = 32
-CHAINS = 3
-SWEEPS = 12
-BURN = 4
-END = ""  # no word is empty
+WORDS = 131_072  # broadcast at most so many words' values; the others are joined
+PAIRS = 1 << 20  # and so many pairs'
+CHAINS = 2
+SWEEPS = 4
+BURN = 2
+END = b""  # no word is empty
+MEMO = 400_000
+GRID = np.exp(np.linspace(-3, 12, 31))
+_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 11) - (1 << 63)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words and the end mark."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END.encode()]
+class _Memo(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = _hash(word)
+        return h
+
+
+def hashed(texts: list[str | None], memo: _Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens (words lower-cased in A-Z, then one end) of all texts, and where each text begins."""
+    if len(memo) > MEMO:
+        memo.clear()
+    words: list[bytes] = []
+    begin = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        begin[i] = len(words)
+        words += (t or "").encode("utf-8", "surrogatepass").lower().split()
+        words.append(END)
+    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), begin
+
+
+def before(h: np.ndarray) -> np.ndarray:
+    """The context of each token: the token before it; a text begins after an end."""
+    return np.r_[np.int64(_hash(END)), h[:-1]] if len(h) else h
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _C2
+    x = (x ^ (x >> np.uint64(27))) * _C3
+    return x ^ (x >> np.uint64(31))
+
+
+def _times(n: int, by: np.uint64) -> np.uint64:
+    return np.uint64(n * int(by) & 0xFFFFFFFFFFFFFFFF)
+
+
+def pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit name of context and word."""
+    return _mix(_mix(u.view(np.uint64)) * _C1 + w.view(np.uint64)).view(np.int64)
 
 
 # ------------------------------------------------------------------ seating
 
 
-def tables(c: np.ndarray, strength: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def tables(c: np.ndarray, strength: np.ndarray, d: float, key: np.ndarray, salt: int) -> np.ndarray:
     """Redraw the tables of dishes with ``c`` customers: seat them one after the other.
 
     ``strength`` is a dish's (a + d T) p, T the restaurant's tables and p the parent's probability.
     Customer n + 1 opens a table with odds strength : n - d t.  Customers beyond the first 64 are
-    seated in blocks that grow with n, a binomial draw a block.
+    seated in blocks that grow with n, with the odds of the block's middle; the number of its tables
+    is binomial.  Random numbers are hashes of ``key``, ``salt`` and the draw's number.
     """
     t = (c > 0).astype(np.float64)
-    n, step = 1, 1
+    seed = _mix(key.view(np.uint64) + _times(salt, _C1))
+    n, step, draw = 1, 1, 0
     live = np.flatnonzero(c > 1)
     while len(live):
+        draw += 1
+        x = (_mix(seed[live] + _times(draw, _C1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         size = np.minimum(step, c[live] - n)
-        p = strength[live] / (strength[live] + np.maximum(n - d * t[live], 1e-9))
-        t[live] += rng.binomial(size.astype(np.int64), np.clip(p, 0, 1))
+        p = strength[live] / (strength[live] + np.maximum(n + (size - 1) / 2 - d * t[live], 1e-9))
+        t[live] += x < p if step == 1 else _binomial(size, p, x)
         n += step
-        step = 1 if n < 64 else max(1, n // 16)
+        step = 1 if n < 64 else n // 16
         live = live[c[live] > n]
     return np.minimum(t, c)
 
 
-def _strength(total_c: float, total_t: float, d: float, rng: np.random.Generator) -> float:
-    """A concentration drawn from a grid given customers, tables and discount (Pitman-Yor seating weight)."""
-    from math import lgamma
+def _binomial(size: np.ndarray, p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The binomial draw at the quantile ``x``; by its normal limit where the variance is over 100."""
+    p = np.clip(p, 1e-300, 1 - 1e-12)
+    var = size * p * (1 - p)
+    out = np.clip(np.round(size * p + np.sqrt(var) * _quantile(x)), 0, size)
+    few = np.flatnonzero(var <= 100)
+    flip = p[few] > 0.5
+    q = np.where(flip, 1 - p[few], p[few])
+    n, k = size[few].astype(np.float64), np.zeros(len(few))
+    mass = np.exp(n * np.log1p(-q))
+    left = x[few] - mass
+    live = np.flatnonzero((left > 0) & (k < n))
+    while len(live):
+        mass[live] *= (n[live] - k[live]) / (k[live] + 1) * q[live] / (1 - q[live])
+        k[live] += 1
+        left[live] -= mass[live]
+        live = live[(left[live] > 0) & (k[live] < n[live]) & ((mass[live] > 1e-18) | (k[live] < n[live] * q[live]))]
+    out[few] = np.where(flip, n - k, k)
+    return out
 
-    grid = np.exp(np.linspace(-3, 12, 46))
-    logp = np.array([(lgamma(a / d + total_t) - lgamma(a / d) + total_t * np.log(d) - (lgamma(a + total_c) - lgamma(a))) - np.log1p(a) * 0.1 for a in grid])
-    p = np.exp(logp - logp.max())
-    return float(rng.choice(grid, p=p / p.sum()))
-
-
-def _discount(c: np.ndarray, fallback: float = 0.5) -> float:
-    n1, n2 = float((c == 1).sum()), float((c == 2).sum())
-    return min(max(n1 / (n1 + 2 * n2), 0.05), 0.95) if n1 and n2 else fallback
-
-
-def chain(u: np.ndarray, w: np.ndarray, c: np.ndarray, n_ctx: int, n_words: int, sweeps: int, burn: int, seed: int) -> np.ndarray:
-    """Averaged predictive probabilities [context, dish] of one Gibbs chain over cells (u, w, c)."""
-    rng = np.random.default_rng(seed)
-    d, d0 = _discount(c), 0.5
-    cu = np.bincount(u, c, n_ctx)
-    t = np.ones(len(c))
-    a, a0 = np.full(n_ctx, 10.0), 10.0
-    parent = np.full(n_words, 1 / n_words)
-    out, kept = np.zeros((n_ctx, n_words), np.float32), 0
-    for sweep in range(sweeps):
-        tu = np.bincount(u, t, n_ctx)
-        t = tables(c, (a + d * tu)[u] * parent[w], d, rng)
-        tu = np.bincount(u, t, n_ctx)
-        a = np.array([_strength(x, y, d, rng) if x else 10.0 for x, y in zip(cu, tu, strict=True)])
-        # the parent's customers are the children's tables
-        c0 = np.bincount(w, t, n_words)
-        total0 = c0.sum()
-        t0 = np.ones(n_words)
-        t0 = tables(c0, np.full(n_words, (a0 + d0 * float((c0 > 0).sum())) / n_words), d0, rng)
-        if total0:
-            d0 = _discount(c0, d0)
-            a0 = _strength(float(total0), float(t0.sum()), d0, rng)
-        parent = (np.maximum(c0 - d0 * t0, 0) + (a0 + d0 * t0.sum()) / n_words) / (total0 + a0)
-        parent /= parent.sum()
-        if sweep >= burn:
-            kept += 1
-            base = (a + d * tu) / (cu + a)
-            out += (base[:, None] * parent[None, :]).astype(np.float32)
-            np.add.at(out, (u, w), ((c - d * t) / (cu + a)[u]).astype(np.float32))
-    out /= max(kept, 1)
-    return out / out.sum(axis=1, keepdims=True)
 
+def _quantile(x: np.ndarray) -> np.ndarray:
+    """The standard normal quantile, by a rational approximation good to 4.5e-4."""
+    tail = np.sqrt(-2 * np.log(np.clip(np.minimum(x, 1 - x), 1e-300, 0.5)))
+    z = tail - (2.515517 + 0.802853 * tail + 0.010328 * tail**2) / (1 + 1.432788 * tail + 0.189269 * tail**2 + 0.001308 * tail**3)
+    return np.where(x < 0.5, -z, z)
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8
+    near = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    return near - reduce(add, (np.log(x + i) for i in range(8)))
+
+
+def seating_weight(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Log probability, for each concentration of the grid, of c customers at t tables (a row a restaurant)."""
+    a = GRID[None, :]
+    c, t = c[:, None].astype(np.float64), t[:, None].astype(np.float64)
+    return _lgamma(a / d + t) - _lgamma(a / d) - _lgamma(a + c) + _lgamma(a) + t * np.log(d)
+
+
+def _drawn(logp: np.ndarray, key: int) -> float:
+    """A concentration by the weights of the grid and a number hashed from ``key``."""
+    logp = logp - 0.1 * np.log1p(GRID)
+    p = np.exp(logp - logp.max())
+    x = float(_mix(np.array([_times(key, _C1)]))[0] >> np.uint64(11)) * 2.0**-53
+    return float(GRID[min(int(np.searchsorted(np.cumsum(p / p.sum()), x)), len(GRID) - 1)])
 
-# ------------------------------------------------------------------ the model in Spark
 
+def _discount(n1: float, n2: float) -> float:
+    return min(max(n1 / (n1 + 2 * n2), 0.05), 0.95) if n1 and n2 else 0.5
 
-class Common:
-    """Ids of the common tokens: 0 ... n-1 by falling count, n stands for rare."""
 
-    def __init__(self, names: list[bytes], counts: list[int]):
-        self.id = {w: i for i, w in enumerate(names)}
-        self.n = len(names)
-        self.counts = np.array(counts, np.float64)
+# ------------------------------------------------------------------ the model in Spark
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get, n = self.id.get, self.n
-        return np.fromiter((get(w, n) for w in words), np.int64, len(words))
 
+@dataclass
+class Model:
+    """``words(h, c, p, b)``: a token's count, P(w) and the parent's weight in its restaurant;
+    ``cells(u, w, c, e)``: a pair's count and averaged own weight; P(w | u) = e + b_u p_w.
+    """
 
-def contexts(ids: np.ndarray, end: int, most: int) -> np.ndarray:
-    """The restaurant of each token: the preceding token's id if below ``most``, else ``most``; a text begins after an end."""
-    before = np.r_[end, ids[:-1]] if len(ids) else ids
-    return np.minimum(before, most)
+    words: DataFrame
+    cells: DataFrame
+    total: int
+    kinds: int
+    unseen: float
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """``(h, n, word)``: every token's hash, count and spelling over ``texts(text)``."""
+def _counted(texts: DataFrame) -> DataFrame:
+    """``(u, w, c)``: how often each token follows each context in ``texts(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        memo = _Memo()
+        for b in batches:
+            for lo, hi in parts(b.column(0), 16 << 20):
+                w, _ = hashed(b.column(0)[lo:hi].to_pylist(), memo)
+                u = before(w)
+                _, at, n = np.unique(pair(u, w), return_index=True, return_counts=True)
+                for x in range(0, len(at), 100_000):
+                    some = at[x : x + 100_000]
+                    yield pa.record_batch([pa.array(u[some]), pa.array(w[some]), pa.array(n[x : x + 100_000].astype(np.int64))], names=["u", "w", "n"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            words = list(seen)
-            for lo in range(0, len(words), 50_000):
-                some = words[lo : lo + 50_000]
-                yield pa.record_batch([pa.array([_hash(w) for w in some], pa.int64()), pa.array([seen[w] for w in some], pa.int64()), pa.array([w if seen[w] > 1 else None for w in some], pa.binary())], names=["h", "n", "word"])
-            seen.clear()
+    return texts.select("text").mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
 
-        for b in batches:
-            for lo, hi in parts(b.column(0)):
-                for text in b.column(0)[lo:hi].to_pylist():
-                    seen.update(tokens(text))
-                if len(seen) > 1_000_000:
-                    yield from flush()
-        yield from flush()
 
-    return texts.select("text").mapInArrow(run, "h long, n long, word binary")
+def _array(make, chains: int) -> Column:
+    return F.array(*(make(k) for k in range(chains)))
 
 
-def score(docs: DataFrame, train: DataFrame, words: int = WORDS, most_contexts: int = CONTEXTS, chains: int = CHAINS, sweeps: int = SWEEPS, burn: int = BURN, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit(train: DataFrame, chains: int = CHAINS, sweeps: int = SWEEPS, burn: int = BURN, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of the texts of ``train``.  Null texts are empty; repeated rows count again.
+
+    Without rows there is no word and "unseen" has probability one.
+    """
+    cells = scratch.table(_counted(_texts(train, id_col, text_col)), "cells")
+    one = (F.col("c") == 1).cast("long")
+    seen = cells.select(
+        F.explode(F.array(F.struct(F.col("u").alias("h"), F.lit(0).cast("long").alias("c"), one.alias("t1"), (1 - one).alias("t2"), F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2")), F.struct(F.col("w").alias("h"), "c", F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("t2"), one.alias("s1"), (1 - one).alias("s2")))).alias("x")
+    ).select("x.*")
+    first = scratch.table(seen.groupBy("h").agg(*(F.sum(x).alias(x) for x in ("c", "t1", "t2", "s1", "s2"))), "words")
+    n = cells.agg(F.sum("c").alias("total"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
+    total, kinds = n["total"] or 0, first.count()
+    d = _discount(n["n1"] or 0, n["n2"] or 0)
+    ks = range(chains)
+    a, a0, d0 = [10.0] * chains, [10.0] * chains, [0.5] * chains
+    # the first seating has one table for each cell and each word
+    state = first.select("h", "c", "t1", "s1", _array(lambda k: F.col("t1") + F.col("t2"), chains).alias("t"), _array(lambda k: F.col("s1") + F.col("s2"), chains).alias("c0"), _array(lambda k: F.lit(1).cast("long"), chains).alias("t0"), F.lit(0.0).alias("b"), F.lit(0.0).alias("p"))
+    multi = cells.where("c > 1").select("u", "w", "c", F.lit(0.0).alias("e"))
+    many = [kinds] * chains  # tables of the parent
+    every = [0] * chains  # customers of the parent
+    if total:
+        sums = state.agg(*(F.sum(F.col("c0")[k]).alias(f"n{k}") for k in ks)).first()
+        every = [sums[f"n{k}"] for k in ks]
+
+    def share(k: int) -> Column:
+        """P(w) of chain k by the state as it is."""
+        rest = (a0[k] + d0[k] * many[k]) / (kinds + 1)
+        return (F.col("c0")[k] - F.lit(d0[k]) * F.col("t0")[k] + F.lit(rest)) / F.lit(every[k] + a0[k])
+
+    def unseen() -> float:
+        return float(np.mean([(a0[k] + d0[k] * many[k]) / (kinds + 1) / (every[k] + a0[k]) for k in ks]))
+
+    samples, left, alone = 0, 0.0, F.lit(0.0)
+    for sweep in range(sweeps if total else 0):
+        keep = sweep >= burn
+
+        def seat(batches: Iterator[pa.RecordBatch], a=tuple(a), sweep=sweep, keep=keep) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                u, w, c, e, cu = (x.column(i).to_numpy() for i in range(5))
+                if not len(u):
+                    continue
+                t_u = x.column(5).flatten().to_numpy().reshape(-1, chains)
+                p = x.column(6).flatten().to_numpy().reshape(-1, chains)
+                key, t = pair(u, w), np.zeros((len(u), chains), np.int64)
+                for k in ks:
+                    t[:, k] = tables(c, (a[k] + d * t_u[:, k]) * p[:, k], d, key, (seed * 1000 + sweep) * 100 + k)
+                    if keep:
+                        e = e + (c - d * t[:, k]) / (cu + a[k]) / chains
+                yield pa.record_batch([*x.columns[:3], pa.array(e, pa.float64()), pa.ListArray.from_arrays(np.arange(0, t.size + 1, chains, dtype=np.int32), pa.array(t.ravel()))], names=["u", "w", "c", "e", "t"])
+
+        by_u = state.select(F.col("h").alias("u"), F.col("c").alias("cu"), "t")
+        by_w = state.select(F.col("h").alias("w"), _array(share, chains).alias("share"))
+        met = multi.select("u", "w", "c", "e").join(by_u, "u").join(by_w, "w").select("u", "w", "c", "e", "cu", "t", "share")
+        old, multi = multi, scratch.table(met.mapInArrow(seat, "u long, w long, c long, e double, t array<long>"), "seated")
+        none = [F.lit(0).cast("long")] * chains
+        own = [F.col("t")[k] for k in ks]
+        moved = multi.select(F.explode(F.array(F.struct(F.col("u").alias("h"), *(x.alias(f"out{k}") for k, x in enumerate(own)), *(x.alias(f"in{k}") for k, x in enumerate(none))), F.struct(F.col("w").alias("h"), *(x.alias(f"out{k}") for k, x in enumerate(none)), *(x.alias(f"in{k}") for k, x in enumerate(own))))).alias("x")).select("x.*")
+        moved = moved.groupBy("h").agg(*(F.sum(f"{x}{k}").alias(f"{x}{k}") for x in ("out", "in") for k in ks))
+        held = (F.col("p") + (reduce(add, (share(k) for k in ks)) / chains if sweep > burn else F.lit(0.0))).alias("p")
+        new = state.select("h", "c", "t1", "s1", "b", held).join(moved, "h", "left")
+
+        def at(x: str, y: str):
+            return lambda k: F.col(y) + F.coalesce(f"{x}{k}", F.lit(0))
+
+        new = new.select("h", "c", "t1", "s1", _array(at("out", "t1"), chains).alias("t"), _array(at("in", "s1"), chains).alias("c0"), "b", "p")
+
+        def seat_parent(batches: Iterator[pa.RecordBatch], a0=tuple(a0), d0=tuple(d0), many=tuple(many), sweep=sweep) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                if not x.num_rows:
+                    continue
+                h, c0 = x.column(0).to_numpy(), x.column(5).flatten().to_numpy().reshape(-1, chains)
+                t0 = np.zeros(c0.shape, np.int64)
+                for k in ks:
+                    t0[:, k] = tables(c0[:, k], np.full(len(h), (a0[k] + d0[k] * many[k]) / (kinds + 1)), d0[k], h, (seed * 1000 + sweep) * 100 + 50 + k)
+                yield pa.record_batch([*x.columns, pa.ListArray.from_arrays(np.arange(0, t0.size + 1, chains, dtype=np.int32), pa.array(t0.ravel()))], names=[*x.schema.names, "t0"])
+
+        if keep:
+            b = reduce(add, ((F.lit(a[k]) + F.lit(d) * F.col("t")[k]) / (F.col("c") + F.lit(a[k])) for k in ks)) / chains
+            new = new.withColumn("b", F.col("b") + b)
+            alone = alone + reduce(add, (F.lit(1 - d) / (F.col("cu") + F.lit(a[k])) for k in ks)) / chains
+        new = new.select("h", "c", "t1", "s1", "t", "c0", "b", "p").mapInArrow(seat_parent, "h long, c long, t1 long, s1 long, t array<long>, c0 array<long>, b double, p double, t0 array<long>")
+        was, state = state, scratch.table(new, "state")
+        if sweep:
+            scratch.drop(old)
+            scratch.drop(was)
+        sums = state.agg(*(F.sum(F.col(x)[k]).alias(f"{x}{k}") for x in ("c0", "t0") for k in ks), *(F.sum((F.col("c0")[k] == i).cast("long")).alias(f"n{i}{k}") for i in (1, 2) for k in ks)).first()
+        weights = _concentrations(state, chains, d)
+        for k in ks:
+            every[k], many[k] = sums[f"c0{k}"], sums[f"t0{k}"]
+            d0[k] = _discount(sums[f"n1{k}"], sums[f"n2{k}"])
+            a0[k] = _drawn(seating_weight(np.array([every[k]]), np.array([many[k]]), d0[k])[0], (seed * 1000 + sweep) * 100 + 80 + k)
+            a[k] = _drawn(weights[k], (seed * 1000 + sweep) * 100 + 90 + k)
+        if keep:
+            samples += 1
+            left += unseen()
+    last = reduce(add, (share(k) for k in ks)) / chains
+    samples = max(samples, 1)
+    words = scratch.table(state.select("h", "c", ((F.col("p") + last) / samples).alias("p"), (F.col("b") / samples).alias("b")), "words")
+    by_u = words.select(F.col("h").alias("u"), F.col("c").alias("cu"))
+    single = cells.where("c = 1").join(by_u, "u").select("u", "w", "c", (alone / samples).alias("e"))
+    return Model(words, single.unionByName(multi.select("u", "w", "c", (F.col("e") / samples).alias("e"))), total, kinds, left / samples if total else 1.0)
+
+
+def _concentrations(state: DataFrame, chains: int, d: float) -> np.ndarray:
+    """The grid's log weights for each chain, over all context restaurants; kept to a thousandth, so that sums are exact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            k, c, t, n = (x.column(i).to_numpy() for i in range(4))
+            if len(k):
+                w = np.round(seating_weight(c, t, d) * n[:, None] * 1000).astype(np.int64)
+                for i in np.unique(k).tolist():
+                    yield pa.record_batch([pa.array([i], pa.int32()), pa.array([w[k == i].sum(axis=0).tolist()], pa.list_(pa.int64()))], names=["k", "w"])
+
+    kinds = state.select("c", F.posexplode("t").alias("k", "t")).groupBy("k", "c", "t").agg(F.count("*").alias("n")).select("k", "c", "t", "n")
+    sums = kinds.mapInArrow(run, "k int, w array<long>").groupBy("k").agg(*(F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(GRID)))).collect()  # a row a chain
+    out = np.zeros((chains, len(GRID)))
+    for r in sums:
+        out[r["k"]] = [r[f"w{i}"] / 1000 for i in range(len(GRID))]
+    return out
+
+
+def _most(table: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest counts ``c``, in number at most ``most``: those from a power of 2**(1/8) on."""
+    level = F.floor(8 * F.log2("c"))
+    counts = table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # eight for each doubling
+    sums = np.cumsum([r["count"] for r in counts])
+    fit_ = int(np.searchsorted(sums, most, "right"))
+    return table.where(level >= counts[fit_ - 1]["level"]) if fit_ else table.where("false")
+
+
+def _sorted(table: DataFrame, *values: str) -> tuple[np.ndarray, ...]:
+    got = table.select("key", *values).toArrow()
+    key = got.column("key").to_numpy()
+    order = np.argsort(key)
+    return key[order], *(got.column(v).to_numpy()[order] for v in values)
+
+
+def _found(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return at, keys[at] == want
+
+
+MET = [("row", pa.int64()), ("key", pa.int64()), ("k", pa.int32()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+MET_DDL = "row long, key long, k int, id long, n_tokens long, n_common long, base double, score double"
+
+
+def score(docs: DataFrame, train: DataFrame, words: int = WORDS, pairs: int = PAIRS, chains: int = CHAINS, sweeps: int = SWEEPS, burn: int = BURN, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score, perplexity)`` per row of ``docs``.
 
     ``train`` has the rows learned from.  base_score adds log10((c + 0.1) / (N + 0.1 (V + 1))) over
     the tokens; score is the model's log10 probability.  Null texts are empty: just the end.
-    Without training rows every token is unseen.  Null and repeated ids are scored row by row.
+    Without training rows every token is unseen, and unseen is certain.  Null and repeated ids are
+    scored row by row, equal texts get equal scores.  An empty table gives no rows.  ``words`` and
+    ``pairs`` bound what is broadcast and change no score.
     """
+    model = fit(train, chains, sweeps, burn, seed, id_col, text_col)
+    return apply(docs, model, words, pairs, id_col, text_col)
+
+
+def apply(docs: DataFrame, model: Model, words: int = WORDS, pairs: int = PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The scores of :func:`score` by a fitted model."""
     spark = docs.sparkSession
-    learned = _texts(train, id_col, text_col)
-    counted = scratch.table(count_words(learned).groupBy("h").agg(F.sum("n").alias("n"), F.min("word").alias("word")), "words")
-    sums = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, kinds = sums["n"] or 0, sums["v"]
-    # a word without spelling was met once by each task; it can't be among the common ones unless all are rare
-    top = counted.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(words).select("word", "n").collect()
-    common = Common([bytes(r["word"]) for r in top], [r["n"] for r in top])
-    end = common.id.get(END.encode(), common.n)
-    ctx = min(most_contexts, common.n)
-    shared = spark.sparkContext.broadcast(common)
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        grid = np.zeros((ctx + 1) * (own.n + 1), np.int32)
-        for b in batches:
-            for lo, hi in parts(b.column(0)):
-                keys = []
-                for text in b.column(0)[lo:hi].to_pylist():
-                    ids = own.ids(tokens(text))
-                    keys.append(contexts(ids, end, ctx) * (own.n + 1) + ids)
-                if keys:
-                    at, n = np.unique(np.concatenate(keys), return_counts=True)
-                    grid[at] += n.astype(np.int32)
-        at = np.flatnonzero(grid)
-        for lo in range(0, len(at), 100_000):
-            some = at[lo : lo + 100_000]
-            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(grid[some].astype(np.int64))], names=["cell", "n"])
-
-    # at most (contexts + 1) * (words + 1) rows
-    table = learned.select("text").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = table.column("cell").to_numpy(), table.column("n").to_numpy().astype(np.float64)
-    given = spark.sparkContext.broadcast((cell // (common.n + 1), cell % (common.n + 1), n))
-
-    def run_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in b.column(0).to_pylist():
-                u, w, c = given.value
-                p = chain(u.astype(np.int64), w.astype(np.int64), c, ctx + 1, common.n + 1, sweeps, burn, seed + k)
-                for i, row in enumerate(p):
-                    yield pa.record_batch([pa.array([i], pa.int32()), pa.array([row.astype("<f4").tobytes()], pa.binary())], names=["u", "p"])
-
-    drawn = spark.range(0, chains, 1, chains).mapInArrow(run_chain, "u int, p binary").toArrow()
-    logs = np.zeros((ctx + 1, common.n + 1), np.float64)
-    for u, p in zip(drawn.column("u").to_pylist(), drawn.column("p").to_pylist(), strict=True):
-        logs[u] += np.frombuffer(p, "<f4").astype(np.float64) / chains
-    logs = np.log10(np.clip(logs, 1e-30, 1.0)).astype(np.float32)
-
-    # the restaurant of rare words: one table a word, discount and strength from the counts of counts
-    names = spark.createDataFrame([(_hash(w),) for w in common.id], "h long")
-    rare = counted.select("h", "n").join(F.broadcast(names), "h", "left_anti")
-    few = rare.agg(F.sum("n").alias("n"), F.count("*").alias("t"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).first()
-    rn, rt, n1, n2 = (float(few[k] or 0) for k in ("n", "t", "n1", "n2"))
-    d = min(max(n1 / (n1 + 2 * n2), 0.05), 0.95) if n1 and n2 else 0.5
-    rng = np.random.default_rng(seed)
-    a = float(np.mean([_strength(rn, rt, d, rng) for _ in range(sweeps)])) if rn else 1.0
-    unseen = np.log10((a + d * rt) / (rn + a))
-    shared_logs = spark.sparkContext.broadcast((logs, np.log10((common.counts + 0.1) / (total + 0.1 * (kinds + 1)))))
-
-    kind = pa.struct([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    total, kinds = model.total, model.kinds
+    own = model.words.select(F.col("h").alias("key"), "c", (F.log10("p") + F.log10("b")).alias("lp"), F.log10((F.col("c") + 0.1) / (total + 0.1 * (kinds + 1))).alias("base"))
+    by_u = model.words.select(F.col("h").alias("u"), "b")
+    by_w = model.words.select(F.col("h").alias("w"), "p")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield pa.record_batch([pa.array(pair(x.column(0).to_numpy(), x.column(1).to_numpy())), x.column(2), x.column(3)], names=["key", "c", "lp"])
+
+    low = F.col("b") * F.col("p")
+    known = model.cells.join(by_u, "u").join(by_w, "w").select("u", "w", "c", (F.log10(F.col("e") + low) - F.log10(low)).alias("lp"))
+    known = scratch.table(known.mapInArrow(name, "key long, c long, lp double"), "pairs")
+    top_words, top_pairs = _sorted(_most(own, words), "lp", "base"), _sorted(_most(known, pairs), "lp")
+    shared = spark.sparkContext.broadcast((top_words, top_pairs))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (table, base) = shared.value, shared_logs.value
+        (wk, wlp, wbase), (pk, plp) = shared.value
+        memo = _Memo()
+
+        def rest(at: np.ndarray, key: np.ndarray, sign: int) -> tuple[np.ndarray, ...]:
+            """Each text's distinct keys and how often it has them."""
+            order = np.lexsort((key, at))
+            at, key = at[order], key[order]
+            new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (key[1:] != key[:-1])]) if len(at) else np.empty(0, np.int64)
+            return at[new], key[new], sign * np.diff(np.r_[new, len(at)])
+
         for b in batches:
             for lo, hi in parts(b.column(2)):
-                at, h, k, sums_ = [], [], [], []
-                for row, doc_id, text in zip(*(b.column(i)[lo:hi].to_pylist() for i in range(3)), strict=True):
-                    words_ = tokens(text)
-                    ids = own.ids(words_)
-                    known = ids < own.n
-                    tail = Counter(words_[i] for i in np.flatnonzero(~known).tolist())
-                    # one row of a text's own sums (k = 0), and one for each of its rare words
-                    at += [row] * (len(tail) + 1)
-                    h += [row, *map(_hash, tail)]
-                    k += [0, *tail.values()]
-                    common_score = float(table[contexts(ids, end, ctx), ids].sum(dtype=np.float64))
-                    sums_ += [{"id": doc_id, "n_tokens": len(ids), "n_common": int(known.sum()), "base": float(base[ids[known]].sum()), "score": common_score}, *[None] * len(tail)]
-                yield pa.record_batch([pa.array(at, pa.int64()), pa.array(h, pa.int64()), pa.array(k, pa.int32()), pa.array(sums_, kind)], names=["row", "h", "k", "s"])
+                row, ids = b.column(0)[lo:hi], b.column(1)[lo:hi]
+                h, begin = hashed(b.column(2)[lo:hi].to_pylist(), memo)
+                of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(h)]))
+                i, hit = _found(wk, h)
+                j, met_ = _found(pk, key := pair(before(h), h))
+                zero = np.zeros(len(h))
+                base = np.add.reduceat(np.where(hit, wbase[i], 0) if len(wk) else zero, begin)
+                own_score = np.add.reduceat((np.where(hit, wlp[i], 0) if len(wk) else zero) + (np.where(met_, plp[j], 0) if len(pk) else zero), begin)
+                rows = row.to_numpy()
+                # a row of the text's own sums (k = 0), of its other words (k > 0) and of its other pairs (k < 0)
+                sums = [row, row, pa.array(np.zeros(len(rows)), pa.int32()), ids, pa.array(np.diff(np.r_[begin, len(h)]), pa.int64()), pa.array(np.add.reduceat(hit.astype(np.int64), begin)), pa.array(base), pa.array(own_score)]
+                yield pa.record_batch(sums, schema=pa.schema(MET))
+                for at, keys, k in (rest(of[~hit], h[~hit], 1), rest(of[~met_], key[~met_], -1)):
+                    for x in range(0, len(at), 100_000):
+                        y = slice(x, x + 100_000)
+                        n = len(at[y])
+                        yield pa.record_batch([pa.array(rows[at[y]]), pa.array(keys[y]), pa.array(k[y], pa.int32()), *(pa.nulls(n, t) for _, t in MET[3:])], schema=pa.schema(MET))
 
     rows = _texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    met = rows.mapInArrow(measure, "row long, h long, k int, s struct<id:long,n_tokens:long,n_common:long,base:double,score:double>")
-    met = met.join(rare, "h", "left").select("row", "k", F.coalesce("n", F.lit(0)).alias("n"), "s").repartition("row")
-    k, n = F.col("k"), F.col("n")
-    out = met.groupBy("row").agg(
-        F.first("s", True).alias("s"),
-        F.sum(F.when(n > 0, k).otherwise(0)).alias("rare_known"),
-        F.sum(k * F.log10((n + 0.1) / (total + 0.1 * (kinds + 1)))).alias("rare_base"),
-        F.sum(k * F.when(n > 0, F.log10((n - d) / (rn + a))).otherwise(F.lit(float(unseen)))).alias("rare_score"),
-    ).select("s.*", "rare_known", "rare_base", "rare_score")
-    final = F.col("score") + F.col("rare_score")
-    return out.select(
-        "id",
-        "n_tokens",
-        (F.col("n_common") + F.col("rare_known")).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_base")).alias("base_score"),
-        final.alias("score"),
-        F.pow(F.lit(10.0), -final / F.col("n_tokens")).alias("perplexity"),
+    met = rows.mapInArrow(measure, MET_DDL)
+    look = own.select("key", F.col("c").alias("n"), F.col("lp").alias("own_lp"), F.col("base").alias("own_base")).unionByName(known.select("key", F.lit(0).cast("long").alias("n"), F.col("lp").alias("own_lp"), F.lit(0.0).alias("own_base")))
+    k = F.col("k")
+    none = F.when(k > 0, F.lit(float(np.log10(model.unseen)))).otherwise(0.0)
+    plain = float(np.log10(0.1 / (total + 0.1 * (kinds + 1))))
+    out = met.join(look, "key", "left").groupBy("row").agg(
+        F.max("id").alias("id"),
+        F.max("n_tokens").alias("n_tokens"),
+        (F.sum(F.coalesce("n_common", F.lit(0))) + F.sum(F.when((k > 0) & (F.col("n") > 0), k).otherwise(0))).alias("n_known"),
+        F.sum(F.when(k == 0, F.col("base")).when(k > 0, k * F.coalesce("own_base", F.lit(plain))).otherwise(0.0)).alias("base_score"),
+        F.sum(F.when(k == 0, F.col("score")).otherwise(F.abs(k) * F.coalesce("own_lp", none))).alias("score"),
     )
+    return out.select("id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

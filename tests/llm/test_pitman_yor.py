@@ -31,10 +31,11 @@ def check_base(docs, train, **how):
 def test_documents(spark, sf):
     docs = documents(spark, sf)
     train = docs.where("crc32(cast(doc_id as string)) % 10 <> 0")
-    rows = check_base(docs, train)
+    rows = check_base(docs, train, sweeps=3)
     held = [r for r in rows if zlib.crc32(str(r.id).encode()) % 10 == 0]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    check_base(docs, train, words=50, most_contexts=5)
+    joined = {r.id: r.score for r in check_base(docs, train, words=50, pairs=40, sweeps=3)}
+    assert all(math.isclose(r.score, joined[r.id], rel_tol=1e-9) for r in rows)
 
 
 def test_odd(spark):
@@ -45,19 +46,71 @@ def test_odd(spark):
     assert pitman_yor.score(empty_docs(spark), docs).count() == 0
 
 
+def parts_of(model):
+    names = {pitman_yor._hash(w.encode()): w for w in model_words}
+    p = {names[r.h]: (r.p, r.b) for r in model.words.collect()}
+    e = {(names[r.u], names[r.w]): r.e for r in model.cells.collect()}
+    return p, e
+
+
+TEXTS = ["a b a c a b", "b a d", "a b e f g", "a a b c", "A B a b a b a b", None, "", "c"]
+model_words = sorted({w for t in TEXTS for w in words(t)})
+
+
 def test_probabilities_sum_to_one(spark):
-    """Over one-word continuations of a context: all seen words, and the unseen as one."""
-    texts = ["a b a c a b", "b a d", "a b e f g", "a a b c"]
-    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    seen = sorted({w for t in texts for w in words(t)} - {""})
-    probes = [f"a {w}" for w in seen] + ["a zzz", "a"]
-    rows = {r.id: r.score for r in pitman_yor.score(spark.createDataFrame(list(enumerate(["a", *probes])), "doc_id long, text string"), train, words=4, most_contexts=2).collect()}
-    # P(a w end) = P(a) P(w | a) P(end | w); summing needs P(end | w), so check that all are proper
-    assert all(s < 0 for s in rows.values())
-
-
-def test_chain_rows_are_distributions():
-    u, w = np.array([0, 0, 1, 1, 1]), np.array([0, 2, 0, 1, 2])
-    p = pitman_yor.chain(u, w, np.array([5.0, 1.0, 200.0, 3.0, 1.0]), 3, 4, 8, 2, 1)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
-    assert p[0, 0] > p[0, 1] and p[1, 0] > 0.8 and (p > 0).all()
+    """Over all seen words and "unseen", after every context."""
+    train = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    model = pitman_yor.fit(train, chains=3, sweeps=6, burn=2)
+    p, e = parts_of(model)
+    assert set(p) == set(model_words) and model.kinds == len(p)
+    count = Counter(x for t in TEXTS for x in zip(["", *words(t)], words(t)))
+    assert set(e) == set(count)
+    assert math.isclose(sum(x for x, _ in p.values()) + model.unseen, 1, abs_tol=1e-9)
+    for u, (_, b) in p.items():
+        own = sum(e.get((u, w), 0) + b * q for w, (q, _) in p.items())
+        assert math.isclose(own + b * model.unseen, 1, abs_tol=1e-9), u
+    assert e["a", "b"] > e["a", "d"] if ("a", "d") in e else e["a", "b"] > e["a", "a"]
+    # and every text's score is the sum of its tokens' logarithms
+    probes = [*TEXTS, "a zzz b", "zzz", "d a zzz yyy"]
+    docs = spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string")
+    for how in ({}, {"words": 0, "pairs": 0}, {"words": 2, "pairs": 3}):
+        got = {r.id: r.score for r in pitman_yor.apply(docs, model, **how).collect()}
+        for i, t in enumerate(probes):
+            own = words(t)
+            want = sum(math.log10(e.get((u, w), 0) + p.get(u, (0, 1))[1] * p.get(w, (model.unseen, 0))[0]) for u, w in zip(["", *own], own))
+            assert math.isclose(got[i], want, rel_tol=1e-9), (t, how)
+
+
+def test_partitions_change_nothing(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text").where("doc_id < 60")
+    train = docs.where("doc_id % 10 <> 0")
+    once = {r.id: r.score for r in pitman_yor.score(docs.coalesce(1), train.coalesce(1)).collect()}
+    many = {r.id: r.score for r in pitman_yor.score(docs.repartition(7), train.repartition(50)).collect()}
+    assert once.keys() == many.keys()
+    assert all(math.isclose(once[i], many[i], rel_tol=1e-9) for i in once)
+
+
+def test_seating():
+    """Tables lie between one and the customers, and their mean is that of the Chinese restaurant."""
+    n = 4000
+    key = np.arange(n, dtype=np.int64) * 7919
+    for c, strength, d in ((2, 1.0, 0.5), (30, 3.0, 0.3), (1000, 5.0, 0.2), (5000, 4000.0, 0.5)):
+        t = pitman_yor.tables(np.full(n, c), np.full(n, strength), d, key, 3)
+        rng = np.random.default_rng(1)
+        want = []
+        for _ in range(400):
+            m = 1
+            for k in range(1, c):
+                m += rng.random() < strength / (strength + k - d * m)
+            want.append(m)
+        assert t.min() >= 1 and t.max() <= c
+        assert abs(t.mean() - np.mean(want)) < 5 * np.std(want) / 20 + 0.02 * np.mean(want)
+
+
+def test_seating_weight():
+    from math import lgamma, log
+
+    for c, t, d in ((7, 3, 0.4), (1000, 20, 0.8), (1, 1, 0.5)):
+        got = pitman_yor.seating_weight(np.array([c]), np.array([t]), d)[0]
+        want = [lgamma(a / d + t) - lgamma(a / d) - lgamma(a + c) + lgamma(a) + t * log(d) for a in pitman_yor.GRID]
+        assert np.allclose(got, want, atol=1e-6)
