@@ -15,15 +15,18 @@ Seatings are sampled by Gibbs sweeps: each cell's tables are redrawn by seating
 after the other, given its restaurant's tables and the parent's probability of the last sweep; then
 tables and customers are summed for each word, the parent's tables are redrawn, and the
 concentrations drawn from a grid.  A cell of one customer has one table, so only cells of two and
-more take part.  Independent chains go through the sweeps side by side, as columns.  Random numbers
-are hashes of cell, sweep and chain, and sums are of whole numbers, so that the result does not
-depend on partitions or row order.  Weights are averaged over chains and the sweeps after burn-in;
-the averages still sum to one over seen words and "unseen".
+more take part.  Independent chains go through the sweeps side by side.  Random numbers are hashes
+of cell, sweep and chain, and sums are of whole numbers: a seating can be drawn again wherever it
+is needed and is never stored, and no result depends on partitions or row order.  Weights are
+averaged over chains and the sweeps after burn-in; the averages still sum to one over seen words
+and "unseen".
 
 A text's score is the sum of log P(w) + log weight of the parent in w's restaurant (every token is
-as often context as word), and for each pair met in training a correction.  The most frequent
-words and pairs, in number at most ``words`` and ``pairs``, are broadcast; a text's other words and
-pairs meet their values in one join.  Both ways give the same sums.
+as often context as word), and for each pair met in training a correction.  At most ``words`` words,
+the most frequent, are numbered, and their values broadcast; all others go by their hash, and cells
+that hold one get its values by a join.  The values of the ``pairs`` most frequent pairs are
+broadcast too; a text's other words and pairs meet theirs in one join.  Both ways give the same
+numbers.
 """
 
 from __future__ import annotations
@@ -43,8 +46,8 @@ from gridtrack.llm.common import parts, scratch
 WORDS = 131_072  # broadcast at most so many words' values; the others are joined
 PAIRS = 1 << 20  # and so many pairs'
 CHAINS = 2
-SWEEPS = 4
-BURN = 2
+SWEEPS = 3
+BURN = 1
 END = b""  # no word is empty
 MEMO = 400_000
 GRID = np.exp(np.linspace(-3, 12, 31))
@@ -52,7 +55,7 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 
 
 def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 11) - (1 << 63)
+    return xxhash.xxh64_intdigest(word, 11) >> 1
 
 
 class _Memo(dict):
@@ -174,13 +177,93 @@ def _discount(n1: float, n2: float) -> float:
     return min(max(n1 / (n1 + 2 * n2), 0.05), 0.95) if n1 and n2 else 0.5
 
 
+# ------------------------------------------------------------------ words by number or hash
+
+
+class Common:
+    """The numbered words: ``h`` their hashes by number (falling count), others have the code ~hash."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray):
+        order = np.lexsort((h, -c))
+        self.h, self.c = h[order], c[order]
+        self.order = np.argsort(self.h)
+        self.sorted = self.h[self.order]
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        at, hit = _found(self.sorted, h)
+        return np.where(hit, self.order[at] if len(self.h) else 0, ~h)
+
+    def hashes(self, code: np.ndarray) -> np.ndarray:
+        return np.where(code >= 0, self.h[np.maximum(code, 0)] if len(self.h) else 0, ~code)
+
+
+def _found(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return at, keys[at] == want
+
+
+def named(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The key of a pair of codes: both numbers, or else a hash below zero."""
+    return np.where((u >= 0) & (w >= 0), u * (1 << 31) + w, ~(pair(u, w) & np.int64((1 << 63) - 1)))
+
+
+def _most(table: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest counts ``c``, in number at most ``most``: those from a power of 2**(1/8) on."""
+    level = F.floor(8 * F.log2("c"))
+    counts = table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # eight for each doubling
+    sums = np.cumsum([r["count"] for r in counts])
+    fit_ = int(np.searchsorted(sums, most, "right"))
+    return table.where(level >= counts[fit_ - 1]["level"]) if fit_ else table.where("false")
+
+
 # ------------------------------------------------------------------ the model in Spark
 
 
+@dataclass
+class State:
+    """What the driver knows after some sweeps, one number a chain: the concentrations and discounts,
+    the parent's customers and tables, and how the parent's tables are drawn.
+    """
+
+    kinds: int
+    d: float
+    a: list[float]
+    a0: list[float]
+    d0: list[float]
+    every: list[int]
+    many: list[int]
+    salt: int | None = None  # of the parent's tables; None: one table for each word
+    drawn: list[tuple[float, float]] | None = None  # the strength and discount they were drawn with
+
+    def rest(self, k: int) -> float:
+        return (self.a0[k] + self.d0[k] * self.many[k]) / (self.kinds + 1)
+
+    def parent_tables(self, c0: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if self.salt is None:
+            return (c0 > 0).astype(np.float64)
+        return np.stack([tables(c0[:, k], np.full(len(h), s), d0, h, self.salt + k) for k, (s, d0) in enumerate(self.drawn)], axis=1)
+
+    def share(self, c0: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """P(w) of each chain, a row a word."""
+        t0 = self.parent_tables(c0, h)
+        k = range(len(self.a))
+        return (c0 - np.array(self.d0) * t0 + np.array([self.rest(i) for i in k])) / np.array([self.every[i] + self.a0[i] for i in k])
+
+    def unseen(self) -> float:
+        return float(np.mean([self.rest(k) / (self.every[k] + self.a0[k]) for k in range(len(self.a))]))
+
+    def seat(self, c: np.ndarray, t_u: np.ndarray, share: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+        """Tables of cells, a column a chain."""
+        return np.stack([tables(c, (self.a[k] + self.d * t_u[:, k]) * share[:, k], self.d, key, salt + k) for k in range(len(self.a))], axis=1)
+
+
 @dataclass
 class Model:
-    """``words(h, c, p, b)``: a token's count, P(w) and the parent's weight in its restaurant;
-    ``cells(u, w, c, e)``: a pair's count and averaged own weight; P(w | u) = e + b_u p_w.
+    """``words(h, c, p, b)``: a word's code, count, P(w) and the parent's weight in its restaurant;
+    ``cells(u, w, c, e, lp)``: a pair's codes, count, averaged own weight and correction:
+    P(w | u) = e + b_u p_w, and lp is its log10 less that of b_u p_w.
     """
 
     words: DataFrame
@@ -188,22 +271,36 @@ class Model:
     total: int
     kinds: int
     unseen: float
+    common: Common
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _counted(texts: DataFrame) -> DataFrame:
-    """``(u, w, c)``: how often each token follows each context in ``texts(text)``."""
+def _words(texts: DataFrame) -> DataFrame:
+    """``(h, c)``: each token's hash and count in ``texts(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
         for b in batches:
             for lo, hi in parts(b.column(0), 16 << 20):
-                w, _ = hashed(b.column(0)[lo:hi].to_pylist(), memo)
-                u = before(w)
-                _, at, n = np.unique(pair(u, w), return_index=True, return_counts=True)
+                h, n = np.unique(hashed(b.column(0)[lo:hi].to_pylist(), memo)[0], return_counts=True)
+                yield pa.record_batch([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
+
+
+def _pairs(texts: DataFrame, shared) -> DataFrame:
+    """``(u, w, c)``: how often each token follows each context in ``texts(text)``, by codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, common = _Memo(), shared.value
+        for b in batches:
+            for lo, hi in parts(b.column(0), 16 << 20):
+                h, _ = hashed(b.column(0)[lo:hi].to_pylist(), memo)
+                w, u = common.codes(h), common.codes(before(h))
+                _, at, n = np.unique(named(u, w), return_index=True, return_counts=True)
                 for x in range(0, len(at), 100_000):
                     some = at[x : x + 100_000]
                     yield pa.record_batch([pa.array(u[some]), pa.array(w[some]), pa.array(n[x : x + 100_000].astype(np.int64))], names=["u", "w", "n"])
@@ -211,158 +308,243 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
 
 
-def _array(make, chains: int) -> Column:
-    return F.array(*(make(k) for k in range(chains)))
-
-
-def fit(train: DataFrame, chains: int = CHAINS, sweeps: int = SWEEPS, burn: int = BURN, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of the texts of ``train``.  Null texts are empty; repeated rows count again.
+def _tally(cells: DataFrame, columns: list[str], value, size: int) -> DataFrame:
+    """Sums for each word of what ``value(batch)`` gives: (u, w, what to add to u, what to add to w), a row a cell.
 
-    Without rows there is no word and "unseen" has probability one.
+    Numbered words are summed in the task, the others once a batch.
     """
-    cells = scratch.table(_counted(_texts(train, id_col, text_col)), "cells")
-    one = (F.col("c") == 1).cast("long")
-    seen = cells.select(
-        F.explode(F.array(F.struct(F.col("u").alias("h"), F.lit(0).cast("long").alias("c"), one.alias("t1"), (1 - one).alias("t2"), F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2")), F.struct(F.col("w").alias("h"), "c", F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("t2"), one.alias("s1"), (1 - one).alias("s2")))).alias("x")
-    ).select("x.*")
-    first = scratch.table(seen.groupBy("h").agg(*(F.sum(x).alias(x) for x in ("c", "t1", "t2", "s1", "s2"))), "words")
-    n = cells.agg(F.sum("c").alias("total"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
-    total, kinds = n["total"] or 0, first.count()
-    d = _discount(n["n1"] or 0, n["n2"] or 0)
-    ks = range(chains)
-    a, a0, d0 = [10.0] * chains, [10.0] * chains, [0.5] * chains
-    # the first seating has one table for each cell and each word
-    state = first.select("h", "c", "t1", "s1", _array(lambda k: F.col("t1") + F.col("t2"), chains).alias("t"), _array(lambda k: F.col("s1") + F.col("s2"), chains).alias("c0"), _array(lambda k: F.lit(1).cast("long"), chains).alias("t0"), F.lit(0.0).alias("b"), F.lit(0.0).alias("p"))
-    multi = cells.where("c > 1").select("u", "w", "c", F.lit(0.0).alias("e"))
-    many = [kinds] * chains  # tables of the parent
-    every = [0] * chains  # customers of the parent
-    if total:
-        sums = state.agg(*(F.sum(F.col("c0")[k]).alias(f"n{k}") for k in ks)).first()
-        every = [sums[f"n{k}"] for k in ks]
-
-    def share(k: int) -> Column:
-        """P(w) of chain k by the state as it is."""
-        rest = (a0[k] + d0[k] * many[k]) / (kinds + 1)
-        return (F.col("c0")[k] - F.lit(d0[k]) * F.col("t0")[k] + F.lit(rest)) / F.lit(every[k] + a0[k])
-
-    def unseen() -> float:
-        return float(np.mean([(a0[k] + d0[k] * many[k]) / (kinds + 1) / (every[k] + a0[k]) for k in ks]))
-
-    samples, left, alone = 0, 0.0, F.lit(0.0)
-    for sweep in range(sweeps if total else 0):
-        keep = sweep >= burn
-
-        def seat(batches: Iterator[pa.RecordBatch], a=tuple(a), sweep=sweep, keep=keep) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                u, w, c, e, cu = (x.column(i).to_numpy() for i in range(5))
-                if not len(u):
-                    continue
-                t_u = x.column(5).flatten().to_numpy().reshape(-1, chains)
-                p = x.column(6).flatten().to_numpy().reshape(-1, chains)
-                key, t = pair(u, w), np.zeros((len(u), chains), np.int64)
-                for k in ks:
-                    t[:, k] = tables(c, (a[k] + d * t_u[:, k]) * p[:, k], d, key, (seed * 1000 + sweep) * 100 + k)
-                    if keep:
-                        e = e + (c - d * t[:, k]) / (cu + a[k]) / chains
-                yield pa.record_batch([*x.columns[:3], pa.array(e, pa.float64()), pa.ListArray.from_arrays(np.arange(0, t.size + 1, chains, dtype=np.int32), pa.array(t.ravel()))], names=["u", "w", "c", "e", "t"])
-
-        by_u = state.select(F.col("h").alias("u"), F.col("c").alias("cu"), "t")
-        by_w = state.select(F.col("h").alias("w"), _array(share, chains).alias("share"))
-        met = multi.select("u", "w", "c", "e").join(by_u, "u").join(by_w, "w").select("u", "w", "c", "e", "cu", "t", "share")
-        old, multi = multi, scratch.table(met.mapInArrow(seat, "u long, w long, c long, e double, t array<long>"), "seated")
-        none = [F.lit(0).cast("long")] * chains
-        own = [F.col("t")[k] for k in ks]
-        moved = multi.select(F.explode(F.array(F.struct(F.col("u").alias("h"), *(x.alias(f"out{k}") for k, x in enumerate(own)), *(x.alias(f"in{k}") for k, x in enumerate(none))), F.struct(F.col("w").alias("h"), *(x.alias(f"out{k}") for k, x in enumerate(none)), *(x.alias(f"in{k}") for k, x in enumerate(own))))).alias("x")).select("x.*")
-        moved = moved.groupBy("h").agg(*(F.sum(f"{x}{k}").alias(f"{x}{k}") for x in ("out", "in") for k in ks))
-        held = (F.col("p") + (reduce(add, (share(k) for k in ks)) / chains if sweep > burn else F.lit(0.0))).alias("p")
-        new = state.select("h", "c", "t1", "s1", "b", held).join(moved, "h", "left")
-
-        def at(x: str, y: str):
-            return lambda k: F.col(y) + F.coalesce(f"{x}{k}", F.lit(0))
-
-        new = new.select("h", "c", "t1", "s1", _array(at("out", "t1"), chains).alias("t"), _array(at("in", "s1"), chains).alias("c0"), "b", "p")
-
-        def seat_parent(batches: Iterator[pa.RecordBatch], a0=tuple(a0), d0=tuple(d0), many=tuple(many), sweep=sweep) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                if not x.num_rows:
-                    continue
-                h, c0 = x.column(0).to_numpy(), x.column(5).flatten().to_numpy().reshape(-1, chains)
-                t0 = np.zeros(c0.shape, np.int64)
-                for k in ks:
-                    t0[:, k] = tables(c0[:, k], np.full(len(h), (a0[k] + d0[k] * many[k]) / (kinds + 1)), d0[k], h, (seed * 1000 + sweep) * 100 + 50 + k)
-                yield pa.record_batch([*x.columns, pa.ListArray.from_arrays(np.arange(0, t0.size + 1, chains, dtype=np.int32), pa.array(t0.ravel()))], names=[*x.schema.names, "t0"])
-
-        if keep:
-            b = reduce(add, ((F.lit(a[k]) + F.lit(d) * F.col("t")[k]) / (F.col("c") + F.lit(a[k])) for k in ks)) / chains
-            new = new.withColumn("b", F.col("b") + b)
-            alone = alone + reduce(add, (F.lit(1 - d) / (F.col("cu") + F.lit(a[k])) for k in ks)) / chains
-        new = new.select("h", "c", "t1", "s1", "t", "c0", "b", "p").mapInArrow(seat_parent, "h long, c long, t1 long, s1 long, t array<long>, c0 array<long>, b double, p double, t0 array<long>")
-        was, state = state, scratch.table(new, "state")
-        if sweep:
-            scratch.drop(old)
-            scratch.drop(was)
-        sums = state.agg(*(F.sum(F.col(x)[k]).alias(f"{x}{k}") for x in ("c0", "t0") for k in ks), *(F.sum((F.col("c0")[k] == i).cast("long")).alias(f"n{i}{k}") for i in (1, 2) for k in ks)).first()
-        weights = _concentrations(state, chains, d)
-        for k in ks:
-            every[k], many[k] = sums[f"c0{k}"], sums[f"t0{k}"]
-            d0[k] = _discount(sums[f"n1{k}"], sums[f"n2{k}"])
-            a0[k] = _drawn(seating_weight(np.array([every[k]]), np.array([many[k]]), d0[k])[0], (seed * 1000 + sweep) * 100 + 80 + k)
-            a[k] = _drawn(weights[k], (seed * 1000 + sweep) * 100 + 90 + k)
-        if keep:
-            samples += 1
-            left += unseen()
-    last = reduce(add, (share(k) for k in ks)) / chains
-    samples = max(samples, 1)
-    words = scratch.table(state.select("h", "c", ((F.col("p") + last) / samples).alias("p"), (F.col("b") / samples).alias("b")), "words")
-    by_u = words.select(F.col("h").alias("u"), F.col("c").alias("cu"))
-    single = cells.where("c = 1").join(by_u, "u").select("u", "w", "c", (alone / samples).alias("e"))
-    return Model(words, single.unionByName(multi.select("u", "w", "c", (F.col("e") / samples).alias("e"))), total, kinds, left / samples if total else 1.0)
-
-
-def _concentrations(state: DataFrame, chains: int, d: float) -> np.ndarray:
-    """The grid's log weights for each chain, over all context restaurants; kept to a thousandth, so that sums are exact."""
+    m = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros((size, m), np.int64)
+
+        def rows(h: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(h), 100_000):
+                yield pa.record_batch([pa.array(h[lo : lo + 100_000]), *(pa.array(np.ascontiguousarray(v[lo : lo + 100_000, i])) for i in range(m))], names=["h", *columns])
+
         for x in batches:
-            k, c, t, n = (x.column(i).to_numpy() for i in range(4))
-            if len(k):
-                w = np.round(seating_weight(c, t, d) * n[:, None] * 1000).astype(np.int64)
-                for i in np.unique(k).tolist():
-                    yield pa.record_batch([pa.array([i], pa.int32()), pa.array([w[k == i].sum(axis=0).tolist()], pa.list_(pa.int64()))], names=["k", "w"])
-
-    kinds = state.select("c", F.posexplode("t").alias("k", "t")).groupBy("k", "c", "t").agg(F.count("*").alias("n")).select("k", "c", "t", "n")
-    sums = kinds.mapInArrow(run, "k int, w array<long>").groupBy("k").agg(*(F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(GRID)))).collect()  # a row a chain
-    out = np.zeros((chains, len(GRID)))
-    for r in sums:
-        out[r["k"]] = [r[f"w{i}"] / 1000 for i in range(len(GRID))]
+            if not x.num_rows:
+                continue
+            u, w, to_u, to_w = value(x)
+            code, v = np.concatenate([u, w]), np.concatenate([to_u, to_w])
+            own = code >= 0
+            for i in range(m):
+                dense[:, i] += np.bincount(code[own], v[own, i], size).astype(np.int64) if size else 0
+            h, back = np.unique(code[~own], return_inverse=True)
+            yield from rows(h, np.stack([np.bincount(back, v[~own, i], len(h)).astype(np.int64) for i in range(m)], axis=1))
+        some = np.flatnonzero(dense.any(axis=1))
+        yield from rows(some.astype(np.int64), dense[some])
+
+    sums = cells.mapInArrow(run, "h long, " + ", ".join(f"{c} long" for c in columns))
+    return sums.groupBy("h").agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def _attached(cells: DataFrame, by_u: DataFrame, by_w: DataFrame) -> DataFrame:
+    """Cells with the values of those of their words that have no number; null where it has one."""
+    none_u = [F.lit(None).cast(t).alias(c) for c, t in by_u.dtypes if c != "u"]
+    none_w = [F.lit(None).cast(t).alias(c) for c, t in by_w.dtypes if c != "w"]
+    rare_u, rare_w = by_u.where("u < 0"), by_w.where("w < 0")
+    own = cells.where("u >= 0 AND w >= 0").select("*", *none_u, *none_w)
+    left = cells.where("u < 0 AND w >= 0").join(rare_u, "u").select("*", *none_w)
+    right = cells.where("u >= 0 AND w < 0").select("*", *none_u).join(rare_w, "w")
+    both = cells.where("u < 0 AND w < 0").join(rare_u, "u").join(rare_w, "w")
+    return own.unionByName(left).unionByName(right).unionByName(both)
+
+
+def _filled(column: pa.Array, code: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """A column of :func:`_attached` with the numbered words' values in place of its nulls; lists become rows."""
+    own = code >= 0
+    shape = (len(code), *dense.shape[1:])
+    out = np.zeros(shape, dense.dtype)
+    if own.any():
+        out[own] = dense[code[own]]
+    if not own.all():
+        some = column.filter(pa.array(~own))
+        flat = some.flatten() if pa.types.is_list(some.type) else some
+        out[~own] = flat.to_numpy(zero_copy_only=False).reshape(-1, *dense.shape[1:])
     return out
 
 
-def _most(table: DataFrame, most: int) -> DataFrame:
-    """The rows of the largest counts ``c``, in number at most ``most``: those from a power of 2**(1/8) on."""
-    level = F.floor(8 * F.log2("c"))
-    counts = table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # eight for each doubling
-    sums = np.cumsum([r["count"] for r in counts])
-    fit_ = int(np.searchsorted(sums, most, "right"))
-    return table.where(level >= counts[fit_ - 1]["level"]) if fit_ else table.where("false")
+def _totals(words: DataFrame, state: State, shared) -> tuple[np.ndarray, np.ndarray]:
+    """For each chain the parent's customers and tables, its words of one and two customers, and the
+    grid's log weights over all context restaurants, in thousandths, so that sums are exact.
 
+    ``words(h, c, st)``; st has the chains' tables, then their customers.
+    """
+    grid, chains = len(GRID), len(state.a)
 
-def _sorted(table: DataFrame, *values: str) -> tuple[np.ndarray, ...]:
-    got = table.select("key", *values).toArrow()
-    key = got.column("key").to_numpy()
-    order = np.argsort(key)
-    return key[order], *(got.column(v).to_numpy()[order] for v in values)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        sums = np.zeros((chains, 4 + grid), np.int64)
+        for x in batches:
+            if not x.num_rows:
+                continue
+            h, c, st = x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).flatten().to_numpy().reshape(x.num_rows, -1)
+            t, c0 = st[:, :chains], st[:, chains:]
+            t0 = state.parent_tables(c0, common.hashes(h))
+            for k in range(chains):
+                sums[k, :4] += (c0[:, k].sum(), int(t0[:, k].sum()), (c0[:, k] == 1).sum(), (c0[:, k] == 2).sum())
+                kind, n = np.unique(np.stack([c, t[:, k]], axis=1), axis=0, return_counts=True)
+                sums[k, 4:] += (np.round(seating_weight(kind[:, 0], kind[:, 1], state.d) * 1000).astype(np.int64) * n[:, None]).sum(axis=0)
+        yield pa.record_batch([pa.array(range(chains), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.int64()))], names=["k", "v"])
 
+    got = words.select("h", "c", "st").mapInArrow(run, "k int, v array<long>").groupBy("k").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(4 + grid))).collect()  # a row a chain
+    out = np.zeros((chains, 4 + grid), object)
+    for r in got:
+        out[r["k"]] = [r[f"v{i}"] for i in range(4 + grid)]
+    return out[:, :4], out[:, 4:].astype(np.float64) / 1000
 
-def _found(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
-    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-    return at, keys[at] == want
+
+def _rows(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(n, -1)
 
 
-MET = [("row", pa.int64()), ("key", pa.int64()), ("k", pa.int32()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
-MET_DDL = "row long, key long, k int, id long, n_tokens long, n_common long, base double, score double"
+def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int = SWEEPS, burn: int = BURN, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of the texts of ``train``.  Null texts are empty; repeated rows count again.
+
+    Without rows there is no word and "unseen" has probability one.  ``words`` bounds what is
+    numbered and broadcast.
+    """
+    context = train.sparkSession.sparkContext
+    texts = _texts(train, id_col, text_col)
+    counted = scratch.table(_words(texts), "words")
+    n = counted.agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).first()
+    total, kinds = n["total"] or 0, n["kinds"]
+    top = _most(counted, words).select("h", "c").toArrow() if kinds else None
+    common = Common(top.column("h").to_numpy(), top.column("c").to_numpy()) if kinds else Common(np.empty(0, np.int64), np.empty(0, np.int64))
+    scratch.drop(counted)
+    shared, size = context.broadcast(common), len(common.h)
+    cells = scratch.table(_pairs(texts, shared), "cells")
+    multi = cells.where("c > 1")
+    few = cells.agg(F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
+
+    def count(x: pa.RecordBatch):
+        u, w, c = (x.column(i).to_numpy() for i in range(3))
+        one, none = (c == 1).astype(np.int64), np.zeros(len(c), np.int64)
+        return u, w, np.stack([none, one, 1 - one, none, none], axis=1), np.stack([c, none, none, one, 1 - one], axis=1)
+
+    # a word's count, and its pairs of one and of more customers, as context (t1, m1) and as word (s1, m2)
+    base = scratch.table(_tally(cells.select("u", "w", "c"), ["c", "t1", "m1", "s1", "m2"], count, size), "base")
+    # the first seating has one table for each cell and each word
+    begin = F.array(*[F.col("t1") + F.col("m1")] * chains, *[F.col("s1") + F.col("m2")] * chains)
+    still = base.where("m1 + m2 = 0").select("h", "c", begin.alias("st"))
+    moving = scratch.table(base.where("m1 + m2 > 0").select("h", "c", "t1", "s1", begin.alias("st")), "moving")
+    got = base.where("h >= 0").select("h", begin.alias("st")).toArrow()
+    dense = np.zeros((size, 2 * chains), np.int64)
+    if got.num_rows:
+        dense[got.column("h").to_numpy()] = _rows(got.column("st").combine_chunks(), got.num_rows)
+    pairs = cells.count() if total else 0
+    state = State(kinds, _discount(few["n1"] or 0, few["n2"] or 0), [10.0] * chains, [10.0] * chains, [0.5] * chains, [pairs] * chains, [kinds] * chains)
+    states, history = [state], [dense]
+    salt = [(seed * 1000 + i) * 100 for i in range(sweeps)]
+    for sweep in range(sweeps if total else 0):
+        values = context.broadcast((common, state, dense[:, :chains], state.share(dense[:, chains:], common.h)))
+
+        def seat(x: pa.RecordBatch, values=values, salt=salt[sweep]):
+            common, state, t_dense, share_dense = values.value
+            u, w, c = (x.column(i).to_numpy() for i in range(3))
+            t_u, hw = _filled(x.column(3), u, t_dense), common.hashes(w)
+            share = np.zeros((len(w), chains))
+            rare = w < 0
+            share[~rare] = share_dense[w[~rare]]
+            if rare.any():
+                c0 = x.column(4).filter(pa.array(rare)).flatten().to_numpy().reshape(-1, chains)
+                share[rare] = state.share(c0, hw[rare])
+            t = state.seat(c, t_u, share, pair(common.hashes(u), hw), salt).astype(np.int64)
+            none = np.zeros_like(t)
+            return u, w, np.concatenate([t, none], axis=1), np.concatenate([none, t], axis=1)
+
+        last = 2 * chains * sweep
+        met = _attached(multi, moving.select(F.col("h").alias("u"), F.slice("st", last + 1, chains).alias("t_u")), moving.select(F.col("h").alias("w"), F.slice("st", last + chains + 1, chains).alias("c0_w")))
+        names = [f"{x}{k}" for x in ("out", "in") for k in range(chains)]
+        moved = _tally(met.select("u", "w", "c", "t_u", "c0_w"), names, seat, size)
+        now = F.array(*[F.col("t1" if x.startswith("out") else "s1") + F.coalesce(x, F.lit(0)) for x in names])
+        was, moving = moving, scratch.table(moving.join(moved, "h", "left").select("h", "c", "t1", "s1", F.concat("st", now).alias("st")), "moving")
+        scratch.drop(was)
+        latest = moving.select("h", "c", F.slice("st", last + 2 * chains + 1, 2 * chains).alias("st"))
+        got = latest.where("h >= 0").toArrow()
+        dense = dense.copy()
+        if got.num_rows:
+            dense[got.column("h").to_numpy()] = _rows(got.column("st").combine_chunks(), got.num_rows)
+        state = State(kinds, state.d, list(state.a), list(state.a0), list(state.d0), list(state.every), list(state.many), salt[sweep] + 50, [(state.rest(k), state.d0[k]) for k in range(chains)])
+        sums, weights = _totals(latest.unionByName(still), state, shared)
+        for k in range(chains):
+            state.every[k], state.many[k] = int(sums[k, 0]), int(sums[k, 1])
+            state.d0[k] = _discount(float(sums[k, 2]), float(sums[k, 3]))
+            state.a0[k] = _drawn(seating_weight(np.array([state.every[k]]), np.array([state.many[k]]), state.d0[k])[0], salt[sweep] + 80 + k)
+            state.a[k] = _drawn(weights[k], salt[sweep] + 90 + k)
+        states.append(state)
+        history.append(dense)
+    taken = range(min(burn, sweeps - 1), sweeps) if total else []
+    unseen = float(np.mean([states[i + 1].unseen() for i in taken])) if total else 1.0
+
+    def averaged(st: np.ndarray, c: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(w) and the parent's weight of words with the seatings ``st`` of all sweeps."""
+        p, b = np.zeros(len(c)), np.zeros(len(c))
+        for i in taken:
+            after, x = states[i + 1], 2 * chains * (i + 1)
+            p += after.share(st[:, x + chains : x + 2 * chains], h).mean(axis=1)
+            a = np.array(states[i].a)
+            b += ((a + state.d * st[:, x : x + chains]) / (c[:, None] + a)).mean(axis=1)
+        return p / max(len(taken), 1), b / max(len(taken), 1)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for x in batches:
+            if x.num_rows:
+                h, c = x.column(0).to_numpy(), x.column(1).to_numpy()
+                p, b = averaged(_rows(x.column(2), len(h)), c, common.hashes(h))
+                yield pa.record_batch([x.column(0), x.column(1), pa.array(p), pa.array(b)], names=["h", "c", "p", "b"])
+
+    every = moving.select("h", "c", "st").unionByName(still.select("h", "c", F.flatten(F.array_repeat("st", len(states))).alias("st")))
+    found = scratch.table(every.mapInArrow(finish, "h long, c long, p double, b double"), "model")
+    p, b = averaged(np.concatenate(history, axis=1), common.c, common.h)
+    dense_t = np.stack([history[i][:, :chains] for i in taken], axis=1) if total else np.zeros((0, 0, chains), np.int64)
+    dense_share = np.stack([states[i].share(history[i][:, chains:], common.h) for i in taken], axis=1) if total else np.zeros((0, 0, chains))
+    values = context.broadcast((common, p, b, dense_t, dense_share))
+    n_taken, width = len(taken), 2 * chains
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, p, b, dense_t, dense_share = values.value
+        for x in batches:
+            if not x.num_rows:
+                continue
+            u, w, c = (x.column(i).to_numpy() for i in range(3))
+            cu, b_u, p_w = _filled(x.column(3), u, common.c), _filled(x.column(4), u, b), _filled(x.column(6), w, p)
+            t = np.ones((len(u), n_taken, chains))
+            many = np.flatnonzero(c > 1)
+            if len(many):
+                mu, mw, own = u[many], w[many], pa.array(many)
+                # the seatings of all sweeps of words without a number
+                t_u = np.zeros((len(many), n_taken, chains), np.int64)
+                share = np.zeros((len(many), n_taken, chains))
+                hw = common.hashes(mw)
+                for code, at, out, table in ((mu, 5, t_u, dense_t), (mw, 7, share, dense_share)):
+                    out[code >= 0] = table[code[code >= 0]] if len(table) else 0
+                    rare = code < 0
+                    if rare.any():
+                        st = x.column(at).take(own).filter(pa.array(rare)).flatten().to_numpy().reshape(int(rare.sum()), -1)
+                        for j, i in enumerate(taken):
+                            out[rare, j] = st[:, width * i : width * i + chains] if at == 5 else states[i].share(st[:, width * i + chains : width * (i + 1)], hw[rare])
+                key = pair(common.hashes(mu), hw)
+                for j, i in enumerate(taken):
+                    t[many, j] = states[i].seat(c[many], t_u[:, j], share[:, j], key, salt[i])
+            a = np.array([states[i].a for i in taken])
+            e = ((c[:, None, None] - state.d * t) / (cu[:, None, None] + a)).mean(axis=(1, 2))
+            low = b_u * p_w
+            yield pa.record_batch([*x.columns[:3], pa.array(e), pa.array(np.log10((e + low) / low))], names=["u", "w", "c", "e", "lp"])
+
+    plain_u, plain_w = found.select(F.col("h").alias("u"), F.col("c").alias("cu"), "b"), found.select(F.col("h").alias("w"), "p")
+    none = F.lit(None).cast("array<long>")
+    whole = moving.select("h", "st")
+    single = _attached(cells.where("c = 1"), plain_u, plain_w).select("u", "w", "c", "cu", "b", none.alias("st_u"), "p", none.alias("st_w"))
+    multi = _attached(multi, plain_u.join(whole.select(F.col("h").alias("u"), F.col("st").alias("st_u")), "u"), plain_w.join(whole.select(F.col("h").alias("w"), F.col("st").alias("st_w")), "w"))
+    weighed = single.unionByName(multi.select(single.columns)).mapInArrow(weigh, "u long, w long, c long, e double, lp double")
+    return Model(found, weighed, total, kinds, unseen, common)
+
+
+MET = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("k", pa.int32()), ("s", pa.struct([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))])
+MET_DDL = "row long, key long, k int, s struct<id:long,n_tokens:long,n_common:long,base:double,score:double>"
 
 
 def score(docs: DataFrame, train: DataFrame, words: int = WORDS, pairs: int = PAIRS, chains: int = CHAINS, sweeps: int = SWEEPS, burn: int = BURN, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,73 +553,74 @@ def score(docs: DataFrame, train: DataFrame, words: int = WORDS, pairs: int = PA
     ``train`` has the rows learned from.  base_score adds log10((c + 0.1) / (N + 0.1 (V + 1))) over
     the tokens; score is the model's log10 probability.  Null texts are empty: just the end.
     Without training rows every token is unseen, and unseen is certain.  Null and repeated ids are
-    scored row by row, equal texts get equal scores.  An empty table gives no rows.  ``words`` and
-    ``pairs`` bound what is broadcast and change no score.
+    scored row by row, equal texts get equal scores.  An empty table gives no rows.  Words whose
+    counts tie are numbered by hash.  ``words`` and ``pairs`` bound what is broadcast and change no
+    score.
     """
-    model = fit(train, chains, sweeps, burn, seed, id_col, text_col)
-    return apply(docs, model, words, pairs, id_col, text_col)
+    return apply(docs, fit(train, words, chains, sweeps, burn, seed, id_col, text_col), pairs, id_col, text_col)
 
 
-def apply(docs: DataFrame, model: Model, words: int = WORDS, pairs: int = PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply(docs: DataFrame, model: Model, pairs: int = PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The scores of :func:`score` by a fitted model."""
     spark = docs.sparkSession
     total, kinds = model.total, model.kinds
-    own = model.words.select(F.col("h").alias("key"), "c", (F.log10("p") + F.log10("b")).alias("lp"), F.log10((F.col("c") + 0.1) / (total + 0.1 * (kinds + 1))).alias("base"))
-    by_u = model.words.select(F.col("h").alias("u"), "b")
-    by_w = model.words.select(F.col("h").alias("w"), "p")
+    plain = float(np.log10(0.1 / (total + 0.1 * (kinds + 1))))
+    base = F.log10((F.col("c") + 0.1) / (total + 0.1 * (kinds + 1)))
+    own = model.words.select(F.col("h").alias("key"), "c", (F.log10("p") + F.log10("b")).alias("lp"), base.alias("base"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pa.record_batch([pa.array(pair(x.column(0).to_numpy(), x.column(1).to_numpy())), x.column(2), x.column(3)], names=["key", "c", "lp"])
-
-    low = F.col("b") * F.col("p")
-    known = model.cells.join(by_u, "u").join(by_w, "w").select("u", "w", "c", (F.log10(F.col("e") + low) - F.log10(low)).alias("lp"))
-    known = scratch.table(known.mapInArrow(name, "key long, c long, lp double"), "pairs")
-    top_words, top_pairs = _sorted(_most(own, words), "lp", "base"), _sorted(_most(known, pairs), "lp")
-    shared = spark.sparkContext.broadcast((top_words, top_pairs))
+            if x.num_rows:
+                yield pa.record_batch([pa.array(named(x.column(0).to_numpy(), x.column(1).to_numpy())), x.column(2), x.column(3)], names=["key", "c", "lp"])
+
+    known = scratch.table(model.cells.select("u", "w", "c", "lp").mapInArrow(name, "key long, c long, lp double"), "pairs")
+    got = own.where("key >= 0").toArrow()
+    lp, bases = np.zeros(len(model.common.h)), np.zeros(len(model.common.h))
+    lp[got.column("key").to_numpy()], bases[got.column("key").to_numpy()] = got.column("lp").to_numpy(), got.column("base").to_numpy()
+    often = _most(known, pairs).select("key", "lp").toArrow()
+    order = np.argsort(often.column("key").to_numpy())
+    shared = spark.sparkContext.broadcast((model.common, lp, bases, often.column("key").to_numpy()[order], often.column("lp").to_numpy()[order]))
+
+    def rest(at: np.ndarray, key: np.ndarray, sign: int) -> tuple[np.ndarray, ...]:
+        """Each text's distinct keys and how often it has them."""
+        order = np.lexsort((key, at))
+        at, key = at[order], key[order]
+        new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (key[1:] != key[:-1])]) if len(at) else np.empty(0, np.int64)
+        return at[new], key[new], sign * np.diff(np.r_[new, len(at)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (wk, wlp, wbase), (pk, plp) = shared.value
-        memo = _Memo()
-
-        def rest(at: np.ndarray, key: np.ndarray, sign: int) -> tuple[np.ndarray, ...]:
-            """Each text's distinct keys and how often it has them."""
-            order = np.lexsort((key, at))
-            at, key = at[order], key[order]
-            new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (key[1:] != key[:-1])]) if len(at) else np.empty(0, np.int64)
-            return at[new], key[new], sign * np.diff(np.r_[new, len(at)])
-
+        common, lp, bases, top, top_lp = shared.value
+        memo, kind = _Memo(), MET.field("s").type
         for b in batches:
             for lo, hi in parts(b.column(2)):
                 row, ids = b.column(0)[lo:hi], b.column(1)[lo:hi]
                 h, begin = hashed(b.column(2)[lo:hi].to_pylist(), memo)
-                of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(h)]))
-                i, hit = _found(wk, h)
-                j, met_ = _found(pk, key := pair(before(h), h))
-                zero = np.zeros(len(h))
-                base = np.add.reduceat(np.where(hit, wbase[i], 0) if len(wk) else zero, begin)
-                own_score = np.add.reduceat((np.where(hit, wlp[i], 0) if len(wk) else zero) + (np.where(met_, plp[j], 0) if len(pk) else zero), begin)
-                rows = row.to_numpy()
+                size = np.diff(np.r_[begin, len(h)])
+                of = np.repeat(np.arange(len(begin)), size)
+                w, u = common.codes(h), common.codes(before(h))
+                own = w >= 0
+                j, met = _found(top, key := named(u, w))
+                base, gain = np.zeros(len(h)), np.zeros(len(h))
+                base[own], gain[own] = bases[w[own]], lp[w[own]]
+                gain[met] += top_lp[j[met]]
                 # a row of the text's own sums (k = 0), of its other words (k > 0) and of its other pairs (k < 0)
-                sums = [row, row, pa.array(np.zeros(len(rows)), pa.int32()), ids, pa.array(np.diff(np.r_[begin, len(h)]), pa.int64()), pa.array(np.add.reduceat(hit.astype(np.int64), begin)), pa.array(base), pa.array(own_score)]
-                yield pa.record_batch(sums, schema=pa.schema(MET))
-                for at, keys, k in (rest(of[~hit], h[~hit], 1), rest(of[~met_], key[~met_], -1)):
+                sums = pa.StructArray.from_arrays([ids.cast(pa.int64()), pa.array(size, pa.int64()), pa.array(np.add.reduceat(own.astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(gain, begin))], fields=list(kind))
+                yield pa.record_batch([row, row, pa.array(np.zeros(len(begin)), pa.int32()), sums], schema=MET)
+                rows = row.to_numpy()
+                for at, keys, k in (rest(of[~own], w[~own], 1), rest(of[~met], key[~met], -1)):
                     for x in range(0, len(at), 100_000):
                         y = slice(x, x + 100_000)
-                        n = len(at[y])
-                        yield pa.record_batch([pa.array(rows[at[y]]), pa.array(keys[y]), pa.array(k[y], pa.int32()), *(pa.nulls(n, t) for _, t in MET[3:])], schema=pa.schema(MET))
+                        yield pa.record_batch([pa.array(rows[at[y]]), pa.array(keys[y]), pa.array(k[y], pa.int32()), pa.nulls(len(at[y]), kind)], schema=MET)
 
     rows = _texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    met = rows.mapInArrow(measure, MET_DDL)
-    look = own.select("key", F.col("c").alias("n"), F.col("lp").alias("own_lp"), F.col("base").alias("own_base")).unionByName(known.select("key", F.lit(0).cast("long").alias("n"), F.col("lp").alias("own_lp"), F.lit(0.0).alias("own_base")))
-    k = F.col("k")
+    look = own.where("key < 0").select("key", F.col("c").alias("n"), "lp", "base").unionByName(known.select("key", F.lit(0).cast("long").alias("n"), "lp", F.lit(0.0).alias("base")))
+    k, s = F.col("k"), F.col("s")
     none = F.when(k > 0, F.lit(float(np.log10(model.unseen)))).otherwise(0.0)
-    plain = float(np.log10(0.1 / (total + 0.1 * (kinds + 1))))
-    out = met.join(look, "key", "left").groupBy("row").agg(
-        F.max("id").alias("id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.sum(F.coalesce("n_common", F.lit(0))) + F.sum(F.when((k > 0) & (F.col("n") > 0), k).otherwise(0))).alias("n_known"),
-        F.sum(F.when(k == 0, F.col("base")).when(k > 0, k * F.coalesce("own_base", F.lit(plain))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.when(k == 0, F.col("score")).otherwise(F.abs(k) * F.coalesce("own_lp", none))).alias("score"),
-    )
+    met = rows.mapInArrow(measure, MET_DDL).join(look, "key", "left").select(
+        "row", s.id.alias("id"), s.n_tokens.alias("n_tokens"),
+        F.when(k == 0, s.n_common).when((k > 0) & (F.col("n") > 0), k).otherwise(0).alias("known"),
+        F.when(k == 0, s.base).when(k > 0, k * F.coalesce("base", F.lit(plain))).otherwise(0.0).alias("base"),
+        F.when(k == 0, s.score).otherwise(F.abs(k) * F.coalesce("lp", none)).alias("gain"),
+    )
+    out = met.groupBy("row").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("score"))
     return out.select("id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
