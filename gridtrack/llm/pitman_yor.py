@@ -308,6 +308,19 @@ def _pairs(texts: DataFrame, shared) -> DataFrame:
     return texts.select("text").mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
 
 
+def _thick(batches: Iterator[pa.RecordBatch], least: int = 250_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``least`` rows: what is done for each draw is then done seldom."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _tally(cells: DataFrame, columns: list[str], value, size: int) -> DataFrame:
     """Sums for each word of what ``value(batch)`` gives: (u, w, what to add to u, what to add to w), a row a cell.
 
@@ -322,9 +335,7 @@ def _tally(cells: DataFrame, columns: list[str], value, size: int) -> DataFrame:
             for lo in range(0, len(h), 100_000):
                 yield pa.record_batch([pa.array(h[lo : lo + 100_000]), *(pa.array(np.ascontiguousarray(v[lo : lo + 100_000, i])) for i in range(m))], names=["h", *columns])
 
-        for x in batches:
-            if not x.num_rows:
-                continue
+        for x in _thick(batches):
             u, w, to_u, to_w = value(x)
             code, v = np.concatenate([u, w]), np.concatenate([to_u, to_w])
             own = code >= 0
@@ -351,20 +362,24 @@ def _attached(cells: DataFrame, by_u: DataFrame, by_w: DataFrame) -> DataFrame:
     return own.unionByName(left).unionByName(right).unionByName(both)
 
 
-def _filled(column: pa.Array, code: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    """A column of :func:`_attached` with the numbered words' values in place of its nulls; lists become rows."""
+def _filled(columns: list[pa.Array], code: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Columns of :func:`_attached`, with the numbered words' rows of ``dense`` in place of their nulls."""
     own = code >= 0
-    shape = (len(code), *dense.shape[1:])
-    out = np.zeros(shape, dense.dtype)
+    out = np.zeros((len(code), len(columns)), dense.dtype)
     if own.any():
-        out[own] = dense[code[own]]
+        out[own] = dense.reshape(len(dense), -1)[code[own]]
     if not own.all():
-        some = column.filter(pa.array(~own))
-        flat = some.flatten() if pa.types.is_list(some.type) else some
-        out[~own] = flat.to_numpy(zero_copy_only=False).reshape(-1, *dense.shape[1:])
+        rare = pa.array(~own)
+        for i, c in enumerate(columns):
+            out[~own, i] = c.filter(rare).to_numpy(zero_copy_only=False)
     return out
 
 
+def _flat(table: DataFrame, key: str, name: str, at: list[int], *more: Column) -> DataFrame:
+    """The elements ``at`` of st as columns.  (Lists with nulls among them are slow to send to Python.)"""
+    return table.select(F.col("h").alias(key), *more, *(F.col("st")[i].alias(f"{name}{j}") for j, i in enumerate(at)))
+
+
 def _totals(words: DataFrame, state: State, shared) -> tuple[np.ndarray, np.ndarray]:
     """For each chain the parent's customers and tables, its words of one and two customers, and the
     grid's log weights over all context restaurants, in thousandths, so that sums are exact.
@@ -376,9 +391,7 @@ def _totals(words: DataFrame, state: State, shared) -> tuple[np.ndarray, np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         sums = np.zeros((chains, 4 + grid), np.int64)
-        for x in batches:
-            if not x.num_rows:
-                continue
+        for x in _thick(batches):
             h, c, st = x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).flatten().to_numpy().reshape(x.num_rows, -1)
             t, c0 = st[:, :chains], st[:, chains:]
             t0 = state.parent_tables(c0, common.hashes(h))
@@ -443,21 +456,20 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
         def seat(x: pa.RecordBatch, values=values, salt=salt[sweep]):
             common, state, t_dense, share_dense = values.value
             u, w, c = (x.column(i).to_numpy() for i in range(3))
-            t_u, hw = _filled(x.column(3), u, t_dense), common.hashes(w)
-            share = np.zeros((len(w), chains))
-            rare = w < 0
+            t_u, hw = _filled(x.columns[3 : 3 + chains], u, t_dense), common.hashes(w)
+            share, rare = np.zeros((len(w), chains)), w < 0
             share[~rare] = share_dense[w[~rare]]
             if rare.any():
-                c0 = x.column(4).filter(pa.array(rare)).flatten().to_numpy().reshape(-1, chains)
-                share[rare] = state.share(c0, hw[rare])
+                c0 = np.stack([c.filter(pa.array(rare)).to_numpy(zero_copy_only=False) for c in x.columns[3 + chains :]], axis=1)
+                share[rare] = state.share(c0.astype(np.int64), hw[rare])
             t = state.seat(c, t_u, share, pair(common.hashes(u), hw), salt).astype(np.int64)
             none = np.zeros_like(t)
             return u, w, np.concatenate([t, none], axis=1), np.concatenate([none, t], axis=1)
 
         last = 2 * chains * sweep
-        met = _attached(multi, moving.select(F.col("h").alias("u"), F.slice("st", last + 1, chains).alias("t_u")), moving.select(F.col("h").alias("w"), F.slice("st", last + chains + 1, chains).alias("c0_w")))
+        met = _attached(multi, _flat(moving, "u", "t", [last + k for k in range(chains)]), _flat(moving, "w", "c0_", [last + chains + k for k in range(chains)]))
         names = [f"{x}{k}" for x in ("out", "in") for k in range(chains)]
-        moved = _tally(met.select("u", "w", "c", "t_u", "c0_w"), names, seat, size)
+        moved = _tally(met, names, seat, size)
         now = F.array(*[F.col("t1" if x.startswith("out") else "s1") + F.coalesce(x, F.lit(0)) for x in names])
         was, moving = moving, scratch.table(moving.join(moved, "h", "left").select("h", "c", "t1", "s1", F.concat("st", now).alias("st")), "moving")
         scratch.drop(was)
@@ -490,7 +502,7 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for x in batches:
+        for x in _thick(batches):
             if x.num_rows:
                 h, c = x.column(0).to_numpy(), x.column(1).to_numpy()
                 p, b = averaged(_rows(x.column(2), len(h)), c, common.hashes(h))
@@ -506,26 +518,23 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, p, b, dense_t, dense_share = values.value
-        for x in batches:
-            if not x.num_rows:
-                continue
+        for x in _thick(batches):
             u, w, c = (x.column(i).to_numpy() for i in range(3))
-            cu, b_u, p_w = _filled(x.column(3), u, common.c), _filled(x.column(4), u, b), _filled(x.column(6), w, p)
+            cu, b_u, p_w = (_filled([x.column(i)], code, table)[:, 0] for i, code, table in ((3, u, common.c), (4, u, b), (5 + n_taken * chains, w, p)))
             t = np.ones((len(u), n_taken, chains))
             many = np.flatnonzero(c > 1)
             if len(many):
                 mu, mw, own = u[many], w[many], pa.array(many)
                 # the seatings of all sweeps of words without a number
-                t_u = np.zeros((len(many), n_taken, chains), np.int64)
-                share = np.zeros((len(many), n_taken, chains))
-                hw = common.hashes(mw)
-                for code, at, out, table in ((mu, 5, t_u, dense_t), (mw, 7, share, dense_share)):
-                    out[code >= 0] = table[code[code >= 0]] if len(table) else 0
-                    rare = code < 0
-                    if rare.any():
-                        st = x.column(at).take(own).filter(pa.array(rare)).flatten().to_numpy().reshape(int(rare.sum()), -1)
-                        for j, i in enumerate(taken):
-                            out[rare, j] = st[:, width * i : width * i + chains] if at == 5 else states[i].share(st[:, width * i + chains : width * (i + 1)], hw[rare])
+                shape = (len(many), n_taken, chains)
+                t_u = _filled([c_.take(own) for c_ in x.columns[5 : 5 + n_taken * chains]], mu, dense_t).reshape(shape)
+                hw, rare = common.hashes(mw), mw < 0
+                share = np.zeros(shape)
+                share[~rare] = dense_share[mw[~rare]] if len(dense_share) else 0
+                if rare.any():
+                    c0 = np.stack([c_.take(own).filter(pa.array(rare)).to_numpy(zero_copy_only=False) for c_ in x.columns[6 + n_taken * chains :]], axis=1).astype(np.int64).reshape(-1, n_taken, chains)
+                    for j, i in enumerate(taken):
+                        share[rare, j] = states[i].share(c0[:, j], hw[rare])
                 key = pair(common.hashes(mu), hw)
                 for j, i in enumerate(taken):
                     t[many, j] = states[i].seat(c[many], t_u[:, j], share[:, j], key, salt[i])
@@ -535,11 +544,13 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
             yield pa.record_batch([*x.columns[:3], pa.array(e), pa.array(np.log10((e + low) / low))], names=["u", "w", "c", "e", "lp"])
 
     plain_u, plain_w = found.select(F.col("h").alias("u"), F.col("c").alias("cu"), "b"), found.select(F.col("h").alias("w"), "p")
-    none = F.lit(None).cast("array<long>")
-    whole = moving.select("h", "st")
-    single = _attached(cells.where("c = 1"), plain_u, plain_w).select("u", "w", "c", "cu", "b", none.alias("st_u"), "p", none.alias("st_w"))
-    multi = _attached(multi, plain_u.join(whole.select(F.col("h").alias("u"), F.col("st").alias("st_u")), "u"), plain_w.join(whole.select(F.col("h").alias("w"), F.col("st").alias("st_w")), "w"))
-    weighed = single.unionByName(multi.select(single.columns)).mapInArrow(weigh, "u long, w long, c long, e double, lp double")
+    whole = found.join(moving.select("h", "st"), "h")
+    ask = [(width * i + k, width * i + chains + k) for i in taken for k in range(chains)]
+    by_u, by_w = _flat(whole, "u", "t", [i for i, _ in ask], F.col("c").alias("cu"), "b"), _flat(whole, "w", "c0_", [j for _, j in ask], "p")
+    multi = _attached(multi, by_u, by_w)
+    none = {c: F.lit(None).cast("long").alias(c) for c in multi.columns if c.startswith(("t", "c0_"))}
+    single = _attached(cells.where("c = 1"), plain_u, plain_w).select(*(none.get(c, c) for c in multi.columns))
+    weighed = single.unionByName(multi).mapInArrow(weigh, "u long, w long, c long, e double, lp double")
     return Model(found, weighed, total, kinds, unseen, common)
 
 
