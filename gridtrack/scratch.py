@@ -8,6 +8,7 @@ machine, a folder below the warehouse is used.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,19 +22,25 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` below the shared folder and return the table that was written."""
+def table(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder, in folders by a column if given, and return the table that was written."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice plans that are done, so that their shuffle files go; many stages in a row need it."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`table` that no later plan reads."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for where in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for where in {re.sub(r"(/[^/=]+=[^/]*)*/[^/]+$", "", f) for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(conf).delete(path, True)
