@@ -31,7 +31,7 @@ numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -77,9 +77,9 @@ def hashed(texts: list[str | None], memo: _Memo) -> tuple[np.ndarray, np.ndarray
     return np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), begin
 
 
-def before(h: np.ndarray) -> np.ndarray:
+def before(w: np.ndarray, end: int) -> np.ndarray:
     """The context of each token: the token before it; a text begins after an end."""
-    return np.r_[np.int64(_hash(END)), h[:-1]] if len(h) else h
+    return np.r_[np.int64(end), w[:-1]] if len(w) else w
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -206,16 +206,19 @@ def _found(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def named(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The key of a pair of codes: both numbers, or else a hash below zero."""
-    return np.where((u >= 0) & (w >= 0), u * (1 << 31) + w, ~(pair(u, w) & np.int64((1 << 63) - 1)))
+    out = u * (1 << 31) + w
+    rare = np.flatnonzero((u < 0) | (w < 0))
+    out[rare] = ~(pair(u[rare], w[rare]) & np.int64((1 << 63) - 1))
+    return out
 
 
-def _most(table: DataFrame, most: int) -> DataFrame:
-    """The rows of the largest counts ``c``, in number at most ``most``: those from a power of 2**(1/8) on."""
+def _most(table: DataFrame, most: int) -> Column:
+    """A condition on ``c``: the rows of the largest counts, in number at most ``most``, from a power of 2**(1/8) on."""
     level = F.floor(8 * F.log2("c"))
     counts = table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # eight for each doubling
     sums = np.cumsum([r["count"] for r in counts])
     fit_ = int(np.searchsorted(sums, most, "right"))
-    return table.where(level >= counts[fit_ - 1]["level"]) if fit_ else table.where("false")
+    return level >= counts[fit_ - 1]["level"] if fit_ else F.lit(False)
 
 
 # ------------------------------------------------------------------ the model in Spark
@@ -262,12 +265,14 @@ class State:
 @dataclass
 class Model:
     """``words(h, c, p, b)``: a word's code, count, P(w) and the parent's weight in its restaurant;
-    ``cells(u, w, c, e, lp)``: a pair's codes, count, averaged own weight and correction:
-    P(w | u) = e + b_u p_w, and lp is its log10 less that of b_u p_w.
+    ``counts(u, w, c)``: a pair's codes and count; ``weighed``, given a condition on these, their
+    averaged own weight e and correction lp: P(w | u) = e + b_u p_w, and lp is its log10 less that
+    of b_u p_w.
     """
 
     words: DataFrame
-    cells: DataFrame
+    counts: DataFrame
+    weighed: Callable[[Column], DataFrame]
     total: int
     kinds: int
     unseen: float
@@ -296,10 +301,12 @@ def _pairs(texts: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, common = _Memo(), shared.value
+        end = common.codes(np.array([_hash(END)]))[0]
         for b in batches:
             for lo, hi in parts(b.column(0), 16 << 20):
                 h, _ = hashed(b.column(0)[lo:hi].to_pylist(), memo)
-                w, u = common.codes(h), common.codes(before(h))
+                w = common.codes(h)
+                u = before(w, end)
                 _, at, n = np.unique(named(u, w), return_index=True, return_counts=True)
                 for x in range(0, len(at), 100_000):
                     some = at[x : x + 100_000]
@@ -355,10 +362,11 @@ def _attached(cells: DataFrame, by_u: DataFrame, by_w: DataFrame) -> DataFrame:
     none_u = [F.lit(None).cast(t).alias(c) for c, t in by_u.dtypes if c != "u"]
     none_w = [F.lit(None).cast(t).alias(c) for c, t in by_w.dtypes if c != "w"]
     rare_u, rare_w = by_u.where("u < 0"), by_w.where("w < 0")
-    own = cells.where("u >= 0 AND w >= 0").select("*", *none_u, *none_w)
-    left = cells.where("u < 0 AND w >= 0").join(rare_u, "u").select("*", *none_w)
-    right = cells.where("u >= 0 AND w < 0").select("*", *none_u).join(rare_w, "w")
-    both = cells.where("u < 0 AND w < 0").join(rare_u, "u").join(rare_w, "w")
+    part = lambda k: cells.where(F.col("kind") % 4 == k).drop("kind")
+    own = part(0).select("*", *none_u, *none_w)
+    left = part(2).join(rare_u, "u").select("*", *none_w)
+    right = part(1).select("*", *none_u).join(rare_w, "w")
+    both = part(3).join(rare_u, "u").join(rare_w, "w")
     return own.unionByName(left).unionByName(right).unionByName(both)
 
 
@@ -397,8 +405,11 @@ def _totals(words: DataFrame, state: State, shared) -> tuple[np.ndarray, np.ndar
             t0 = state.parent_tables(c0, common.hashes(h))
             for k in range(chains):
                 sums[k, :4] += (c0[:, k].sum(), int(t0[:, k].sum()), (c0[:, k] == 1).sum(), (c0[:, k] == 2).sum())
-                kind, n = np.unique(np.stack([c, t[:, k]], axis=1), axis=0, return_counts=True)
-                sums[k, 4:] += (np.round(seating_weight(kind[:, 0], kind[:, 1], state.d) * 1000).astype(np.int64) * n[:, None]).sum(axis=0)
+                order = np.lexsort((t[:, k], c))
+                a, b = c[order], t[order, k]
+                new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                n = np.diff(np.r_[new, len(a)])
+                sums[k, 4:] += (np.round(seating_weight(a[new], b[new], state.d) * 1000).astype(np.int64) * n[:, None]).sum(axis=0)
         yield pa.record_batch([pa.array(range(chains), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.int64()))], names=["k", "v"])
 
     got = words.select("h", "c", "st").mapInArrow(run, "k int, v array<long>").groupBy("k").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(4 + grid))).collect()  # a row a chain
@@ -423,12 +434,14 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
     counted = scratch.table(_words(texts), "words")
     n = counted.agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).first()
     total, kinds = n["total"] or 0, n["kinds"]
-    top = _most(counted, words).select("h", "c").toArrow() if kinds else None
+    top = counted.where(_most(counted, words)).select("h", "c").toArrow() if kinds else None
     common = Common(top.column("h").to_numpy(), top.column("c").to_numpy()) if kinds else Common(np.empty(0, np.int64), np.empty(0, np.int64))
     scratch.drop(counted)
     shared, size = context.broadcast(common), len(common.h)
-    cells = scratch.table(_pairs(texts, shared), "cells")
-    multi = cells.where("c > 1")
+    # in folders by count and by which words have a number, so that each part is read by itself
+    kind = F.when(F.col("c") > 1, 4).otherwise(0) + F.when(F.col("u") < 0, 2).otherwise(0) + F.when(F.col("w") < 0, 1).otherwise(0)
+    cells = scratch.table(_pairs(texts, shared).withColumn("kind", kind), "cells", by="kind")
+    multi = cells.where("kind >= 4")
     few = cells.agg(F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
 
     def count(x: pa.RecordBatch):
@@ -473,6 +486,7 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
         now = F.array(*[F.col("t1" if x.startswith("out") else "s1") + F.coalesce(x, F.lit(0)) for x in names])
         was, moving = moving, scratch.table(moving.join(moved, "h", "left").select("h", "c", "t1", "s1", F.concat("st", now).alias("st")), "moving")
         scratch.drop(was)
+        scratch.release(train.sparkSession)
         latest = moving.select("h", "c", F.slice("st", last + 2 * chains + 1, 2 * chains).alias("st"))
         got = latest.where("h >= 0").toArrow()
         dense = dense.copy()
@@ -547,11 +561,15 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
     whole = found.join(moving.select("h", "st"), "h")
     ask = [(width * i + k, width * i + chains + k) for i in taken for k in range(chains)]
     by_u, by_w = _flat(whole, "u", "t", [i for i, _ in ask], F.col("c").alias("cu"), "b"), _flat(whole, "w", "c0_", [j for _, j in ask], "p")
-    multi = _attached(multi, by_u, by_w)
-    none = {c: F.lit(None).cast("long").alias(c) for c in multi.columns if c.startswith(("t", "c0_"))}
-    single = _attached(cells.where("c = 1"), plain_u, plain_w).select(*(none.get(c, c) for c in multi.columns))
-    weighed = single.unionByName(multi).mapInArrow(weigh, "u long, w long, c long, e double, lp double")
-    return Model(found, weighed, total, kinds, unseen, common)
+
+    def weighed(keep: Column) -> DataFrame:
+        more = _attached(multi.where(keep), by_u, by_w)
+        none = {c: F.lit(None).cast("long").alias(c) for c in more.columns if c.startswith(("t", "c0_"))}
+        single = _attached(cells.where("kind < 4").where(keep), plain_u, plain_w).select(*(none.get(c, c) for c in more.columns))
+        return single.unionByName(more).mapInArrow(weigh, "u long, w long, c long, e double, lp double")
+
+    scratch.release(train.sparkSession)
+    return Model(found, cells.drop("kind"), weighed, total, kinds, unseen, common)
 
 
 MET = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("k", pa.int32()), ("s", pa.struct([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))])
@@ -582,13 +600,14 @@ def apply(docs: DataFrame, model: Model, pairs: int = PAIRS, id_col: str = "doc_
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                yield pa.record_batch([pa.array(named(x.column(0).to_numpy(), x.column(1).to_numpy())), x.column(2), x.column(3)], names=["key", "c", "lp"])
+                yield pa.record_batch([pa.array(named(x.column(0).to_numpy(), x.column(1).to_numpy())), x.column(2)], names=["key", "lp"])
 
-    known = scratch.table(model.cells.select("u", "w", "c", "lp").mapInArrow(name, "key long, c long, lp double"), "pairs")
+    top = _most(model.counts, pairs)
+    values = lambda keep: model.weighed(keep).select("u", "w", "lp").mapInArrow(name, "key long, lp double")
     got = own.where("key >= 0").toArrow()
     lp, bases = np.zeros(len(model.common.h)), np.zeros(len(model.common.h))
     lp[got.column("key").to_numpy()], bases[got.column("key").to_numpy()] = got.column("lp").to_numpy(), got.column("base").to_numpy()
-    often = _most(known, pairs).select("key", "lp").toArrow()
+    often = values(top).toArrow()  # at most ``pairs`` rows
     order = np.argsort(often.column("key").to_numpy())
     shared = spark.sparkContext.broadcast((model.common, lp, bases, often.column("key").to_numpy()[order], often.column("lp").to_numpy()[order]))
 
@@ -600,20 +619,20 @@ def apply(docs: DataFrame, model: Model, pairs: int = PAIRS, id_col: str = "doc_
         return at[new], key[new], sign * np.diff(np.r_[new, len(at)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, lp, bases, top, top_lp = shared.value
-        memo, kind = _Memo(), MET.field("s").type
+        common, lp, bases, often, often_lp = shared.value
+        memo, kind, end = _Memo(), MET.field("s").type, common.codes(np.array([_hash(END)]))[0]
         for b in batches:
             for lo, hi in parts(b.column(2)):
                 row, ids = b.column(0)[lo:hi], b.column(1)[lo:hi]
                 h, begin = hashed(b.column(2)[lo:hi].to_pylist(), memo)
                 size = np.diff(np.r_[begin, len(h)])
                 of = np.repeat(np.arange(len(begin)), size)
-                w, u = common.codes(h), common.codes(before(h))
-                own = w >= 0
-                j, met = _found(top, key := named(u, w))
+                w = common.codes(h)
+                u, own = before(w, end), w >= 0
+                j, met = _found(often, key := named(u, w))
                 base, gain = np.zeros(len(h)), np.zeros(len(h))
                 base[own], gain[own] = bases[w[own]], lp[w[own]]
-                gain[met] += top_lp[j[met]]
+                gain[met] += often_lp[j[met]]
                 # a row of the text's own sums (k = 0), of its other words (k > 0) and of its other pairs (k < 0)
                 sums = pa.StructArray.from_arrays([ids.cast(pa.int64()), pa.array(size, pa.int64()), pa.array(np.add.reduceat(own.astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(gain, begin))], fields=list(kind))
                 yield pa.record_batch([row, row, pa.array(np.zeros(len(begin)), pa.int32()), sums], schema=MET)
@@ -624,7 +643,7 @@ def apply(docs: DataFrame, model: Model, pairs: int = PAIRS, id_col: str = "doc_
                         yield pa.record_batch([pa.array(rows[at[y]]), pa.array(keys[y]), pa.array(k[y], pa.int32()), pa.nulls(len(at[y]), kind)], schema=MET)
 
     rows = _texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    look = own.where("key < 0").select("key", F.col("c").alias("n"), "lp", "base").unionByName(known.select("key", F.lit(0).cast("long").alias("n"), "lp", F.lit(0.0).alias("base")))
+    look = own.where("key < 0").select("key", F.col("c").alias("n"), "lp", "base").unionByName(values(~top).select("key", F.lit(0).cast("long").alias("n"), "lp", F.lit(0.0).alias("base")))
     k, s = F.col("k"), F.col("s")
     none = F.when(k > 0, F.lit(float(np.log10(model.unseen)))).otherwise(0.0)
     met = rows.mapInArrow(measure, MET_DDL).join(look, "key", "left").select(

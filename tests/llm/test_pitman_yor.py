@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridtrack.llm import pitman_yor
 from gridtrack.llm.common import documents
@@ -50,7 +51,7 @@ def parts_of(model):
     names = {pitman_yor._hash(w.encode()): w for w in model_words}
     name = lambda code: names[int(model.common.hashes(np.array([code]))[0])]
     p = {name(r.h): (r.p, r.b) for r in model.words.collect()}
-    e = {(name(r.u), name(r.w)): r.e for r in model.cells.collect()}
+    e = {(name(r.u), name(r.w)): r.e for r in model.weighed(F.lit(True)).collect()}
     return p, e
 
 
