@@ -49,10 +49,20 @@ def test_transducer_keeps_a_bounded_window():
     for i in range(0, len(word), 50):
         out += stream.feed(word[i : i + 50])
         widest = max(widest, len(stream.window))
-    assert out + stream.end() == m.merge(word)
+    assert [m.bytes[i] for i in out + stream.end()] == m.merge(word)
     assert widest <= 3 * m.lookahead
 
 
+def test_adjacent_is_what_the_merge_list_does():
+    m, rnd = bpe.codec(PATH).m, random.Random(5)
+    some = sorted(m.token)
+    short = [t for t in some if len(t) <= 3]
+    for pool in (some, short):
+        for _ in range(3000):
+            a, b = rnd.choice(pool), rnd.choice(pool)
+            assert m.adjacent(m.token[a], m.token[b]) == (m.merge(a + b) == [a, b]), (a, b)
+
+
 def test_digests(spark, sf, tokenizer):
     for docs in (documents(spark, sf), odd_docs(spark)):
         want = []
@@ -62,3 +72,37 @@ def test_digests(spark, sf, tokenizer):
         key = lambda x: tuple(map(str, x))
         assert sorted(map(tuple, bpe.digests(docs, PATH).collect()), key=key) == sorted(want, key=key)
     assert bpe.digests(empty_docs(spark), PATH).count() == 0
+
+
+def test_long_texts_go_through_in_parts(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "WHOLE", 4000)
+    c, rnd = bpe.codec(PATH), random.Random(7)
+    many = " ".join("".join(rnd.choice("abeinrst") for _ in range(rnd.randrange(1, 9))) for _ in range(4000))
+    one = "".join(rnd.choice("abeinrst") for _ in range(9000))
+    for t in (many, one, many[:9000] + "<|endoftext|>" + many[:9000]):
+        ids, names, widest = [], [], 0
+        for name, some in c.parts(t):
+            ids += some
+            names += name
+            widest = max(widest, len(some))
+        assert ids == tokenizer.encode(t, add_special_tokens=False).ids
+        assert ",".join(names) == ",".join(map(str, ids))
+        assert widest < 8192 + 300
+
+
+def test_memory_does_not_grow_with_the_text(monkeypatch):
+    """What is held besides the text and its encoding stays the same for a text four times as long."""
+    import tracemalloc
+
+    monkeypatch.setattr(bpe, "WHOLE", 1000)
+    c, held = bpe.codec(PATH), {}
+    for shape in ("ab", "ab cd "):
+        for n in (10_000, 40_000):
+            t = shape * (n // len(shape))
+            list(c.parts(t[:5000]))  # fill the memo
+            tracemalloc.start()
+            for _ in c.parts(t):
+                pass
+            held[shape, n] = tracemalloc.get_traced_memory()[1] - 2 * n
+            tracemalloc.stop()
+        assert held[shape, 40_000] < held[shape, 10_000] + 400_000

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -28,21 +30,66 @@ def test_measures(spark, sf):
         assert quality.measures(t or "") == brute(t)
 
 
-def test_model_sums_to_one():
-    code, _ = quality.codes(["abracadabra, the quick brown fox\n", "", "été 日本 \x00", "the the the"])
-    some, n = np.unique(code, return_counts=True)
-    model = quality.KneserNey(some, n)
-    for a, b in ((127, 127), (127, 65), (65, 66), (84, 72), (1, 2)):
-        total = np.exp(model.log(np.array([(a << 14) | (b << 7) | c for c in range(128)]))).sum()
-        assert abs(total - 1) < 1e-9
+class Plain:
+    """Modified Kneser-Ney over characters by dictionaries, straight from its definition."""
+
+    def __init__(self, texts):
+        top = Counter()
+        for t in texts:
+            padded = ("^",) * 3 + tuple(t) + ("^",)
+            top.update(padded[i : i + 4] for i in range(len(padded) - 3))
+        self.n = {4: top}
+        for k in (3, 2, 1):
+            self.n[k] = Counter(g[1:] for g in self.n[k + 1])
+        self.d, self.total, self.off = {}, {}, {}
+        for k, table in self.n.items():
+            n = [sum(v == i for v in table.values()) for i in (1, 2, 3, 4)]
+            if min(n[:3]):
+                y = n[0] / (n[0] + 2 * n[1])
+                d = [min(max(x, 0.05), i + 0.95) for i, x in enumerate((1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]))]
+            else:
+                d = [0.5, 0.75, 0.9]
+            self.d[k] = d
+            for g, v in table.items():
+                self.total[g[:-1]] = self.total.get(g[:-1], 0) + v
+                self.off[g[:-1]] = self.off.get(g[:-1], 0) + d[min(v, 3) - 1]
+
+    def p(self, g):
+        if not g:
+            return 1 / 65536
+        ctx, n = g[:-1], self.n[len(g)].get(g, 0)
+        if ctx not in self.total:
+            return self.p(g[1:])
+        return (n - (self.d[len(g)][min(n, 3) - 1] if n else 0) + self.off[ctx] * self.p(g[1:])) / self.total[ctx]
+
+    def log(self, text):
+        padded = ("^",) * 3 + tuple(text) + ("^",)
+        return sum(math.log(self.p(padded[i : i + 4])) for i in range(len(padded) - 3))
+
+
+LEARNED = ["the cat sat on the mat and the dog sat on the log too", "abracadabra and a quick brown fox with some other words here", "été 日本語 テスト 日本 한국어 текст и ещё слова one two three four", "the the cat and the other cat were here again with the dogs"]
+
+
+def test_against_definition(spark):
+    rows = [(i, t, "xx") for i, t in enumerate(LEARNED)] + [(9, "x %%% y *** z ||| w ### " * 4, "xx"), (10, "короткий", "yy"), (11, "another language with ten words or more in it, at least", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {"xx": Plain(LEARNED), "zz": Plain([rows[-1][1]])}
+    for piece in (1 << 20, 50):  # all in one array, and in many
+        model = quality.train(df, piece)
+        assert set(model.unseen) == {"xx", "zz"}
+        for lang, plain in want.items():
+            for t in [*LEARNED, "entirely new, 中文 text % zq", ""]:
+                code, _ = quality.codes([t])
+                assert abs(model.log(lang, code, {}).sum() - plain.log(t)) < 1e-6 * max(1, len(t)), (lang, t, piece)
+    assert max(len(p.pieces) for p in model.orders) > 2
 
 
 def test_codes_keep_texts_apart():
-    texts = ["ab", "", "xyz\n"]
+    texts = ["ab", "", "xyz\n", "🙂"]
     code, begin = quality.codes(texts)
     alone = [quality.codes([t])[0] for t in texts]
     assert code.tolist() == np.concatenate(alone).tolist()
-    assert begin.tolist() == [0, 3, 4]
+    assert begin.tolist() == [0, 3, 4, 9]
 
 
 def test_judge(spark, sf):
@@ -58,12 +105,35 @@ def test_judge(spark, sf):
     assert sorted(r.doc_id for r in quality.keep(docs).collect()) == sorted(k for k, r in rows.items() if r.kept)
 
 
-def test_gibberish_is_rejected(spark):
-    # a corpus large enough that one text doesn't shape its language's model
-    docs = documents(spark, "/root/testdata/sf0.1").select("doc_id", "text", "lang")
-    junk = spark.createDataFrame([(-1, "QX7#~ zKq9 @@w} " * 3 + " ".join(f"{i * 7919:x}^{i}_Q" for i in range(60)), "en")], docs.schema)
-    rows = {r.id: r for r in quality.judge(docs.unionByName(junk)).collect()}
-    assert not rows[-1].kept and not rows[-1].base_failed
+def test_junk_is_rejected_and_clean_texts_stay(spark):
+    """On labelled texts of sf0.01, and on random code, symbol, table and shuffled texts made of clean ones."""
+    where = "/root/testdata/sf0.01"
+    docs = documents(spark, where).select("doc_id", "text", "lang")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
+    rng = random.Random(4)
+    clean = [r for r in docs.collect() if labels.get(r.doc_id) == 1 and r.text and len(r.text.split()) >= 100][:25]
+    made, names = [], {}
+
+    def add(name, text, lang):
+        names[-1 - len(made)] = name
+        made.append((-1 - len(made), text, lang))
+
+    for r in clean:
+        words = r.text.split()
+        add("symbols", " ".join(w + rng.choice("#*$%&") * 3 for w in words), r.lang)
+        add("table", " | ".join(words), r.lang)
+        add("code", " ".join(f"{rng.randrange(1 << 30):x}^{i}_Q" for i in range(60)), r.lang)
+        shuffled = list(r.text)
+        rng.shuffle(shuffled)
+        add("letters", "".join(shuffled), r.lang)
+    rows = {r.id: r for r in quality.judge(docs.unionByName(spark.createDataFrame(made, docs.schema))).collect()}
+    for name in set(names.values()):
+        own = [rows[i] for i, k in names.items() if k == name]
+        assert sum(not r.kept for r in own) >= 0.95 * len(own), name
+    good = [rows[i] for i, q in labels.items() if q == 1 and not rows[i].base_failed]
+    bad = [rows[i] for i, q in labels.items() if q == 0]
+    assert sum(r.kept for r in good) >= 0.97 * len(good)
+    assert sum(not r.kept for r in bad) >= 0.95 * len(bad)
 
 
 def test_odd(spark):

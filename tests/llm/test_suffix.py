@@ -76,6 +76,16 @@ def test_planted(spark):
         assert got(docs, width=width, gram=gram, hot=hot, shard_bytes=8000) == brute(rows, width)
 
 
+def test_hot_passage(spark):
+    """A passage in very many texts with unlike surroundings is cut down to single windows."""
+    rnd = random.Random(8)
+    prose = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = prose(150)
+    rows = [(i, prose(rnd.randint(0, 60)) + passage + prose(rnd.randint(0, 60))) for i in range(1500)] + [(9000 + i, passage[: 90 + i]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, width=100, gram=40, hot=8, shard_bytes=100_000) == brute(rows, 100)
+
+
 def test_odd(spark):
     docs = odd_docs(spark)
     assert got(docs) == brute([(r.doc_id, r.text) for r in docs.collect()], suffix.WIDTH)

@@ -1,4 +1,8 @@
+import math
+import re
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridtrack.llm import toxicity
@@ -15,12 +19,12 @@ def test_nearest_is_exact():
     index = toxicity.Index(vectors, toxic, 40)
     dense = np.zeros((len(vectors), 40))
     for i, v in enumerate(vectors):
-        for t, w in index.unit(v).items():
-            dense[i, t] = w
+        t, w = index.unit(v)
+        dense[i, t] = w
     for v in vectors[::7]:
         q = np.zeros(40)
-        for t, w in index.unit(v).items():
-            q[t] = w
+        t, w = index.unit(v)
+        q[t] = w
         cos = dense @ q
         want = [i for i in np.lexsort((np.arange(len(cos)), -np.round(cos, 12))) if cos[i] > 0][:10]
         ids, found = index.nearest(v, 10)
@@ -44,6 +48,67 @@ def test_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("where, least", [("sf0.001", 0.5), ("sf0.01", 0.7)])
+def test_small_tables(spark, where, least):
+    """Held-out toxic texts are found however few the examples."""
+    where = f"/root/testdata/{where}"
+    docs, labels = documents(spark, where), read(spark, where, "labels")
+    rows = toxicity.apply(docs, toxicity.fit(docs, learned_labels(spark, where))).join(labels.where(HELD_OUT), F.col("id") == F.col("doc_id")).collect()
+    hit = sum(r.score >= 0.3 and r.toxic == 1 for r in rows)
+    assert hit >= least * sum(r.toxic == 1 for r in rows)
+    assert hit >= 0.6 * sum(r.score >= 0.3 for r in rows)
+
+
+def test_scores_are_those_of_dense_cosine(spark, sf):
+    """The whole way: terms, weights, neighbours, votes and the calibrated score, by dense vectors."""
+    docs = documents(spark, sf)
+    labels = {r.doc_id: r.toxic for r in learned_labels(spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def counts(text):
+        out = {}
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            for t in (w, w[:4] + " "):
+                out[t] = out.get(t, 0) + 1
+        return out
+
+    ids = sorted((i for i in labels if i in texts), key=lambda i: (-labels[i], i))
+    own = {i: counts(t) for i, t in texts.items()}
+    terms = sorted({t for i in ids for t in own[i]})
+    n1, n = sum(labels[i] for i in ids), len(ids)
+    weigh = {}
+    for t in terms:
+        a, b = sum(t in own[i] for i in ids if labels[i]), sum(t in own[i] for i in ids if not labels[i])
+        weigh[t] = (math.log((1 + n) / (1 + a + b)) + 1) * math.log2(2 + a / max(b, 1) * (n - n1) / n1) ** 2
+
+    def unit(c):
+        v = np.array([(1 + math.log(c[t])) * weigh[t] if t in c else 0.0 for t in terms])
+        return v / (np.linalg.norm(v) or 1)
+
+    dense = np.stack([unit(own[i]) for i in ids])
+
+    def vote(v, skip=None):
+        cos = dense @ v
+        if skip is not None:
+            cos[skip] = 0
+        near = [j for j in np.lexsort((np.arange(n), -np.round(cos, 12))) if cos[j] > 0][:25]
+        if not near:
+            return None, []
+        w = [1 / (1.05 - min(cos[j], 1)) for j in near]
+        return sum(x * labels[ids[j]] for x, j in zip(w, near)) / sum(w), [ids[j] for j in near]
+
+    toxic = np.array([labels[i] for i in ids])
+    votes = [vote(dense[j], j)[0] for j in range(n)]
+    assert None not in votes
+    cuts, rates = toxicity.monotone(np.array(votes), toxic)
+    got = {r.id: (r.score, r.evidence) for r in toxicity.apply(docs, toxicity.fit(docs, learned_labels(spark, sf))).collect()}
+    for i, c in own.items():
+        v, near = vote(unit(c))
+        if v is not None:
+            assert got[i][1] == near, i
+            assert math.isclose(got[i][0], rates[max(int(np.searchsorted(cuts, v + 1e-9, "right")) - 1, 0)], abs_tol=1e-9), i
+
+
 def test_odd(spark, sf):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (5, None), (5, 1), (5, 0)], "doc_id long, toxic int")
