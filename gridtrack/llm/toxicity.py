@@ -1,16 +1,19 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are at most ``most`` labelled rows (those of the smallest id hashes).  A text's features
-are its lower-cased words and their character 4- and 5-grams; those that go with a label in the
-examples beyond chance (likelihood ratio, counted in Spark; so many times as often among toxic
-examples) form the vocabulary.  Examples become
-unit TF-IDF vectors in an inverted index cut into blocks of examples, with each term's largest
-weight in each block.  A query visits blocks in the order of their upper bounds and stops when no
-block left can reach its k-th best cosine, so the neighbours are exact.  They vote with a weight
-that falls with distance; a monotone fit over the examples, each scored without itself, turns
-votes into probabilities.  Texts without any vocabulary feature get the rate among such examples.
-
-The index is bounded by ``most`` and ``vocabulary`` before it is broadcast.
+Examples are at most ``most`` labelled rows (those of the smallest id hashes).  A text's terms are
+all its lower-cased words and their first STEM characters; every term of an example is in the
+vocabulary.  A term weighs (1 + ln tf) idf r, r its relevance: the squared log2 of 2 plus how many
+times as often it stands in toxic examples as in the others (counted in Spark), so that words that
+go with neither label weigh least and no threshold depends on the number of examples.
+
+Examples become unit vectors in an inverted index cut into blocks of examples, toxic ones first,
+with each term's largest weight in each block.  A query bounds every block by those, scores the
+most promising whole, and then all others that could still reach its k-th best cosine, so the
+neighbours are exact.  They vote with a weight that falls with distance; a monotone fit over the
+examples, each scored without itself, turns votes into probabilities.  Texts without any term of an
+example get the rate among such examples.
+
+The index has an entry for each distinct term of each example; ``most`` bounds their number.
 """
 
 from __future__ import annotations
@@ -27,87 +30,104 @@ from gridtrack.llm.common import parts, scratch
 from gridtrack.llm.packing import Memo
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 1024
+STEM = 4
+BLOCK = 128
+FIRST = 4  # blocks scored at once before the others are judged by their bounds
 MEMO = 200_000
 
 
-def word_features(word: str) -> set[str]:
-    """A lower-cased word and its 4- and 5-grams, ends marked."""
-    marked = f"^{word}$"
-    return {f"={word}", *(marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1))}
+def terms_of(word: str) -> tuple[str, ...]:
+    """A lower-cased word and its stem; a space tells the stem from a word."""
+    return (word, f"{word[:STEM]} ")
 
 
-class Features:
-    """Vocabulary features of whole texts, with a bounded memo of words."""
+class Terms:
+    """Known terms of whole texts and their counts, with a bounded memo of words."""
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.memo = vocabulary, Memo(MEMO)
 
-    def counts(self, text: str) -> Counter:
-        out: Counter = Counter()
+    def counts(self, text: str) -> dict[int, int]:
+        out: dict[int, int] = {}
         memo, vocabulary = self.memo, self.vocabulary
         for w, n in Counter(WORD.findall(text.lower())).items():
             if (ids := memo.get(w)) is None:
-                ids = tuple(vocabulary[f] for f in word_features(w) if f in vocabulary)
+                ids = tuple([i for t in terms_of(w) if (i := vocabulary.get(t)) is not None])
                 if len(w) <= 64:
                     memo.put(w, ids)
             for i in ids:
-                out[i] += n
+                out[i] = out.get(i, 0) + n
         return out
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class Index:
     """Unit vectors of examples in a block-max inverted index."""
 
-    def __init__(self, vectors: list[dict[int, int]], toxic: np.ndarray, terms: int):
+    def __init__(self, vectors: list[dict[int, int]], toxic: np.ndarray, terms: int, relevance: np.ndarray | None = None):
         self.n, self.toxic = len(vectors), toxic
         df = np.bincount([t for v in vectors for t in v], minlength=terms)
-        self.idf = np.log((1 + self.n) / (1 + df)) + 1
+        self.weigh = (np.log((1 + self.n) / (1 + df)) + 1) * (1.0 if relevance is None else relevance)
         self.blocks = -(-max(self.n, 1) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for i, v in enumerate(vectors):
-            for t, w in self.unit(v).items():
-                postings[t].append((i, w))
-        self.who = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.weight = [np.array([w for _, w in p]) for p in postings]
-        self.top = np.zeros((terms, self.blocks), np.float32)
-        for t in range(terms):
-            np.maximum.at(self.top[t], self.who[t] // BLOCK, np.nextafter(self.weight[t].astype(np.float32), np.float32(2)))
-        self.cut = [np.searchsorted(p, np.arange(self.blocks + 1) * BLOCK) for p in self.who]
-
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        w = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        length = float(np.sqrt(sum(x * x for x in w.values())))
-        return {t: x / length for t, x in w.items()} if length else {}
+        parts_ = [self.unit(v) for v in vectors]
+        term = np.concatenate([t for t, _ in parts_]) if parts_ else np.empty(0, np.int64)
+        weight = np.concatenate([w for _, w in parts_]) if parts_ else np.empty(0)
+        who = np.repeat(np.arange(self.n), [len(t) for t, _ in parts_])
+        order = np.lexsort((who, term))
+        term, self.who, self.weight = term[order], who[order].astype(np.int32), weight[order]
+        # a range of postings for each term and block that has it, with its largest weight
+        key = term * self.blocks + self.who // BLOCK
+        self.start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        self.size = np.diff(np.r_[self.start, len(key)])
+        self.block = (key[self.start] % self.blocks).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, self.start) if len(key) else np.empty(0)
+        self.first = np.searchsorted(key[self.start] // self.blocks, np.arange(terms + 1))
+
+    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, ascending, and their weights in a vector of length one."""
+        t = np.fromiter(counts, np.int64, len(counts))
+        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.weigh[t]
+        order = np.argsort(t)
+        t, w = t[order], w[order]
+        length = np.sqrt((w * w).sum())
+        return t, w / length if length else w
 
     def nearest(self, counts: dict[int, int], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, nearest first, ties to the smaller position."""
-        q = self.unit(counts)
-        if not q:
-            return np.empty(0, np.int64), np.empty(0)
-        terms = list(q)
-        bound = np.array([q[t] for t in terms]) @ self.top[terms]
+        t, q = self.unit(counts)
+        size = self.first[t + 1] - self.first[t]
+        at, q = _ranges(self.first[t], size), np.repeat(q, size)
+        block = self.block[at]
+        bound = np.bincount(block, q * self.top[at], self.blocks)
         ids, cos = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(cos) == k and bound[b] + 1e-6 < cos[-1]:
-                break
-            sums = np.zeros(BLOCK)
-            for t in terms:
-                lo, hi = self.cut[t][b], self.cut[t][b + 1]
-                if lo < hi:  # a term has an example once
-                    sums[self.who[t][lo:hi] - b * BLOCK] += q[t] * self.weight[t][lo:hi]
-            if b * BLOCK <= without < (b + 1) * BLOCK:
-                sums[without - b * BLOCK] = 0
+        left = bound > 0
+        some = np.argsort(-bound, kind="stable")[:FIRST]
+        while True:
+            now = np.zeros(self.blocks, bool)
+            now[some] = left[some]
+            left &= ~now
+            own = now[block]
+            where, n = at[own], self.size[at[own]]
+            post = _ranges(self.start[where], n)
+            sums = np.bincount(self.who[post], np.repeat(q[own], n) * self.weight[post], self.n) if len(post) else np.zeros(self.n)
+            if without >= 0:
+                sums[without] = 0
             hit = np.flatnonzero(sums > max(0.0, cos[-1] - 1e-9 if len(cos) == k else 0.0))
-            if not len(hit):
-                continue
-            ids, cos = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([cos, sums[hit]])
+            ids, cos = np.concatenate([ids, hit]), np.concatenate([cos, sums[hit]])
             order = np.lexsort((ids, -np.round(cos, 12)))[:k]
             ids, cos = ids[order], cos[order]
-        return ids, cos
+            some = np.flatnonzero(left & (bound + 1e-6 >= cos[-1])) if len(cos) == k else np.flatnonzero(left)
+            if not len(some):
+                return ids, cos
 
     def vote(self, counts: dict[int, int], k: int, without: int = -1) -> tuple[float | None, np.ndarray]:
         """Distance-weighted share of toxic neighbours (None: no neighbour), and the neighbours."""
+        if not counts:
+            return None, np.empty(0, np.int64)
         ids, cos = self.nearest(counts, k, without)
         if not len(ids):
             return None, ids
@@ -154,11 +174,11 @@ class Model:
         return float(self.rates[at]), [self.ids[i] for i in ids]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, vocabulary: int = 4000, least_g2: float = 30.0, least_ratio: float = 4.0, k: int = 25, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, k: int = 25, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the labelled rows given: at most ``most`` of them, by id hash.
 
-    Null ids and labels are left out; of several labels of one id the largest counts.  Without
-    examples the model gives 0.
+    Null ids and labels are left out; of several labels of one id the largest counts, of several
+    texts the smallest.  Without examples the model gives 0.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     ids = ids.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
@@ -169,40 +189,29 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, vocabulary: int =
         both = (Counter(), Counter())
         for b in batches:
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own: set[str] = set()
-                for w in set(WORD.findall(text.lower())):
-                    own |= word_features(w)
-                both[y > 0].update(own)
-        for y in (0, 1):
-            names = list(both[y])
-            for lo in range(0, len(names), 50_000):
-                some = names[lo : lo + 50_000]
-                n = pa.array([both[y][f] for f in some], pa.int64())
-                zero = pa.array(np.zeros(len(some), np.int64))
-                yield pa.record_batch([pa.array(some), n if y else zero, zero if y else n], names=["f", "n1", "n0"])
-
-    total = examples.agg(F.sum((F.col("y") > 0).cast("long")).alias("a"), F.sum((F.col("y") <= 0).cast("long")).alias("b")).first()
-    a, b = total["a"] or 0, total["b"] or 0
-    counted = examples.select("y", "text").mapInArrow(seen, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-
-    def part(o: str, e: str) -> str:
-        return f"CASE WHEN {o} > 0 THEN {o} * ln({o} / ({e})) ELSE 0D END"
+                both[y > 0].update({t for w in set(WORD.findall(text.lower())) for t in terms_of(w)})
+        names = list(both[0] | both[1])
+        for lo in range(0, len(names), 50_000):
+            some = names[lo : lo + 50_000]
+            yield pa.record_batch([pa.array(some), pa.array([both[1][f] for f in some], pa.int64()), pa.array([both[0][f] for f in some], pa.int64())], names=["f", "n1", "n0"])
 
-    n = max(a + b, 1)
-    g2 = " + ".join([part("n1", f"(n1 + n0) * {a}D / {n}"), part("n0", f"(n1 + n0) * {b}D / {n}"), part(f"({a} - n1)", f"({n} - n1 - n0) * {a}D / {n}"), part(f"({b} - n0)", f"({n} - n1 - n0) * {b}D / {n}")])
-    chosen = counted.where(f"n1 * {b}D > {least_ratio}D * n0 * {a}D").withColumn("g", F.expr(f"2 * ({g2})")).where(f"g >= {least_g2}").orderBy(F.desc("g"), "f").limit(vocabulary)
-    vocab = {r["f"]: i for i, r in enumerate(sorted(chosen.select("f").collect()))}
+    counted = examples.select("y", "text").mapInArrow(seen, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    total = examples.agg(F.sum((F.col("y") > 0).cast("long")).alias("n1"), F.sum((F.col("y") <= 0).cast("long")).alias("n0")).first()
+    found = counted.orderBy("f").toArrow()
+    vocab = {f: i for i, f in enumerate(found.column("f").to_pylist())}
+    n1, n0 = found.column("n1").to_numpy(), found.column("n0").to_numpy()
+    relevance = np.log2(2 + n1 / np.maximum(n0, 1) * (total["n0"] or 0) / max(total["n1"] or 0, 1)) ** 2
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(vocab)
+        terms = Terms(vocab)
         for x in batches:
-            found = [features.counts(t) for t in x.column(2).to_pylist()]
-            yield pa.record_batch([x.column(0), x.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["id", "y", "t", "n"])
+            own = [terms.counts(t) for t in x.column(2).to_pylist()]
+            yield pa.record_batch([x.column(0), x.column(1), pa.array([list(f) for f in own], pa.list_(pa.int32())), pa.array([list(f.values()) for f in own], pa.list_(pa.int32()))], names=["id", "y", "t", "n"])
 
-    drawn = sorted(examples.select("id", "y", "text").mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").collect())
+    drawn = sorted(examples.select("id", "y", "text").mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").collect(), key=lambda r: (r["y"] <= 0, r["id"]))  # at most ``most`` rows
     own = [dict(zip(r["t"], r["n"], strict=True)) for r in drawn]
     toxic = np.array([r["y"] > 0 for r in drawn], np.int64)
-    model = Model(vocab, Index(own, toxic, len(vocab)), [r["id"] for r in drawn], k)
+    model = Model(vocab, Index(own, toxic, len(vocab), relevance), [r["id"] for r in drawn], k)
     model.calibrate(own, toxic)
     scratch.drop(examples)
     return model
@@ -211,17 +220,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, vocabulary: int =
 def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score, evidence)`` per row: probability, and up to k example ids, nearest first.
 
-    No shuffle.  Null texts count as empty; a text without vocabulary features gets the rate of
-    such examples and no evidence.  An empty table gives no rows.
+    No shuffle.  Null texts count as empty; a text without a term of an example gets the rate of
+    such examples and no evidence.  Whole texts are read, however long; repeated rows score alike.
+    Of examples equally near, toxic ones and then those of smaller ids come first.  An empty table
+    gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        features = Features(m.vocabulary)
+        terms = Terms(m.vocabulary)
         for b in batches:
             for lo, hi in parts(b.column(1)):
-                found = [m.score(features.counts(t or "")) for t in b.column(1)[lo:hi].to_pylist()]
+                found = [m.score(terms.counts(t or "")) for t in b.column(1)[lo:hi].to_pylist()]
                 yield pa.record_batch([b.column(0)[lo:hi], pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["id", "score", "evidence"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double, evidence array<long>")
@@ -234,10 +245,10 @@ def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        features = Features(m.vocabulary)
+        terms = Terms(m.vocabulary)
         for b in batches:
             for lo, hi in parts(b.column(at)):
                 part = b.slice(lo, hi - lo)
-                yield part.filter(pa.array([m.score(features.counts(t or ""))[0] < limit for t in part.column(at).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([m.score(terms.counts(t or ""))[0] < limit for t in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
