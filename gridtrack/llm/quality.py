@@ -1,17 +1,19 @@
 """Quality rules by n-gram perplexity.
 
-The language model counts trigrams of character classes, one model per language.  A class is a
-printable ASCII character, a line feed, a tab, one class for other control characters, or one of
-28 classes into which all other characters are hashed; one more marks both ends of a text.  Seven
-bits a class give an n-gram a perfect 21-bit hash, so a model never has more than 2**21 entries
-and its size is bounded before it is broadcast, whatever the corpus.  Spark counts the trigrams
-of all texts (tasks pre-aggregate); from the counts come interpolated modified Kneser-Ney
-estimates with three discounts an order, kept in arrays sorted by hash.
+The language model counts characters, four in a row, one model for each value of the language
+column.  A character is a class of 16 bits: its code point, or, beyond the basic plane, one of the
+6,400 private ones by hash; the last class marks both ends of a text.  Spark counts the n-grams of
+all texts that pass the base rule and have at most SYMBOLS_A_WORD symbols a word (junk that were
+learned would look likely), and computes interpolated modified Kneser-Ney estimates from them with
+joins, three discounts an order.  The model grows with the input; its arrays, sorted by n-gram, are
+cut into pieces of at most PIECE entries, each a broadcast of its own, and a task holds no more
+than a few of them at a time.
 
 A text's perplexity is per character.  A language's band lies around the middle half of its texts'
 log perplexities; short texts are drawn to the language's median by a prior of ``prior``
 characters, so that chance alone doesn't reject them.  A text outside its band is rejected.  Texts
-that quote another language are held to the model that fits each sentence best.
+that quote another language are held to the model that fits each sentence best, of their own and
+of the QUOTED most frequent ones.
 """
 
 from __future__ import annotations
@@ -21,104 +23,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtrack.llm.common import parts, rows, scratch
 
-BOUNDARY = 127
-BITS = 7
-CELLS = 1 << 3 * BITS
-LANGS = 16  # own models for so many languages, the most frequent; the rest share one
+ORDER = 4
+BITS = 16
+BOUNDARY = (1 << BITS) - 1
+SYMBOLS_A_WORD = 0.1
+PIECE = 1 << 21  # entries of one broadcast array
+HELD = 1 << 23  # entries a task keeps loaded
+MERGE = 1 << 21  # n-grams a counting task gathers before it folds them
+QUOTED = 8
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-OTHER = "\x00other"
-MIXED = 0.05  # above its language's mean by so much, a text's sentences are tried with all models
+MIXED = 0.05  # above its language's mean by so much, a text's sentences are tried with other models
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)", re.S)
 
 
 def classes(points: np.ndarray) -> np.ndarray:
-    """Class 0 to 126 of each code point."""
-    low = np.where(points >= 32, points - 32, np.where(points == 10, 95, np.where(points == 9, 96, 97)))
-    return np.where(points < 127, low, 98 + (points * np.uint32(2654435761) >> np.uint32(16)) % 28).astype(np.int64)
+    """The class of each code point."""
+    p = points.astype(np.uint64)
+    fold = np.uint64(0xE000) + (p * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(6400)
+    return np.where((p >= BOUNDARY) | ((p >= 0xD800) & (p < 0xE000)), fold, p)
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram hashes of all texts, and where each text begins.  One n-gram a character and one for the end."""
+    """N-grams of all texts, packed, and where each text begins.  One a character and one for the end."""
     lengths = np.array([len(t) for t in texts], np.int64)
+    pad = ORDER  # one end mark, the next text's context
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    begin = np.cumsum(lengths + 3) - (lengths + 3)
-    all_ = np.full(int((lengths + 3).sum()), BOUNDARY, np.int64)
-    at = np.arange(len(points)) + np.repeat(begin + 2 - (np.cumsum(lengths) - lengths), lengths)
+    begin = np.cumsum(lengths + pad) - (lengths + pad)
+    all_ = np.full(int((lengths + pad).sum()), BOUNDARY, np.uint64)
+    at = np.arange(len(points)) + np.repeat(begin + ORDER - 1 - (np.cumsum(lengths) - lengths), lengths)
     all_[at] = classes(points)
-    code = (all_[:-2] << 2 * BITS) | (all_[1:-1] << BITS) | all_[2:]
-    own = np.ones(len(code), bool)  # not the two that run over into the next text
-    ends = begin[1:]
-    own[ends - 1] = False
-    own[ends - 2] = False
-    return code[own], np.cumsum(lengths + 1) - (lengths + 1)
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """D(0), D(1), D(2), D(3+) from the counts of counts; small tables get milder defaults."""
-    n = [float((counts == k).sum()) for k in (1, 2, 3, 4)]
-    if min(n[:3]) == 0:
-        return np.array([0, 0.5, 0.75, 0.9])
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-    return np.array([0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))])
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney over trigrams, in arrays sorted by n-gram hash."""
-
-    def __init__(self, code: np.ndarray, count: np.ndarray):
-        order = np.argsort(code)
-        c3, n3 = code[order].astype(np.int64), count[order].astype(np.float64)
-        c2, n2 = np.unique(c3 & ((1 << 2 * BITS) - 1), return_counts=True)  # continuation counts
-        c1, n1 = np.unique(c2 & BOUNDARY, return_counts=True)
-        base = 1 / (1 << BITS)
-        p1 = np.zeros(1 << BITS)
-        d = _discounts(n1)
-        total = max(n1.sum(), 1)
-        off = d[np.minimum(n1, 3).astype(int)]
-        p1[c1] = (n1 - off) / total
-        self.p1 = p1 + (off.sum() / total if len(n1) else 1.0) * base
-        self.c2, p2, self.ctx2, self.g2 = self._order(c2, n2.astype(np.float64), self.p1[c2 & BOUNDARY])
-        self.p2 = p2
-        low = p2[np.searchsorted(self.c2, c3 & ((1 << 2 * BITS) - 1))] if len(c3) else np.empty(0)
-        self.c3, p3, self.ctx3, self.g3 = self._order(c3, n3, low)
-        self.log3 = np.log(p3)
-        #: Mean negative log probability of the counted trigrams.
-        self.entropy = float(-(n3 * self.log3).sum() / max(n3.sum(), 1))
-
-    @staticmethod
-    def _order(code: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, ...]:
-        d = _discounts(n)
-        off = d[np.minimum(n, 3).astype(int)]
-        ctx, inverse = np.unique(code >> BITS, return_inverse=True)
-        total = np.bincount(inverse, n, len(ctx))
-        gamma = np.bincount(inverse, off, len(ctx)) / np.maximum(total, 1e-300)
-        return code, (n - off) / total[inverse] + gamma[inverse] * lower, ctx, gamma
-
-    @staticmethod
-    def _at(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
-        return at, (keys[at] == want) if len(keys) else np.zeros(len(want), bool)
-
-    def log(self, code: np.ndarray) -> np.ndarray:
-        """Natural log probability of each trigram's last class; unseen ones back off."""
-        at, hit = self._at(self.c3, code)
-        out = self.log3[at] if len(self.c3) else np.zeros(len(code))
-        if not hit.all():
-            miss = code[~hit]
-            out = out.copy()
-            a2, h2 = self._at(self.c2, miss & ((1 << 2 * BITS) - 1))
-            b2, k2 = self._at(self.ctx2, (miss >> BITS) & BOUNDARY)
-            low = self.p1[miss & BOUNDARY] * (np.where(k2, self.g2[b2], 1) if len(self.g2) else 1)
-            low = np.where(h2, self.p2[a2], low) if len(self.p2) else low
-            b3, k3 = self._at(self.ctx3, miss >> BITS)
-            out[~hit] = np.log(low * (np.where(k3, self.g3[b3], 1) if len(self.g3) else 1))
-        return out
+    n = len(all_) - ORDER + 1
+    code = np.zeros(n, np.uint64)
+    for i in range(ORDER):
+        code = (code << np.uint64(BITS)) | all_[i : i + n]
+    own = np.ones(n, bool)  # not those that run over into the next text
+    for k in range(1, ORDER):
+        own[begin[1:] - k] = False
+    return code[own].view(np.int64), np.cumsum(lengths + 1) - (lengths + 1)
 
 
 def repeats(words: list[bytes], width: int = 5) -> int:
@@ -162,14 +108,12 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeats(words)
 
 
-def _languages(docs: DataFrame, lang: str) -> list[str]:
-    top = docs.groupBy(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGS)
-    return [r["lang"] for r in top.collect()]
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 10 or 100 * n_repeat_words > 20 * n_words
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, named: list[str]) -> DataFrame:
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.when(lang.isin(named), lang).otherwise(F.lit(OTHER)).alias("lang"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
 
 
 def _by_lang(langs: list[str]) -> dict[str, list[int]]:
@@ -179,139 +123,289 @@ def _by_lang(langs: list[str]) -> dict[str, list[int]]:
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, KneserNey]:
-    """A model per language, from the trigram counts of all texts."""
-    named = _languages(docs, lang_col)
-    schema = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
+# ------------------------------------------------------------------ the model
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """``(lang, code, n)``: the n-grams of ``texts(text, lang)`` that are fit to be learned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, chunks in held.items():
+                code, n = np.unique(np.concatenate(chunks), return_counts=True)
+                for lo in range(0, len(code), 100_000):
+                    c = code[lo : lo + 100_000]
+                    yield pa.record_batch([pa.array([lang] * len(c)), pa.array(c), pa.array(n[lo : lo + 100_000].astype(np.int64))], names=["lang", "code", "n"])
+            held.clear()
+
         for b in batches:
-            for lo, hi in parts(b.column(1), 2 << 20):
-                texts, langs = b.column(1)[lo:hi].to_pylist(), b.column(2)[lo:hi].to_pylist()
+            for lo, hi in parts(b.column(0), 2 << 20):
+                texts, langs = b.column(0)[lo:hi].to_pylist(), b.column(1)[lo:hi].to_pylist()
                 for lang, own in _by_lang(langs).items():
-                    code, _ = codes([texts[i] for i in own])
-                    if lang not in sums:
-                        sums[lang] = np.zeros(CELLS, np.int64)
-                    sums[lang] += np.bincount(code, minlength=CELLS) if len(code) > CELLS // 8 else 0
-                    if len(code) <= CELLS // 8:
-                        some, n = np.unique(code, return_counts=True)
-                        sums[lang][some] += n
-        for lang, n in sums.items():
-            code = np.flatnonzero(n)
-            for lo in range(0, len(code), 50_000):
-                c = code[lo : lo + 50_000]
-                yield pa.record_batch([pa.array([lang] * len(c)), pa.array(c, pa.int32()), pa.array(n[c])], schema=schema)
-
-    counted = _texts(docs, id_col, text_col, lang_col, named).mapInArrow(run, "lang string, code int, n long")
-    # at most (LANGS + 1) * CELLS rows, by the size of the hash
-    total = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    return {lang: KneserNey(own["code"].to_numpy(), own["n"].to_numpy()) for lang, own in total.groupby("lang")}
-
-
-def best_by_sentence(text: str, models: dict[str, KneserNey]) -> float:
+                    fit = []
+                    for i in own:
+                        n_words, _, n_symbols, _, again = measures(texts[i])
+                        if not base_failed(n_words, again) and n_symbols <= SYMBOLS_A_WORD * n_words:
+                            fit.append(texts[i])
+                    if fit:
+                        held.setdefault(lang, []).append(codes(fit)[0])
+                        size += len(held[lang][-1])
+                if size > 4 * MERGE:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return texts.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def _off(n: Column) -> Column:
+    """What is taken off a count, from the counts of counts n1 ... n4 of its language and order; small tables get milder ones."""
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    small = (F.col("n1") == 0) | (F.col("n2") == 0) | (F.col("n3") == 0)
+    raw = [F.lit(1.0) - 2 * y * F.col("n2") / F.col("n1"), F.lit(2.0) - 3 * y * F.col("n3") / F.col("n2"), F.lit(3.0) - 4 * y * F.col("n4") / F.col("n3")]
+    d = [F.when(small, mild).otherwise(F.least(F.greatest(x, F.lit(0.05)), F.lit(k + 0.95))) for k, (x, mild) in enumerate(zip(raw, (0.5, 0.75, 0.9), strict=True))]
+    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
+def estimates(counts: DataFrame) -> list[DataFrame]:
+    """For each order from 1: ``(lang, code, n, p, g)``; p the probability of the last character, null
+    for what is only a context; g the weight of the lower order after it, null where it is no context.
+
+    Order 1 has a row of code null: p of a character never met.
+    """
+    own = [counts]
+    for k in range(ORDER - 1, 0, -1):  # continuation counts
+        low = F.col("code").bitwiseAND(F.lit((1 << k * BITS) - 1))
+        own.append(own[-1].groupBy("lang", low.alias("code")).agg(F.count("*").alias("n")))
+    own.reverse()
+    out: list[DataFrame] = []
+    for k, table in enumerate(own, 1):
+        few = table.groupBy("lang").agg(*(F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)))
+        off = table.join(few, "lang").select("lang", "code", "n", _off(F.col("n")).alias("off"), F.shiftrightunsigned("code", BITS).alias("ctx"))
+        rest = off.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("g"))
+        met = off.join(rest, ["lang", "ctx"])
+        sure = (F.col("n") - F.col("off")) / F.col("total")
+        if k == 1:
+            even = F.lit(1.0 / (1 << BITS))
+            p = met.select("lang", "code", "n", (sure + F.col("g") * even).alias("p"))
+            p = p.unionByName(rest.select("lang", F.lit(None).cast("long").alias("code"), F.lit(0).cast("long").alias("n"), (F.col("g") * even).alias("p")))
+        else:
+            low = out[-1].where("p IS NOT NULL AND code IS NOT NULL").select("lang", F.col("code").alias("suffix"), F.col("p").alias("low"))
+            met = met.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << (k - 1) * BITS) - 1)))
+            p = met.join(low, ["lang", "suffix"]).select("lang", "code", "n", (sure + F.col("g") * F.col("low")).alias("p"))
+            # what the order below needs to know of its strings as contexts
+            contexts = rest.select("lang", F.col("ctx").alias("code"), "g")
+            out[-1] = scratch.table(out[-1].join(contexts, ["lang", "code"], "full").select("lang", "code", F.coalesce("n", F.lit(0)).alias("n"), "p", "g"), f"order{k - 1}")
+        out.append(scratch.table(p, "top") if k == ORDER else p)
+    out[-1] = out[-1].withColumn("g", F.lit(None).cast("double"))
+    return out
+
+
+class Pieces:
+    """One order's arrays: for each piece its languages, modulus and rest, and its broadcast."""
+
+    def __init__(self, table: DataFrame, values: tuple[str, ...], piece: int):
+        spark = table.sparkSession
+        self.values, self.pieces = len(values), []
+        sizes = [(r["lang"], r["count"]) for r in table.groupBy("lang").count().orderBy("lang").collect()]  # a row a language
+        groups: list[tuple[list[str], int]] = []
+        room = 0
+        for lang, n in sizes:
+            if n > piece:
+                groups.append(([lang], _prime(-(-n // piece) + 1)))
+                room = 0
+            elif n <= room:
+                groups[-1][0].append(lang)
+                room -= n
+            else:
+                groups.append(([lang], 1))
+                room = piece - n
+        for langs, m in groups:
+            for r in range(m):
+                some = table.where(F.col("lang").isin(langs) & (F.pmod("code", F.lit(m)) == r)).select("lang", "code", *values).orderBy("lang", "code").toArrow()  # about ``piece`` rows
+                of = np.array(some.column("lang").to_pylist(), object)
+                arrays = [some.column(i).to_numpy() for i in range(1, some.num_columns)]
+                self.pieces.append((tuple(langs), m, r, len(of), spark.sparkContext.broadcast({lang: [a[of == lang] for a in arrays] for lang in langs})))
+
+    def find(self, lang: str, want: np.ndarray, shelf: dict) -> tuple[np.ndarray, ...]:
+        """Values of the n-grams ``want``, NaN where there are none; ``shelf`` keeps loaded pieces."""
+        out = tuple(np.full(len(want), np.nan) for _ in range(self.values))
+        for i, (langs, m, r, n, sent) in enumerate(self.pieces):
+            if lang not in langs:
+                continue
+            some = np.flatnonzero(want % m == r) if m > 1 else None
+            arrays = _loaded(shelf, (id(self), i), sent, n)[lang]
+            key = want if some is None else want[some]
+            if not len(key) or not len(arrays[0]):
+                continue
+            at = np.minimum(np.searchsorted(arrays[0], key), len(arrays[0]) - 1)
+            hit = arrays[0][at] == key
+            for column, a in zip(out, arrays[1:], strict=True):
+                found = np.where(hit, a[at], np.nan)
+                if some is None:
+                    column[:] = found
+                else:
+                    column[some] = found
+        return out
+
+
+def _prime(n: int) -> int:
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def _loaded(shelf: dict, key: tuple, sent, n: int) -> dict:
+    """A piece's arrays; the longest unused are let go beyond HELD entries."""
+    if key in shelf:
+        shelf[key] = shelf.pop(key)
+        return shelf[key][0]
+    while shelf and n + sum(size for _, size in shelf.values()) > HELD:
+        shelf.pop(next(iter(shelf)))
+    value = sent.value
+    if hasattr(sent, "_path") and sent._path is not None:
+        del sent._value  # it stays on disk and can be read again
+    shelf[key] = (value, n)
+    return value
+
+
+class Model:
+    """All languages' models: arrays of each order, and the languages tried for quotations."""
+
+    def __init__(self, orders: list[Pieces], unseen: dict[str, float], entropy: dict[str, float], quoted: list[str]):
+        self.orders, self.unseen, self.entropy, self.quoted = orders, unseen, entropy, quoted
+
+    def log(self, lang: str, code: np.ndarray, shelf: dict) -> np.ndarray:
+        """Natural log probability of each n-gram's last character; unseen ones back off."""
+        if lang not in self.unseen:
+            return np.full(len(code), -BITS * np.log(2))
+        code, back = np.unique(code, return_inverse=True)
+        out = self.orders[-1].find(lang, code, shelf)[0]
+        miss = np.flatnonzero(np.isnan(out))
+        weight = np.ones(len(miss))
+        for k in range(ORDER - 1, 0, -1):
+            if not len(miss):
+                break
+            mask = np.uint64((1 << k * BITS) - 1)
+            own = code[miss].view(np.uint64)
+            context = (own >> np.uint64(BITS)) & mask
+            suffix = own & mask
+            g = self.orders[k - 1].find(lang, context.view(np.int64), shelf)[1]
+            p = self.orders[k - 1].find(lang, suffix.view(np.int64), shelf)[0]
+            weight = weight * np.where(np.isnan(g), 1, g)
+            hit = ~np.isnan(p)
+            out[miss[hit]] = weight[hit] * p[hit]
+            miss, weight = miss[~hit], weight[~hit]
+        out[miss] = weight * self.unseen[lang]
+        return np.log(out)[back]
+
+
+def train(docs: DataFrame, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model for each language, from the n-grams of all texts fit to be learned."""
+    texts = _texts(docs, id_col, text_col, lang_col)
+    counts = scratch.table(counted(texts), "ngrams")
+    orders = estimates(counts)
+    unseen = {r["lang"]: r["p"] for r in orders[0].where("code IS NULL").select("lang", "p").collect()}  # a row a language
+    means = orders[-1].groupBy("lang").agg((-F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("h"), F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    made = [Pieces(t.where("code IS NOT NULL"), ("p", "g") if k < ORDER else ("p",), piece) for k, t in enumerate(orders, 1)]
+    for done in (counts, *orders):
+        scratch.drop(done)
+    return Model(made, unseen, {r["lang"]: r["h"] for r in means}, [r["lang"] for r in means[:QUOTED]])
+
+
+def best_by_sentence(text: str, lang: str, model: Model, shelf: dict) -> float:
     """Log probability of a text whose every sentence goes to the model that likes it best."""
     code, begin = codes([x for x in SENTENCE.findall(text) if x] or [""])
-    return float(np.max([np.add.reduceat(m.log(code), begin) for m in models.values()], axis=0).sum())
+    tried = {lang, *model.quoted}
+    return float(np.max([np.add.reduceat(model.log(x, code, shelf), begin) for x in sorted(tried)], axis=0).sum())
 
 
-def log_probabilities(texts: list[str], langs: list[str], models: dict[str, KneserNey]) -> tuple[np.ndarray, np.ndarray]:
-    """For each text its log probability and the number of predicted classes."""
+def log_probabilities(texts: list[str], langs: list[str], model: Model, shelf: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its log probability and the number of predicted characters."""
     log, events = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     for lang, own in _by_lang(langs).items():
         code, begin = codes([texts[i] for i in own])
-        p = models[lang].log(code) if lang in models else np.full(len(code), -BITS * np.log(2))
-        log[own] = np.add.reduceat(p, begin)
+        log[own] = np.add.reduceat(model.log(lang, code, shelf), begin)
         events[own] = np.diff(np.r_[begin, len(code)])
-        if lang in models and len(models) > 1:
-            high = models[lang].entropy + MIXED
+        if lang in model.entropy and len(model.quoted) > 1:
+            high = model.entropy[lang] + MIXED
             for i in (i for i in own if -log[i] > high * events[i]):
-                log[i] = max(log[i], best_by_sentence(texts[i], models))
+                log[i] = max(log[i], best_by_sentence(texts[i], lang, model, shelf))
     return log, events
 
 
-SCORED = pa.schema([("id", pa.int64()), ("lang", pa.string()), *((x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "events")), ("log_prob", pa.float64())])
-SCORED_DDL = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, events long, log_prob double"
+# ------------------------------------------------------------------ rules
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "events")
 
 
-def score(docs: DataFrame, models: dict[str, KneserNey], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
-    """One row per text: the base measures, the number of predicted classes and their log probability."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)
-    named = [x for x in models if x != OTHER]
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All columns of ``docs`` as a struct ``doc``, and ``id, lang``, the base measures, ``events`` (predicted
+    characters) and ``log_prob``."""
+    schema = pa.schema([*((x, pa.int64()) for x in MEASURES), ("log_prob", pa.float64())])
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_models = shared.value
+        shelf: dict = {}
         for b in batches:
-            columns, flush = rows(SCORED)
-            for lo, hi in parts(b.column(1), 2 << 20):
-                texts, langs = b.column(1)[lo:hi].to_pylist(), b.column(2)[lo:hi].to_pylist()
-                log, events = log_probabilities(texts, langs, own_models)
-                for doc_id, lang, text, n, p in zip(b.column(0)[lo:hi].to_pylist(), langs, texts, events.tolist(), log.tolist(), strict=True):
-                    for c, v in zip(columns, (doc_id, lang, *measures(text), n, p), strict=True):
+            for lo, hi in parts(b.column(2), 2 << 20):
+                columns, _ = rows(schema)
+                texts, langs = b.column(2)[lo:hi].to_pylist(), b.column(3)[lo:hi].to_pylist()
+                log, events = log_probabilities(texts, langs, model, shelf)
+                for text, n, p in zip(texts, events.tolist(), log.tolist(), strict=True):
+                    for c, v in zip(columns, (*measures(text), n, p), strict=True):
                         c.append(v)
-                yield from flush()
+                yield pa.record_batch([b.column(0)[lo:hi], b.column(1)[lo:hi], b.column(3)[lo:hi], *(pa.array(c, f.type) for c, f in zip(columns, schema, strict=True))], names=["doc", "id", "lang", *schema.names])
 
-    return _texts(docs, id_col, text_col, lang_col, named).mapInArrow(run, SCORED_DDL)
+    kind = whole.schema["doc"].dataType.simpleString()
+    return whole.mapInArrow(run, f"doc {kind}, id long, lang string, {', '.join(f'{m} long' for m in MEASURES)}, log_prob double")
 
 
 def bands(scored: DataFrame, width: float, prior: float, least_rows: int) -> DataFrame:
     """``(lang, median, lower, upper)`` of log perplexity; languages of few texts get the pooled band."""
     x = -F.col("log_prob") / F.col("events")
     medians = scored.groupBy("lang").agg(F.percentile_approx(x, 0.5, 10_000).alias("median"), F.count("*").alias("texts"))
-    pulled = scored.join(F.broadcast(medians), "lang").withColumn("x", (-F.col("log_prob") + prior * F.col("median")) / (F.col("events") + prior) - F.col("median"))
+    pulled = scored.join(medians, "lang").withColumn("x", (-F.col("log_prob") + prior * F.col("median")) / (F.col("events") + prior) - F.col("median"))
     quarters = F.percentile_approx("x", [0.25, 0.75], 10_000)
     pooled = pulled.agg(quarters.alias("pooled"))
-    own = pulled.groupBy("lang", "median", "texts").agg(quarters.alias("own")).join(F.broadcast(pooled))
+    own = pulled.groupBy("lang", "median", "texts").agg(quarters.alias("own")).join(F.broadcast(pooled))  # one row
     q = F.when(F.col("texts") >= least_rows, F.col("own")).otherwise(F.col("pooled"))
     half = F.greatest(q[1] - q[0], F.lit(0.02)) * width
     return own.select("lang", "median", (q[0] - half).alias("lower"), (q[1] + half).alias("upper"))
 
 
-def judge(docs: DataFrame, width: float = 4.0, prior: float = 150.0, least_rows: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of ``docs``: id, lang, the base measures, perplexity, band, base_failed, kept.
-
-    ``width`` is the band's reach beyond the quartiles, in interquartile ranges.  Null texts count
-    as empty: no words, so the base rule fails them.  A null language is a language of its own;
-    languages beyond the LANGS most frequent share one model.  An empty table gives no rows.
-    """
-    models = train(docs, id_col, text_col, lang_col)
-    scored = scratch.table(score(docs, models, id_col, text_col, lang_col), "quality")
+def _judged(scored: DataFrame, width: float, prior: float, least_rows: int) -> DataFrame:
     x = (-F.col("log_prob") + prior * F.col("median")) / (F.col("events") + prior) - F.col("median")
-    out = scored.join(F.broadcast(bands(scored, width, prior, least_rows)), "lang").withColumns(
+    limits = bands(scored.select("lang", "log_prob", "events"), width, prior, least_rows)
+    out = scored.join(limits, "lang").withColumns(
         {"perplexity": F.exp(-F.col("log_prob") / F.col("events")), "deviation": x, "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))}
     )
     return out.withColumn("kept", ~F.col("base_failed") & F.col("deviation").between(F.col("lower"), F.col("upper"))).drop("median", "log_prob")
 
 
-def keep(docs: DataFrame, width: float = 4.0, prior: float = 150.0, least_rows: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, all columns as they were.
+def judge(docs: DataFrame, width: float = 4.0, prior: float = 150.0, least_rows: int = 50, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per row of ``docs``: id, lang, the base measures, perplexity, band, base_failed, kept.
 
-    No join of texts: the rows are scored where they are, against bands found in a first pass.
+    ``width`` is the band's reach beyond the quartiles, in interquartile ranges.  Null texts count
+    as empty: no words, so the base rule fails them.  A null language is the language ''.  A
+    language without a text fit to be learned finds all characters equally likely.  Repeated rows
+    are judged alike; whole texts are read, however long.  An empty table gives no rows.
     """
-    models = train(docs, id_col, text_col, lang_col)
-    scored = scratch.table(score(docs, models, id_col, text_col, lang_col), "quality")
-    band = {r["lang"]: r for r in bands(scored, width, prior, least_rows).collect()}  # a row a model
-    verdicts = {k: (r["median"], r["lower"], r["upper"]) for k, r in band.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((models, verdicts))
-    named = [x for x in models if x != OTHER]
-    names = docs.columns
-    at_text, at_lang = names.index(text_col), names.index(lang_col)
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    model = train(some, piece)
+    scored = score(some, model).drop("doc")
+    return _judged(scratch.table(scored, "quality"), width, prior, least_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, limits = shared.value
-        for b in batches:
-            for lo, hi in parts(b.column(at_text), 2 << 20):
-                part = b.slice(lo, hi - lo)
-                texts = [t or "" for t in part.column(at_text).to_pylist()]
-                langs = [x if (x or "") in named else OTHER for x in ((y or "") for y in part.column(at_lang).to_pylist())]
-                log, events = log_probabilities(texts, langs, own)
-                good = []
-                for text, lang, p, n in zip(texts, langs, log.tolist(), events.tolist(), strict=True):
-                    n_words, _, _, _, again = measures(text)
-                    median, lower, upper = limits[lang]
-                    x = (-p + prior * median) / (n + prior) - median
-                    good.append(n_words >= 10 and 100 * again <= 20 * n_words and lower <= x <= upper)
-                yield part.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+
+def keep(docs: DataFrame, width: float = 4.0, prior: float = 150.0, least_rows: int = 50, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, all columns as they were.
+
+    Texts are scored once: the rows are written with their scores, and filtered where they lie by
+    a join with a band for each language.
+    """
+    model = train(docs, piece, id_col, text_col, lang_col)
+    scored = scratch.table(score(docs, model, id_col, text_col, lang_col), "quality")
+    return _judged(scored, width, prior, least_rows).where("kept").select("doc.*")
