@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridtrack.llm import bpe, hilbert_ann, license_scan, packing, pitman_yor, quality, sharding, simhash, suffix, toxicity
 from gridtrack.llm.common import documents, read
 
+PASSAGE = 51
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -51,8 +52,9 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix.remove(documents(spark, sf_dir))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Strings of 400 bytes that repeat; and, counted only, runs of PASSAGE words and more that repeat."""
+    found = suffix.remove(documents(spark, sf_dir), words=PASSAGE, cut_words=False)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +90,17 @@ j AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY
 q AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM j),
 runs AS (SELECT doc_id, min(i) AS lo, max(i) + {suffix.WIDTH} AS hi FROM q GROUP BY doc_id, r),
 g AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM runs),
+t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS w FROM documents),
+wp AS (SELECT doc_id, i, hash(w[i + 1:i + {PASSAGE}]) AS k FROM (SELECT doc_id, w, unnest(range(len(w) - {PASSAGE - 1})) AS i FROM t WHERE len(w) >= {PASSAGE})),
+ws AS (SELECT doc_id, i FROM wp WHERE k IN (SELECT k FROM wp GROUP BY k HAVING count(*) > 1)),
+wj AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {PASSAGE} THEN 0 ELSE 1 END AS new FROM ws),
+wq AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM wj),
+wr AS (SELECT doc_id, count(*) AS n_passages, sum(n) AS n_passage_words FROM (SELECT doc_id, r, max(i) + {PASSAGE} - min(i) AS n FROM wq GROUP BY doc_id, r) GROUP BY doc_id),
 c AS (SELECT g.doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head, max(hi) AS last FROM g JOIN h USING (doc_id) GROUP BY g.doc_id)
 SELECT h.doc_id, h.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(head, '') || substr(h.h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
-FROM h LEFT JOIN c USING (doc_id)"""
+  sha256(unhex(coalesce(head, '') || substr(h.h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256,
+  CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages, CAST(coalesce(n_passage_words, 0) AS BIGINT) AS n_passage_words
+FROM h LEFT JOIN c USING (doc_id) LEFT JOIN wr USING (doc_id)"""
 
 
 def shards_sql(shards: int = 40, seed: int = 42) -> str:

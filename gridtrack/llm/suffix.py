@@ -8,8 +8,10 @@ What is looked for: every string of ``width`` bytes that starts at two places or
    whose windows chose the same place is a *context*; a text's windows are split among its
    contexts.  Equal contexts are counted, not copied.
 2. Shards.  Contexts that chose the same string go to the same shard, one copy of each, with the
-   number of copies.  A string chosen by very many different contexts is hot: its
-   contexts are cut into sub-contexts that agree on a longer string, and those are dealt anew.
+   number of copies.  Where all that chose a string are equal, every window is repeated and no more
+   need be asked.  A string chosen by very many different contexts is hot: its contexts are cut into
+   sub-contexts that agree on a longer string; where that is hot still, into single windows, of
+   which a count tells all.
 3. Suffix arrays.  Each shard's contexts, set apart by a byte that UTF-8 never uses, get a suffix
    array by induced sorting; permuted common prefixes then tell which windows have a neighbour
    that agrees on ``width`` bytes.
@@ -334,10 +336,10 @@ def sub_contexts(raw: bytes, width: int, gram: int, depth: int) -> Iterator[tupl
             yield _hash(raw[place - near : place - far + width], near + 1), lo, raw[lo : hi + width]
 
 
-def _cut(contexts: DataFrame, width: int, gram: int, with_bytes: bool) -> DataFrame:
+def _cut(contexts: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(g, c, shift, sub, n, own if with_bytes else None) for g, c, n, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) for sub, shift, own in sub_contexts(raw, width, gram, DEPTH)]
+            out = [(g, c, shift, sub, n, own) for g, c, n, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) for sub, shift, own in sub_contexts(raw, width, gram, DEPTH)]
             if out:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["gram", "ctx", "shift", "grp", "copies", "raw"])
@@ -345,6 +347,18 @@ def _cut(contexts: DataFrame, width: int, gram: int, with_bytes: bool) -> DataFr
     return contexts.select("gram", "ctx", "copies", "raw").mapInArrow(run, "gram long, ctx long, shift int, grp long, copies long, raw binary")
 
 
+def _windows(parts_: DataFrame, width: int) -> DataFrame:
+    """Every window of sub-contexts: its start in the context and its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, c, shift, n, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                m = len(raw) - width + 1
+                yield pa.record_batch([pa.array([g] * m, pa.int64()), pa.array([c] * m, pa.int64()), pa.array(range(shift, shift + m), pa.int32()), pa.array([n] * m, pa.int64()), pa.array([_hash(raw[i : i + width], 5) for i in range(m)], pa.int64())], names=["gram", "ctx", "lo", "copies", "win"])
+
+    return parts_.select("gram", "ctx", "shift", "copies", "raw").mapInArrow(run, "gram long, ctx long, lo int, copies long, win long")
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"), F.col(text_col).cast("string").alias("text"))
 
@@ -362,7 +376,9 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
     scratch.drop(found)
     contexts = places.groupBy("gram", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk", "first", "size")).alias("at"))
     contexts = scratch.table(contexts, "contexts")
-    kinds = contexts.groupBy("gram").agg(F.count("*").alias("kinds"))
+    kinds = scratch.table(contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    # all equal, and twice or more: every window is repeated
+    alone = contexts.join(kinds, "gram", "left_anti").select("gram", "ctx", F.lit(0).alias("lo"), F.col("at.size").alias("hi"))
     wanted = contexts.join(kinds, "gram").select(F.col("at.id").alias("id"), F.col("at.tk").alias("tk"), F.struct(F.col("at.first").alias("first"), F.col("at.size").alias("size"), "gram", "ctx", "copies", "kinds").alias("c"))
     wanted = wanted.groupBy("id", "tk").agg(F.collect_list("c").alias("c"))  # as many as one text has contexts
 
@@ -378,10 +394,14 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
     size = raw.agg(F.sum(F.length("raw")).alias("n"), F.max("kinds").alias("kinds")).first()
     shards = max(1, -(-(size["n"] or 0) // shard_bytes))
     every = raw.where(F.col("kinds") <= hot).select("gram", "ctx", F.lit(0).alias("shift"), F.col("gram").alias("grp"), "copies", "raw")
+    counted = None
     if (size["kinds"] or 0) > hot:
-        warm = raw.where(F.col("kinds") > hot)
-        shared = _cut(warm, width, gram, False).groupBy("grp").agg(F.sum("copies").alias("n")).where("n > 1").select("grp")
-        every = every.unionByName(_cut(warm, width, gram, True).join(shared, "grp", "left_semi").select(every.columns))
+        cut = scratch.table(_cut(raw.where(F.col("kinds") > hot), width, gram), "cut")
+        groups = scratch.table(cut.groupBy("grp").agg(F.sum("copies").alias("n"), F.count("*").alias("m")).where("n > 1"), "groups")
+        every = every.unionByName(cut.join(groups.where(F.col("m") <= hot), "grp", "left_semi").select(every.columns))
+        still = scratch.table(_windows(cut.join(groups.where(F.col("m") > hot), "grp", "left_semi"), width), "windows")
+        twice = scratch.table(still.groupBy("win").agg(F.sum("copies").alias("n")).where("n > 1").select("win"), "twice")
+        counted = still.join(twice, "win", "left_semi").select("gram", "ctx", "lo", (F.col("lo") + width).alias("hi"))
 
     def solve(t: pa.Table) -> pa.Table:
         one = {(g, c, s): (n, r) for g, c, s, n, r in zip(*(t.column(k).to_pylist() for k in ("gram", "ctx", "shift", "copies", "raw")), strict=True)}
@@ -394,8 +414,11 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
         return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["gram", "ctx", "lo", "hi"])
 
     runs = every.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards))).groupBy("shard").applyInArrow(solve, "gram long, ctx long, lo int, hi int")
+    runs = runs.unionByName(alone)
+    if counted is not None:
+        runs = runs.unionByName(counted)
     runs = scratch.table(runs.groupBy("gram", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")  # within one context
-    for done in (again, contexts, raw):
+    for done in (again, contexts, kinds, raw):
         scratch.drop(done)
     back = places.join(runs, ["gram", "ctx"]).select("id", "tk", "first", F.expr("transform(runs, r -> named_struct('lo', first + r.lo, 'hi', first + r.hi))").alias("runs"))
     back = back.dropDuplicates(["id", "tk", "first"]).groupBy("id", "tk").agg(F.flatten(F.collect_list("runs")).alias("spans"))  # as many as one text has contexts
@@ -439,23 +462,30 @@ def coded(texts: DataFrame) -> DataFrame:
     return texts.select("id", "tk", "text").mapInArrow(run, "id long, tk long, text string")
 
 
-def word_spans(raw: bytes, spans: list[dict], words: int) -> list[dict]:
-    """Spans of a coded text as byte ranges of the text itself, from a first word's start to a last word's end."""
+def word_runs(spans: list[dict], words: int) -> list[tuple[int, int]]:
+    """Spans of a coded text as ranges of its words."""
     ranges = [(-(-lo // CODE), hi // CODE) for lo, hi in merged(spans)]
+    return [(lo, hi) for lo, hi in ranges if hi - lo >= words]
+
+
+def word_spans(raw: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
+    """Ranges of words as byte ranges, from a first word's start to a last word's end."""
     at = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", raw)] if ranges else []
-    return [{"lo": at[lo][0], "hi": at[hi - 1][1]} for lo, hi in ranges if hi - lo >= words]
+    return [{"lo": at[lo][0], "hi": at[hi - 1][1]} for lo, hi in ranges]
 
 
-def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
+def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: int | None = None, cut_words: bool = True) -> DataFrame:
     """Cut repeated stretches out of all texts: one row per row of ``docs``.
 
-    ``(id, n_bytes, n_removed, n_spans, kept_sha256, kept, *carry)``.  Every byte inside a string
+    ``(id, n_bytes, n_removed, n_spans, n_passages, n_passage_words, kept_sha256, kept, *carry)``.  Every byte inside a string
     of ``width`` bytes that also starts elsewhere, same text included, goes; strings are judged on
     the input.  Null texts are empty; repeated rows repeat each other; a text shorter than
     ``width`` stays whole.  ``kept`` is text: where a cut splits a character, its rest is dropped
     there, while kept_sha256 is of the bytes.  ``carry`` names columns handed on untouched.
     ``words``: also every run of that many words that starts elsewhere, whatever its bytes; words
-    are parted by ASCII spaces and compared by hash, the spaces between them are not compared.
+    are parted by ASCII spaces and compared by hash, the spaces between them are not compared; the
+    maximal runs and their words are counted, and with ``cut_words`` also cut.  An empty table gives
+    no rows.
     """
     texts = _texts(docs, id_col, text_col)
     found = repeats(texts, width, gram, hot, shard_bytes)
@@ -475,12 +505,13 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT
                 out = []
                 for text, spans, runs in zip(*(b.column(i)[lo:hi].to_pylist() for i in (1, 2, 3)), strict=True):
                     raw = _bytes(text)
-                    cuts = merged((spans or []) + word_spans(raw, runs or [], words or 0))
+                    passages = word_runs(runs or [], words or 0)
+                    cuts = merged((spans or []) + (word_spans(raw, passages) if cut_words else []))
                     kept = cut_out(raw, cuts)
-                    out.append((len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), text if not cuts else kept.decode("utf-8", "ignore")))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.record_batch([b.column(0)[lo:hi], *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)), *(b.column(4 + i)[lo:hi] for i in range(len(carry)))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(f"_{i}" for i in range(len(carry)))])
+                    out.append((len(raw), len(raw) - len(kept), len(cuts), len(passages), sum(hi - lo for lo, hi in passages), hashlib.sha256(kept).hexdigest(), text if not cuts else kept.decode("utf-8", "ignore")))
+                types = (*[pa.int64()] * 5, pa.string(), pa.string())
+                yield pa.record_batch([b.column(0)[lo:hi], *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)), *(b.column(4 + i)[lo:hi] for i in range(len(carry)))], names=["id", "n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_words", "kept_sha256", "kept", *(f"_{i}" for i in range(len(carry)))])
 
     kinds = dict(both.dtypes)
-    ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + "".join(f", _{i} {kinds[f'_{i}']}" for i in range(len(carry)))
+    ddl = "id long, n_bytes long, n_removed long, n_spans long, n_passages long, n_passage_words long, kept_sha256 string, kept string" + "".join(f", _{i} {kinds[f'_{i}']}" for i in range(len(carry)))
     return both.mapInArrow(run, ddl).withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
