@@ -2,7 +2,7 @@
 
 Each curve projects the vectors onto a few random orthogonal directions, shifts and quantises
 them, and orders them along a Hilbert curve.  The order is cut into blocks of about ``block`` rows
-at quantiles of a bounded sample; a query meets the blocks that its window touches, keeps the
+at quantiles of the keys of PLACES rows a block, chosen by hash; a query meets the blocks that its window touches, keeps the
 best of each, and the windows of all curves are merged and ranked by the inner product of the
 original vectors in double precision.
 
@@ -11,7 +11,8 @@ of queries against a bounded sample of rows reaches ``target`` recall.  Data wit
 any few directions need wide windows, clustered data narrow ones; the share found is reported by
 :func:`plan`.
 
-Equal vectors are folded beforehand and expanded at the end: only the k + 1 smallest ids of a group
+Scores of what a block finds best are summed again in one order, a component after the other, so
+that a pair's score does not depend on the block it was found in.  Equal vectors are folded beforehand and expanded at the end: only the k + 1 smallest ids of a group
 can be among k neighbours.
 """
 
@@ -32,6 +33,7 @@ BITS = 4
 SAMPLE = 4096
 PROBES = 192
 BLOCK = 8192
+PLACES = 8  # keys a block that the cuts are taken from
 QUERIES = 8192  # of one block's task
 
 
@@ -127,12 +129,30 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Column indices of the k largest of each row, and all that tie with the last."""
+def _best(scores: np.ndarray, k: int, slack: float = 0.0) -> np.ndarray:
+    """Column indices of the k largest of each row, and all that tie with the last, or nearly."""
     if scores.shape[1] <= k:
         return np.ones(scores.shape, bool)
     least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    return scores >= least[:, None]
+    return scores >= least[:, None] - slack
+
+
+def _place_by_all(folded: DataFrame, curves: list[Curve], total: int, blocks: int) -> None:
+    """Take the places along each curve from rows of the whole table, SAMPLE or PLACES a block, chosen by hash."""
+    stride = max(1, total // max(SAMPLE, PLACES * blocks))
+    shared = folded.sparkSession.sparkContext.broadcast(curves)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in batches:
+            if b.num_rows:
+                ids, v = b.column(0).to_numpy(), _matrix(b.column(1))
+                yield pa.record_batch([pa.array(c.key(v, ids)) for c in own], names=[f"k{i}" for i in range(len(own))])
+
+    some = folded.select(F.element_at("ids", 1).alias("id"), "v").where(F.pmod(F.xxhash64("id"), F.lit(stride)) == 0)
+    found = some.mapInArrow(keys, ", ".join(f"k{i} long" for i in range(len(curves)))).toArrow()
+    for i, c in enumerate(curves):
+        c.keys = np.sort(found.column(i).to_numpy())
 
 
 def search(rows: DataFrame, queries: str, k: int = 20, curves: int = CURVES, target: float = 0.96, block: int = BLOCK, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -155,6 +175,8 @@ def search(rows: DataFrame, queries: str, k: int = 20, curves: int = CURVES, tar
     v = _matrix(sample.column("v").combine_chunks())
     made, share = fit(v, sample.column("id").to_numpy(), curves, k, target, seed)
     blocks = max(1, -(-total // block))
+    if total > SAMPLE:
+        _place_by_all(folded, made, total, blocks)
     chunks = max(1, -(-int(n_asked * min(1.0, share + 1 / blocks)) // QUERIES))
     shared = spark.sparkContext.broadcast((made, share, blocks, chunks))
 
@@ -190,17 +212,18 @@ def search(rows: DataFrame, queries: str, k: int = 20, curves: int = CURVES, tar
             groups, names = r.column("ids").to_pylist(), q.column("id").to_pylist()
             for lo in range(0, len(mine), 256):
                 scores = mine[lo : lo + 256] @ theirs.T
-                keep = _best(scores, k + 1)
+                keep = _best(scores, k + 1, 1e-12 * np.abs(scores).max(initial=1.0))
                 for i in range(len(scores)):
                     js = np.flatnonzero(keep[i])
-                    pairs = sorted((-scores[i, j], x) for j in js.tolist() for x in groups[j])[: k + 1]
+                    exact = (theirs[js] * mine[lo + i]).cumsum(axis=1)[:, -1]  # component after component
+                    pairs = sorted((-s, x) for j, s in zip(js.tolist(), exact.tolist(), strict=True) for x in groups[j])[: k + 1]
                     qid.append(names[lo + i])
                     found_ids.append([x for _, x in pairs])
                     found_scores.append([float(-s) for s, _ in pairs])
         return pa.table([pa.array(qid, pa.int64()), pa.array(found_ids, pa.list_(pa.int64())), pa.array(found_scores, pa.list_(pa.float64()))], names=["qid", "ids", "scores"])
 
     met = asks.groupBy("task").cogroup(holds.groupBy("task")).applyInArrow(meet, "qid long, ids array<long>, scores array<double>")
-    # windows overlap: one entry an id (block products may differ in the last bit), nearest first
+    # windows overlap: one entry an id, nearest first
     pair = F.expr("transform(arrays_zip(ids, scores), x -> named_struct('s', -x.scores, 'id', x.ids))")
     every = met.select("qid", pair.alias("found")).groupBy("qid").agg(F.flatten(F.collect_list("found")).alias("found"))
     one = left.select(F.col("id").alias("qid"), "v")

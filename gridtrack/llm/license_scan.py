@@ -3,9 +3,10 @@
 Paragraphs (lines with a word) are cut into words; their 1- to 3-grams that hold at least one
 word of a licence template other than a function word are features.  A multinomial logistic
 regression over the licence families and "unknown" is trained on the templates, their sentences
-and counter-examples below; its probabilities are calibrated by one temperature, and the least
-probability at which a family is believed is the smallest that no counter-example and no paragraph
-of a bounded sample of the corpus without any template trigram reaches.  A believed prediction is confirmed by comparison:
+and counter-examples below; its probabilities are calibrated by one temperature, the best for texts
+held out of the fit, each third in turn.  The least probability at which a family is believed is
+one that no counter-example and no paragraph of the corpus without any template trigram reaches,
+but no more than the templates themselves reach.  A believed prediction is confirmed by comparison:
 it counts if the paragraph shares enough trigrams with a template of the predicted family.
 
 A paragraph without any licence word has no feature, hence is unknown; that is decided before any
@@ -59,11 +60,39 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("unlicense", "Released under the Unlicense."),
+    ("gpl", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the FSF; either version 2 of the License, or (at your option) any later version."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib", "Released under the zlib License."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("bsl-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0."),
+    ("epl-2.0", "Licensed under the Eclipse Public License 2.0."),
     ("proprietary", "All rights reserved."),
     ("proprietary", "Copyright. All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."),
     ("proprietary", "This software is proprietary and confidential; unauthorized copying is strictly prohibited."),
 ]
 
+# SPDX identifiers, by family.
+IDENTIFIERS = {
+    "apache-2.0": ["Apache-2.0"],
+    "mit": ["MIT"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "gpl": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "lgpl": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later"],
+    "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "mpl-2.0": ["MPL-2.0"],
+    "isc": ["ISC"],
+    "cc-by": ["CC-BY-4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0"],
+    "cc0": ["CC0-1.0"],
+    "unlicense": ["Unlicense"],
+    "zlib": ["Zlib"],
+    "bsl-1.0": ["BSL-1.0"],
+    "epl-2.0": ["EPL-2.0"],
+}
+TEMPLATES += [(family, f"SPDX-License-Identifier: {name}") for family, names in IDENTIFIERS.items() for name in names]
+
 # Sentences that use the words of licences and are none.
 OTHERS = [
     "He renewed his driver's license in April.",
@@ -83,11 +112,18 @@ OTHERS = [
     "The notice was distributed on paper in all forms.",
     "General conditions apply to every purpose.",
     "This file has a copy of the list.",
+    "All rights reserved to the estate were disputed in court.",
+    "The rights reserved by the treaty passed to the heirs.",
+    "The software of the boost pump was provided by the authors.",
+    "The eclipse was public and the program had a version for children.",
+    "No warranty was implied and no damages arose from the use of the road.",
+    "An identifier was printed on the license plate.",
 ]
 
 # Words too common to make a feature by themselves (one is a frequent German word).
 FUNCTION_WORDS = "0 1 2 3 4 a all along an and any are as at be by can either for form free has have if in into is it later may mit no not of on one only or part published should that the this to under use v was with without work you your".split()
 
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -132,60 +168,77 @@ def _probabilities(paragraphs: DataFrame, model: Model, keys: list[str]) -> Data
     return sums.select(*keys, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def fit(spark: SparkSession, background: DataFrame | None = None, sample: int = 2000, reg: float = 0.002) -> Model:
-    """Train on the texts above.  ``background(text)``: corpus paragraphs, of which at most ``sample`` fix the threshold."""
+FOLDS = 3
+TEMPERATURES = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8]
+
+
+def _learn(rows: DataFrame, classes: list[str], reg: float) -> tuple[DataFrame, list[float]]:
+    """Weights ``(gram, w)`` and intercepts of ``rows(label, f)``, a few hundred at most."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer, Normalizer
 
-    classes = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
-    pieces = [(f, t) for f, t in TEMPLATES]
-    pieces += [(f, s.strip()) for f, t in TEMPLATES for s in t.replace(";", ".").split(". ") if len(s.split()) >= 4]
-    texts = spark.createDataFrame([(i, float(classes.index(f)), t) for i, (f, t) in enumerate(pieces)] + [(10_000 + i, 0.0, t) for i, t in enumerate(OTHERS * 2)], "i long, label double, text string")
-    rows = texts.select("i", "label", features_of(words_of(F.col("text"))).alias("f")).where("size(f) > 0").coalesce(1)
     counter = CountVectorizer(inputCol="f", outputCol="c", binary=True, minDF=1.0).fit(rows)
     unit = Normalizer(inputCol="c", outputCol="x", p=2.0)
     # families have unlike numbers of examples: each class weighs the same
     weighed = unit.transform(counter.transform(rows)).withColumn("weight", 1 / F.count("*").over(Window.partitionBy("label")))
     learned = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", regParam=reg, maxIter=60).fit(weighed)
     matrix = learned.coefficientMatrix.toArray()
-    weights = spark.createDataFrame([(g, [float(x) for x in matrix[:, j]]) for j, g in enumerate(counter.vocabulary)], "gram string, w array<double>")
+    # a fold may lack the last classes
+    pad = len(classes) - matrix.shape[0]
+    weights = [(g, [float(x) for x in matrix[:, j]] + [0.0] * pad) for j, g in enumerate(counter.vocabulary)]
+    return rows.sparkSession.createDataFrame(weights, "gram string, w array<double>"), [float(x) for x in learned.interceptVector] + [-20.0] * pad
+
+
+def fit(spark: SparkSession, background: DataFrame | None = None, reg: float = 0.002) -> Model:
+    """Train on the texts above.  ``background(text)``: corpus paragraphs, which all raise the threshold where they have to."""
+    classes = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
+    pieces = [(f, t) for f, t in TEMPLATES]
+    pieces += [(f, s.strip()) for f, t in TEMPLATES for s in t.replace(";", ".").split(". ") if len(s.split()) >= 4]
+    texts = spark.createDataFrame([(i, float(classes.index(f)), t) for i, (f, t) in enumerate(pieces)] + [(10_000 + i, 0.0, t) for i, t in enumerate(OTHERS * 2)], "i long, label double, text string")
+    rows = scratch.table(texts.select("i", "label", features_of(words_of(F.col("text"))).alias("f")).where("size(f) > 0").coalesce(1), "learned")
     families = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(TEMPLATES)], "template int, family string, text string")
     tri = families.withColumn("w", words_of(F.col("text"))).withColumn("g", F.array_distinct(_grams(F.col("w"), 3)))
     trigrams = tri.select("template", "family", F.size("g").alias("template_size"), F.explode("g").alias("gram"))
-    model = Model(classes, weights, [float(x) for x in learned.interceptVector], trigrams, 1.0, 0.5)
-    # temperature: the best of a grid by the likelihood of the training pieces with every second word gone
-    thin = texts.withColumn("w", words_of(F.col("text"))).select("i", "label", features_of(F.filter(F.col("w"), lambda w, i: i % 3 != 1)).alias("f")).where("size(f) > 0")
-    model_p = _probabilities(thin.select("i", "label", "f"), model, ["i", "label"]).select("label", F.transform("p", lambda x: F.log(F.greatest(x, F.lit(1e-12)))).alias("l"))
-    grid = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8]
-    soft = [F.avg(F.expr(f"l[cast(label as int)] / {t} - ln(aggregate(transform(l, x -> exp(x / {t})), 0D, (a, b) -> a + b))")).alias(f"t{k}") for k, t in enumerate(grid)]
-    likely = model_p.agg(*soft).first()
-    model.temperature = grid[max(range(len(grid)), key=lambda k: likely[f"t{k}"] if likely[f"t{k}"] is not None else -math.inf)]
-    # the threshold: above every counter-example and every sampled paragraph that no template resembles
+    # temperature: the best of a grid by the likelihood of texts held out of the fit
+    held = None
+    for fold in range(FOLDS):
+        weights, intercepts = _learn(rows.where(f"i % {FOLDS} <> {fold}").coalesce(1), classes, reg)
+        own = _probabilities(rows.where(f"i % {FOLDS} = {fold}"), Model(classes, weights, intercepts, trigrams, 1.0, 0.5), ["i", "label"])
+        held = own if held is None else held.unionByName(own)
+    logs = held.select("label", F.transform("p", lambda x: F.log(F.greatest(x, F.lit(1e-12)))).alias("l"))
+    soft = [F.avg(F.expr(f"l[cast(label as int)] / {t} - ln(aggregate(transform(l, x -> exp(x / {t})), 0D, (a, b) -> a + b))")).alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
+    likely = logs.agg(*soft).first()
+    temperature = TEMPERATURES[max(range(len(TEMPERATURES)), key=lambda k: likely[f"t{k}"] if likely[f"t{k}"] is not None else -math.inf)]
+    weights, intercepts = _learn(rows, classes, reg)
+    model = Model(classes, weights, intercepts, trigrams, temperature, 0.5)
+    # the threshold: above every counter-example and every paragraph that no template resembles
     wrong = texts.where("label = 0").select("text")
     if background is not None:
-        plain = scratch.table(background.select("text").orderBy(F.xxhash64("text"), "text").limit(sample), "plain")
-        grams = plain.select("text", F.explode(_grams(words_of(F.col("text")), 3)).alias("gram")).join(F.broadcast(trigrams.select("gram").distinct()), "gram", "left_semi").select("text").distinct()
-        wrong = wrong.unionByName(plain.join(grams, "text", "left_anti"))
-    against = wrong.select(F.monotonically_increasing_id().alias("i"), features_of(words_of(F.col("text"))).alias("f")).where("size(f) > 0")
+        plain = background.select("text").distinct().withColumn("g", _grams(words_of(F.col("text")), 3))
+        known = [r["gram"] for r in trigrams.select("gram").distinct().collect()]  # of the templates above
+        wrong = wrong.unionByName(plain.where(~F.arrays_overlap("g", _literal(known))).select("text"))
+    against = scratch.table(wrong.select(F.xxhash64("text").alias("i"), features_of(words_of(F.col("text"))).alias("f")).where("size(f) > 0").dropDuplicates(["i"]), "against")
     top = _probabilities(against, model, ["i"]).agg(F.max(F.array_max(F.slice("p", 2, len(classes)))).alias("m")).first()["m"]
-    model.least = min(max(0.5, (top or 0) + 0.01), 0.9)
+    own = _probabilities(rows.where("label > 0"), model, ["i", "label"]).agg(F.min(F.expr("p[cast(label as int)]")).alias("m")).first()["m"]
+    model.least = max(0.5, min((top or 0.0) + 0.01, own))
     return model
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, paragraph, text)``: the lines that hold a licence word; the others are unknown."""
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("paragraph", "text"))
+    row = F.monotonically_increasing_id().alias("doc")
+    lines = docs.select(F.col(id_col).cast("long").alias("id"), row, F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("paragraph", "text"))
     return lines.where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), _literal(anchors())))
 
 
 def notices(lines: DataFrame, model: Model, least_shared: float = 0.5) -> DataFrame:
-    """What :func:`paragraphs` gave, judged: ``(id, paragraph, family, probability, template, similarity, confirmed)`` of believed predictions.
+    """What :func:`paragraphs` gave and a table keeps, judged: ``(id, paragraph, family, probability, template, similarity, confirmed)`` of believed predictions.
 
     similarity is the share of the paragraph's or of the template's trigrams, the larger, that both
     have.  Repeated rows give repeated notices; null texts and ids give none and null ids.
     """
-    keys = ["row", "id", "paragraph"]
-    ready = lines.withColumn("row", F.monotonically_increasing_id()).withColumn("w", words_of(F.col("text"))).select(*keys, features_of(F.col("w")).alias("f"), F.array_distinct(_grams(F.col("w"), 3)).alias("g")).where("size(f) > 0")
+    keys = ["doc", "id", "paragraph"]
+    ready = lines.withColumn("w", words_of(F.col("text"))).select(*keys, features_of(F.col("w")).alias("f"), F.array_distinct(_grams(F.col("w"), 3)).alias("g")).where("size(f) > 0")
     p = _probabilities(ready.select(*keys, "f"), model, keys)
     best = F.array_max(F.slice("p", 2, len(model.classes)))
     believed = p.withColumn("probability", best).where((F.col("probability") >= model.least) & (F.col("probability") > F.col("p")[0]))
@@ -198,15 +251,17 @@ def notices(lines: DataFrame, model: Model, least_shared: float = 0.5) -> DataFr
     return out.select("id", "paragraph", "family", "probability", (-F.col("m.t")).alias("template"), similarity.alias("similarity"), (similarity >= least_shared).alias("confirmed"))
 
 
-def scan(docs: DataFrame, least_shared: float = 0.5, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, least_shared: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, families, n_notices, n_unconfirmed, probability)``: one row per id of ``docs``.
 
     families are those of confirmed notices, sorted; an id without any has an empty list.  Null
-    texts have no paragraph.  Rows that share an id are one row; null ids are one.
+    and empty texts have no paragraph.  Rows that share an id are one row, repeated rows count their
+    notices again; null ids are one.  A text is read whole, line by line, however long.  Of families
+    that tie the first by name is believed, of templates the first.  An empty table gives no rows.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lines = scratch.table(paragraphs(own, "id", "text"), "lines")
-    model = fit(docs.sparkSession, lines.select("text"), sample)
+    model = fit(docs.sparkSession, lines.select("text"))
     found = notices(lines, model, least_shared).groupBy("id").agg(
         F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
         F.sum(F.col("confirmed").cast("long")).alias("n_notices"),
