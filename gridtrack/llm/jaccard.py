@@ -6,7 +6,10 @@ that have a hash in their prefix meet every near pair; lengths, places in the or
 sets, which bound what two can share, tell most others apart, and the rest is compared whole: no
 near pair is lost and none is guessed.
 
-Hashes in many prefixes of a sample (boilerplate) are put last in the order, so that texts meet by
+SimHash fingerprints of the sets (:mod:`gridtrack.llm.simhash`: two of 64 bits apart, or equal) propose
+pairs first; those that prove near link copies with few edits, and linked sets are not paired again.
+Pairs near 0.8 differ in some ten bits, which no index of few keys can promise to find; the join finds
+them.  Hashes in many prefixes of a sample (boilerplate) are put last in the order, so that texts meet by
 what is their own; any order gives the same pairs.  Within a list, sets are first compared with the list's smallest; sets that this links need no
 pairs among themselves, so families of edited copies cost a link each and not a pair each.
 """
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from gridtrack.llm.common import parts, scratch
-from gridtrack.llm.simhash import only
+from gridtrack.llm.simhash import links as fingerprint_links, only
 from gridtrack.operators.components import components
 
 WIDTH = 5
@@ -57,6 +60,12 @@ def _ordered(h: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.r_[h[~late], h[late]]
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes, signed: a bit is set where over half of them set it."""
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)).tobytes(), "big", signed=True)
+
+
 def bitmap(h: np.ndarray) -> bytes:
     """A bit for the first bits of each hash, out of a power of two of twice as many bits or more."""
     log = max(3, (2 * len(h) - 1).bit_length())
@@ -74,7 +83,7 @@ def _most_shared(x: bytes, y: bytes, m: int, n: int) -> int:
 
 
 def _signed(docs: DataFrame, common: np.ndarray, width: int, least: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """``(id, th, s, m, prefix, bits)`` per row: text hash, the set's hash and size; prefix and bitmap once a set and task."""
+    """``(id, th, s, m, prefix, bits, fp)`` per row: text hash, the set's hash and size; prefix, bitmap and fingerprint once a set and task."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     p, q = least.numerator, least.denominator
 
@@ -82,7 +91,7 @@ def _signed(docs: DataFrame, common: np.ndarray, width: int, least: Fraction, id
         late, seen = shared.value, set()
         for b in batches:
             for lo, hi in parts(b.column(2)):
-                s, m, prefix, bits = [], [], [], []
+                s, m, prefix, bits, fp = [], [], [], [], []
                 for text in b.column(2)[lo:hi].to_pylist():
                     h = shingles(text, width)
                     s.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
@@ -90,11 +99,12 @@ def _signed(docs: DataFrame, common: np.ndarray, width: int, least: Fraction, id
                     new = len(h) and s[-1] not in seen
                     seen.add(s[-1])
                     bits.append(bitmap(h) if new else None)
+                    fp.append(fingerprint(h) if new else None)
                     prefix.append(_ordered(h, late)[: len(h) + 1 + (-len(h) * p // q)].view(np.int64) if new else None)
-                yield pa.record_batch([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(s, pa.int64()), pa.array(m, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "th", "s", "m", "prefix", "bits"])
+                yield pa.record_batch([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(s, pa.int64()), pa.array(m, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fp, pa.int64())], names=["id", "th", "s", "m", "prefix", "bits", "fp"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, s long, m int, prefix array<long>, bits binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, s long, m int, prefix array<long>, bits binary, fp long")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -200,6 +210,15 @@ def _near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, least:
     return near
 
 
+def _proposed(sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sets(s, fp)`` that stand for each two fingerprints linked: the smallest sets
+    of both, and each set with the smallest of its own fingerprint."""
+    hub = sets.groupBy("fp").agg(F.min("s").alias("hub"))
+    same = sets.join(hub, "fp").where("s <> hub").select(F.col("hub").alias("x"), F.col("s").alias("y"))
+    met = fingerprint_links(hub.select("fp")).join(hub.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hub.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b").select("x", "y")
+    return same.unionByName(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: Fraction = LEAST, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, th, root)`` per row of ``docs``: root names the group, th is the text's hash.
 
@@ -216,11 +235,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: Fraction = LEAST
     sets = lists.select("s").distinct()
     sets = signed.where("prefix IS NOT NULL").join(sets, "s", "left_semi").groupBy("s").agg(F.min("th").alias("th"), F.first("m").alias("m"), F.first("bits").alias("bits"))
     sets = scratch.table(sets, "sets")
-    tried = scratch.table(_pairs(lists.withColumn("c", F.col("s")), least, True), "tried")
-    links = _near(tried, docs, sets, width, least, text_col)
-    found = components(links).select(F.col("node").alias("s"), F.col("root").alias("c"))
+    proposed = scratch.table(_proposed(signed.where("prefix IS NOT NULL").select("s", "fp").distinct()), "proposed")
+    links = _near(proposed, docs, sets, width, least, text_col)
+    linked = scratch.table(components(links), "linked").select(F.col("node").alias("s"), F.col("root").alias("c"))
+    named = lists.join(linked, "s", "left").withColumn("c", F.coalesce("c", "s"))
+    tried = scratch.table(_pairs(named, least, True).join(proposed, ["a", "b"], "left_anti"), "tried")
+    links = links.unionByName(_near(tried, docs, sets, width, least, text_col))
+    found = scratch.table(components(links), "linked").select(F.col("node").alias("s"), F.col("root").alias("c"))
     more = lists.join(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"), "key", "left_semi").join(found, "s", "left").withColumn("c", F.coalesce("c", "s"))
-    more = scratch.table(_pairs(more, least, False).join(tried, ["a", "b"], "left_anti"), "more")
+    more = scratch.table(_pairs(more, least, False).join(tried.unionByName(proposed), ["a", "b"], "left_anti"), "more")
     links = links.unionByName(_near(more, docs, sets, width, least, text_col))
     roots = components(links).select(F.col("node").alias("s"), "root")
     return signed.join(roots, "s", "left").select("id", "th", F.coalesce("root", "s").alias("root"))

@@ -14,6 +14,7 @@ spanning forest of a key's links is emitted; components are then found in Spark.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -161,20 +162,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("id", "th", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, least: Fraction | None = None) -> DataFrame:
     """One row of each group of near-duplicates, all columns as they were.
 
-    It has the group's smallest id and, of several texts with that id, the smallest hash; repeated
-    rows are one.  A group whose ids are all null keeps the row of the smallest text hash.
+    Without ``least``, groups are those of :func:`near_duplicates`.  With it, texts are near whose
+    distinct ``width``-word shingles have a Jaccard similarity of ``least`` or more: the fingerprint
+    index proposes pairs, each is compared exactly, and what no fingerprint promises to find is
+    found by a set-similarity join (:mod:`gridtrack.llm.jaccard`).
+
+    The row kept has the group's smallest id and, of several texts with that id, the smallest hash;
+    repeated rows are one.  A group whose ids are all null keeps the row of the smallest text hash.
     """
-    return only(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+    if least is None:
+        return only(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+    from gridtrack.llm import jaccard
+
+    return only(docs, jaccard.near_duplicates(docs, width, least, id_col=id_col, text_col=text_col), id_col, text_col)
+
+
+def _free(taken: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``taken`` has, in whatever case."""
+    low = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def only(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`keep_one` keeps, given their groups ``classes(id, th, root)``."""
+    text, key, th, n = _free(docs.columns, "_text", "_id", "_th", "_n")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("best")
-    chosen = classes.groupBy("root").agg(best).select(F.col("best.id").alias("_id"), F.col("best.th").alias("_th"))
-    own = docs.withColumn("_text", F.xxhash64(F.col(text_col).cast("string")))
-    kept = own.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi")
-    first = Window.partitionBy(id_col, "_text").orderBy(*[c for c in docs.columns if c not in (id_col, text_col)] or ["_text"])
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
+    chosen = classes.groupBy("root").agg(best).select(F.col("best.id").alias(key), F.col("best.th").alias(th))
+    own = docs.withColumn(text, F.xxhash64(F.col(text_col).cast("string")))
+    kept = own.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(text) == F.col(th)), "left_semi")
+    first = Window.partitionBy(id_col, text).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.col(text)])
+    return kept.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
