@@ -4,15 +4,18 @@ quality rules -> toxicity -> near-duplicates -> suffix-array de-duplication -> p
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
 and hands the table that was written to the next.  The first three stages drop rows, the fourth
-cuts repeated passages out of texts, the last turns documents into pieces of sequences.
+cuts repeated passages out of texts, the last turns documents into pieces of sequences.  Of the
+documents table the columns doc_id, text, lang, source and n_chars go through, others are left out.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridtrack import scratch
-from gridtrack.llm import jaccard, packing, quality, queries, suffix, toxicity
+from gridtrack.llm import packing, quality, queries, simhash, suffix, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Near: five-word shingles with a Jaccard similarity of 0.8 or more, compared exactly.  Documents
     without a word are alike and become one.
     """
-    return jaccard.keep_one(docs.select(*COLUMNS))
+    return simhash.keep_one(docs.select(*COLUMNS), width=5, least=Fraction(4, 5))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
