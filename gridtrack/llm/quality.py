@@ -31,7 +31,7 @@ ORDER = 4
 BITS = 16
 BOUNDARY = (1 << BITS) - 1
 SYMBOLS_A_WORD = 0.1
-PIECE = 1 << 21  # entries of one broadcast array
+PIECE = 1 << 18  # entries of one broadcast array
 HELD = 1 << 23  # entries a task keeps loaded
 MERGE = 1 << 21  # n-grams a counting task gathers before it folds them
 QUOTED = 8
@@ -226,9 +226,11 @@ class Pieces:
         for langs, m in groups:
             for r in range(m):
                 some = table.where(F.col("lang").isin(langs) & (F.pmod("code", F.lit(m)) == r)).select("lang", "code", *values).orderBy("lang", "code").toArrow()  # about ``piece`` rows
-                of = np.array(some.column("lang").to_pylist(), object)
+                coded = some.column("lang").combine_chunks().dictionary_encode() if some.num_rows else None
+                names = coded.dictionary.to_pylist() if coded is not None else []
+                of = coded.indices.to_numpy() if coded is not None else np.empty(0, np.int32)
                 arrays = [some.column(i).to_numpy() for i in range(1, some.num_columns)]
-                self.pieces.append((tuple(langs), m, r, len(of), spark.sparkContext.broadcast({lang: [a[of == lang] for a in arrays] for lang in langs})))
+                self.pieces.append((tuple(langs), m, r, len(of), spark.sparkContext.broadcast({lang: [a[of == (names.index(lang) if lang in names else -1)] for a in arrays] for lang in langs})))
 
     def find(self, lang: str, want: np.ndarray, shelf: dict) -> tuple[np.ndarray, ...]:
         """Values of the n-grams ``want``, NaN where there are none; ``shelf`` keeps loaded pieces."""

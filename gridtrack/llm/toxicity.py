@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from gridtrack.llm.common import parts, scratch
@@ -36,28 +37,39 @@ FIRST = 4  # blocks scored at once before the others are judged by their bounds
 MEMO = 200_000
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    """A lower-cased word and its stem; a space tells the stem from a word."""
-    return (word, f"{word[:STEM]} ")
+def terms_of(word: str) -> tuple[int, int]:
+    """Hashes of a lower-cased word and of its stem; a space tells the stem from a word."""
+    return xxhash.xxh64_intdigest(word) - (1 << 63), xxhash.xxh64_intdigest(f"{word[:STEM]} ") - (1 << 63)
 
 
 class Terms:
-    """Known terms of whole texts and their counts, with a bounded memo of words."""
+    """Known terms of whole texts and their counts, with a bounded memo of words; ``keys`` are sorted hashes."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.memo = vocabulary, Memo(MEMO)
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.memo = keys, Memo(MEMO)
 
-    def counts(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        memo, vocabulary = self.memo, self.vocabulary
-        for w, n in Counter(WORD.findall(text.lower())).items():
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms, ascending, and how often the text has them."""
+        words = Counter(WORD.findall(text.lower()))
+        memo, found, new = self.memo, {}, []
+        for w in words:
             if (ids := memo.get(w)) is None:
-                ids = tuple([i for t in terms_of(w) if (i := vocabulary.get(t)) is not None])
+                new.append(w)
+            else:
+                found[w] = ids
+        if new and len(self.keys):
+            want = np.array([h for w in new for h in terms_of(w)], np.int64)
+            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            at = np.where(self.keys[at] == want, at, -1).reshape(-1, 2).tolist()
+            for w, ids in zip(new, at, strict=True):
+                found[w] = ids = tuple(ids)
                 if len(w) <= 64:
                     memo.put(w, ids)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
-        return out
+        t = np.array(list(found.values()), np.int64).reshape(-1, 2)
+        n = np.repeat(np.fromiter((words[w] for w in found), np.int64, len(found)), 2)
+        t, own = t.ravel(), t.ravel() >= 0
+        ids, back = np.unique(t[own], return_inverse=True)
+        return ids, np.bincount(back, n[own], len(ids)).astype(np.int64)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -68,37 +80,36 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Index:
     """Unit vectors of examples in a block-max inverted index."""
 
-    def __init__(self, vectors: list[dict[int, int]], toxic: np.ndarray, terms: int, relevance: np.ndarray | None = None):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, terms: int, relevance: np.ndarray | None = None):
         self.n, self.toxic = len(vectors), toxic
-        df = np.bincount([t for v in vectors for t in v], minlength=terms)
+        df = np.zeros(terms, np.int64)
+        for t, _ in vectors:
+            df[t] += 1
         self.weigh = (np.log((1 + self.n) / (1 + df)) + 1) * (1.0 if relevance is None else relevance)
         self.blocks = -(-max(self.n, 1) // BLOCK)
-        parts_ = [self.unit(v) for v in vectors]
-        term = np.concatenate([t for t, _ in parts_]) if parts_ else np.empty(0, np.int64)
-        weight = np.concatenate([w for _, w in parts_]) if parts_ else np.empty(0)
-        who = np.repeat(np.arange(self.n), [len(t) for t, _ in parts_])
-        order = np.lexsort((who, term))
-        term, self.who, self.weight = term[order], who[order].astype(np.int32), weight[order]
+        size = np.array([len(t) for t, _ in vectors], np.int64)
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
+        weight = np.concatenate([self.unit(t, n) for t, n in vectors]).astype(np.float32) if vectors else np.empty(0, np.float32)
+        who = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        order = np.argsort(term, kind="stable")  # within a term by example
+        term, self.who, self.weight = term[order], who[order], weight[order]
         # a range of postings for each term and block that has it, with its largest weight
         key = term * self.blocks + self.who // BLOCK
         self.start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        self.size = np.diff(np.r_[self.start, len(key)])
+        self.size = np.diff(np.r_[self.start, len(key)]).astype(np.int32)
         self.block = (key[self.start] % self.blocks).astype(np.int32)
-        self.top = np.maximum.reduceat(self.weight, self.start) if len(key) else np.empty(0)
+        self.top = np.maximum.reduceat(self.weight, self.start) if len(key) else np.empty(0, np.float32)
         self.first = np.searchsorted(key[self.start] // self.blocks, np.arange(terms + 1))
 
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms, ascending, and their weights in a vector of length one."""
-        t = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.weigh[t]
-        order = np.argsort(t)
-        t, w = t[order], w[order]
+    def unit(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The terms' weights in a vector of length one."""
+        w = (1 + np.log(n)) * self.weigh[t]
         length = np.sqrt((w * w).sum())
-        return t, w / length if length else w
+        return w / length if length else w
 
-    def nearest(self, counts: dict[int, int], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, nearest first, ties to the smaller position."""
-        t, q = self.unit(counts)
+        q = self.unit(t, n)
         size = self.first[t + 1] - self.first[t]
         at, q = _ranges(self.first[t], size), np.repeat(q, size)
         block = self.block[at]
@@ -111,24 +122,22 @@ class Index:
             now[some] = left[some]
             left &= ~now
             own = now[block]
-            where, n = at[own], self.size[at[own]]
-            post = _ranges(self.start[where], n)
-            sums = np.bincount(self.who[post], np.repeat(q[own], n) * self.weight[post], self.n) if len(post) else np.zeros(self.n)
+            where, m = at[own], self.size[at[own]]
+            post = _ranges(self.start[where], m)
+            sums = np.bincount(self.who[post], np.repeat(q[own], m) * self.weight[post], self.n) if len(post) else np.zeros(self.n)
             if without >= 0:
                 sums[without] = 0
-            hit = np.flatnonzero(sums > max(0.0, cos[-1] - 1e-9 if len(cos) == k else 0.0))
+            hit = np.flatnonzero(sums > max(0.0, cos[-1] - 1e-6 if len(cos) == k else 0.0))
             ids, cos = np.concatenate([ids, hit]), np.concatenate([cos, sums[hit]])
-            order = np.lexsort((ids, -np.round(cos, 12)))[:k]
+            order = np.lexsort((ids, -np.round(cos, 6)))[:k]
             ids, cos = ids[order], cos[order]
             some = np.flatnonzero(left & (bound + 1e-6 >= cos[-1])) if len(cos) == k else np.flatnonzero(left)
             if not len(some):
                 return ids, cos
 
-    def vote(self, counts: dict[int, int], k: int, without: int = -1) -> tuple[float | None, np.ndarray]:
+    def vote(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1) -> tuple[float | None, np.ndarray]:
         """Distance-weighted share of toxic neighbours (None: no neighbour), and the neighbours."""
-        if not counts:
-            return None, np.empty(0, np.int64)
-        ids, cos = self.nearest(counts, k, without)
+        ids, cos = self.nearest(t, n, k, without) if len(t) else (np.empty(0, np.int64), np.empty(0))
         if not len(ids):
             return None, ids
         w = 1 / (1.05 - np.minimum(cos, 1))
@@ -152,22 +161,20 @@ def monotone(votes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], index: Index, ids: list, k: int):
+    def __init__(self, vocabulary: np.ndarray, index: Index, ids: list, k: int):
         self.vocabulary, self.index, self.ids, self.k = vocabulary, index, ids, k
         self.cuts, self.rates, self.none = np.empty(0), np.empty(0), 0.0
 
-    def calibrate(self, vectors: list[dict[int, int]], toxic: np.ndarray) -> None:
-        votes = [self.index.vote(v, self.k, i)[0] for i, v in enumerate(vectors)]
+    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> None:
+        votes = [self.index.vote(*v, self.k, i)[0] for i, v in enumerate(vectors)]
         has = np.array([v is not None for v in votes], bool)
         self.none = (float(toxic[~has].sum()) + 0.5) / (float((~has).sum()) + 1) if len(toxic) else 0.0
         if has.any():
             self.cuts, self.rates = monotone(np.array([v for v in votes if v is not None]), toxic[has])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list]:
+    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list]:
         """Probability and the ids of the neighbours that speak for it."""
-        if not counts:
-            return self.none, []
-        vote, ids = self.index.vote(counts, self.k)
+        vote, ids = self.index.vote(*counts, self.k)
         if vote is None or not len(self.cuts):
             return self.none, []
         at = max(int(np.searchsorted(self.cuts, vote, "right")) - 1, 0)
@@ -193,12 +200,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, k: int = 25, id_co
         names = list(both[0] | both[1])
         for lo in range(0, len(names), 50_000):
             some = names[lo : lo + 50_000]
-            yield pa.record_batch([pa.array(some), pa.array([both[1][f] for f in some], pa.int64()), pa.array([both[0][f] for f in some], pa.int64())], names=["f", "n1", "n0"])
+            yield pa.record_batch([pa.array(some, pa.int64()), pa.array([both[1][f] for f in some], pa.int64()), pa.array([both[0][f] for f in some], pa.int64())], names=["f", "n1", "n0"])
 
-    counted = examples.select("y", "text").mapInArrow(seen, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counted = examples.select("y", "text").mapInArrow(seen, "f long, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     total = examples.agg(F.sum((F.col("y") > 0).cast("long")).alias("n1"), F.sum((F.col("y") <= 0).cast("long")).alias("n0")).first()
     found = counted.orderBy("f").toArrow()
-    vocab = {f: i for i, f in enumerate(found.column("f").to_pylist())}
+    vocab = found.column("f").to_numpy()
     n1, n0 = found.column("n1").to_numpy(), found.column("n0").to_numpy()
     relevance = np.log2(2 + n1 / np.maximum(n0, 1) * (total["n0"] or 0) / max(total["n1"] or 0, 1)) ** 2
 
@@ -206,12 +213,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, k: int = 25, id_co
         terms = Terms(vocab)
         for x in batches:
             own = [terms.counts(t) for t in x.column(2).to_pylist()]
-            yield pa.record_batch([x.column(0), x.column(1), pa.array([list(f) for f in own], pa.list_(pa.int32())), pa.array([list(f.values()) for f in own], pa.list_(pa.int32()))], names=["id", "y", "t", "n"])
-
-    drawn = sorted(examples.select("id", "y", "text").mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").collect(), key=lambda r: (r["y"] <= 0, r["id"]))  # at most ``most`` rows
-    own = [dict(zip(r["t"], r["n"], strict=True)) for r in drawn]
-    toxic = np.array([r["y"] > 0 for r in drawn], np.int64)
-    model = Model(vocab, Index(own, toxic, len(vocab), relevance), [r["id"] for r in drawn], k)
+            yield pa.record_batch([x.column(0), x.column(1), pa.array([t.astype(np.int32) for t, _ in own], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in own], pa.list_(pa.int32()))], names=["id", "y", "t", "n"])
+
+    drawn = examples.select("id", "y", "text").mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").toArrow().combine_chunks()  # at most ``most`` rows
+    ids, toxic = drawn.column("id").to_numpy(), (drawn.column("y").to_numpy() > 0).astype(np.int64)
+    order = np.lexsort((ids, -toxic)).tolist()
+    t, n = (drawn.column(c).combine_chunks() for c in ("t", "n"))
+    own = [(t[i].values.to_numpy().astype(np.int64), n[i].values.to_numpy().astype(np.int64)) for i in order]
+    ids, toxic = ids[order].tolist(), toxic[order]
+    model = Model(vocab, Index(own, toxic, len(vocab), relevance), ids, k)
     model.calibrate(own, toxic)
     scratch.drop(examples)
     return model
