@@ -32,8 +32,8 @@ BITS = 16
 BOUNDARY = (1 << BITS) - 1
 SYMBOLS_A_WORD = 0.1
 PIECE = 1 << 18  # entries of one broadcast array
-HELD = 1 << 23  # entries a task keeps loaded
-MERGE = 1 << 21  # n-grams a counting task gathers before it folds them
+HELD = 1 << 21  # entries a task keeps loaded
+MERGE = 1 << 20  # n-grams a counting task gathers before it folds them
 QUOTED = 8
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -142,7 +142,7 @@ def counted(texts: DataFrame) -> DataFrame:
             held.clear()
 
         for b in batches:
-            for lo, hi in parts(b.column(0), 2 << 20):
+            for lo, hi in parts(b.column(0), 1 << 20):
                 texts, langs = b.column(0)[lo:hi].to_pylist(), b.column(1)[lo:hi].to_pylist()
                 for lang, own in _by_lang(langs).items():
                     fit = []
@@ -353,7 +353,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shelf: dict = {}
         for b in batches:
-            for lo, hi in parts(b.column(2), 2 << 20):
+            for lo, hi in parts(b.column(2), 1 << 20):
                 columns, _ = rows(schema)
                 texts, langs = b.column(2)[lo:hi].to_pylist(), b.column(3)[lo:hi].to_pylist()
                 log, events = log_probabilities(texts, langs, model, shelf)

@@ -7,9 +7,10 @@ times as often it stands in toxic examples as in the others (counted in Spark),
 go with neither label weigh least and no threshold depends on the number of examples.
 
 Examples become unit vectors in an inverted index cut into blocks of examples, toxic ones first,
-with each term's largest weight in each block.  A query bounds every block by those, scores the
-most promising whole, and then all others that could still reach its k-th best cosine, so the
-neighbours are exact.  They vote with a weight that falls with distance; a monotone fit over the
+with each term's largest weight in each block.  Terms that a sixteenth of the examples have are held
+as dense rows, whose part of all cosines is one product; with it and the other terms' largest
+weights a query bounds every block, scores the most promising whole, and then all others that could
+still reach its k-th best cosine, so the neighbours are exact.  They vote with a weight that falls with distance; a monotone fit over the
 examples, each scored without itself, turns votes into probabilities.  Texts without any term of an
 example get the rate among such examples.
 
@@ -33,8 +34,9 @@ from gridtrack.llm.packing import Memo
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 4
 BLOCK = 128
+OFTEN = 16  # a term that one example in so many has is a dense row
 FIRST = 4  # blocks scored at once before the others are judged by their bounds
-MEMO = 200_000
+MEMO = 100_000
 
 
 def terms_of(word: str) -> tuple[int, int]:
@@ -87,19 +89,28 @@ class Index:
             df[t] += 1
         self.weigh = (np.log((1 + self.n) / (1 + df)) + 1) * (1.0 if relevance is None else relevance)
         self.blocks = -(-max(self.n, 1) // BLOCK)
-        size = np.array([len(t) for t, _ in vectors], np.int64)
-        term = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
-        weight = np.concatenate([self.unit(t, n) for t, n in vectors]).astype(np.float32) if vectors else np.empty(0, np.float32)
-        who = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        often = np.flatnonzero(df * OFTEN > self.n)
+        self.row = np.full(terms, -1, np.int32)
+        self.row[often] = np.arange(len(often), dtype=np.int32)
+        self.rows = np.zeros((len(often), self.n), np.float32)
+        rare_t, rare_w, size = [], [], np.zeros(self.n, np.int64)
+        for i, (t, n) in enumerate(vectors):
+            w, r = self.unit(t, n).astype(np.float32), self.row[t]
+            self.rows[r[r >= 0], i] = w[r >= 0]
+            rare_t.append(t[r < 0].astype(np.int32))
+            rare_w.append(w[r < 0])
+            size[i] = len(rare_t[-1])
+        term = np.concatenate(rare_t) if rare_t else np.empty(0, np.int32)
         order = np.argsort(term, kind="stable")  # within a term by example
-        term, self.who, self.weight = term[order], who[order], weight[order]
+        term, self.who = term[order], np.repeat(np.arange(self.n, dtype=np.int32), size)[order]
+        self.weight = np.concatenate(rare_w)[order] if rare_w else np.empty(0, np.float32)
         # a range of postings for each term and block that has it, with its largest weight
-        key = term * self.blocks + self.who // BLOCK
-        self.start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        self.size = np.diff(np.r_[self.start, len(key)]).astype(np.int32)
-        self.block = (key[self.start] % self.blocks).astype(np.int32)
-        self.top = np.maximum.reduceat(self.weight, self.start) if len(key) else np.empty(0, np.float32)
-        self.first = np.searchsorted(key[self.start] // self.blocks, np.arange(terms + 1))
+        block = self.who // BLOCK
+        self.start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]).astype(np.int32) if len(term) else np.empty(0, np.int32)
+        self.size = np.diff(np.r_[self.start, len(term)]).astype(np.int32)
+        self.block = block[self.start].astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, self.start) if len(term) else np.empty(0, np.float32)
+        self.first = np.searchsorted(term[self.start], np.arange(terms + 1)).astype(np.int32)
 
     def unit(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The terms' weights in a vector of length one."""
@@ -109,11 +120,15 @@ class Index:
 
     def nearest(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, nearest first, ties to the smaller position."""
-        q = self.unit(t, n)
+        q, r = self.unit(t, n), self.row[t]
+        whole = np.zeros(len(self.rows), np.float32)
+        whole[r[r >= 0]] = q[r >= 0]
+        base = whole @ self.rows  # the frequent terms' part, for all examples
+        t, q = t[r < 0], q[r < 0]
         size = self.first[t + 1] - self.first[t]
         at, q = _ranges(self.first[t], size), np.repeat(q, size)
         block = self.block[at]
-        bound = np.bincount(block, q * self.top[at], self.blocks)
+        bound = np.bincount(block, q * self.top[at], self.blocks) + np.maximum.reduceat(base, np.arange(0, self.n, BLOCK))
         ids, cos = np.empty(0, np.int64), np.empty(0)
         left = bound > 0
         some = np.argsort(-bound, kind="stable")[:FIRST]
@@ -125,6 +140,7 @@ class Index:
             where, m = at[own], self.size[at[own]]
             post = _ranges(self.start[where], m)
             sums = np.bincount(self.who[post], np.repeat(q[own], m) * self.weight[post], self.n) if len(post) else np.zeros(self.n)
+            sums = np.where(np.repeat(now, BLOCK)[: self.n], sums + base, 0.0)
             if without >= 0:
                 sums[without] = 0
             hit = np.flatnonzero(sums > max(0.0, cos[-1] - 1e-6 if len(cos) == k else 0.0))
@@ -219,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, k: int = 25, id_co
     ids, toxic = drawn.column("id").to_numpy(), (drawn.column("y").to_numpy() > 0).astype(np.int64)
     order = np.lexsort((ids, -toxic)).tolist()
     t, n = (drawn.column(c).combine_chunks() for c in ("t", "n"))
-    own = [(t[i].values.to_numpy().astype(np.int64), n[i].values.to_numpy().astype(np.int64)) for i in order]
+    own = [(t[i].values.to_numpy(), n[i].values.to_numpy()) for i in order]
     ids, toxic = ids[order].tolist(), toxic[order]
     model = Model(vocab, Index(own, toxic, len(vocab), relevance), ids, k)
     model.calibrate(own, toxic)
