@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridtrack import scratch
 from gridtrack.operators import features
+from gridtrack.operators.components import components
 
 
 def direct(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -36,8 +38,59 @@ def temporal_rescue(cells: DataFrame, named: DataFrame, steps: DataFrame, least:
 
     ``steps(ts, seq)`` numbers all processed timesteps.
     """
-    own = cells.join(named, ["ts", "fid"]).join(F.broadcast(steps), "ts")
+    own = cells.join(named, ["ts", "fid"]).join(steps, "ts")
     big = own.where("category = 'large'").select(F.explode(F.array(F.col("seq") - 1, F.col("seq") + 1)).alias("seq"), F.col("seq").alias("from"), "x", "y")
     clutter = own.where("category LIKE 'clutter%'")
     met = clutter.join(big, ["seq", "x", "y"]).groupBy("ts", "fid", "n", "from").agg(F.count("*").alias("k"))
     return met.where(F.col("k") >= least * F.col("n")).select("ts", "fid").distinct()
+
+
+def merge_in_categories(cells: DataFrame, named: DataFrame) -> DataFrame:
+    """``(ts, x, y, v, fid, category)``: touching features of one category become one, by the smallest id."""
+    own = cells.join(named.select("ts", "fid", "category"), ["ts", "fid"])
+    pairs = features.neighbours(cells).select("ts", "fid", "nfid")
+    kinds = named.select("ts", "fid", "category")
+    same = pairs.join(kinds, ["ts", "fid"]).join(kinds.toDF("ts", "nfid", "other"), ["ts", "nfid"]).where("category = other")
+    key = lambda fid: F.shiftleft(F.col("ts"), 40) + F.col(fid)
+    roots = components(same.select(key("fid").alias("a"), key("nfid").alias("b")))
+    out = own.withColumn("node", key("fid")).join(roots, "node", "left")
+    return out.select("ts", "x", "y", "v", F.coalesce(F.col("root") % F.lit(1 << 40), "fid").alias("fid"), "category")
+
+
+def surgery(cells: DataFrame, medium: int, large: int, big: int) -> DataFrame:
+    """Cells with their features' final category: clutter0, clutter1 or large, all steps at once.
+
+    Obvious clutter; touching features of a category merged; small ones become medium; medium ones
+    that touch clutter1 are clutter1 too; the rest is large, merged again; clutter1 of ``big`` cells
+    and more is clutter0.  ``ts`` must fit 23 bits.
+    """
+    first = merge_in_categories(cells, categories(cells, medium, large))
+    first = scratch.table(first.withColumn("category", F.when(F.col("category") == "small", "medium").otherwise(F.col("category"))), "surgery")
+    kinds = first.select("ts", "fid", "category").distinct()
+    pairs = features.neighbours(first).join(kinds.toDF("ts", "nfid", "other"), ["ts", "nfid"])
+    touched = pairs.where("other = 'clutter1'").select("ts", "fid").distinct().withColumn("hit", F.lit(1))
+    name = F.when((F.col("category") == "medium") & F.col("hit").isNotNull(), "clutter1").when(F.col("category") == "medium", "large").otherwise(F.col("category"))
+    second = kinds.join(touched, ["ts", "fid"], "left").select("ts", "fid", name.alias("category"))
+    merged = scratch.table(merge_in_categories(first.drop("category"), second), "surgery")
+    sizes = merged.groupBy("ts", "fid").agg(F.count("*").alias("n"))
+    final = F.when((F.col("category") == "clutter1") & (F.col("n") >= big), "clutter0").otherwise(F.col("category"))
+    return merged.join(sizes, ["ts", "fid"]).select("ts", "x", "y", "v", "fid", final.alias("category"))
+
+
+def associates(pairs: DataFrame, names: list[str], empty: bool = False) -> DataFrame:
+    """``(ts, fid_a, name, n)``: how many partners of each name a feature of ``pairs(ts, fid_a, name, fid_b)`` has."""
+    n = pairs.where(F.col("name").isin(names)).groupBy("ts", "fid_a", "name").agg(F.countDistinct("fid_b").alias("n"))
+    if not empty:
+        return n
+    every = pairs.select("ts", "fid_a").distinct().withColumn("name", F.explode(F.array(*map(F.lit, names))))
+    return every.join(n, ["ts", "fid_a", "name"], "left").na.fill(0, ["n"])
+
+
+def resolved(pairs: DataFrame, known: DataFrame, missing: str = "error") -> DataFrame:
+    """``pairs(ts, fid_a, fid_b)`` whose partner is in ``known(ts, fid)``; others are an error, or ignored."""
+    if missing not in ("error", "ignore"):
+        raise ValueError(missing)
+    there = known.select("ts", F.col("fid").alias("fid_b")).distinct()
+    if missing == "error" and pairs.join(there, ["ts", "fid_b"], "left_anti").limit(1).count():
+        raise ValueError("a partner is not there")
+    return pairs.join(there, ["ts", "fid_b"], "left_semi")

@@ -164,7 +164,8 @@ def split(cells: DataFrame, level: float, connectivity: int = 8, seed_minsize: i
     """Split features at a level: parts above it are seeds that grow back over their feature.
 
     Each ring of free cells of the feature goes to the seed with most direct, then diagonal
-    neighbours, then the larger part, then the smaller id.  A feature without seed stays whole.
+    neighbours, then the larger part, then the stronger (sum of values), then the smaller id.  A
+    feature without seed stays whole.
     """
     near = [(dx, dy, int(dx == 0 or dy == 0)) for dx, dy in field_ops.EIGHT]
 
@@ -184,6 +185,9 @@ def split(cells: DataFrame, level: float, connectivity: int = 8, seed_minsize: i
         free = [i for i in range(len(number)) if part[i] < 0 and fid[i] in has]
         while free:
             sizes = dict(zip(*(z.tolist() for z in np.unique(part[part >= 0], return_counts=True)), strict=True))
+            sums: dict[int, float] = {}
+            for p, z in zip(part[part >= 0].tolist(), v[part >= 0].tolist(), strict=True):
+                sums[p] = sums.get(p, 0.0) + z
             won, rest = [], []
             for i in free:
                 claims: dict[int, list[int]] = {}
@@ -192,7 +196,7 @@ def split(cells: DataFrame, level: float, connectivity: int = 8, seed_minsize: i
                     if j is not None and part[j] >= 0 and fid[j] == fid[i] and (d or connectivity == 8):
                         claims.setdefault(int(part[j]), [0, 0])[1 - d] += 1
                 if claims:
-                    won.append((i, max(claims, key=lambda p: (*claims[p], sizes[p], -p))))
+                    won.append((i, max(claims, key=lambda p: (*claims[p], sizes[p], sums[p], -p))))
                 else:
                     rest.append(i)
             if not won:
@@ -218,20 +222,25 @@ def cluster_filter(mask: DataFrame, minsize: int) -> DataFrame:
 def distance_to_features(cells: DataFrame, nx: int, ny: int) -> DataFrame:
     """Distance in cells of every grid cell of the cells' steps to the nearest feature cell.
 
-    Separable: along each row to the nearest feature cell, then the least of dx^2 + dy^2 over the
-    rows of a column; both work on one row or column of one step.
+    A step is a task, bounded by its grid.  Separable: along each row to the nearest feature cell,
+    then the least of dx^2 + dy^2 over the rows, a row at a time.
     """
-    steps = cells.select("ts").distinct()
-    grid = steps.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
-    hit = cells.select("ts", "x", "y").distinct().withColumn("at", F.col("x"))
-    row = Window.partitionBy("ts", "y").orderBy("x")
-    left = F.last("at", True).over(row.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("at", True).over(row.rowsBetween(0, Window.unboundedFollowing))
-    rows = grid.join(hit, ["ts", "x", "y"], "left").withColumn("d", F.least(F.col("x") - left, right - F.col("x")))
-    columns = rows.groupBy("ts", "x").agg(F.collect_list(F.struct("y", (F.col("d") * F.col("d")).alias("d2"))).alias("c"))  # ny rows
-    out = columns.select("ts", "x", F.explode("c").alias("own"), "c")
-    least = F.array_min(F.transform("c", lambda z: z.d2 + F.pow(z.y - F.col("own.y"), 2)))
-    return out.select("ts", "x", F.col("own.y").alias("y"), F.sqrt(least).alias("dist"))
+
+    def run(t: pa.Table) -> pa.Table:
+        hit = np.zeros((nx, ny), bool)
+        hit[t.column("x").to_numpy(), t.column("y").to_numpy()] = True
+        at = np.arange(nx)[:, None]
+        left = np.maximum.accumulate(np.where(hit, at, -(1 << 30)), axis=0)
+        right = np.minimum.accumulate(np.where(hit, at, 1 << 30)[::-1], axis=0)[::-1]
+        d2 = np.minimum(at - left, right - at).astype(float) ** 2
+        best = np.full((nx, ny), np.inf)
+        for y in range(ny):
+            best = np.minimum(best, d2[:, y : y + 1] + (np.arange(ny) - y)[None, :] ** 2)
+        x, y = np.meshgrid(np.arange(nx), np.arange(ny), indexing="ij")
+        ts = t.column("ts")[0].as_py()
+        return pa.table({"ts": pa.array(np.full(nx * ny, ts, np.int64)), "x": pa.array(x.ravel(), pa.int32()), "y": pa.array(y.ravel(), pa.int32()), "dist": pa.array(np.sqrt(best).ravel())})
+
+    return cells.select("ts", "x", "y").groupBy("ts").applyInArrow(run, "ts long, x int, y int, dist double")
 
 
 def replace_values(cells: DataFrame, field: DataFrame) -> DataFrame:
@@ -245,9 +254,16 @@ def on_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
     return cells.join(m, ["ts", "x", "y"], "left").groupBy(*KEY).agg(F.count("*").alias("n"), F.count("m").alias("n_mask"))
 
 
-def overlapping_boxes(cells: DataFrame) -> DataFrame:
-    """Pairs ``fid < nfid`` of a step whose bounding boxes meet, with the meeting box."""
+def overlapping_boxes(cells: DataFrame, bin: int = 16) -> DataFrame:
+    """Pairs ``fid < nfid`` of a step whose bounding boxes meet, with the meeting box.
+
+    Boxes are sent to the bins of a coarse grid that they touch; a pair is taken in the bin of its
+    meeting box's lower corner.
+    """
     box = cells.groupBy(*KEY).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    other = box.toDF("ts", "nfid", "nx0", "nx1", "ny0", "ny1")
-    met = box.join(other, "ts").where("fid < nfid AND x0 <= nx1 AND nx0 <= x1 AND y0 <= ny1 AND ny0 <= y1")
+    bins = lambda a, b: F.sequence(F.floor(F.col(a) / bin), F.floor(F.col(b) / bin))
+    dealt = box.withColumn("bx", F.explode(bins("x0", "x1"))).withColumn("by", F.explode(bins("y0", "y1")))
+    other = dealt.toDF("ts", "nfid", "nx0", "nx1", "ny0", "ny1", "bx", "by")
+    met = dealt.join(other, ["ts", "bx", "by"]).where("fid < nfid AND x0 <= nx1 AND nx0 <= x1 AND y0 <= ny1 AND ny0 <= y1")
+    met = met.where((F.col("bx") == F.floor(F.greatest("x0", "nx0") / bin)) & (F.col("by") == F.floor(F.greatest("y0", "ny0") / bin)))
     return met.select("ts", "fid", "nfid", F.greatest("x0", "nx0").alias("xmin"), F.greatest("y0", "ny0").alias("ymin"), F.least("x1", "nx1").alias("xmax"), F.least("y1", "ny1").alias("ymax"))

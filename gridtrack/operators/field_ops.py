@@ -175,13 +175,18 @@ def smooth(field: DataFrame, sigma: float, nx: int, ny: int, truncate: float = 4
     r = int(truncate * sigma + 0.5)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
     total = sum(weights)
-    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / total).alias("w")) for k, w in zip(range(-r, r + 1), weights, strict=True)])
     for axis, n, other in (("x", nx, "y"), ("y", ny, "x")):
-        # a value goes to every cell whose window, reflected at the edges, meets it
-        cells = field.select("ts", other, "v", F.col(axis).alias("i")).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        m = F.pmod(F.col("to") + F.col("t.k"), F.lit(2 * n))
-        hit = F.when(m < n, m).otherwise(2 * n - 1 - m) == F.col("i")
-        field = cells.withColumn("t", F.explode(taps)).where(hit).groupBy("ts", F.col("to").alias(axis), other).agg(F.sum(F.col("v") * F.col("t.w")).alias("v")).select("ts", "x", "y", "v")
+        # a value goes to the cells whose window meets it, straight or mirrored at an edge: as many rows as taps
+        reach: dict[tuple[int, int], float] = {}
+        for k, w in zip(range(-r, r + 1), weights, strict=True):
+            for to in range(n):
+                m = (to + k) % (2 * n)
+                source = m if m < n else 2 * n - 1 - m
+                reach[source, to] = reach.get((source, to), 0.0) + w / total
+        rows = [[(to, w) for (source, to), w in sorted(reach.items()) if source == i] for i in range(n)]
+        table = F.array(*[F.array(*[F.struct(F.lit(to).alias("to"), F.lit(w).alias("w")) for to, w in row]) for row in rows])
+        sent = field.select("ts", other, "v", F.explode(F.element_at(table, F.col(axis) + 1)).alias("t"))
+        field = sent.groupBy("ts", F.col("t.to").alias(axis), other).agg(F.sum(F.col("v") * F.col("t.w")).alias("v")).select("ts", "x", "y", "v")
     return field
 
 
@@ -199,3 +204,80 @@ def filter_by_field(points: DataFrame, other: DataFrame, limit: float, below: bo
 def filter_edge(points: DataFrame, band: int, nx: int, ny: int) -> DataFrame:
     """Points at least ``band`` cells inside the domain."""
     return points.where(F.col("x").between(band, nx - 1 - band) & F.col("y").between(band, ny - 1 - band))
+
+
+def frame(field: DataFrame, n: int, value: float, nx: int, ny: int) -> DataFrame:
+    """The ``n`` outermost cells set to a constant, so that contours close."""
+    inside = F.col("x").between(n, nx - 1 - n) & F.col("y").between(n, ny - 1 - n)
+    return field.withColumn("v", F.when(inside, F.col("v")).otherwise(F.lit(float(value))))
+
+
+def halo(field: DataFrame, nx: int, ny: int, periodic: bool) -> DataFrame:
+    """The field with a ring of cells around it, -1 and nx: the other side's where x is periodic, else copies of the edge."""
+    x = F.col("x")
+    if periodic:
+        copies = F.array_compact(F.array(x, F.when(x == 0, F.lit(nx)), F.when(x == nx - 1, F.lit(-1))))
+    else:
+        copies = F.array_compact(F.array(x, F.when(x == 0, F.lit(-1)), F.when(x == nx - 1, F.lit(nx))))
+    wide = field.withColumn("x", F.explode(copies))
+    y = F.col("y")
+    return wide.withColumn("y", F.explode(F.array_compact(F.array(y, F.when(y == 0, F.lit(-1)), F.when(y == ny - 1, F.lit(ny))))))
+
+
+_RING = {name: 1 << i for i, name in enumerate(("N", "NE", "E", "SE", "S", "SW", "W", "NW"))}
+_AT = {"N": (0, 1), "NE": (1, 1), "E": (1, 0), "SE": (1, -1), "S": (0, -1), "SW": (-1, -1), "W": (-1, 0), "NW": (-1, 1)}
+BRIDGED = [("W", "E"), ("N", "S"), ("NE", "SW"), ("SE", "NW"), ("NE", "S"), ("NE", "W"), ("SE", "N"), ("SE", "W"), ("NW", "S"), ("NW", "E"), ("SW", "N"), ("SW", "E")]
+
+
+def join_lines(mask: DataFrame, nx: int, ny: int) -> DataFrame:
+    """Cells of ``mask(ts, x, y)``, and those between two of them that close a gap in a line."""
+    offs = F.array(*[F.struct(F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy"), F.lit(_RING[k]).alias("bit")) for k, (dx, dy) in _AT.items()])
+    sent = mask.select("ts", "x", "y", F.explode(offs).alias("o")).select("ts", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("o.bit").alias("bit"))
+    ring = sent.where(F.col("x").between(0, nx - 1) & F.col("y").between(0, ny - 1)).groupBy("ts", "x", "y").agg(F.sum(F.col("bit")).cast("int").alias("ring"))
+    ok = F.lit(False)
+    for a, b in BRIDGED:
+        both = _RING[a] | _RING[b]
+        ok |= F.col("ring").bitwiseAND(F.lit(both)) == both
+    return mask.select("ts", "x", "y").unionByName(ring.where(ok).select("ts", "x", "y")).distinct()
+
+
+def unrotate(u: Column, v: Column, rlon: Column, rlat: Column, pole_lat: float) -> tuple[Column, Column]:
+    """Wind on a rotated grid as wind to the east and north, at rotated coordinates in degrees."""
+    import math as m
+
+    p = m.radians(pole_lat)
+    lon, lat = F.radians(rlon), F.radians(rlat)
+    sin = F.cos(lon) * m.cos(p) * F.cos(lat) + m.sin(p) * F.sin(lat)
+    cos = F.sqrt(1 - sin * sin)
+    a = (F.cos(lat) * m.sin(p) - m.cos(p) * F.cos(lon) * F.sin(lat)) / cos
+    b = m.cos(p) * F.sin(lon) / cos
+    return u * a + v * b, v * a - u * b
+
+
+def climatology(field: DataFrame, month: Column, threshold: float) -> DataFrame:
+    """``(x, y, season, n, frequency, mean, variance)``: how often a cell is over the threshold, by season."""
+    season = F.when(month.isin(12, 1, 2), "DJF").when(month.isin(3, 4, 5), "MAM").when(month.isin(6, 7, 8), "JJA").otherwise("SON")
+    return field.groupBy("x", "y", season.alias("season")).agg(F.count("*").alias("n"), F.avg((F.col("v") >= threshold).cast("double")).alias("frequency"), F.avg("v").alias("mean"), F.var_pop("v").alias("variance"))
+
+
+def zones_with_hole(mask: DataFrame) -> DataFrame:
+    """Zone code 10 * zx + zy of the surroundings of a rectangle with a rectangular hole: 1 before it, 2 before
+    the hole, 3 as far as the hole, 4 after it, 5 after the rectangle.  ``mask(ts, x, y, m, hole)``.
+    """
+    w = Window.partitionBy("ts")
+
+    def z(c: str) -> Column:
+        edge = lambda f, flag: f(F.when(F.col(flag), F.col(c))).over(w)
+        return F.when(F.col(c) < edge(F.min, "m"), 1).when(F.col(c) > edge(F.max, "m"), 5).when(F.col(c) < edge(F.min, "hole"), 2).when(F.col(c) > edge(F.max, "hole"), 4).otherwise(3)
+
+    return mask.select(*CELL, (10 * z("x") + z("y")).alias("zone"))
+
+
+def crop(mask: DataFrame, pad: int = 0) -> DataFrame:
+    """Cells of the box around the true cells of ``mask(ts, x, y, m)`` and ``pad`` more, counted from its corner."""
+    w = Window.partitionBy("ts")
+    low = lambda c: F.min(F.when(F.col("m"), F.col(c))).over(w) - pad
+    high = lambda c: F.max(F.when(F.col("m"), F.col(c))).over(w) + pad
+    box = mask.withColumns({"x0": low("x"), "x1": high("x"), "y0": low("y"), "y1": high("y")})
+    box = box.where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+    return box.select("ts", (F.col("x") - F.greatest("x0", F.lit(0))).alias("x"), (F.col("y") - F.greatest("y0", F.lit(0))).alias("y"), "m")

@@ -19,13 +19,18 @@ SHIFT = 40  # a vertex is seq * 2**SHIFT + fid
 
 
 def steps_of(field: DataFrame) -> DataFrame:
-    """``(ts, seq)`` of all steps of a field; the steps of a period are few, the cells are not."""
-    return field.select("ts").distinct().select("ts", F.row_number().over(Window.orderBy("ts")).cast("long").alias("seq"))
+    """``(ts, seq)`` of all steps of a field, numbered from 1 by ranges: no task sees them all."""
+    ranged = field.select("ts").distinct().repartitionByRange("ts").withColumn("part", F.spark_partition_id())
+    ranged = scratch.table(ranged, "steps")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("k"))
+    before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("part").orderBy("ts"))
+    return ranged.join(before, "part").select("ts", (own + F.col("before")).cast("long").alias("seq"))
 
 
 def overlaps(cells: DataFrame, steps: DataFrame) -> DataFrame:
     """``(seq, fid, nseq, nfid, n_overlap, n, nn)``: features of a step and the next that share cells, with sizes."""
-    own = cells.join(F.broadcast(steps), "ts").select("seq", "x", "y", "fid")
+    own = cells.join(steps, "ts").select("seq", "x", "y", "fid")
     sizes = own.groupBy("seq", "fid").agg(F.count("*").alias("n"))
     ahead = own.select((F.col("seq") - 1).alias("seq"), "x", "y", F.col("fid").alias("nfid"))
     met = own.join(ahead, ["seq", "x", "y"]).groupBy("seq", "fid", "nfid").agg(F.count("*").alias("n_overlap"))
@@ -47,18 +52,17 @@ def candidates(met: DataFrame, alpha: float = 0.5, max_children: int = 4, min_si
     step before.  Subsets grow one id at a time, in ascending order, up to ``max_children``, so no
     more are built than are asked for.
     """
-    fwd = met.select("seq", F.lit(True).alias("forward"), F.col("fid").alias("parent"), F.col("n").alias("size"), F.struct(F.col("nfid").alias("fid"), F.col("nn").alias("n"), F.col("n_overlap").alias("o")).alias("c"))
-    bwd = met.select("seq", F.lit(False).alias("forward"), F.col("nfid").alias("parent"), F.col("nn").alias("size"), F.struct("fid", F.col("n").alias("n"), F.col("n_overlap").alias("o")).alias("c"))
-    whole = fwd.unionByName(bwd).groupBy("seq", "forward", "parent", "size").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    grown = whole.withColumn("sets", F.transform("cs", lambda c: F.array(c)))
-    every = [grown.select("seq", "forward", "parent", "size", F.explode("sets").alias("children"))]
-    for _ in range(max_children - 1):
-        more = F.expr("flatten(transform(sets, s -> transform(filter(cs, c -> c.fid > element_at(s, -1).fid), c -> concat(s, array(c)))))")
-        grown = grown.withColumn("sets", more).where("size(sets) > 0")
-        every.append(grown.select("seq", "forward", "parent", "size", F.explode("sets").alias("children")))
-    out = every[0]
-    for e in every[1:]:
-        out = out.unionByName(e)
+    pair = lambda fid, n: F.struct(F.col(fid).alias("fid"), F.col(n).alias("n"), F.col("n_overlap").alias("o"))
+    fwd = F.struct(F.lit(True).alias("forward"), F.col("fid").alias("parent"), F.col("n").alias("size"), pair("nfid", "nn").alias("c"))
+    bwd = F.struct(F.lit(False).alias("forward"), F.col("nfid").alias("parent"), F.col("nn").alias("size"), pair("fid", "n").alias("c"))
+    both = met.select("seq", F.explode(F.array(fwd, bwd)).alias("e")).select("seq", "e.*")
+    grown = both.groupBy("seq", "forward", "parent", "size").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    grown = grown.withColumn("sets1", F.transform("cs", lambda c: F.array(c)))
+    for k in range(2, max_children + 1):
+        more = F.expr(f"flatten(transform(sets{k - 1}, s -> transform(filter(cs, c -> c.fid > element_at(s, -1).fid), c -> concat(s, array(c)))))")
+        grown = grown.withColumn(f"sets{k}", more)
+    every = F.concat(*(F.col(f"sets{k}") for k in range(1, max_children + 1)))
+    out = grown.select("seq", "forward", "parent", "size", F.explode(every).alias("children"))
     out = out.where("forward OR size(children) > 1")
     total = F.aggregate("children", F.lit(0).cast("long"), lambda s, c: s + c.n)
     shared = F.aggregate("children", F.lit(0).cast("long"), lambda s, c: s + c.o)
@@ -111,7 +115,7 @@ def vertices(cells: DataFrame, steps: DataFrame, links: DataFrame) -> DataFrame:
     start or genesis without a predecessor, continuation with one, merging with more; /splitting
     with more than one successor, /lysis or /stop at the end; continuation gives way to its suffix.
     """
-    own = cells.join(F.broadcast(steps), "ts").groupBy("seq", "fid").agg(F.count("*").alias("n"))
+    own = cells.join(steps, "ts").groupBy("seq", "fid").agg(F.count("*").alias("n"))
     n_out = links.groupBy("seq", F.col("src").alias("fid")).agg(F.count("*").alias("n_out"))
     n_in = links.groupBy((F.col("seq") + 1).alias("seq"), F.col("dst").alias("fid")).agg(F.count("*").alias("n_in"))
     span = steps.agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
@@ -132,14 +136,14 @@ def tracks(own: DataFrame, links: DataFrame) -> DataFrame:
 
 def track(cells: DataFrame, steps: DataFrame, alpha: float = 0.5, max_children: int = 4, min_size: float = 0.0, min_overlap: float = 0.0, min_p_tot: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Vertices with their track, and edges."""
-    found = candidates(overlaps(cells, steps), alpha, max_children, min_size, min_overlap)
+    found = scratch.table(candidates(overlaps(cells, steps), alpha, max_children, min_size, min_overlap), "candidates")
     links = scratch.table(edges(assign(found, min_p_tot), alpha), "links")
     return tracks(vertices(cells, steps, links), links), links
 
 
 def track_stats(cells: DataFrame, steps: DataFrame, own: DataFrame) -> DataFrame:
     """A row a track: duration, sizes, footprint, path of the size-weighted mean centres."""
-    placed = cells.join(F.broadcast(steps), "ts").join(own.select("seq", "fid", "track"), ["seq", "fid"])
+    placed = cells.join(steps, "ts").join(own.select("seq", "fid", "track"), ["seq", "fid"])
     feet = placed.groupBy("track", "x", "y").agg(F.count("*").alias("k")).groupBy("track").agg(F.count("*").alias("footprint_n"), F.max("k").alias("max_feature_count"))
     per = placed.groupBy("track", "seq").agg(F.count("*").alias("n"), F.avg("x").alias("xm"), F.avg("y").alias("ym"))
     w = Window.partitionBy("track").orderBy("seq")
@@ -165,7 +169,7 @@ def group(table: DataFrame, criteria: dict[str, float]) -> DataFrame:
 def project(cells: DataFrame, steps: DataFrame, own: DataFrame) -> DataFrame:
     """Rasters of track id, duration and age; where tracks overlap the larger id wins."""
     v = own.join(own.groupBy("track").agg(F.min("seq").alias("s0"), (F.max("seq") - F.min("seq")).alias("duration")), "track")
-    placed = cells.join(F.broadcast(steps), "ts").join(v.select("seq", "fid", "track", "s0", "duration"), ["seq", "fid"])
+    placed = cells.join(steps, "ts").join(v.select("seq", "fid", "track", "s0", "duration"), ["seq", "fid"])
     best = F.max(F.struct("track", "duration", (F.col("seq") - F.col("s0")).alias("age")))
     return placed.groupBy("ts", "x", "y").agg(best.alias("b")).select("ts", "x", "y", F.col("b.track").alias("track"), F.col("b.duration").alias("duration"), F.col("b.age").alias("age"))
 
@@ -190,6 +194,72 @@ def legacy_probability(met: DataFrame, min_overlap: float = 0.1, max_area: float
 
 def associated(own: DataFrame, steps: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(track, n_associated, ts_associated)``: features and steps of a track with a partner in ``pairs(ts, fid_a)``."""
-    some = pairs.select("ts", F.col("fid_a").alias("fid")).distinct().join(F.broadcast(steps), "ts").select("seq", "fid", F.lit(1).alias("hit"))
+    some = pairs.select("ts", F.col("fid_a").alias("fid")).distinct().join(steps, "ts").select("seq", "fid", F.lit(1).alias("hit"))
     met = own.join(some, ["seq", "fid"], "left")
     return met.groupBy("track").agg(F.count("hit").alias("n_associated"), F.countDistinct(F.when(F.col("hit") == 1, F.col("seq"))).alias("ts_associated"))
+
+
+def measures(cells: DataFrame, steps: DataFrame, own: DataFrame) -> DataFrame:
+    """A row a track: further criteria, each by the name it has as a grouping criterion.
+
+    Footprints over sizes, widths (features a step), values of the features' statistics, hull of the
+    path of mean centres; a hull of points on a line has the length of their distance and no area.
+    """
+    from gridtrack.operators import geometry
+
+    placed = cells.join(steps, "ts").join(own.select("seq", "fid", "track"), ["seq", "fid"])
+    feet = placed.groupBy("track").agg(F.countDistinct("x", "y").alias("footprint_n"))
+    per = placed.groupBy("track", "seq").agg(F.count("*").alias("n"), F.countDistinct("fid").alias("width"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    ts = per.groupBy("track").agg(F.median("n").alias("tmed"), F.percentile("n", 0.9).alias("t90"), F.avg("n").alias("tavg"), F.max("n").alias("tmax"), F.avg("width").alias("mean_width"), F.max("width").alias("max_width"))
+    a = F.abs("v")
+    feature = placed.groupBy("track", "seq", "fid").agg(F.count("*").alias("n"), F.median("v").alias("med"), F.avg("v").alias("avg"), F.avg(a).alias("aavg"), F.median(a).alias("amed"))
+    sizes = feature.groupBy("track").agg(
+        F.median("n").alias("nmed"), F.percentile("n", 0.8).alias("n80"), F.avg("n").alias("navg"), F.max("n").alias("nmax"),
+        F.median(F.abs("med")).alias("values_med_abs_med"), F.avg(F.abs("avg")).alias("values_mean_abs_mean"), F.median(F.abs("avg")).alias("values_med_abs_mean"),
+        F.median("aavg").alias("values_med_mean_abs"), F.median("amed").alias("values_med_med_abs"), F.sort_array(F.collect_list("n")).alias("features_n"),
+    )
+    w = Window.partitionBy("track").orderBy("seq")
+    moved = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
+    path = per.withColumn("moved", moved).groupBy("track").agg(F.coalesce(F.sum("moved"), F.lit(0.0)).alias("distance"))
+    hull = geometry.hulls(per.select("track", "x", "y"), ["track"])
+    out = feet.join(ts, "track").join(sizes, "track").join(path, "track").join(hull, "track")
+    rel = lambda c: F.col("footprint_n") / F.col(c)
+    return out.select(
+        "track", F.log10("footprint_n").alias("footprint_n__log10"), (F.col("t90") - F.col("tmed")).alias("features_ts_n__p90_minus_median"),
+        rel("nmed").alias("footprint_n_rel__median"), rel("n80").alias("footprint_n_rel__p80"), rel("navg").alias("footprint_n_rel__mean"), rel("nmax").alias("footprint_n_rel__max"),
+        rel("tmed").alias("footprint_n_ts_rel__median"), rel("tavg").alias("footprint_n_ts_rel__mean"), rel("tmax").alias("footprint_n_ts_rel__max"),
+        "values_med_abs_med", "values_mean_abs_mean", "values_med_abs_mean", "values_med_mean_abs", "values_med_med_abs",
+        "mean_width", "max_width", F.col("hull_len").alias("mean_centers_ts_hull_len"), F.col("hull_area").alias("mean_centers_ts_hull_area"),
+        F.when(F.col("distance") > 0, F.col("hull_len") / F.col("distance")).otherwise(2.0).alias("mean_centers_ts_hull_len__per__distance_mean_centers"),
+        F.when(F.col("hull_len") > 0, F.col("hull_area") / F.col("hull_len")).alias("mean_centers_ts_hull__area_per_len"), F.lit(-1).alias("max_length"), "features_n",
+    )
+
+
+def holes(cells: DataFrame, steps: DataFrame, own: DataFrame) -> DataFrame:
+    """``(track, n_holes_sum, n_holes_mean, n_holes_median)`` over a track's features."""
+    from gridtrack.operators import rings
+
+    found = rings.rings(cells, 8).where("seq = 0").groupBy("ts", "fid").agg(F.count(F.when(F.col("kind") == "hole", 1)).alias("k"))
+    met = found.join(steps, "ts").join(own.select("seq", "fid", "track"), ["seq", "fid"])
+    return met.groupBy("track").agg(F.sum("k").alias("n_holes_sum"), F.avg("k").alias("n_holes_mean"), F.median("k").alias("n_holes_median"))
+
+
+def ages(own: DataFrame) -> DataFrame:
+    """``own`` with the age of each vertex: the steps its track has had before."""
+    return own.withColumn("age", F.dense_rank().over(Window.partitionBy("track").orderBy("seq")) - 1)
+
+
+def named(own: DataFrame, steps: DataFrame) -> DataFrame:
+    """``(track, id)``: ids as a first timestep times 10,000 and a number from 0, in order of the tracks."""
+    first = own.groupBy("track").agg(F.min("seq").alias("seq")).join(steps, "seq")
+    return first.select("track", (F.col("ts") * 10_000 + F.row_number().over(Window.partitionBy("ts").orderBy("track")) - 1).alias("id"))
+
+
+def longest(stats: DataFrame, least: int) -> DataFrame:
+    """Tracks of at least that duration."""
+    return stats.where(F.col("duration") >= least)
+
+
+def is_time_to_split(step: int, interval: int) -> bool:
+    """Whether active tracks are to be split after the step of this number, counted from 0."""
+    return step > 0 and interval > 0 and step % interval == 0

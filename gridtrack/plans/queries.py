@@ -120,9 +120,10 @@ def field_diffuse_3(spark, d):
     return rounded(field_ops.diffuse(fields.embeddings(spark, d), 3), 5)
 
 
-GRAD = """g AS (SELECT f.ts, f.x, f.y, f.v, (e.v - w.v) / (1.111775 * 2 * 0.5 * cos(radians(-40.0 + f.y * 0.5))) AS gx, (n.v - s.v) / (1.111775 * 2 * 0.5) AS gy
-  FROM f LEFT JOIN f e ON e.ts = f.ts AND e.y = f.y AND e.x = f.x + 1 LEFT JOIN f w ON w.ts = f.ts AND w.y = f.y AND w.x = f.x - 1
-  LEFT JOIN f n ON n.ts = f.ts AND n.x = f.x AND n.y = f.y + 1 LEFT JOIN f s ON s.ts = f.ts AND s.x = f.x AND s.y = f.y - 1)"""
+# the grid is dense: a neighbour is the row before or after
+GRAD = """m AS MATERIALIZED (SELECT * FROM f),
+g AS (SELECT ts, x, y, v, (lead(v) OVER bx - lag(v) OVER bx) / (1.111775 * 2 * 0.5 * cos(radians(-40.0 + y * 0.5))) AS gx, (lead(v) OVER by_ - lag(v) OVER by_) / (1.111775 * 2 * 0.5) AS gy
+  FROM m WINDOW bx AS (PARTITION BY ts, y ORDER BY x), by_ AS (PARTITION BY ts, x ORDER BY y))"""
 
 
 @query(f"WITH {EMBED}, {GRAD} SELECT ts, x, y, round(v, 6) AS v, round(gx, 6) AS gx, round(gy, 6) AS gy FROM g")
@@ -141,12 +142,12 @@ def front_area_velocity(spark, d):
     return rounded(field_ops.front_fields(field, _wind(field), 0.1))
 
 
-@query(f"WITH {EMBED}, {GRAD}, h AS (SELECT g.ts, g.x, g.y, g.gx, (-(n.v) + s.v) / (1.111775 * 2 * 0.5) AS gw FROM g JOIN f n ON n.ts = g.ts AND n.x = g.x AND n.y = g.y + 1 JOIN f s ON s.ts = g.ts AND s.x = g.x AND s.y = g.y - 1) SELECT ts, x, y, round(gx + gw, 5) AS v FROM h WHERE gx IS NOT NULL")
+@query(f"WITH {EMBED}, {GRAD} SELECT ts, x, y, round(gx - gy, 5) AS v FROM g WHERE gx IS NOT NULL AND gy IS NOT NULL")
 def field_divergence(spark, d):
     return rounded(field_ops.divergence(_wind(fields.embeddings(spark, d))), 5)
 
 
-@query(f"WITH {EMBED} SELECT f.ts, f.x, f.y, round(coalesce((f.v + e.v) / 2, f.v), 6) AS v FROM f LEFT JOIN f e ON e.ts = f.ts AND e.y = f.y AND e.x = f.x + 1")
+@query(f"WITH {EMBED}, m AS MATERIALIZED (SELECT * FROM f) SELECT ts, x, y, round(coalesce((v + lead(v) OVER (PARTITION BY ts, y ORDER BY x)) / 2, v), 6) AS v FROM m")
 def field_destagger(spark, d):
     return rounded(field_ops.destagger(fields.embeddings(spark, d), "x"))
 
@@ -442,7 +443,7 @@ TRACK = f"WITH RECURSIVE {TRACK_CELLS}, {MET}, {CAND}, {GREEDY}, {VERT}, {COMP}"
 
 def _links(spark, d):
     cells, steps = _tracked(spark, d)
-    found = tracking.candidates(tracking.overlaps(cells, steps))
+    found = scratch.table(tracking.candidates(tracking.overlaps(cells, steps)), "candidates")
     # written once: degrees, components and statistics all read the links
     return cells, steps, scratch.table(tracking.edges(tracking.assign(found, 0.1)), "links")
 
@@ -629,3 +630,6 @@ def track_associated(spark, d):
     cells, steps, links = _links(spark, d)
     own = tracking.tracks(tracking.vertices(cells, steps, links), links)
     return tracking.associated(own, steps, association.direct(cells, embed_features(spark, d, 0.15)))
+
+
+from gridtrack.plans import more  # noqa: E402, F401  (registers its queries)
