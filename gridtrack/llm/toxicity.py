@@ -37,6 +37,7 @@ BLOCK = 128
 OFTEN = 16  # a term that one example in so many has is a dense row
 FIRST = 4  # blocks scored at once before the others are judged by their bounds
 MEMO = 100_000
+TOGETHER = 64  # texts whose frequent terms go through one product
 
 
 def terms_of(word: str) -> tuple[int, int]:
@@ -118,12 +119,18 @@ class Index:
         length = np.sqrt((w * w).sum())
         return w / length if length else w
 
-    def nearest(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The frequent terms' part of all cosines, a row a vector; one product for all of them."""
+        whole = np.zeros((len(vectors), len(self.rows)), np.float32)
+        for i, (t, n) in enumerate(vectors):
+            r = self.row[t]
+            whole[i, r[r >= 0]] = self.unit(t, n)[r >= 0]
+        return whole @ self.rows
+
+    def nearest(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, nearest first, ties to the smaller position."""
+        base = self.frequent([(t, n)])[0] if base is None else base
         q, r = self.unit(t, n), self.row[t]
-        whole = np.zeros(len(self.rows), np.float32)
-        whole[r[r >= 0]] = q[r >= 0]
-        base = whole @ self.rows  # the frequent terms' part, for all examples
         t, q = t[r < 0], q[r < 0]
         size = self.first[t + 1] - self.first[t]
         at, q = _ranges(self.first[t], size), np.repeat(q, size)
@@ -151,9 +158,9 @@ class Index:
             if not len(some):
                 return ids, cos
 
-    def vote(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1) -> tuple[float | None, np.ndarray]:
+    def vote(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1, base: np.ndarray | None = None) -> tuple[float | None, np.ndarray]:
         """Distance-weighted share of toxic neighbours (None: no neighbour), and the neighbours."""
-        ids, cos = self.nearest(t, n, k, without) if len(t) else (np.empty(0, np.int64), np.empty(0))
+        ids, cos = self.nearest(t, n, k, without, base) if len(t) else (np.empty(0, np.int64), np.empty(0))
         if not len(ids):
             return None, ids
         w = 1 / (1.05 - np.minimum(cos, 1))
@@ -182,15 +189,25 @@ class Model:
         self.cuts, self.rates, self.none = np.empty(0), np.empty(0), 0.0
 
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> None:
-        votes = [self.index.vote(*v, self.k, i)[0] for i, v in enumerate(vectors)]
+        votes = []
+        for lo in range(0, len(vectors), TOGETHER):
+            some = vectors[lo : lo + TOGETHER]
+            votes += [self.index.vote(*v, self.k, lo + i, b)[0] for i, (v, b) in enumerate(zip(some, self.index.frequent(some), strict=True))]
         has = np.array([v is not None for v in votes], bool)
         self.none = (float(toxic[~has].sum()) + 0.5) / (float((~has).sum()) + 1) if len(toxic) else 0.0
         if has.any():
             self.cuts, self.rates = monotone(np.array([v for v in votes if v is not None]), toxic[has])
 
-    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list]:
-        """Probability and the ids of the neighbours that speak for it."""
-        vote, ids = self.index.vote(*counts, self.k)
+    def scores(self, every: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list]]:
+        """For each text the probability and the ids of the neighbours that speak for it."""
+        out = []
+        for lo in range(0, len(every), TOGETHER):
+            some = every[lo : lo + TOGETHER]
+            out += [self._score(c, b) for c, b in zip(some, self.index.frequent(some), strict=True)]
+        return out
+
+    def _score(self, counts: tuple[np.ndarray, np.ndarray], base: np.ndarray) -> tuple[float, list]:
+        vote, ids = self.index.vote(*counts, self.k, base=base)
         if vote is None or not len(self.cuts):
             return self.none, []
         at = max(int(np.searchsorted(self.cuts, vote, "right")) - 1, 0)
@@ -258,7 +275,7 @@ def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         terms = Terms(m.vocabulary)
         for b in batches:
             for lo, hi in parts(b.column(1)):
-                found = [m.score(terms.counts(t or "")) for t in b.column(1)[lo:hi].to_pylist()]
+                found = m.scores([terms.counts(t or "") for t in b.column(1)[lo:hi].to_pylist()])
                 yield pa.record_batch([b.column(0)[lo:hi], pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["id", "score", "evidence"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double, evidence array<long>")
@@ -275,6 +292,6 @@ def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -
         for b in batches:
             for lo, hi in parts(b.column(at)):
                 part = b.slice(lo, hi - lo)
-                yield part.filter(pa.array([m.score(terms.counts(t or ""))[0] < limit for t in part.column(at).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([p < limit for p, _ in m.scores([terms.counts(t or "") for t in part.column(at).to_pylist()])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
