@@ -13,7 +13,8 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     """Haversine distance in km of two points in degrees."""
     a1, a2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    root = F.sqrt(h)
+    return 2 * EARTH_KM * F.asin(F.when(root > 1, 1.0).otherwise(root))  # null of a null
 
 
 def cell_area(lat: Column, dlon: float, dlat: float) -> Column:
