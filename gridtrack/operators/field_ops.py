@@ -255,9 +255,16 @@ def unrotate(u: Column, v: Column, rlon: Column, rlat: Column, pole_lat: float)
 
 
 def climatology(field: DataFrame, month: Column, threshold: float) -> DataFrame:
-    """``(x, y, season, n, frequency, mean, variance)``: how often a cell is over the threshold, by season."""
+    """``(x, y, season, n, frequency, mean, variance)``: how often a cell is over the threshold, by season.
+
+    The mean is of a sum in order of the steps, so its last digit does not depend on partitions; a
+    group holds a value a step of a season.  Missing values count in n only.
+    """
     season = F.when(month.isin(12, 1, 2), "DJF").when(month.isin(3, 4, 5), "MAM").when(month.isin(6, 7, 8), "JJA").otherwise("SON")
-    return field.groupBy("x", "y", season.alias("season")).agg(F.count("*").alias("n"), F.avg((F.col("v") >= threshold).cast("double")).alias("frequency"), F.avg("v").alias("mean"), F.var_pop("v").alias("variance"))
+    inorder = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("ts", "v"))))
+    total = F.aggregate(inorder, F.lit(0.0), lambda a, r: a + r.v)
+    mean = F.when(F.count("v") > 0, total / F.count("v"))
+    return field.groupBy("x", "y", season.alias("season")).agg(F.count("*").alias("n"), F.avg((F.col("v") >= threshold).cast("double")).alias("frequency"), mean.alias("mean"), F.var_pop("v").alias("variance"))
 
 
 def zones_with_hole(mask: DataFrame) -> DataFrame:

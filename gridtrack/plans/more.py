@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridtrack import scratch
 from gridtrack.operators import association, contours, features, field_ops, geometry, graphs, periodic, tracking
 from gridtrack.plans import queries as q
-from gridtrack.plans.queries import EMBED, HIGH, LAB8, LOW, NX, NY, SETS_SQL, STATS, TRACK, comps, query, rounded
+from gridtrack.plans.queries import EMBED, HIGH, LAB8, LOW, NX, NY, SETS_SQL, STATS, TRACK, comps, query, rounded, rounded_scaled
 from gridtrack.sources import fields, files
 
 # ------------------------------------------------------------------ track graphs
@@ -327,7 +327,7 @@ def wind_unrotated(spark, d):
 def field_climatology(spark, d):
     f = fields.events(spark, d)
     out = field_ops.climatology(f, F.expr("cast(ts div 100 % 100 as int)"), 50.0)
-    return out.select("x", "y", "season", "n", F.round("frequency", 5).alias("frequency"), F.round(F.col("mean") * 0.97, 2).alias("mean"), F.round(F.col("variance") * 0.97, 1).alias("variance"))
+    return out.select("x", "y", "season", "n", rounded_scaled(F.col("frequency"), 5).alias("frequency"), rounded_scaled(F.col("mean") * 0.97, 2).alias("mean"), rounded_scaled(F.col("variance") * 0.97, 1).alias("variance"))
 
 
 @query(f"WITH {EMBED}, z AS (SELECT ts, x, y, 10 * CASE WHEN x < 1 THEN 1 WHEN x > 6 THEN 5 WHEN x < 3 THEN 2 WHEN x > 4 THEN 4 ELSE 3 END + CASE WHEN y < 1 THEN 1 WHEN y > 5 THEN 5 WHEN y < 2 THEN 2 WHEN y > 3 THEN 4 ELSE 3 END AS zone FROM f) SELECT ts, x, y, CAST(zone AS INTEGER) AS zone FROM z")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridtrack import functions as fn, scratch
 from gridtrack.operators import association, branches, contours, features, field_ops, rings, tracking
@@ -46,6 +46,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def rounded_scaled(c: Column, digits: int) -> Column:
+    """A double rounded half away from zero as its binary product with 10^digits, like SQL's; F.round takes its decimal text."""
+    return F.round(c * 10.0**digits, 0) / 10.0**digits
+
+
 # ------------------------------------------------------------------ fields
 
 
