@@ -101,9 +101,13 @@ def stats(cells: DataFrame) -> DataFrame:
 
 
 def sent(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Each cell at each neighbouring place: ``(ts, x, y, nfid)``."""
+    """Each cell at each neighbouring place: ``(ts, x, y, nfid)``.
+
+    Spark takes these rows for as few as the cells, in the size of their file; the hint keeps joins
+    from sending all of them through the driver.
+    """
     offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
-    return cells.select("ts", "x", "y", "fid", F.explode(offs).alias("o")).select("ts", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("fid").alias("nfid"))
+    return cells.select("ts", "x", "y", "fid", F.explode(offs).alias("o")).select("ts", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("fid").alias("nfid")).hint("merge")
 
 
 def boundary(cells: DataFrame, connectivity: int = 8) -> DataFrame:

@@ -137,15 +137,18 @@ TRACK = "id long, timesteps array<long>, features array<long>, n_features long,
 
 
 def feature_records(cells: DataFrame, stats: DataFrame, near: DataFrame | None = None, pixels: bool = True) -> DataFrame:
-    """A row a feature, as its JSON record: id, timestep, center, stats, neighbours, and its cells if asked for."""
+    """A row a feature, as its JSON record: id, timestep, center, stats, neighbours, and its cells if asked for.
+
+    The cells are merged in and not broadcast: a file of them is a fraction of their size in memory.
+    """
     own = stats.select("ts", "fid", F.array("xc", "yc").alias("center"), F.struct("n", "min", "max", "mean", "median", "sum").alias("stats"))
     if near is None:
         own = own.withColumn("neighbors", F.lit(None).cast("array<long>"))
     else:
-        own = own.join(near.groupBy("ts", "fid").agg(F.array_sort(F.collect_set("nfid")).alias("neighbors")), ["ts", "fid"], "left")
+        own = own.join(near.groupBy("ts", "fid").agg(F.array_sort(F.collect_set("nfid")).alias("neighbors")).hint("merge"), ["ts", "fid"], "left")
     if pixels:
         p = cells.groupBy("ts", "fid").agg(F.array_sort(F.collect_list(F.struct("x", "y", "v"))).alias("p"))  # of one feature
-        own = own.join(p, ["ts", "fid"]).withColumns({"pixels": F.transform("p", lambda c: F.array(c.x, c.y)), "values": F.transform("p", lambda c: c.v)})
+        own = own.join(p.hint("merge"), ["ts", "fid"]).withColumns({"pixels": F.transform("p", lambda c: F.array(c.x, c.y)), "values": F.transform("p", lambda c: c.v)})
     else:
         own = own.withColumns({"pixels": F.lit(None).cast("array<array<int>>"), "values": F.lit(None).cast("array<double>")})
     return own.select(F.col("fid").alias("id"), F.col("ts").alias("timestep"), "center", "stats", "neighbors", "pixels", "values")
