@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridtrack import scratch
 from gridtrack.operators import features
 from gridtrack.operators.components import components
 
@@ -57,24 +58,43 @@ def merge_in_categories(cells: DataFrame, named: DataFrame) -> DataFrame:
     return out.select("ts", "x", "y", "v", F.coalesce(F.col("root") % F.lit(1 << 40), "fid").alias("fid"), "category")
 
 
+KINDS = ["clutter0", "clutter1", "medium", "large", "small"]
+
+
 def surgery(cells: DataFrame, medium: int, large: int, big: int) -> DataFrame:
-    """Cells with their features' final category: clutter0, clutter1 or large, all steps at once.
+    """Cells with their features' final category: clutter0, clutter1 or large, a step a task.
 
     Obvious clutter; touching features of a category merged; small ones become medium; medium ones
     that touch clutter1 are clutter1 too; the rest is large, merged again; clutter1 of ``big`` cells
-    and more is clutter0.  ``ts`` must fit 23 bits.
+    and more is clutter0.  The same as :func:`categories` and :func:`merge_in_categories` in turn, but
+    a step's cells are bounded by its grid and steps never meet: one shuffle, nothing is joined.
     """
-    first = merge_in_categories(cells, categories(cells, medium, large))
-    first = scratch.table(first.withColumn("category", F.when(F.col("category") == "small", "medium").otherwise(F.col("category"))), "surgery")
-    kinds = first.select("ts", "fid", "category").distinct()
-    pairs = features.neighbours(first).join(kinds.toDF("ts", "nfid", "other"), ["ts", "nfid"])
-    touched = pairs.where("other = 'clutter1'").select("ts", "fid").distinct().withColumn("hit", F.lit(1))
-    name = F.when((F.col("category") == "medium") & F.col("hit").isNotNull(), "clutter1").when(F.col("category") == "medium", "large").otherwise(F.col("category"))
-    second = kinds.join(touched, ["ts", "fid"], "left").select("ts", "fid", name.alias("category"))
-    merged = scratch.table(merge_in_categories(first.drop("category"), second), "surgery")
-    sizes = merged.groupBy("ts", "fid").agg(F.count("*").alias("n"))
-    final = F.when((F.col("category") == "clutter1") & (F.col("n") >= big), "clutter0").otherwise(F.col("category"))
-    return merged.join(sizes, ["ts", "fid"]).select("ts", "x", "y", "v", "fid", final.alias("category"))
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, fid = (t.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "fid"))
+        names, at = np.unique(fid, return_inverse=True)
+        a, b = features.touching(features.cell_numbers(x, y), at)
+        n = np.bincount(at, minlength=len(names))
+        nearest = np.full(len(names), -1)  # the largest neighbour's size
+        np.maximum.at(nearest, np.r_[a, b], n[np.r_[b, a]])
+        kind = np.select([n >= large, n >= medium, nearest < 0, nearest < large], [3, 2, 0, 1], 4)
+        same = kind[a] == kind[b]
+        root = features.least(len(names), a[same], b[same])
+        kind[kind == 4] = 2
+        other = root[a] != root[b]
+        a, b = np.r_[a[other], b[other]], np.r_[b[other], a[other]]
+        hit = np.zeros(len(names), bool)
+        hit[root[a[kind[b] == 1]]] = True
+        kind = np.where(kind == 2, np.where(hit[root], 1, 3), kind)
+        same = kind[a] == kind[b]
+        root = features.least(len(names), np.r_[np.arange(len(names)), a[same]], np.r_[root, b[same]])
+        total = np.bincount(root, n, len(names))
+        kind[(kind == 1) & (total[root] >= big)] = 0
+        t = t.set_column(t.schema.get_field_index("fid"), "fid", pa.array(names[root][at]))
+        return t.append_column("category", pa.array(np.array(KINDS)[kind][at].tolist(), pa.string()))
+
+    cells = cells.select(F.col("ts").cast("long").alias("ts"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("v").cast("double").alias("v"), F.col("fid").cast("long").alias("fid"))
+    return cells.groupBy("ts").applyInArrow(run, f"{features.CELLS_DDL}, category string")
 
 
 def associates(pairs: DataFrame, names: list[str], empty: bool = False) -> DataFrame:

@@ -24,10 +24,13 @@ def cell_number(x: Column, y: Column) -> Column:
     return x.cast("long") * ROW + y
 
 
+def cell_numbers(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64) * ROW + y
+
+
 def _labels(ids: np.ndarray, connectivity: int) -> np.ndarray:
     """Smallest connected cell number of each of the sorted cell numbers."""
     n = len(ids)
-    label = np.arange(n)
     steps = [1, ROW] if connectivity == 4 else [1, ROW, ROW + 1, ROW - 1]
     a, b = [], []
     for s in steps:
@@ -35,7 +38,12 @@ def _labels(ids: np.ndarray, connectivity: int) -> np.ndarray:
         hit = np.flatnonzero((at < n) & (ids[np.minimum(at, n - 1)] == ids + s))
         a.append(hit)
         b.append(at[hit])
-    a, b = np.concatenate(a), np.concatenate(b)
+    return ids[least(n, np.concatenate(a), np.concatenate(b))]
+
+
+def least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest that the edges between ``a`` and ``b`` connect it to."""
+    label = np.arange(n)
     while len(a):
         low = np.minimum(label[a], label[b])
         np.minimum.at(label, label[a], low)
@@ -47,7 +55,21 @@ def _labels(ids: np.ndarray, connectivity: int) -> np.ndarray:
             label = up
         keep = label[a] != label[b]
         a, b = a[keep], b[keep]
-    return ids[label]
+    return label
+
+
+def touching(number: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unlike groups ``of`` cells that touch, one for each pair of touching cells; cells may be repeated."""
+    order = np.argsort(number, kind="stable")
+    ids, of = number[order], of[order]
+    a, b = [], []
+    for s in (1, ROW, ROW + 1, ROW - 1):
+        lo = np.searchsorted(ids, ids + s)
+        k = np.searchsorted(ids, ids + s, "right") - lo
+        a.append(np.repeat(of, k))
+        b.append(of[np.arange(k.sum()) + np.repeat(lo - np.cumsum(k) + k, k)])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a[a != b], b[a != b]
 
 
 def label(cells: DataFrame, connectivity: int = 8) -> DataFrame:
