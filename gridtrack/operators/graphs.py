@@ -5,10 +5,13 @@ Vertices ``(seq, fid, n, track)``, edges ``(seq, src, dst, n_overlap, ...)`` fro
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridtrack import scratch
 from gridtrack.operators.components import components
+from gridtrack.operators.features import cell_numbers, least, touching
 from gridtrack.operators.tracking import overlaps, scores, vertex
 
 
@@ -20,7 +23,7 @@ def rescore(links: DataFrame, sizes: DataFrame, alpha: float = 0.5) -> DataFrame
     """
     a = sizes.select("seq", F.col("fid").alias("src"), "n")
     b = sizes.select((F.col("seq") - 1).alias("seq"), F.col("fid").alias("dst"), F.col("n").alias("nn"))
-    e = links.select("seq", "src", "dst", "n_overlap").join(a, ["seq", "src"]).join(b, ["seq", "dst"])
+    e = links.select("seq", "src", "dst", "n_overlap").join(a.hint("merge"), ["seq", "src"]).join(b.hint("merge"), ["seq", "dst"])
     out, into = Window.partitionBy("seq", "src"), Window.partitionBy("seq", "dst")
     e = e.withColumns({"n_out": F.count("*").over(out), "n_in": F.count("*").over(into), "nn_all": F.sum("nn").over(out), "o_out": F.sum("n_overlap").over(out), "n_all": F.sum("n").over(into), "o_in": F.sum("n_overlap").over(into)})
     split, merge = F.col("n_out") > 1, F.col("n_in") > 1
@@ -44,25 +47,35 @@ def remove_weak(links: DataFrame, sizes: DataFrame, least: float, alpha: float =
     raise RuntimeError("weak edges remain")
 
 
-def merge_in_tracks(cells: DataFrame, steps: DataFrame, own: DataFrame, links: DataFrame, near: DataFrame, alpha: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def merge_in_tracks(cells: DataFrame, steps: DataFrame, own: DataFrame, links: DataFrame, alpha: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Cells with touching features of a track and step made one, and the edges between what they became.
 
-    ``near(ts, fid, nfid)`` are touching features; the smallest id names the merged one.  Edges
-    join what had an edge before, scored anew.
+    The smallest id names the merged one.  Edges join what had an edge before, scored anew.  A step is
+    a task, as in labelling; no join sends its rows through the driver.
     """
-    member = own.select("seq", "fid", "track")
-    met = near.join(steps, "ts").select("seq", "fid", "nfid").join(member, ["seq", "fid"]).join(member.toDF("seq", "nfid", "ntrack"), ["seq", "nfid"]).where("track = ntrack")
-    roots = components(met.select(vertex(F.col("seq"), F.col("fid")).alias("a"), vertex(F.col("seq"), F.col("nfid")).alias("b")))
-    roots = scratch.table(roots.select("node", (F.col("root") % F.lit(1 << 40)).alias("name")), "merged")
-
-    def named(table: DataFrame, seq: Column, fid: str) -> DataFrame:
-        return table.withColumn("node", vertex(seq, F.col(fid))).join(roots, "node", "left").withColumn(fid, F.coalesce("name", fid)).drop("node", "name")
-
-    whole = scratch.table(named(cells.join(steps, "ts"), F.col("seq"), "fid").drop("seq"), "cells")
-    edges = named(named(links.select("seq", "src", "dst"), F.col("seq"), "src"), F.col("seq") + 1, "dst").distinct()
+    alone = vertex(F.col("seq"), F.col("fid"))  # the track of a feature that ``own`` lacks
+    placed = cells.join(steps.hint("merge"), "ts").join(own.select("seq", "fid", "track").hint("merge"), ["seq", "fid"], "left")
+    placed = placed.select("ts", "seq", "x", "y", "v", "fid", F.coalesce("track", alone).alias("track"))
+
+    def run(t: pa.Table) -> pa.Table:
+        names, first, at = np.unique(t.column("fid").to_numpy(), return_index=True, return_inverse=True)
+        a, b = touching(cell_numbers(t.column("x").to_numpy(), t.column("y").to_numpy()), at)
+        track = t.column("track").to_numpy()[first]
+        same = track[a] == track[b]
+        return t.set_column(t.schema.get_field_index("track"), "name", pa.array(names[least(len(names), a[same], b[same])][at]))
+
+    merged = scratch.table(placed.groupBy("seq").applyInArrow(run, "ts long, seq long, x int, y int, v double, fid long, name long"), "merged")
+    roots = scratch.table(merged.select("seq", "fid", "name").distinct(), "roots")
+
+    def named(edges: DataFrame, end: str, shift: int) -> DataFrame:
+        root = roots.select((F.col("seq") - shift).alias("seq"), F.col("fid").alias(end), "name").hint("merge")
+        return edges.join(root, ["seq", end], "left").withColumn(end, F.coalesce("name", end)).drop("name")
+
+    whole = merged.select("ts", "x", "y", "v", F.col("name").alias("fid"))
+    edges = named(named(links.select("seq", "src", "dst"), "src", 0), "dst", 1).distinct()
     found = overlaps(whole, steps).select("seq", F.col("fid").alias("src"), F.col("nfid").alias("dst"), "n_overlap")
-    sizes = whole.join(steps, "ts").groupBy("seq", "fid").agg(F.count("*").alias("n"))
-    return whole, rescore(edges.join(found, ["seq", "src", "dst"]), sizes, alpha)
+    sizes = merged.groupBy("seq", F.col("name").alias("fid")).agg(F.count("*").alias("n"))
+    return whole, rescore(edges.join(found.hint("merge"), ["seq", "src", "dst"]), sizes, alpha)
 
 
 def cut_off(own: DataFrame, links: DataFrame, until: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ ends every track.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridtrack import scratch
@@ -29,13 +29,17 @@ def steps_of(field: DataFrame) -> DataFrame:
 
 
 def overlaps(cells: DataFrame, steps: DataFrame) -> DataFrame:
-    """``(seq, fid, nseq, nfid, n_overlap, n, nn)``: features of a step and the next that share cells, with sizes."""
-    own = cells.join(steps, "ts").select("seq", "x", "y", "fid")
+    """``(seq, fid, nseq, nfid, n_overlap, n, nn)``: features of a step and the next that share cells, with sizes.
+
+    Spark judges tables by the size of their files, far less than their rows take in the driver: no
+    join may broadcast what grows with the field.
+    """
+    own = cells.join(steps.hint("merge"), "ts").select("seq", "x", "y", "fid")
     sizes = own.groupBy("seq", "fid").agg(F.count("*").alias("n"))
     ahead = own.select((F.col("seq") - 1).alias("seq"), "x", "y", F.col("fid").alias("nfid"))
-    met = own.join(ahead, ["seq", "x", "y"]).groupBy("seq", "fid", "nfid").agg(F.count("*").alias("n_overlap"))
+    met = own.join(ahead.hint("merge"), ["seq", "x", "y"]).groupBy("seq", "fid", "nfid").agg(F.count("*").alias("n_overlap"))
     nsizes = sizes.select((F.col("seq") - 1).alias("seq"), F.col("fid").alias("nfid"), F.col("n").alias("nn"))
-    return met.join(sizes, ["seq", "fid"]).join(nsizes, ["seq", "nfid"]).select("seq", "fid", (F.col("seq") + 1).alias("nseq"), "nfid", "n_overlap", "n", "nn")
+    return met.join(sizes.hint("merge"), ["seq", "fid"]).join(nsizes.hint("merge"), ["seq", "nfid"]).select("seq", "fid", (F.col("seq") + 1).alias("nseq"), "nfid", "n_overlap", "n", "nn")
 
 
 def scores(parent: Column, child: Column, overlap: Column, alpha: float, min_size: float, min_overlap: float) -> tuple[Column, Column, Column]:
@@ -76,22 +80,22 @@ def assign(found: DataFrame, min_p_tot: float = 0.0) -> DataFrame:
     Order: p_tot, backward before forward, more children, larger ids.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(k=pdf["ids"].map(len), key=pdf["ids"].map(tuple)).sort_values(["p_tot", "forward", "k", "parent", "key"], ascending=[False, True, False, False, False], kind="stable")
+    def run(t: pa.Table) -> pa.Table:
+        forward, parent, ids, p_tot = (t.column(c).to_pylist() for c in ("forward", "parent", "ids", "p_tot"))
         used: set = set()
         keep = []
-        for i, forward, parent, ids in zip(pdf.index, pdf["forward"], pdf["parent"], pdf["ids"], strict=True):
+        for i in sorted(range(len(ids)), key=lambda i: (-p_tot[i], forward[i], -len(ids[i]), -parent[i], [-c for c in ids[i]])):
             # a feature of the earlier step is (True, fid), of the later step (False, fid)
-            own = {(bool(forward), parent), *((not forward, c) for c in ids)}
-            if not own & used:
+            own = {(forward[i], parent[i]), *((not forward[i], c) for c in ids[i])}
+            if own.isdisjoint(used):
                 used |= own
                 keep.append(i)
-        return pdf.loc[keep, ["seq", "forward", "parent", "ids"]]
+        return t.select(["seq", "forward", "parent", "ids"]).take(pa.array(keep, pa.int64()))
 
     slim = found.where(F.col("p_tot") >= min_p_tot).select("seq", "forward", "parent", F.transform("children", lambda c: c.fid).alias("ids"), "p_tot")
-    won = slim.groupBy("seq").applyInPandas(run, "seq long, forward boolean, parent long, ids array<long>")
+    won = slim.groupBy("seq").applyInArrow(run, "seq long, forward boolean, parent long, ids array<long>")
     keyed = found.withColumn("ids", F.transform("children", lambda c: c.fid))
-    return keyed.join(won, ["seq", "forward", "parent", "ids"])
+    return keyed.join(won.hint("merge"), ["seq", "forward", "parent", "ids"])
 
 
 def edges(accepted: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -115,11 +119,11 @@ def vertices(cells: DataFrame, steps: DataFrame, links: DataFrame) -> DataFrame:
     start or genesis without a predecessor, continuation with one, merging with more; /splitting
     with more than one successor, /lysis or /stop at the end; continuation gives way to its suffix.
     """
-    own = cells.join(steps, "ts").groupBy("seq", "fid").agg(F.count("*").alias("n"))
+    own = cells.join(steps.hint("merge"), "ts").groupBy("seq", "fid").agg(F.count("*").alias("n"))
     n_out = links.groupBy("seq", F.col("src").alias("fid")).agg(F.count("*").alias("n_out"))
     n_in = links.groupBy((F.col("seq") + 1).alias("seq"), F.col("dst").alias("fid")).agg(F.count("*").alias("n_in"))
     span = steps.agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
-    v = own.join(n_out, ["seq", "fid"], "left").join(n_in, ["seq", "fid"], "left").na.fill(0, ["n_in", "n_out"]).join(F.broadcast(span))
+    v = own.join(n_out.hint("merge"), ["seq", "fid"], "left").join(n_in.hint("merge"), ["seq", "fid"], "left").na.fill(0, ["n_in", "n_out"]).join(F.broadcast(span))
     base = F.when(F.col("n_in") == 0, F.when(F.col("seq") == F.col("first"), "start").otherwise("genesis")).when(F.col("n_in") == 1, "continuation").otherwise("merging")
     suffix = F.when(F.col("n_out") > 1, "splitting").when(F.col("n_out") == 0, F.when(F.col("seq") == F.col("last"), "stop").otherwise("lysis"))
     kind = F.when(suffix.isNull(), base).when(base == "continuation", suffix).otherwise(F.concat_ws("/", base, suffix))
@@ -131,7 +135,7 @@ def tracks(own: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(vertex(F.col("seq"), F.col("src")).alias("a"), vertex(F.col("seq") + 1, F.col("dst")).alias("b"))
     roots = components(ends)
     v = own.withColumn("node", vertex(F.col("seq"), F.col("fid")))
-    return v.join(roots, "node", "left").withColumn("track", F.coalesce("root", "node")).drop("node", "root")
+    return v.join(roots.hint("merge"), "node", "left").withColumn("track", F.coalesce("root", "node")).drop("node", "root")
 
 
 def track(cells: DataFrame, steps: DataFrame, alpha: float = 0.5, max_children: int = 4, min_size: float = 0.0, min_overlap: float = 0.0, min_p_tot: float = 0.0) -> tuple[DataFrame, DataFrame]:

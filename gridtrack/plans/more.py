@@ -69,7 +69,7 @@ def track_merged_features(spark, d):
     found = scratch.table(tracking.candidates(tracking.overlaps(cells, steps)), "candidates")
     links = scratch.table(tracking.edges(tracking.assign(found, 0.1)), "links")
     own = scratch.table(tracking.tracks(tracking.vertices(cells, steps, links), links), "vertices")
-    return rounded(graphs.merge_in_tracks(cells, steps, own, links, features.neighbours(cells))[1], 5)
+    return rounded(graphs.merge_in_tracks(cells, steps, own, links)[1], 5)
 
 
 @query(f"""{TRACK}, tt AS (SELECT track, min(seq) AS first, max(seq) AS last FROM own GROUP BY track), lo AS (SELECT * FROM ed WHERE seq = 100),

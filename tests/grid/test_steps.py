@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from gridtrack import scratch
-from gridtrack.operators import association, features
+from gridtrack.operators import association, features, graphs, tracking
 
 FIELD = "ts long, x int, y int, v double"
 
@@ -39,3 +39,37 @@ def test_surgery_is_one_task_a_step(spark):
     assert got == sorted(map(tuple, in_turn(cells, 4, 8, 12).collect()))
     assert {r[5] for r in got} == {"clutter0", "clutter1", "large"}
     assert association.surgery(cells.limit(0), 4, 8, 12).count() == 0
+
+
+def test_merging_in_tracks_sends_no_table_through_the_driver(spark):
+    f = field(spark, 5, 7)
+    cells = scratch.table(features.label(f, 4), "cells")
+    steps = scratch.table(tracking.steps_of(f), "steps")
+    links = scratch.table(tracking.edges(tracking.assign(tracking.candidates(tracking.overlaps(cells, steps)), 0.1)), "links")
+    own = scratch.table(tracking.tracks(tracking.vertices(cells, steps, links), links), "vertices")
+    whole, edges = graphs.merge_in_tracks(cells, steps, own, links)
+    assert "BroadcastHashJoin" not in plan(edges)
+    # by brute force
+    seq = {r.ts: r.seq for r in steps.collect()}
+    track = {(r.seq, r.fid): r.track for r in own.collect()}
+    rows = cells.collect()
+    at = {(r.ts, r.x, r.y): r.fid for r in rows}
+    name = {(seq[r.ts], r.fid): r.fid for r in rows}
+    changed = True
+    while changed:
+        changed = False
+        for (t, x, y), fid in at.items():
+            for dx in (-1, 0, 1):
+                for dy in (-1, 0, 1):
+                    other = at.get((t, x + dx, y + dy))
+                    a, b = (seq[t], fid), (seq[t], other)
+                    if other is not None and track[a] == track[b] and name[b] < name[a]:
+                        name[a], changed = name[b], True
+    assert sorted((r.ts, r.x, r.y, r.fid) for r in whole.collect()) == sorted((r.ts, r.x, r.y, name[seq[r.ts], r.fid]) for r in rows)
+    assert any(k[1] != v for k, v in name.items())
+    own_cells = {}
+    for (t, x, y), fid in at.items():
+        own_cells.setdefault((seq[t], name[seq[t], fid]), set()).add((x, y))
+    want = {(r.seq, name[r.seq, r.src], name[r.seq + 1, r.dst]) for r in links.collect()}
+    want = {(s, a, b, len(own_cells[s, a] & own_cells[s + 1, b])) for s, a, b in want}
+    assert {(r.seq, r.src, r.dst, r.n_overlap) for r in edges.collect()} == want
