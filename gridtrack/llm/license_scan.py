@@ -17,6 +17,9 @@ the templates, which no corpus can enlarge.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -128,16 +131,42 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _grams(words: Column, n: int) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once.
+
+    Named in a lambda as it is, or put there by the optimizer, it would be worked out for each element.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def _at(words: Column, n: int) -> Column:
+    """Where an n-gram begins, from 1."""
     last = F.size(words) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def _grams(words: Column, n: int) -> Column:
+    return _let(words, lambda w: F.transform(_at(w, n), lambda i: F.array_join(F.slice(w, i, n), " ")))
 
 
 def features_of(words: Column) -> Column:
     """Distinct 1- to 3-grams that hold an anchor word."""
-    grams = F.concat(words, _grams(words, 2), _grams(words, 3))
-    pattern = "(^| )(" + "|".join(anchors()) + ")( |$)"
-    return F.array_distinct(F.filter(grams, lambda g: g.rlike(pattern)))
+    known = anchors()
+
+    def held(w: Column, hit: Column, n: int) -> Column:
+        some = F.filter(_at(w, n), lambda i: reduce(or_, [F.element_at(hit, i + k) for k in range(n)]))
+        return F.transform(some, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    def found(w: Column) -> Column:
+        return _let(F.transform(w, lambda x: x.isin(known)), lambda hit: F.array_distinct(F.concat(*(held(w, hit, n) for n in (1, 2, 3)))))
+
+    return _let(words, found)
+
+
+def resembles(words: Column, known: list[str]) -> Column:
+    """Whether one of the words' trigrams is among ``known``."""
+    first = sorted({g.split(" ")[0] for g in known})
+    return _let(words, lambda w: F.exists(_at(w, 3), lambda i: F.element_at(w, i).isin(first) & F.array_join(F.slice(w, i, 3), " ").isin(known)))
 
 
 def anchors() -> list[str]:
@@ -164,8 +193,9 @@ def _probabilities(paragraphs: DataFrame, model: Model, keys: list[str]) -> Data
     met = paragraphs.select(*keys, F.explode("f").alias("gram")).join(F.broadcast(model.weights), "gram")
     sums = met.groupBy(*keys).agg(F.count("*").alias("known"), *[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)])
     z = F.array(*[(F.col(f"z{i}") / F.sqrt("known") + model.intercepts[i]) / model.temperature for i in range(n)])
-    sums = sums.select(*keys, z.alias("z")).withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
-    return sums.select(*keys, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    even = lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda x: x / total))
+    p = _let(z, lambda z: _let(F.array_max(z), lambda top: _let(F.transform(z, lambda x: F.exp(x - top)), even)))
+    return sums.select(*keys, p.alias("p"))
 
 
 FOLDS = 3
@@ -214,10 +244,10 @@ def fit(spark: SparkSession, background: DataFrame | None = None, reg: float = 0
     # the threshold: above every counter-example and every paragraph that no template resembles
     wrong = texts.where("label = 0").select("text")
     if background is not None:
-        plain = background.select("text").distinct().withColumn("g", _grams(words_of(F.col("text")), 3))
+        plain = background.select("text").distinct()
         known = [r["gram"] for r in trigrams.select("gram").distinct().collect()]  # of the templates above
-        wrong = wrong.unionByName(plain.where(~F.arrays_overlap("g", _literal(known))).select("text"))
-    against = scratch.table(wrong.select(F.xxhash64("text").alias("i"), features_of(words_of(F.col("text"))).alias("f")).where("size(f) > 0").dropDuplicates(["i"]), "against")
+        wrong = wrong.unionByName(plain.where(~resembles(words_of(F.col("text")), known)))
+    against = scratch.table(wrong.select(F.xxhash64("text").alias("i"), features_of(words_of(F.col("text"))).alias("f")).dropDuplicates(["i"]), "against")
     top = _probabilities(against, model, ["i"]).agg(F.max(F.array_max(F.slice("p", 2, len(classes)))).alias("m")).first()["m"]
     own = _probabilities(rows.where("label > 0"), model, ["i", "label"]).agg(F.min(F.expr("p[cast(label as int)]")).alias("m")).first()["m"]
     model.least = max(0.5, min((top or 0.0) + 0.01, own))
@@ -238,12 +268,13 @@ def notices(lines: DataFrame, model: Model, least_shared: float = 0.5) -> DataFr
     have.  Repeated rows give repeated notices; null texts and ids give none and null ids.
     """
     keys = ["doc", "id", "paragraph"]
-    ready = lines.withColumn("w", words_of(F.col("text"))).select(*keys, features_of(F.col("w")).alias("f"), F.array_distinct(_grams(F.col("w"), 3)).alias("g")).where("size(f) > 0")
-    p = _probabilities(ready.select(*keys, "f"), model, keys)
+    p = _probabilities(lines.select(*keys, features_of(words_of(F.col("text"))).alias("f")), model, keys)
     best = F.array_max(F.slice("p", 2, len(model.classes)))
     believed = p.withColumn("probability", best).where((F.col("probability") >= model.least) & (F.col("probability") > F.col("p")[0]))
     believed = believed.select(*keys, "probability", _literal(model.classes)[F.array_position("p", F.col("probability")).cast("int") - 1].alias("family"))
-    shared = ready.select(*keys, F.size("g").alias("size"), F.explode("g").alias("gram")).join(F.broadcast(model.trigrams), "gram")
+    believed = scratch.table(believed, "believed")
+    alike = lines.join(believed.select(*keys), keys, "left_semi").select(*keys, F.array_distinct(_grams(words_of(F.col("text")), 3)).alias("g"))
+    shared = alike.select(*keys, F.size("g").alias("size"), F.explode("g").alias("gram")).join(F.broadcast(model.trigrams), "gram")
     shared = shared.groupBy(*keys, "family", "template").agg((F.count("*") / F.least(F.first("size"), F.first("template_size"))).alias("similarity"))
     shared = shared.groupBy(*keys, "family").agg(F.max(F.struct("similarity", (-F.col("template")).alias("t"))).alias("m"))
     out = believed.join(shared, [*keys, "family"], "left")

@@ -1,6 +1,9 @@
 import math
+import time
 import re
 
+from pyspark.sql import functions as F
+
 from gridtrack.llm import license_scan
 from tests.llm.helpers import empty_docs, odd_docs
 
@@ -74,3 +77,15 @@ def test_odd(spark):
     rows = license_scan.scan(docs).collect()
     assert len(rows) == docs.select("doc_id").distinct().count()
     assert license_scan.scan(empty_docs(spark)).count() == 0
+
+
+def test_a_long_paragraph_takes_time_in_proportion(spark):
+    """Words are split once a paragraph, not once a gram."""
+    words = ("the quick prose of an unhurried license " * 20_000).strip()
+    df = spark.createDataFrame([(words,)], "text string")
+    began = time.time()
+    w = license_scan.words_of(F.col("text"))
+    got = df.select(license_scan.features_of(w).alias("f"), license_scan.resembles(w, ["no such gram"]).alias("no"), license_scan.resembles(w, ["prose of an"]).alias("yes")).first()
+    assert time.time() - began < 60
+    assert sorted(got.f) == ["an unhurried license", "license", "license the", "license the quick", "unhurried license", "unhurried license the"]
+    assert (got.no, got.yes) == (False, True)
