@@ -225,12 +225,15 @@ class Pieces:
                 room = piece - n
         for langs, m in groups:
             for r in range(m):
-                some = table.where(F.col("lang").isin(langs) & (F.pmod("code", F.lit(m)) == r)).select("lang", "code", *values).orderBy("lang", "code").toArrow()  # about ``piece`` rows
+                some = table.where(F.col("lang").isin(langs) & (F.pmod("code", F.lit(m)) == r)).select("lang", "code", *values).toArrow()  # about ``piece`` rows, sorted here: a job of one stage
                 coded = some.column("lang").combine_chunks().dictionary_encode() if some.num_rows else None
                 names = coded.dictionary.to_pylist() if coded is not None else []
                 of = coded.indices.to_numpy() if coded is not None else np.empty(0, np.int32)
                 arrays = [some.column(i).to_numpy() for i in range(1, some.num_columns)]
-                self.pieces.append((tuple(langs), m, r, len(of), spark.sparkContext.broadcast({lang: [a[of == (names.index(lang) if lang in names else -1)] for a in arrays] for lang in langs})))
+                own = {lang: np.flatnonzero(of == (names.index(lang) if lang in names else -1)) for lang in langs}
+                own = {lang: at[np.argsort(arrays[0][at])] for lang, at in own.items()}
+                self.pieces.append((tuple(langs), m, r, len(of), spark.sparkContext.broadcast({lang: [a[at] for a in arrays] for lang, at in own.items()})))
+        scratch.release(spark)  # plans of the pieces, and the classes made for them, would stay in the driver
 
     def find(self, lang: str, want: np.ndarray, shelf: dict) -> tuple[np.ndarray, ...]:
         """Values of the n-grams ``want``, NaN where there are none; ``shelf`` keeps loaded pieces."""

@@ -143,3 +143,19 @@ def test_odd(spark):
     assert len(rows) == docs.count()
     assert quality.keep(docs).count() == sum(r.kept for r in rows)
     assert quality.judge(empty_docs(spark)).count() == 0 == quality.keep(empty_docs(spark)).count()
+
+
+def test_a_piece_of_the_model_is_one_job(spark):
+    rows = [(lang, (i * 7919) % 1000 - 300, i / 1000.0) for lang in ("a", "b") for i in range(1000)] + [("c", 5, None)]
+    table = quality.scratch.table(spark.createDataFrame(rows, "lang string, code long, p double").repartition(3), "order")
+    spark.sparkContext.setJobGroup("pieces", "pieces")
+    made = quality.Pieces(table, ("p",), 400)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("pieces"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 2 * len(made.pieces)  # the sizes take a few
+    for _, _, _, _, sent in made.pieces:
+        assert all((arrays[0][1:] > arrays[0][:-1]).all() for arrays in sent.value.values())
+    for lang in ("a", "b", "c"):
+        own = [(code, p) for x, code, p in rows if x == lang and p is not None]
+        got = made.find(lang, np.array([code for code, _ in own], np.int64), {})[0]
+        assert got.tolist() == [p for _, p in own]
