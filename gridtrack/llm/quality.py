@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,33 +162,44 @@ def counted(texts: DataFrame) -> DataFrame:
     return texts.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def _off(n: Column) -> Column:
-    """What is taken off a count, from the counts of counts n1 ... n4 of its language and order; small tables get milder ones."""
+def _discounts() -> dict[str, Column]:
+    """What is taken off counts of 1, 2 and more, from the counts of counts n1 ... n4 of a language and order; small tables get milder ones."""
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     small = (F.col("n1") == 0) | (F.col("n2") == 0) | (F.col("n3") == 0)
     raw = [F.lit(1.0) - 2 * y * F.col("n2") / F.col("n1"), F.lit(2.0) - 3 * y * F.col("n3") / F.col("n2"), F.lit(3.0) - 4 * y * F.col("n4") / F.col("n3")]
-    d = [F.when(small, mild).otherwise(F.least(F.greatest(x, F.lit(0.05)), F.lit(k + 0.95))) for k, (x, mild) in enumerate(zip(raw, (0.5, 0.75, 0.9), strict=True))]
-    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+    return {f"d{k + 1}": F.when(small, mild).otherwise(F.least(F.greatest(x, F.lit(0.05)), F.lit(k + 0.95))) for k, (x, mild) in enumerate(zip(raw, (0.5, 0.75, 0.9), strict=True))}
 
 
 def estimates(counts: DataFrame) -> list[DataFrame]:
     """For each order from 1: ``(lang, code, n, p, g)``; p the probability of the last character, null
     for what is only a context; g the weight of the lower order after it, null where it is no context.
 
-    Order 1 has a row of code null: p of a character never met.
+    Order 1 has a row of code null: p of a character never met.  Every order's counts and estimates are
+    written before the next reads them, so no plan holds another's; sums are of whole numbers, so that
+    no estimate depends on the order of rows.
     """
     own = [counts]
     for k in range(ORDER - 1, 0, -1):  # continuation counts
         low = F.col("code").bitwiseAND(F.lit((1 << k * BITS) - 1))
-        own.append(own[-1].groupBy("lang", low.alias("code")).agg(F.count("*").alias("n")))
+        own.append(scratch.table(own[-1].groupBy("lang", low.alias("code")).agg(F.count("*").alias("n")), f"grams{k}"))
     own.reverse()
+    few = [t.groupBy("lang").agg(*(F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4))).select(F.lit(k).alias("k"), "*") for k, t in enumerate(own, 1)]
+    off = scratch.table(reduce(DataFrame.unionByName, few).withColumns(_discounts()).select("k", "lang", "d1", "d2", "d3"), "discounts")  # a row a language and order
+
+    def contexts(k: int) -> DataFrame:
+        """``(lang, ctx, total, g)`` of an order's contexts."""
+        met = [F.sum(is_.cast("long")).alias(f"c{i}") for i, is_ in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))]
+        sums = own[k - 1].groupBy("lang", F.shiftrightunsigned("code", BITS).alias("ctx")).agg(F.sum("n").alias("total"), *met)
+        taken = F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")
+        return sums.join(off.where(F.col("k") == k), "lang").select("lang", "ctx", "total", (taken / F.col("total")).alias("g"))
+
     out: list[DataFrame] = []
     for k, table in enumerate(own, 1):
-        few = table.groupBy("lang").agg(*(F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)))
-        off = table.join(few, "lang").select("lang", "code", "n", _off(F.col("n")).alias("off"), F.shiftrightunsigned("code", BITS).alias("ctx"))
-        rest = off.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("g"))
-        met = off.join(rest, ["lang", "ctx"])
-        sure = (F.col("n") - F.col("off")) / F.col("total")
+        n = F.col("n")
+        taken = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+        rest = contexts(k)
+        met = table.join(off.where(F.col("k") == k), "lang").select("lang", "code", "n", taken.alias("off"), F.shiftrightunsigned("code", BITS).alias("ctx")).join(rest, ["lang", "ctx"])
+        sure = (n - F.col("off")) / F.col("total")
         if k == 1:
             even = F.lit(1.0 / (1 << BITS))
             p = met.select("lang", "code", "n", (sure + F.col("g") * even).alias("p"))
@@ -196,10 +208,12 @@ def estimates(counts: DataFrame) -> list[DataFrame]:
             low = out[-1].where("p IS NOT NULL AND code IS NOT NULL").select("lang", F.col("code").alias("suffix"), F.col("p").alias("low"))
             met = met.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << (k - 1) * BITS) - 1)))
             p = met.join(low, ["lang", "suffix"]).select("lang", "code", "n", (sure + F.col("g") * F.col("low")).alias("p"))
-            # what the order below needs to know of its strings as contexts
-            contexts = rest.select("lang", F.col("ctx").alias("code"), "g")
-            out[-1] = scratch.table(out[-1].join(contexts, ["lang", "code"], "full").select("lang", "code", F.coalesce("n", F.lit(0)).alias("n"), "p", "g"), f"order{k - 1}")
-        out.append(scratch.table(p, "top") if k == ORDER else p)
+        if k < ORDER:  # what is to be known of its strings as contexts
+            after = contexts(k + 1).select("lang", F.col("ctx").alias("code"), "g")
+            p = p.join(after, ["lang", "code"], "full").select("lang", "code", F.coalesce("n", F.lit(0)).alias("n"), "p", "g")
+        out.append(scratch.table(p, f"order{k}"))
+    for done in (off, *own[:-1]):
+        scratch.drop(done)
     out[-1] = out[-1].withColumn("g", F.lit(None).cast("double"))
     return out
 
@@ -384,7 +398,7 @@ def bands(scored: DataFrame, width: float, prior: float, least_rows: int) -> Dat
 
 def _judged(scored: DataFrame, width: float, prior: float, least_rows: int) -> DataFrame:
     x = (-F.col("log_prob") + prior * F.col("median")) / (F.col("events") + prior) - F.col("median")
-    limits = bands(scored.select("lang", "log_prob", "events"), width, prior, least_rows)
+    limits = scratch.table(bands(scored.select("lang", "log_prob", "events"), width, prior, least_rows), "bands")  # a row a language; small as read, so the scored rows stay where they lie
     out = scored.join(limits, "lang").withColumns(
         {"perplexity": F.exp(-F.col("log_prob") / F.col("events")), "deviation": x, "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))}
     )

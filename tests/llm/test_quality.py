@@ -159,3 +159,22 @@ def test_a_piece_of_the_model_is_one_job(spark):
         own = [(code, p) for x, code, p in rows if x == lang and p is not None]
         got = made.find(lang, np.array([code for code, _ in own], np.int64), {})[0]
         assert got.tolist() == [p for _, p in own]
+
+
+def test_no_plan_of_the_model_holds_that_of_another_order(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [("en" if c % 3 else "de", c, rng.randint(1, 6)) for c in {sum(rng.randrange(9) << 16 * i for i in range(4)) for _ in range(900)}]
+    counts = spark.createDataFrame(rows, "lang string, code long, n long")
+    plans, write = [], quality.scratch.table
+
+    def table(df, *a, **b):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return write(df, *a, **b)
+
+    monkeypatch.setattr(quality.scratch, "table", table)
+    first = quality.estimates(write(counts.repartition(1), "ngrams"))
+    assert max(plans) <= 12
+    monkeypatch.undo()
+    second = quality.estimates(write(counts.repartition(7), "ngrams"))
+    for a, b in zip(first, second, strict=True):  # to the last bit
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
