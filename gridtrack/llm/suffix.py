@@ -297,24 +297,36 @@ def _hash(raw: bytes, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(raw, seed) - (1 << 63)
 
 
+def _hashes(digests: list[bytes]) -> np.ndarray:
+    """What ``_hash`` gives for digests, of many at once."""
+    return (np.frombuffer(b"".join(digests), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 SPOTS = pa.schema([("id", pa.int64()), ("tk", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("gram", pa.int64()), ("ctx", pa.int64())])
 SPOTS_DDL = "id long, tk long, first int, size int, gram long, ctx long"
 
 
 def spots(texts: DataFrame, width: int, gram: int) -> DataFrame:
     """A row for each context of each text: where it starts, its length, and the hashes of gram and context."""
+    digest = xxhash.xxh64_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in parts(b.column(2), 4 << 20):
-                found: list[tuple] = []
-                for doc_id, tk, text in zip(*(b.column(i)[lo:hi].to_pylist() for i in range(3)), strict=True):
+                firsts, sizes, keys, digests, many = [], [], [], [], []
+                for text in b.column(2)[lo:hi].to_pylist():
                     raw = _bytes(text)
                     first, last, _, key = chosen(np.frombuffer(raw, np.uint8), width, gram)
-                    for f, n, k in zip(first.tolist(), (last - first + width).tolist(), key.tolist(), strict=True):
-                        found.append((doc_id, tk, f, n, k, _hash(raw[f : f + n])))
-                if found:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), SPOTS, strict=True)], schema=SPOTS)
+                    size = last - first + width
+                    firsts.append(first)
+                    sizes.append(size)
+                    keys.append(key)
+                    many.append(len(first))
+                    digests += [digest(raw[f:e]) for f, e in zip(first.tolist(), (first + size).tolist(), strict=True)]
+                if digests:
+                    of = pa.array(np.repeat(np.arange(lo, hi), many))
+                    numbers = (np.concatenate(firsts).astype(np.int32), np.concatenate(sizes).astype(np.int32), np.concatenate(keys), _hashes(digests))
+                    yield pa.record_batch([b.column(0).take(of), b.column(1).take(of), *map(pa.array, numbers)], schema=SPOTS)
 
     return texts.where(F.octet_length("text") >= width).mapInArrow(run, SPOTS_DDL)
 
@@ -449,13 +461,14 @@ CODE = 5  # bytes that stand for a word where passages are counted in words
 def coded(texts: DataFrame) -> DataFrame:
     """``texts(id, tk, text)`` with every word of a text as CODE bytes of its hash, seven bits each, and no spaces."""
     shifts = np.arange(CODE, dtype=np.uint64) * np.uint64(7)
+    digest = xxhash.xxh64_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in parts(b.column(2), 4 << 20):
                 out = []
                 for text in b.column(2)[lo:hi].to_pylist():
-                    h = np.array([xxhash.xxh64_intdigest(w, 3) for w in _bytes(text).split()], np.uint64)
+                    h = np.frombuffer(b"".join([digest(w, 3) for w in _bytes(text).split()]), ">u8").astype(np.uint64)
                     out.append((h[:, None] >> shifts & np.uint64(127)).astype(np.uint8).tobytes().decode("ascii"))
                 yield pa.record_batch([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(out, pa.string())], names=["id", "tk", "text"])
 

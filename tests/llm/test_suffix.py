@@ -90,3 +90,17 @@ def test_odd(spark):
     docs = odd_docs(spark)
     assert got(docs) == brute([(r.doc_id, r.text) for r in docs.collect()], suffix.WIDTH)
     assert got(empty_docs(spark)) == Counter()
+
+
+def test_context_columns_are_those_of_a_plain_loop(spark):
+    raw = [bytes([97 + (i * i * 7 + i // 5) % 26]) for i in range(900)]
+    rows = [(None, 1, b"".join(raw).decode()), (7, 2, b"".join(raw[::-1]).decode()), (8, 3, "short"), (9, 4, "é" * 300)]
+    want = []
+    for i, tk, text in rows:
+        own = text.encode()
+        first, last, _, key = suffix.chosen(np.frombuffer(own, np.uint8), 400, 160)
+        want += [(i, tk, f, n, k, suffix._hash(own[f : f + n])) for f, n, k in zip(first.tolist(), (last - first + 400).tolist(), key.tolist(), strict=True)]
+    got = suffix.spots(spark.createDataFrame(rows, "id long, tk long, text string").coalesce(1), 400, 160).collect()
+    assert [tuple(r) for r in got] == want and len({r[0] for r in want}) == 3
+    some = [b"", b"a", b"passage"]
+    assert suffix._hashes([suffix.xxhash.xxh64_digest(x) for x in some]).tolist() == [suffix._hash(x) for x in some]
