@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +56,9 @@ class Terms:
         """Numbers of the known terms, ascending, and how often the text has them."""
         words = Counter(WORD.findall(text.lower()))
         memo, found, new = self.memo, {}, []
+        near = memo.young.get
         for w in words:
-            if (ids := memo.get(w)) is None:
+            if (ids := near(w) or memo.get(w)) is None:
                 new.append(w)
             else:
                 found[w] = ids
@@ -68,16 +70,19 @@ class Terms:
                 found[w] = ids = tuple(ids)
                 if len(w) <= 64:
                     memo.put(w, ids)
-        t = np.array(list(found.values()), np.int64).reshape(-1, 2)
-        n = np.repeat(np.fromiter((words[w] for w in found), np.int64, len(found)), 2)
-        t, own = t.ravel(), t.ravel() >= 0
+        t = np.fromiter(chain.from_iterable(found.values()), np.int64, 2 * len(found))
+        n = np.repeat(np.array([words[w] for w in found], np.int64), 2)
+        own = t >= 0
         ids, back = np.unique(t[own], return_inverse=True)
         return ids, np.bincount(back, n[own], len(ids)).astype(np.int64)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions of all ranges, one after the other."""
-    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+    ends = np.cumsum(size)
+    out = np.repeat(start - (ends - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 class Index:
@@ -119,19 +124,20 @@ class Index:
         length = np.sqrt((w * w).sum())
         return w / length if length else w
 
-    def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]], units: list[np.ndarray] | None = None) -> np.ndarray:
         """The frequent terms' part of all cosines, a row a vector; one product for all of them."""
         whole = np.zeros((len(vectors), len(self.rows)), np.float32)
         for i, (t, n) in enumerate(vectors):
             r = self.row[t]
-            whole[i, r[r >= 0]] = self.unit(t, n)[r >= 0]
+            own = r >= 0
+            whole[i, r[own]] = (self.unit(t, n) if units is None else units[i])[own]
         return whole @ self.rows
 
-    def nearest(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1, base: np.ndarray | None = None, unit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, nearest first, ties to the smaller position."""
         base = self.frequent([(t, n)])[0] if base is None else base
-        q, r = self.unit(t, n), self.row[t]
-        t, q = t[r < 0], q[r < 0]
+        rare = self.row[t] < 0
+        t, q = t[rare], (self.unit(t, n) if unit is None else unit)[rare]
         size = self.first[t + 1] - self.first[t]
         at, q = _ranges(self.first[t], size), np.repeat(q, size)
         block = self.block[at]
@@ -158,9 +164,9 @@ class Index:
             if not len(some):
                 return ids, cos
 
-    def vote(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1, base: np.ndarray | None = None) -> tuple[float | None, np.ndarray]:
+    def vote(self, t: np.ndarray, n: np.ndarray, k: int, without: int = -1, base: np.ndarray | None = None, unit: np.ndarray | None = None) -> tuple[float | None, np.ndarray]:
         """Distance-weighted share of toxic neighbours (None: no neighbour), and the neighbours."""
-        ids, cos = self.nearest(t, n, k, without, base) if len(t) else (np.empty(0, np.int64), np.empty(0))
+        ids, cos = self.nearest(t, n, k, without, base, unit) if len(t) else (np.empty(0, np.int64), np.empty(0))
         if not len(ids):
             return None, ids
         w = 1 / (1.05 - np.minimum(cos, 1))
@@ -203,11 +209,12 @@ class Model:
         out = []
         for lo in range(0, len(every), TOGETHER):
             some = every[lo : lo + TOGETHER]
-            out += [self._score(c, b) for c, b in zip(some, self.index.frequent(some), strict=True)]
+            units = [self.index.unit(*c) for c in some]
+            out += [self._score(*x) for x in zip(some, self.index.frequent(some, units), units, strict=True)]
         return out
 
-    def _score(self, counts: tuple[np.ndarray, np.ndarray], base: np.ndarray) -> tuple[float, list]:
-        vote, ids = self.index.vote(*counts, self.k, base=base)
+    def _score(self, counts: tuple[np.ndarray, np.ndarray], base: np.ndarray, unit: np.ndarray) -> tuple[float, list]:
+        vote, ids = self.index.vote(*counts, self.k, base=base, unit=unit)
         if vote is None or not len(self.cuts):
             return self.none, []
         at = max(int(np.searchsorted(self.cuts, vote, "right")) - 1, 0)

@@ -113,3 +113,17 @@ def test_odd(spark, sf):
     assert {r.score for r in toxicity.apply(docs, none).collect()} <= {0.0, 0.5}
     assert toxicity.apply(empty_docs(spark), model).count() == 0
     assert toxicity.below(docs, model, 2.0).count() == docs.count()
+
+
+def test_a_text_is_weighed_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    own = [(np.unique(rng.integers(0, 60, 12)), None) for _ in range(300)]
+    own = [(t, rng.integers(1, 4, len(t))) for t, _ in own]
+    toxic = (np.arange(300) < 90).astype(np.int64)
+    model = toxicity.Model(np.arange(60), toxicity.Index(own, toxic, 60), list(range(300)), 10)
+    model.calibrate(own, toxic)
+    want = [model._score(c, model.index.frequent([c])[0], model.index.unit(*c)) for c in own[:70]]
+    calls, unit = [], toxicity.Index.unit
+    monkeypatch.setattr(toxicity.Index, "unit", lambda self, t, n: calls.append(1) or unit(self, t, n))
+    assert [(round(p, 9), len(e)) for p, e in model.scores(own[:70])] == [(round(p, 9), len(e)) for p, e in want]
+    assert len(calls) == 70
