@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridtrack import scratch
 
-__all__ = ["documents", "parts", "read", "rows", "scratch"]
+__all__ = ["documents", "forget", "kept", "parts", "read", "rows", "scratch", "tidy"]
+
+_kept: dict = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +48,46 @@ def parts(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int
         size += n or 0
     if lo < len(texts):
         yield lo, len(texts)
+
+
+def kept(key, make: Callable):
+    """What ``make`` gives, kept by this worker for its next task that asks for ``key``; one thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    _kept.clear()
+
+
+def forget(sent) -> None:
+    """Let go of a broadcast's value where it can be read again from disk."""
+    if getattr(sent, "_path", None) is not None and hasattr(sent, "_value"):
+        del sent._value
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if release is not None:
+        release(0)
+
+
+def tidy(run: Callable, keep: bool = False) -> Callable:
+    """``run`` of a mapInArrow whose task gives its memory back when it ends.
+
+    Spark's Python workers go on to other stages, idle ones beside busy ones, and what each has freed
+    but not given back counts as an executor's memory.  ``keep``: the task uses :func:`kept`; all
+    others let that go first.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            let_go()
+        yield from run(batches)
+        trim()
+
+    return whole

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gridtrack.llm.common import parts, scratch
+from gridtrack.llm.common import parts, scratch, tidy
 from gridtrack.llm.simhash import links as fingerprint_links, only
 from gridtrack.operators.components import components
 
@@ -104,7 +104,7 @@ def _signed(docs: DataFrame, common: np.ndarray, width: int, least: Fraction, id
                 yield pa.record_batch([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(s, pa.int64()), pa.array(m, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fp, pa.int64())], names=["id", "th", "s", "m", "prefix", "bits", "fp"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, s long, m int, prefix array<long>, bits binary, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(tidy(run), "id long, th long, s long, m int, prefix array<long>, bits binary, fp long")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -137,7 +137,7 @@ def _shared(signed: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c[keep]) for c in cols], names=["key", "m", "s", "pos"])
 
     rows = signed.select(F.posexplode("prefix").alias("pos", "key"), "m", "s").select("key", "m", "s", "pos")
-    return rows.repartition("key").sortWithinPartitions("key", "s").mapInArrow(run, "key long, m int, s long, pos int")
+    return rows.repartition("key").sortWithinPartitions("key", "s").mapInArrow(tidy(run), "key long, m int, s long, pos int")
 
 
 def _pairs(lists: DataFrame, least: Fraction, first: bool) -> DataFrame:
@@ -169,7 +169,7 @@ def _pairs(lists: DataFrame, least: Fraction, first: bool) -> DataFrame:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
 
     dealt = lists.select("key", "m", "s", "pos", "c").repartition("key").sortWithinPartitions("key", "m", "s")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, least: Fraction, text_col: str) -> DataFrame:
@@ -199,13 +199,13 @@ def _near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, least:
             yield pa.record_batch(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("s").alias("a"), F.col("bits").alias("x"), "m"), "a").join(sets.select(F.col("s").alias("b"), F.col("bits").alias("y"), F.col("m").alias("n")), "b")
-    pairs = scratch.table(both.select("a", "b", "x", "y", "m", "n").mapInArrow(may, "a long, b long"), "may")
+    pairs = scratch.table(both.select("a", "b", "x", "y", "m", "n").mapInArrow(tidy(may), "a long, b long"), "may")
     wanted = sets.select("s", "th").join(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "s", "left_semi")
     own = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    whole = own.join(wanted, "th").select("s", "text").mapInArrow(cut, "s long, h binary")
+    whole = own.join(wanted, "th").select("s", "text").mapInArrow(tidy(cut), "s long, h binary")
     whole = scratch.table(whole.groupBy("s").agg(F.first("h").alias("h")), "shingles")
     held = pairs.join(whole.select(F.col("s").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("s").alias("b"), F.col("h").alias("y")), "b")
-    near = scratch.table(held.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "near")
+    near = scratch.table(held.select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long"), "near")
     scratch.drop(whole)
     return near
 

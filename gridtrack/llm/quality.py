@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridtrack.llm.common import parts, rows, scratch
+from gridtrack.llm.common import forget, parts, rows, scratch, tidy
 
 ORDER = 4
 BITS = 16
@@ -159,7 +159,7 @@ def counted(texts: DataFrame) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return texts.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return texts.select("text", "lang").mapInArrow(tidy(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def _discounts() -> dict[str, Column]:
@@ -285,8 +285,7 @@ def _loaded(shelf: dict, key: tuple, sent, n: int) -> dict:
     while shelf and n + sum(size for _, size in shelf.values()) > HELD:
         shelf.pop(next(iter(shelf)))
     value = sent.value
-    if hasattr(sent, "_path") and sent._path is not None:
-        del sent._value  # it stays on disk and can be read again
+    forget(sent)
     shelf[key] = (value, n)
     return value
 
@@ -380,7 +379,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([b.column(0)[lo:hi], b.column(1)[lo:hi], b.column(3)[lo:hi], *(pa.array(c, f.type) for c, f in zip(columns, schema, strict=True))], names=["doc", "id", "lang", *schema.names])
 
     kind = whole.schema["doc"].dataType.simpleString()
-    return whole.mapInArrow(run, f"doc {kind}, id long, lang string, {', '.join(f'{m} long' for m in MEASURES)}, log_prob double")
+    return whole.mapInArrow(tidy(run), f"doc {kind}, id long, lang string, {', '.join(f'{m} long' for m in MEASURES)}, log_prob double")
 
 
 def bands(scored: DataFrame, width: float, prior: float, least_rows: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridtrack.llm.common import scratch
+from gridtrack.llm.common import scratch, tidy
 from gridtrack.operators.components import components
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.int64())], schema=schema)
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(tidy(run), "id long, th long, fp long")
 
 
 def variants(fp: Column) -> Column:
@@ -142,7 +142,7 @@ def links(distinct: DataFrame, n: int | None = None) -> DataFrame:
 
     keyed = distinct.select(F.explode(variants(F.col("fp"))).alias("key"), "fp")
     dealt = keyed.repartition("key") if n is None else keyed.repartition(n, "key")
-    return dealt.sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return dealt.sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gridtrack.llm.common import parts, scratch
+from gridtrack.llm.common import parts, scratch, tidy, trim
 
 WIDTH = 400
 GRAM = 160
@@ -39,6 +39,8 @@ DEPTH = 3
 SHARD_BYTES = 2 << 20
 SEPARATOR = b"\xff"  # in no UTF-8 text
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+CODE = 5  # bytes that stand for a word where passages are counted in words
+_SHIFTS = np.arange(CODE, dtype=np.uint64) * np.uint64(7)
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -293,6 +295,13 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def word_codes(text: str | None) -> bytes:
+    """Every word of a text as CODE bytes of its hash, seven bits each, and no spaces."""
+    digest = xxhash.xxh64_digest
+    h = np.frombuffer(b"".join([digest(w, 3) for w in _bytes(text).split()]), ">u8").astype(np.uint64)
+    return (h[:, None] >> _SHIFTS & np.uint64(127)).astype(np.uint8).tobytes()
+
+
 def _hash(raw: bytes, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(raw, seed) - (1 << 63)
 
@@ -306,16 +315,19 @@ SPOTS = pa.schema([("id", pa.int64()), ("tk", pa.int64()), ("first", pa.int32())
 SPOTS_DDL = "id long, tk long, first int, size int, gram long, ctx long"
 
 
-def spots(texts: DataFrame, width: int, gram: int) -> DataFrame:
-    """A row for each context of each text: where it starts, its length, and the hashes of gram and context."""
-    digest = xxhash.xxh64_digest
+def spots(texts: DataFrame, width: int, gram: int, words: bool = False) -> DataFrame:
+    """A row for each context of each text: where it starts, its length, and the hashes of gram and context.
+
+    ``words``: of the text's words as :func:`word_codes` writes them.
+    """
+    digest, as_bytes = xxhash.xxh64_digest, word_codes if words else _bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in parts(b.column(2), 4 << 20):
                 firsts, sizes, keys, digests, many = [], [], [], [], []
                 for text in b.column(2)[lo:hi].to_pylist():
-                    raw = _bytes(text)
+                    raw = as_bytes(text)
                     first, last, _, key = chosen(np.frombuffer(raw, np.uint8), width, gram)
                     size = last - first + width
                     firsts.append(first)
@@ -328,7 +340,7 @@ def spots(texts: DataFrame, width: int, gram: int) -> DataFrame:
                     numbers = (np.concatenate(firsts).astype(np.int32), np.concatenate(sizes).astype(np.int32), np.concatenate(keys), _hashes(digests))
                     yield pa.record_batch([b.column(0).take(of), b.column(1).take(of), *map(pa.array, numbers)], schema=SPOTS)
 
-    return texts.where(F.octet_length("text") >= width).mapInArrow(run, SPOTS_DDL)
+    return (texts if words else texts.where(F.octet_length("text") >= width)).mapInArrow(tidy(run), SPOTS_DDL)
 
 
 def sub_contexts(raw: bytes, width: int, gram: int, depth: int) -> Iterator[tuple[int, int, bytes]]:
@@ -356,7 +368,7 @@ def _cut(contexts: DataFrame, width: int, gram: int) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["gram", "ctx", "shift", "grp", "copies", "raw"])
 
-    return contexts.select("gram", "ctx", "copies", "raw").mapInArrow(run, "gram long, ctx long, shift int, grp long, copies long, raw binary")
+    return contexts.select("gram", "ctx", "copies", "raw").mapInArrow(tidy(run), "gram long, ctx long, shift int, grp long, copies long, raw binary")
 
 
 def _windows(parts_: DataFrame, width: int) -> DataFrame:
@@ -368,20 +380,21 @@ def _windows(parts_: DataFrame, width: int) -> DataFrame:
                 m = len(raw) - width + 1
                 yield pa.record_batch([pa.array([g] * m, pa.int64()), pa.array([c] * m, pa.int64()), pa.array(range(shift, shift + m), pa.int32()), pa.array([n] * m, pa.int64()), pa.array([_hash(raw[i : i + width], 5) for i in range(m)], pa.int64())], names=["gram", "ctx", "lo", "copies", "win"])
 
-    return parts_.select("gram", "ctx", "shift", "copies", "raw").mapInArrow(run, "gram long, ctx long, lo int, copies long, win long")
+    return parts_.select("gram", "ctx", "shift", "copies", "raw").mapInArrow(tidy(run), "gram long, ctx long, lo int, copies long, win long")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"), F.col(text_col).cast("string").alias("text"))
 
 
-def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES, words: bool = False) -> DataFrame:
     """``(id, tk, spans)`` for every text of ``texts(id, tk, text)`` with a repeated stretch.
 
     spans are byte ranges (lo, hi), sorted and merged.  tk is a hash of the text; rows that agree
-    in id and text have the same spans.
+    in id and text have the same spans.  ``words``: the same of the text's words as :func:`word_codes`
+    writes them, each as CODE bytes.
     """
-    found = scratch.table(spots(texts, width, gram), "spots")
+    found = scratch.table(spots(texts, width, gram, words), "spots")
     # tables of their own, so that adaptive execution can split the joins' hot keys
     again = scratch.table(found.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"), "again")
     places = scratch.table(found.join(again, "gram", "left_semi"), "places")
@@ -397,12 +410,12 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, cs in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                raw = _bytes(text.as_py())
+                raw = word_codes(text.as_py()) if words else _bytes(text.as_py())
                 numbers = [pa.array([c[k] for c in cs], pa.int64()) for k in ("gram", "ctx", "copies", "kinds")]
                 yield pa.record_batch([*numbers, pa.array([raw[c["first"] : c["first"] + c["size"]] for c in cs], pa.binary())], names=["gram", "ctx", "copies", "kinds", "raw"])
 
     held = texts.join(wanted.withColumnsRenamed({"id": "wid", "tk": "wtk"}), F.col("tk").eqNullSafe(F.col("wtk")) & F.col("id").eqNullSafe(F.col("wid")))
-    raw = scratch.table(held.select("text", "c").mapInArrow(fetch, "gram long, ctx long, copies long, kinds long, raw binary"), "raw")
+    raw = scratch.table(held.select("text", "c").mapInArrow(tidy(fetch), "gram long, ctx long, copies long, kinds long, raw binary"), "raw")
     size = raw.agg(F.sum(F.length("raw")).alias("n"), F.max("kinds").alias("kinds")).first()
     shards = max(1, -(-(size["n"] or 0) // shard_bytes))
     every = raw.where(F.col("kinds") <= hot).select("gram", "ctx", F.lit(0).alias("shift"), F.col("gram").alias("grp"), "copies", "raw")
@@ -423,6 +436,7 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
                 runs[k] = [(k[2] + int(r[0]), k[2] + int(r[-1]) + width) for r in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)]
         rows = [(g, c, lo, hi) for (g, c, _), own in runs.items() for lo, hi in own]
         cols = list(zip(*rows, strict=True)) or [()] * 4
+        trim()
         return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["gram", "ctx", "lo", "hi"])
 
     runs = every.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards))).groupBy("shard").applyInArrow(solve, "gram long, ctx long, lo int, hi int")
@@ -455,26 +469,6 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*keep, raw[at:]])
 
 
-CODE = 5  # bytes that stand for a word where passages are counted in words
-
-
-def coded(texts: DataFrame) -> DataFrame:
-    """``texts(id, tk, text)`` with every word of a text as CODE bytes of its hash, seven bits each, and no spaces."""
-    shifts = np.arange(CODE, dtype=np.uint64) * np.uint64(7)
-    digest = xxhash.xxh64_digest
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in parts(b.column(2), 4 << 20):
-                out = []
-                for text in b.column(2)[lo:hi].to_pylist():
-                    h = np.frombuffer(b"".join([digest(w, 3) for w in _bytes(text).split()]), ">u8").astype(np.uint64)
-                    out.append((h[:, None] >> shifts & np.uint64(127)).astype(np.uint8).tobytes().decode("ascii"))
-                yield pa.record_batch([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(out, pa.string())], names=["id", "tk", "text"])
-
-    return texts.select("id", "tk", "text").mapInArrow(run, "id long, tk long, text string")
-
-
 def word_runs(spans: list[dict], words: int) -> list[tuple[int, int]]:
     """Spans of a coded text as ranges of its words."""
     ranges = [(-(-lo // CODE), hi // CODE) for lo, hi in merged(spans)]
@@ -503,7 +497,7 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT
     texts = _texts(docs, id_col, text_col)
     found = repeats(texts, width, gram, hot, shard_bytes)
     if words:
-        found = found.withColumn("kind", F.lit("spans")).unionByName(repeats(coded(texts), CODE * words, max(CODE * words * gram // width, 1), hot, shard_bytes).withColumn("kind", F.lit("runs")))
+        found = found.withColumn("kind", F.lit("spans")).unionByName(repeats(texts, CODE * words, max(CODE * words * gram // width, 1), hot, shard_bytes, True).withColumn("kind", F.lit("runs")))
         found = found.groupBy("id", "tk").agg(*(F.first(F.when(F.col("kind") == k, F.col("spans")), True).alias(k) for k in ("spans", "runs")))
     else:
         found = found.withColumn("runs", F.lit(None).cast(found.schema["spans"].dataType))
@@ -527,4 +521,4 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT
 
     kinds = dict(both.dtypes)
     ddl = "id long, n_bytes long, n_removed long, n_spans long, n_passages long, n_passage_words long, kept_sha256 string, kept string" + "".join(f", _{i} {kinds[f'_{i}']}" for i in range(len(carry)))
-    return both.mapInArrow(run, ddl).withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
+    return both.mapInArrow(tidy(run), ddl).withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gridtrack.llm.common import parts, scratch
+from gridtrack.llm.common import forget, parts, scratch, tidy
 from gridtrack.llm.packing import Memo
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, k: int = 25, id_co
             some = names[lo : lo + 50_000]
             yield pa.record_batch([pa.array(some, pa.int64()), pa.array([both[1][f] for f in some], pa.int64()), pa.array([both[0][f] for f in some], pa.int64())], names=["f", "n1", "n0"])
 
-    counted = examples.select("y", "text").mapInArrow(seen, "f long, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counted = examples.select("y", "text").mapInArrow(tidy(seen), "f long, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     total = examples.agg(F.sum((F.col("y") > 0).cast("long")).alias("n1"), F.sum((F.col("y") <= 0).cast("long")).alias("n0")).first()
     found = counted.orderBy("f").toArrow()
     vocab = found.column("f").to_numpy()
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, k: int = 25, id_co
             own = [terms.counts(t) for t in x.column(2).to_pylist()]
             yield pa.record_batch([x.column(0), x.column(1), pa.array([t.astype(np.int32) for t, _ in own], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in own], pa.list_(pa.int32()))], names=["id", "y", "t", "n"])
 
-    drawn = examples.select("id", "y", "text").mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").toArrow().combine_chunks()  # at most ``most`` rows
+    drawn = examples.select("id", "y", "text").mapInArrow(tidy(vectors), "id long, y int, t array<int>, n array<int>").toArrow().combine_chunks()  # at most ``most`` rows
     ids, toxic = drawn.column("id").to_numpy(), (drawn.column("y").to_numpy() > 0).astype(np.int64)
     order = np.lexsort((ids, -toxic)).tolist()
     t, n = (drawn.column(c).combine_chunks() for c in ("t", "n"))
@@ -284,8 +284,9 @@ def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for lo, hi in parts(b.column(1)):
                 found = m.scores([terms.counts(t or "") for t in b.column(1)[lo:hi].to_pylist()])
                 yield pa.record_batch([b.column(0)[lo:hi], pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["id", "score", "evidence"])
+        forget(shared)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double, evidence array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "id long, score double, evidence array<long>")
 
 
 def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
@@ -300,5 +301,6 @@ def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -
             for lo, hi in parts(b.column(at)):
                 part = b.slice(lo, hi - lo)
                 yield part.filter(pa.array([p < limit for p, _ in m.scores([terms.counts(t or "") for t in part.column(at).to_pylist()])], pa.bool_()))
+        forget(shared)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
