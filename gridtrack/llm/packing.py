@@ -17,13 +17,14 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gridtrack.llm.common import parts, rows, scratch
+from gridtrack.llm.common import kept, parts, rows, scratch, tidy
 
 CAPACITY = 4096
 OPEN = 64
@@ -49,6 +50,12 @@ class Memo:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
+    def put_all(self, more: dict) -> None:
+        """Many at once; a generation may then hold as many more than its bound."""
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young.update(more)
+
     def get(self, key):
         if (v := self.young.get(key)) is None and (v := self.old.get(key)) is not None:
             self.put(key, v)
@@ -94,55 +101,54 @@ class Encoder:
                 yield raw[begin:n]
                 begin = n
 
-    def _learn(self, chunks: list[str], known: dict[str, bytes | None]) -> None:
-        memo, get = self.memo, self.memo.get
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks that the memo lacks, and of the letters and punctuation that they share."""
+        get = self.memo.get
         stems: dict[str, bytes | None] = {}
         tails: dict[str, bytes | None] = {}
         split, other = [], []
         for c in chunks:
-            stem = c.rstrip(TRAILING)
-            if stem.isalpha():
-                tail = c[len(stem) :]
-                split.append((c, stem, tail))
-                if stem not in stems:
-                    stems[stem] = get(stem) if tail else None
-                if tail and tail not in tails:
-                    tails[tail] = get(tail)
+            if c.isalpha():
+                stems[c] = None
+            elif (stem := c.rstrip(TRAILING)).isalpha():
+                split.append((c, stem, c[len(stem) :]))
             else:
                 other.append(c)
+        for _, stem, tail in split:
+            if stem not in stems:
+                stems[stem] = get(stem)
+            if tail not in tails:
+                tails[tail] = get(tail)
         new = [x for x, v in stems.items() if v is None]
-        for x, v in zip(new, self._runs(new), strict=True):
-            stems[x] = v
-            if len(x) <= 64:
-                memo.put(x, v)
+        stems.update(zip(new, self._runs(new), strict=True))
         rest = [*other, *(t for t, v in tails.items() if v is None)]
-        for x, v in zip(rest, self._one_by_one(rest), strict=True):
-            if x in tails:
-                tails[x] = v
-            known[x] = v
-            if len(x) <= 64:
-                memo.put(x, v)
+        known = dict(zip(rest, self._one_by_one(rest), strict=True))
+        tails = {t: known[t] if v is None else v for t, v in tails.items()}
+        known.update(stems)
         for c, stem, tail in split:
-            known[c] = v = stems[stem] + tails[tail] if tail else stems[stem]
-            if tail and len(c) <= 64:
-                memo.put(c, v)
+            known[c] = stems[stem] + tails[tail]
+        self.memo.put_all({c: v for c, v in known.items() if len(c) <= 64})
+        return known
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """One text after the other.  Texts that spell a special token are encoded whole."""
         split = [None if SPECIAL in t else t.replace("\n", " ").split(" ") for t in texts]
-        get = self.memo.get
-        known: dict[str, bytes | None] = {"": b""}
-        for chunks in split:
-            if chunks:
-                for c in set(chunks):
-                    if c not in known:
-                        known[c] = get(c)
-        self._learn([c for c, v in known.items() if v is None], known)
-        for t, chunks in zip(texts, split, strict=True):
-            if chunks is None:
+        chunks = list(chain.from_iterable(x for x in split if x))
+        found = list(map(self.memo.young.get, chunks))
+        lacking = [i for i, v in enumerate(found) if v is None]
+        if lacking:
+            get = self.memo.get
+            known = {c: b"" if not c else get(c) for c in {chunks[i] for i in lacking}}
+            known.update(self._learn([c for c, v in known.items() if v is None]))
+            for i in lacking:
+                found[i] = known[chunks[i]]
+        at = 0
+        for t, own in zip(texts, split, strict=True):
+            if own is None:
                 yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + self.end
             else:
-                yield b"".join([known[c] for c in chunks]) + self.end
+                yield b"".join(found[at : at + len(own)]) + self.end
+                at += len(own)
 
 
 class Packer:
@@ -228,7 +234,7 @@ def pack(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, most_op
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(path, end), Packer(capacity, most_open, cut)
+        encoder, packer = kept(("encoder", path, end), lambda: Encoder(path, end)), Packer(capacity, most_open, cut)
         base = TaskContext.get().partitionId() << 32
         columns, flush = rows(PIECE)
 
@@ -239,7 +245,7 @@ def pack(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, most_op
                         c.append(v)
 
         for b in batches:
-            for lo, hi in parts(b.column(1)):
+            for lo, hi in parts(b.column(1), 1 << 20):
                 ids = b.column(0)[lo:hi].to_pylist()
                 texts = [t or "" for t in b.column(1)[lo:hi].to_pylist()]
                 for doc_id, own in zip(ids, encoder.ids(texts), strict=True):
@@ -254,7 +260,7 @@ def pack(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, most_op
         return pa.table({"old": windows.column("old"), "new": pa.array(ids), "shift": pa.array(offset)})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = scratch.table(texts.mapInArrow(run, DDL), "pieces")
+    pieces = scratch.table(texts.mapInArrow(tidy(run, keep=True), DDL), "pieces")
     left = pieces.where("open").select(F.col("sequence_id").alias("old"), "fill").distinct()
     groups = -(-left.count() // GROUP)
     merged = left.withColumn("g", F.pmod(F.xxhash64("old"), F.lit(max(1, groups)))).groupBy("g").applyInArrow(again, "old long, new long, shift long")

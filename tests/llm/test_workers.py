@@ -2,8 +2,12 @@
 
 import re
 
-from gridtrack.llm import common, suffix
-from tests.llm.helpers import odd_docs
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from gridtrack.llm import common, packing, suffix
+from tests.llm.helpers import odd_docs, odd_texts
 
 
 def test_a_worker_keeps_one_thing_and_other_tasks_let_it_go():
@@ -21,3 +25,21 @@ def test_passages_are_found_by_one_worker_a_task(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("MapInArrow|PythonMapInArrow", plan)) == 1
     assert found.where("first % 5 = 0").count() > 0
+
+
+def test_an_encoder_that_is_kept_forgets_by_generations_and_stays_right(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 8)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = packing.Encoder(path, 2), Tokenizer.from_file(path)
+    texts = [t or "" for t in odd_texts()] + [f"word{i} w{i}, and same. {'é' * i}  \n and," for i in range(30)]
+    want = [np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+    for size in (1, 7, len(texts)):
+        assert [x for lo in range(0, len(texts), size) for x in encoder.ids(texts[lo : lo + size])] == want
+    assert encoder.memo.old
+
+
+def test_many_are_remembered_at_once():
+    memo = packing.Memo(2)
+    memo.put_all({"a": 1, "b": 2, "c": 3})
+    memo.put_all({"d": 4})
+    assert memo.young == {"d": 4} and memo.get("c") == 3 and "c" in memo.young
