@@ -22,22 +22,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gridtrack.llm.common import forget, parts, scratch, tidy
-from gridtrack.llm.packing import Memo
+from gridtrack.llm.common import forget, kept, parts, scratch, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 4
-BLOCK = 128
+BLOCK = 512
 OFTEN = 16  # a term that one example in so many has is a dense row
-FIRST = 4  # blocks scored at once before the others are judged by their bounds
-MEMO = 100_000
+FIRST = 2  # blocks scored at once before the others are judged by their bounds
+MEMO = 300_000  # words numbered before they are forgotten, and those of one text
 TOGETHER = 64  # texts whose frequent terms go through one product
 
 
@@ -46,32 +44,49 @@ def terms_of(word: str) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(word) - (1 << 63), xxhash.xxh64_intdigest(f"{word[:STEM]} ") - (1 << 63)
 
 
+class Numbers(dict):
+    """Words numbered as they come; ``new`` are those not yet looked up."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Terms:
     """Known terms of whole texts and their counts, with a bounded memo of words; ``keys`` are sorted hashes."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.memo = keys, Memo(MEMO)
+        self.keys, self.words = keys, Numbers()
+        self.ids = np.empty((0, 2), np.int32)  # of each numbered word, the numbers of its two terms or -1
+
+    def _learn(self) -> None:
+        new = self.words.new
+        want = np.array([h for w in new for h in terms_of(w)], np.int64)
+        at = np.full(len(want), -1)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            at = np.where(self.keys[at] == want, at, -1)
+        end = len(self.words)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty((2 * end - len(self.ids), 2), np.int32)])
+        self.ids[end - len(new) : end] = at.reshape(-1, 2)
+        new.clear()
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms, ascending, and how often the text has them."""
         words = Counter(WORD.findall(text.lower()))
-        memo, found, new = self.memo, {}, []
-        near = memo.young.get
-        for w in words:
-            if (ids := near(w) or memo.get(w)) is None:
-                new.append(w)
-            else:
-                found[w] = ids
-        if new and len(self.keys):
-            want = np.array([h for w in new for h in terms_of(w)], np.int64)
-            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-            at = np.where(self.keys[at] == want, at, -1).reshape(-1, 2).tolist()
-            for w, ids in zip(new, at, strict=True):
-                found[w] = ids = tuple(ids)
-                if len(w) <= 64:
-                    memo.put(w, ids)
-        t = np.fromiter(chain.from_iterable(found.values()), np.int64, 2 * len(found))
-        n = np.repeat(np.array([words[w] for w in found], np.int64), 2)
+        if len(self.words) > MEMO:
+            self.words = Numbers()
+        number = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if self.words.new:
+            self._learn()
+        t = self.ids[number].ravel().astype(np.int64)
+        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), 2)
         own = t >= 0
         ids, back = np.unique(t[own], return_inverse=True)
         return ids, np.bincount(back, n[own], len(ids)).astype(np.int64)
@@ -279,14 +294,14 @@ def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        terms = Terms(m.vocabulary)
+        terms = kept(("terms", shared._path), lambda: Terms(m.vocabulary))
         for b in batches:
             for lo, hi in parts(b.column(1)):
                 found = m.scores([terms.counts(t or "") for t in b.column(1)[lo:hi].to_pylist()])
                 yield pa.record_batch([b.column(0)[lo:hi], pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["id", "score", "evidence"])
         forget(shared)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "id long, score double, evidence array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run, keep=True), "id long, score double, evidence array<long>")
 
 
 def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
@@ -296,11 +311,11 @@ def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        terms = Terms(m.vocabulary)
+        terms = kept(("terms", shared._path), lambda: Terms(m.vocabulary))
         for b in batches:
             for lo, hi in parts(b.column(at)):
                 part = b.slice(lo, hi - lo)
                 yield part.filter(pa.array([p < limit for p, _ in m.scores([terms.counts(t or "") for t in part.column(at).to_pylist()])], pa.bool_()))
         forget(shared)
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run, keep=True), docs.schema)

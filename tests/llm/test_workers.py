@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from gridtrack.llm import common, packing, suffix
+from gridtrack.llm import common, packing, suffix, toxicity
 from tests.llm.helpers import odd_docs, odd_texts
 
 
@@ -43,3 +43,19 @@ def test_many_are_remembered_at_once():
     memo.put_all({"a": 1, "b": 2, "c": 3})
     memo.put_all({"d": 4})
     assert memo.young == {"d": 4} and memo.get("c") == 3 and "c" in memo.young
+
+
+def test_numbered_words_are_forgotten_and_counts_stay_right(monkeypatch):
+    monkeypatch.setattr(toxicity, "MEMO", 4)
+    texts = ["Some words some", "", "other words 12", *(f"word{c} vile {c * 3} vile" for c in "abcdefgh")]
+    keys = np.unique(np.array([h for w in ("some", "words", "vile", "aaa") for h in toxicity.terms_of(w)], np.int64))
+    terms = toxicity.Terms(keys)
+    for t in [*texts, *texts]:
+        want = {}
+        for w in toxicity.WORD.findall(t.lower()):
+            for h in toxicity.terms_of(w):
+                if h in keys:
+                    want[int(np.searchsorted(keys, h))] = want.get(int(np.searchsorted(keys, h)), 0) + 1
+        ids, n = terms.counts(t)
+        assert dict(zip(ids.tolist(), n.tolist())) == want and ids.tolist() == sorted(want)
+        assert len(terms.words) <= 4 + 8
