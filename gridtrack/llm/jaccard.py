@@ -11,7 +11,9 @@ pairs first; those that prove near link copies with few edits, and linked sets a
 Pairs near 0.8 differ in some ten bits, which no index of few keys can promise to find; the join finds
 them.  Hashes in many prefixes of a sample (boilerplate) are put last in the order, so that texts meet by
 what is their own; any order gives the same pairs.  Within a list, sets are first compared with the list's smallest; sets that this links need no
-pairs among themselves, so families of edited copies cost a link each and not a pair each.
+pairs among themselves, so families of edited copies cost a link each and not a pair each.  What is left
+is paired as far as a list has few pairs a set.  The sets of the others go to blocks, and two blocks that
+meet in a list are compared whole in one task, which gives the links of a spanning forest and no row a pair.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ WIDTH = 5
 LEAST = Fraction(4, 5)
 SAMPLE = 8  # one text in so many is looked at for common hashes
 HOT = 8  # prefixes of the sample from which a hash counts as common
+DENSE = 8  # pairs a set of a list up to which they are listed; lists with more are compared by blocks
+BLOCK = 256  # sets of a block, and hashes of all its sets: as near as hashing deals them
+BLOCK_HASHES = 1 << 20
 COMMON = 200_000  # common hashes that are put last, the most frequent; any number gives the same pairs
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -143,7 +148,8 @@ def _shared(signed: DataFrame) -> DataFrame:
 def _pairs(lists: DataFrame, least: Fraction, first: bool) -> DataFrame:
     """Distinct pairs ``(a, b)`` that may be near, of ``lists(key, m, s, pos, c)``.
 
-    ``first``: only those with a list's smallest set; otherwise all others whose sets differ in c.
+    ``first``: only those with a list's smallest set; otherwise all others whose sets differ in c, but
+    for a list with over ``DENSE`` pairs a set a row ``(key, null)`` instead.
     """
     p, q = least.numerator, least.denominator
 
@@ -153,6 +159,7 @@ def _pairs(lists: DataFrame, least: Fraction, first: bool) -> DataFrame:
             cut = np.flatnonzero(np.diff(key)) + 1
             out, size = [], 0
             for lo, hi in zip(np.r_[0, cut].tolist(), np.r_[cut, len(key)].tolist(), strict=True):
+                own, n = [], 0
                 for i in [lo] if first else range(lo + 1, hi - 1):
                     end = lo + int(np.searchsorted(m[lo:hi], m[i] * q // p, "right"))
                     j = slice(i + 1, end)
@@ -160,21 +167,69 @@ def _pairs(lists: DataFrame, least: Fraction, first: bool) -> DataFrame:
                     ok = ((p + q) * most >= p * (m[i] + m[j])) & (c[j] != c[i])
                     if ok.any():
                         b = s[j][ok]
-                        out.append((np.minimum(b, s[i]), np.maximum(b, s[i])))
-                        size += len(b)
-                    if size > 100_000:
-                        yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
-                        out, size = [], 0
+                        own.append((np.minimum(b, s[i]), np.maximum(b, s[i]), np.zeros(len(b), bool)))
+                        n += len(b)
+                    if not first and n > DENSE * (hi - lo):
+                        own, n = [(key[lo : lo + 1], key[lo : lo + 1], np.ones(1, bool))], 1
+                        break
+                out += own
+                size += n
+                if size > 100_000:
+                    yield batch(out)
+                    out, size = [], 0
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
+                yield batch(out)
+
+    def batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, dense = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.record_batch([pa.array(a), pa.array(b, mask=dense)], names=["a", "b"])
 
     dealt = lists.select("key", "m", "s", "pos", "c").repartition("key").sortWithinPartitions("key", "m", "s")
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, least: Fraction, text_col: str) -> DataFrame:
-    """Those of ``pairs`` whose sets have the similarity; ``sets(s, th, m, bits)`` has a text for each set."""
-    p, q = least.numerator, least.denominator
+def _in_common(u: list[np.ndarray], v: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of u has in common with each of v."""
+    row, col = (np.repeat(np.arange(len(z)), [len(x) for x in z]) for z in (u, v))
+    code, at = np.unique(np.concatenate(u), return_inverse=True)
+    flat = np.concatenate(v)
+    to = np.minimum(np.searchsorted(code, flat), max(0, len(code) - 1))
+    met = code[to] == flat
+    to, col = to[met], col[met]
+    used = np.zeros(len(code), bool)
+    used[to] = True
+    new = np.cumsum(used) - 1
+    row, at, to = row[used[at]], new[at[used[at]]], new[to]
+    both = np.zeros((len(u), len(v)), np.float32)  # exact: sets have less than 2^24 hashes in a slice
+    for lo in range(0, int(used.sum()), 4096):
+        x, y = np.zeros((len(u), 4096), np.float32), np.zeros((len(v), 4096), np.float32)
+        i, j = (at >= lo) & (at < lo + 4096), (to >= lo) & (to < lo + 4096)
+        x[row[i], at[i] - lo] = 1
+        y[col[j], to[j] - lo] = 1
+        both += x @ y.T
+    return both.astype(np.int64)
+
+
+def _forest(s: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links (s[i], s[j]) that join sets whose classes c no link before has joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
+
+    out = []
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = root(int(c[a])), root(int(c[b]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(min(s[a], s[b])), int(max(s[a], s[b]))))
+    return out
+
+
+def _shingled(wanted: DataFrame, docs: DataFrame, width: int, text_col: str) -> DataFrame:
+    """``(s, h)``: the shingle hashes of each set of ``wanted(s, th)``, written."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -184,6 +239,69 @@ def _near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, least:
                     seen.add(s)
                     yield pa.record_batch([pa.array([s], pa.int64()), pa.array([shingles(text.as_py(), width).tobytes()], pa.binary())], names=["s", "h"])
 
+    own = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    whole = own.join(wanted, "th").select("s", "text").mapInArrow(tidy(cut), "s long, h binary")
+    return scratch.table(whole.groupBy("s").agg(F.first("h").alias("h")), "shingles")
+
+
+def _by_blocks(hot: DataFrame, docs: DataFrame, sets: DataFrame, width: int, least: Fraction, text_col: str) -> DataFrame:
+    """Links ``(a, b)`` that join what classes c of ``hot(key, s, m, c, n, size)`` near pairs of a list join.
+
+    n and size: the sets of the list and the hashes of them all.  A set's block is cut from the longest
+    list that it stands in, so that copies with many lists in common are in few blocks, apart by size; two
+    blocks are compared once, however many lists they meet in.
+    """
+    p, q = least.numerator, least.denominator
+
+    def links(x: int, y: int, cols: tuple[np.ndarray, ...]) -> list[tuple[int, int]]:
+        block, s, c, h = cols
+        h = [np.frombuffer(z, np.uint64) for z in h]
+        u, v = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        if not len(u) or not len(v) or c.min() == c.max():
+            return []
+        m = np.array([len(z) for z in h], np.int64)
+        both = _in_common([h[i] for i in u], [h[i] for i in v])
+        i, j = np.nonzero(((p + q) * both >= p * (m[u][:, None] + m[v][None, :])) & (c[u][:, None] != c[v][None, :]))
+        return _forest(s, c, u[i], v[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held and (found := links(*at, tuple(np.array([r[k] for r in held], t) for k, t in enumerate((np.int64, np.int64, np.int64, object))))):
+                yield pa.record_batch([pa.array(z, pa.int64()) for z in zip(*found, strict=True)], names=["a", "b"])
+
+        for b in batches:
+            for x, y, *row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if (x, y) != at:
+                    yield from done()
+                    at, held = (x, y), []
+                held.append(row)
+        yield from done()
+
+    chunks = F.greatest(F.ceil(F.col("home.n") / BLOCK), F.ceil(F.col("home.size") / BLOCK_HASHES))
+    like = F.floor(F.log("m") * 4)  # sets of sizes that differ by a quarter are of neighbouring kinds
+    home = hot.groupBy("s").agg(F.first("c").alias("c"), F.first("m").alias("m"), F.max(F.struct("n", "size", "key")).alias("home"))
+    home = scratch.table(home.select("s", "c", "m", F.xxhash64("home.key", like, F.pmod(F.xxhash64("s"), chunks)).alias("block")), "home")
+    met = hot.select("key", "s").join(home, "s").groupBy("key", "block").agg(*(f(k).alias(f"{n}_{k}") for k in "cm" for n, f in (("lo", F.min), ("hi", F.max))))
+    met = scratch.table(met, "met")
+    x, y = (met.select("key", *(F.col(n).alias(f"{k}_{n}") for n in met.columns[1:])) for k in "xy")
+    unlike = "least(x_lo_c, y_lo_c) < greatest(x_hi_c, y_hi_c)"
+    met = x.join(y, "key").where(f"x_block <= y_block AND {unlike} AND {p} * x_lo_m <= {q} * y_hi_m AND {p} * y_lo_m <= {q} * x_hi_m")
+    met = met.select(F.col("x_block").alias("x"), F.col("y_block").alias("y")).distinct()
+    sides = met.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    h = _shingled(sets.select("s", "th").join(home, "s", "left_semi"), docs, width, text_col)
+    dealt = sides.join(home.join(h, "s"), "block").select("x", "y", "block", "s", "c", "h").repartition("x", "y").sortWithinPartitions("x", "y")
+    found = scratch.table(dealt.mapInArrow(tidy(run), "a long, b long"), "near")
+    for t in (h, home):
+        scratch.drop(t)
+    return found
+
+
+def _near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, least: Fraction, text_col: str) -> DataFrame:
+    """Those of ``pairs`` whose sets have the similarity; ``sets(s, th, m, bits)`` has a text for each set."""
+    p, q = least.numerator, least.denominator
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -201,12 +319,11 @@ def _near(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, least:
     both = pairs.join(sets.select(F.col("s").alias("a"), F.col("bits").alias("x"), "m"), "a").join(sets.select(F.col("s").alias("b"), F.col("bits").alias("y"), F.col("m").alias("n")), "b")
     pairs = scratch.table(both.select("a", "b", "x", "y", "m", "n").mapInArrow(tidy(may), "a long, b long"), "may")
     wanted = sets.select("s", "th").join(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "s", "left_semi")
-    own = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    whole = own.join(wanted, "th").select("s", "text").mapInArrow(tidy(cut), "s long, h binary")
-    whole = scratch.table(whole.groupBy("s").agg(F.first("h").alias("h")), "shingles")
+    whole = _shingled(wanted, docs, width, text_col)
     held = pairs.join(whole.select(F.col("s").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("s").alias("b"), F.col("h").alias("y")), "b")
     near = scratch.table(held.select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long"), "near")
-    scratch.drop(whole)
+    for t in (whole, pairs):
+        scratch.drop(t)
     return near
 
 
@@ -242,9 +359,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: Fraction = LEAST
     tried = scratch.table(_pairs(named, least, True).join(proposed, ["a", "b"], "left_anti"), "tried")
     links = links.unionByName(_near(tried, docs, sets, width, least, text_col))
     found = scratch.table(components(links), "linked").select(F.col("node").alias("s"), F.col("root").alias("c"))
-    more = lists.join(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"), "key", "left_semi").join(found, "s", "left").withColumn("c", F.coalesce("c", "s"))
-    more = scratch.table(_pairs(more, least, False).join(tried.unionByName(proposed), ["a", "b"], "left_anti"), "more")
+    named = lists.join(found, "s", "left").withColumn("c", F.coalesce("c", "s"))
+    open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.sum("m").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    named = scratch.table(named.join(open_.where("n > 2 AND lo < hi").select("key", "n", "size"), "key"), "open")
+    scratch.drop(lists)
+    paired = scratch.table(_pairs(named, least, False), "paired")
+    more = scratch.table(paired.where("b IS NOT NULL").join(tried.unionByName(proposed), ["a", "b"], "left_anti"), "more")
+    hot = scratch.table(named.join(paired.where("b IS NULL").select(F.col("a").alias("key")), "key", "left_semi"), "hot")
+    for t in (named, paired, tried, proposed):
+        scratch.drop(t)
     links = links.unionByName(_near(more, docs, sets, width, least, text_col))
+    links = links.unionByName(_by_blocks(hot, docs, sets, width, least, text_col))
+    for t in (more, hot):
+        scratch.drop(t)
     roots = components(links).select(F.col("node").alias("s"), "root")
     return signed.join(roots, "s", "left").select("id", "th", F.coalesce("root", "s").alias("root"))
 

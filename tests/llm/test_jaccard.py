@@ -67,6 +67,32 @@ def test_edited_copies_are_all_found(spark):
     assert got(df, hot=1) == want and got(df, hot=10**9) == want  # the order of hashes is free
 
 
+def test_copies_that_are_not_quite_near_cost_no_row_a_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base, texts = [word() for _ in range(100)], []
+    for _ in range(400):
+        copy = base[:]
+        for k in rng.sample(range(3, 97), rng.choice([1, 3, 4, 4])):
+            copy[k] = word()
+        texts.append(copy)
+    items = [(i, " ".join(t)) for i, t in enumerate(texts + [[*t, "end"] for t in texts[::20]])]
+    want, made, whole = brute(items), [], jaccard._pairs
+    assert len(want) > 100 and max(map(len, want)) > 50
+
+    def counted(*a):
+        made.append((out := whole(*a)).count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_pairs", counted)
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    assert got(df) == want
+    assert sum(made) < 10 * len(items)  # not a row a pair
+    for name, few in (("DENSE", 0), ("BLOCK", 100), ("BLOCK_HASHES", 20_000)):  # more and smaller blocks: the same groups
+        monkeypatch.setattr(jaccard, name, few)
+    assert got(df) == want
+
+
 def test_stage_keeps_one_of_edited_copies(spark, sf):
     import corpus_pipeline
 
