@@ -12,9 +12,11 @@ What is looked for: every string of ``width`` bytes that starts at two places or
    need be asked.  A string chosen by very many different contexts is hot: its contexts are cut into
    sub-contexts that agree on a longer string; where that is hot still, into single windows, of
    which a count tells all.
-3. Suffix arrays.  Each shard's contexts, set apart by a byte that UTF-8 never uses, get a suffix
-   array by induced sorting; permuted common prefixes then tell which windows have a neighbour
-   that agrees on ``width`` bytes.
+3. Suffix arrays.  A window whose hash no other of the shard has is not repeated; stretches of the
+   other windows that are equal repeat each other whole.  Where a string was also chosen by a stretch
+   that equals no other, its stretches, one copy of each, set apart by a byte that UTF-8 never uses,
+   get a suffix array by induced sorting; permuted common prefixes then tell which windows have a
+   neighbour that agrees on ``width`` bytes.
 4. Spans.  Found windows go back to all places of their context, join into spans for each text,
    and the spans are cut out.
 """
@@ -270,6 +272,44 @@ def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def repeated_runs(groups: list[int], contexts: list[bytes], width: int, copies: list[int]) -> Iterator[tuple[int, int, int]]:
+    """``(context, lo, hi)`` of the maximal stretches whose windows are repeated among the contexts of a group.
+
+    As :func:`repeated_starts` finds them, of which only stretches are asked that equal no other.
+    """
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    raw = b"".join(c + SEPARATOR for c in contexts)
+    many = np.maximum(sizes - width + 1, 0)
+    of = np.repeat(np.arange(len(contexts)), many)
+    start = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    h = gram_hashes(np.frombuffer(raw, np.uint8), width)[begin[of] + start] if len(of) else np.empty(0, np.uint64)
+    by = np.sort(h)
+    more = np.unique(by[1:][by[1:] == by[:-1]])
+    may = np.flatnonzero(more[np.minimum(np.searchsorted(more, h), len(more) - 1)] == h) if len(more) else np.empty(0, np.int64)
+    of, start = of[may], start[may]
+    new = np.r_[True, (np.diff(of) != 0) | (np.diff(start) != 1)] if len(of) else np.empty(0, bool)
+    first, last = np.flatnonzero(new), np.flatnonzero(np.r_[new[1:], True]) if len(of) else new
+    at = begin[of[first]] + start[first]
+    strings: dict[tuple[int, bytes], list] = {}  # of a group: copies, and where it stands
+    for i, lo, a, n in zip(of[first].tolist(), start[first].tolist(), at.tolist(), (start[last] - start[first] + width).tolist(), strict=True):
+        held = strings.setdefault((groups[i], raw[a : a + n]), [0, []])
+        held[0] += copies[i]
+        held[1].append((i, lo))
+    for i, n in enumerate(copies):
+        if n > 1 and many[i]:
+            yield i, 0, int(sizes[i])
+    asked = {g for (g, _), (n, _) in strings.items() if n == 1}
+    for (g, x), (n, where) in strings.items():
+        if n > 1 and g not in asked:
+            yield from ((i, lo, lo + len(x)) for i, lo in where if copies[i] == 1)
+    left = [(x, n, where) for (g, x), (n, where) in strings.items() if g in asked]
+    if left:
+        for (_, _, where), starts in zip(left, repeated_starts([x for x, _, _ in left], width, [n for _, n, _ in left]), strict=True):
+            for r in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else ():
+                yield from ((i, lo + int(r[0]), lo + int(r[-1]) + width) for i, lo in where if copies[i] == 1)
+
+
 def chosen(raw: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Contexts of a text: first window, last window, place of the chosen gram, its hash."""
     if len(raw) < width:
@@ -429,12 +469,9 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
         counted = still.join(twice, "win", "left_semi").select("gram", "ctx", "lo", (F.col("lo") + width).alias("hi"))
 
     def solve(t: pa.Table) -> pa.Table:
-        one = {(g, c, s): (n, r) for g, c, s, n, r in zip(*(t.column(k).to_pylist() for k in ("gram", "ctx", "shift", "copies", "raw")), strict=True)}
-        runs = {}
-        for k, starts in zip(one, repeated_starts([r for _, r in one.values()], width, [n for n, _ in one.values()]), strict=True):
-            if len(starts):
-                runs[k] = [(k[2] + int(r[0]), k[2] + int(r[-1]) + width) for r in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)]
-        rows = [(g, c, lo, hi) for (g, c, _), own in runs.items() for lo, hi in own]
+        one = {(g, c, s): (group, n, r) for g, c, s, group, n, r in zip(*(t.column(k).to_pylist() for k in ("gram", "ctx", "shift", "grp", "copies", "raw")), strict=True)}
+        keys, (groups, copies, raws) = list(one), zip(*one.values(), strict=True)
+        rows = [(*keys[i][:2], keys[i][2] + lo, keys[i][2] + hi) for i, lo, hi in repeated_runs(groups, raws, width, copies)]
         cols = list(zip(*rows, strict=True)) or [()] * 4
         trim()
         return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["gram", "ctx", "lo", "hi"])

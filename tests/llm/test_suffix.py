@@ -48,6 +48,29 @@ def test_suffix_array_and_prefixes():
             assert common[i] == m
 
 
+def test_runs_are_those_of_the_suffix_array_of_all_contexts(monkeypatch):
+    rnd, asked, whole = random.Random(4), [], suffix.repeated_starts
+    for _ in range(150):
+        width, letters = rnd.choice([4, 7, 12]), rnd.choice(["ab", "abc", "abcdefghijkl"])
+        base, contexts = [rnd.choice(letters) for _ in range(60)], {}
+        for _ in range(rnd.randrange(12)):
+            at = rnd.randrange(40)
+            own = base[at : at + rnd.randrange(width, 30)]
+            own[rnd.randrange(len(own))] = rnd.choice(letters)
+            if len(own) >= width:
+                contexts["".join(own).encode()] = rnd.choice([1, 1, 1, 2])
+        raws, copies = list(contexts), list(contexts.values())
+        want = [(i, int(r[0]), int(r[-1]) + width) for i, s in enumerate(whole(raws, width, copies)) for r in np.split(s, np.flatnonzero(np.diff(s) > 1) + 1) if len(s)] if raws else []
+        assert sorted(suffix.repeated_runs([7] * len(raws), raws, width, copies)) == want
+    # stretches that are equal, and windows that are alone, need no suffix array
+    monkeypatch.setattr(suffix, "repeated_starts", lambda x, *a: asked.append(sum(map(len, x))) or whole(x, *a))
+    text = lambda n: bytes(rnd.choice(b"abcdefgh") for _ in range(n))
+    passage = text(60)
+    contexts = [bytes([48 + i]) * 20 + passage + bytes([65 + i]) * 20 for i in range(9)]
+    runs = list(suffix.repeated_runs([7] * 9, contexts, 40, [1] * 9))
+    assert sorted(runs) == [(i, 20, 80) for i in range(9)] and not asked
+
+
 def test_documents(spark, sf):
     docs = documents(spark, sf)
     assert got(docs) == brute([(r.doc_id, r.text) for r in docs.collect()], suffix.WIDTH)
