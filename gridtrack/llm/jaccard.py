@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gridtrack.llm.common import parts, scratch, tidy
+from gridtrack.llm.common import parts, scratch, tidy, trim
 from gridtrack.llm.simhash import links as fingerprint_links, only
 from gridtrack.operators.components import components
 
@@ -343,6 +343,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: Fraction = LEAST
     Jaccard similarity of ``least`` or more link, and groups are components of links.  A text of
     ``width`` words or fewer is one shingle.  Null, empty and wordless texts are one group.
     """
+    spark = docs.sparkSession
+    scratch.release(spark)  # what the driver holds of earlier stages and rounds
+    trim()
     some = docs.where(F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(SAMPLE)) == 0)
     often = _shared(_signed(some, np.empty(0, np.uint64), width, least, id_col, text_col)).groupBy("key").agg(F.count("*").alias("n"))
     often = often.where(F.col("n") > hot).orderBy(F.desc("n"), "key").limit(COMMON).select("key").toArrow()
@@ -359,6 +362,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: Fraction = LEAST
     tried = scratch.table(_pairs(named, least, True).join(proposed, ["a", "b"], "left_anti"), "tried")
     links = links.unionByName(_near(tried, docs, sets, width, least, text_col))
     found = scratch.table(components(links), "linked").select(F.col("node").alias("s"), F.col("root").alias("c"))
+    scratch.release(spark)
     named = lists.join(found, "s", "left").withColumn("c", F.coalesce("c", "s"))
     open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.sum("m").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     named = scratch.table(named.join(open_.where("n > 2 AND lo < hi").select("key", "n", "size"), "key"), "open")
@@ -369,6 +373,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: Fraction = LEAST
     for t in (named, paired, tried, proposed):
         scratch.drop(t)
     links = links.unionByName(_near(more, docs, sets, width, least, text_col))
+    scratch.release(spark)
     links = links.unionByName(_by_blocks(hot, docs, sets, width, least, text_col))
     for t in (more, hot):
         scratch.drop(t)
