@@ -25,8 +25,12 @@ A text's score is the sum of log P(w) + log weight of the parent in w's restaura
 as often context as word), and for each pair met in training a correction.  At most ``words`` words,
 the most frequent, are numbered, and their values broadcast; all others go by their hash, and cells
 that hold one get its values by a join.  The values of the ``pairs`` most frequent pairs are
-broadcast too; a text's other words and pairs meet theirs in one join.  Both ways give the same
+broadcast too; a text's other words and pairs meet theirs in one exchange.  Both ways give the same
 numbers.
+
+Counts, cells and a text's words and pairs go between tasks in blocks: the packed columns of many
+entries that a hash of their key deals to the same bucket, one Spark row a block.  Buckets grow in
+number with the input.  Cells with a word that has no number meet its values in that word's bucket.
 """
 
 from __future__ import annotations
@@ -41,7 +45,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridtrack.llm.common import parts, scratch
+from gridtrack.llm.common import forget, kept, parts, scratch, tidy
+from gridtrack.llm.toxicity import Numbers
 
 WORDS = 131_072  # broadcast at most so many words' values; the others are joined
 PAIRS = 1 << 20  # and so many pairs'
@@ -50,6 +55,9 @@ SWEEPS = 3
 BURN = 1
 END = b""  # no word is empty
 MEMO = 400_000
+BLOCK = 250_000  # entries of a block at most
+BUCKET = 1 << 21  # and about so many tokens to a bucket
+DEALT = "bucket int, tag int, data binary"
 GRID = np.exp(np.linspace(-3, 12, 31))
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -58,23 +66,31 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 11) >> 1
 
 
-class _Memo(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = _hash(word)
-        return h
-
-
-def hashed(texts: list[str | None], memo: _Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens (words lower-cased in A-Z, then one end) of all texts, and where each text begins."""
-    if len(memo) > MEMO:
-        memo.clear()
-    words: list[bytes] = []
-    begin = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        begin[i] = len(words)
-        words += (t or "").encode("utf-8", "surrogatepass").lower().split()
-        words.append(END)
-    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), begin
+class Words:
+    """A worker's words, numbered as they come, with their hashes and codes; forgotten beyond MEMO."""
+
+    def __init__(self, common: Common | None = None):
+        self.common, self.numbers = common, Numbers()
+        self.hash, self.code = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens (words lower-cased in A-Z, then one end) of all texts, and where each text begins."""
+        if len(self.numbers) > MEMO:
+            self.__init__(self.common)
+        words: list[bytes] = []
+        begin = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            begin[i] = len(words)
+            words += (t or "").encode("utf-8", "surrogatepass").lower().split()
+            words.append(END)
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if self.numbers.new:
+            h = np.fromiter(map(_hash, self.numbers.new), np.int64, len(self.numbers.new))
+            self.numbers.new.clear()
+            self.hash = np.concatenate([self.hash, h])
+            if self.common is not None:
+                self.code = np.concatenate([self.code, self.common.codes(h)])
+        return number, begin
 
 
 def before(w: np.ndarray, end: int) -> np.ndarray:
@@ -212,13 +228,101 @@ def named(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
-def _most(table: DataFrame, most: int) -> Column:
-    """A condition on ``c``: the rows of the largest counts, in number at most ``most``, from a power of 2**(1/8) on."""
-    level = F.floor(8 * F.log2("c"))
-    counts = table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # eight for each doubling
-    sums = np.cumsum([r["count"] for r in counts])
+def _level(c: np.ndarray) -> np.ndarray:
+    """Eight levels for each doubling of a count."""
+    return np.floor(8 * np.log2(c) + 1e-9).astype(np.int64)
+
+
+def _within(levels: DataFrame, most: int) -> int | None:
+    """The smallest level with at most ``most`` rows from it on, of ``levels(level, n)``; None: there is none."""
+    counts = levels.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
+    sums = np.cumsum([r["n"] for r in counts])
     fit_ = int(np.searchsorted(sums, most, "right"))
-    return level >= counts[fit_ - 1]["level"] if fit_ else F.lit(False)
+    return counts[fit_ - 1]["level"] if fit_ else None
+
+
+# ------------------------------------------------------------------ blocks
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of eight bytes an entry, byte by byte, compressed."""
+    n = len(columns[0])
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(n, 8).T.tobytes() for c in columns)
+    return n.to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpacked(data: bytes, types: list) -> list[np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data[4:], 8 * n * len(types)), np.uint8).reshape(len(types), 8, n)
+    return [np.ascontiguousarray(raw[i].T).reshape(-1).view(t) for i, t in enumerate(types)]
+
+
+def joined(blocks: list[bytes], types: list) -> list[np.ndarray]:
+    """The columns of several blocks, one after the other."""
+    if not blocks:
+        return [np.empty(0, t) for t in types]
+    return [np.concatenate(c) for c in zip(*(unpacked(b, types) for b in blocks), strict=True)]
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((_mix(key.view(np.uint64)) >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+
+
+def dealt(key: np.ndarray, columns: list[np.ndarray], buckets: int, tag: int = 0) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``columns`` for the buckets that a hash of ``key`` names."""
+    if not len(key):
+        return
+    at = _bucket(key, buckets)
+    order = np.argsort(at, kind="stable")
+    columns, edges = [c[order] for c in columns], np.r_[0, np.cumsum(np.bincount(at, minlength=buckets))]
+    names, data, size = [], [], 0
+    for i in np.flatnonzero(np.diff(edges)).tolist():
+        for lo in range(edges[i], edges[i + 1], BLOCK):
+            names.append(i)
+            data.append(packed([c[lo : min(lo + BLOCK, edges[i + 1])] for c in columns]))
+            size += len(data[-1])
+        if size > 4 << 20:
+            yield _blocks(names, tag, data)
+            names, data, size = [], [], 0
+    if names:
+        yield _blocks(names, tag, data)
+
+
+def _blocks(names: list[int], tag: int, data: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(names, pa.int32()), pa.array([tag] * len(names), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "tag", "data"])
+
+
+def met(blocks: DataFrame, buckets: int, run: Callable, ddl: str) -> DataFrame:
+    """What ``run`` gives for each bucket's blocks, a list for each tag."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[int, list[bytes]]] = {}
+        for x in batches:
+            for i, tag, data in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                held.setdefault(i, {}).setdefault(tag, []).append(data)
+        while held:
+            yield from run(held.popitem()[1])
+
+    return blocks.repartition(buckets, "bucket").mapInArrow(tidy(whole), ddl)
+
+
+def summed(key: np.ndarray, first: list[np.ndarray], sums: list[np.ndarray]) -> list[np.ndarray]:
+    """For each distinct key the first of some columns and the sums of others."""
+    if not len(key):
+        return [*first, *sums]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return [*(c[order[new]] for c in first), *(np.add.reduceat(c[order], new) for c in sums)]
+
+
+def _buckets(docs: DataFrame, tokens: int = 0) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET))
+
+
+def _by_rows(columns: list[np.ndarray], names: list[str], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(columns[0]), most):
+        yield pa.record_batch([pa.array(np.ascontiguousarray(c[lo : lo + most])) for c in columns], names=names)
 
 
 # ------------------------------------------------------------------ the model in Spark
@@ -265,54 +369,99 @@ class State:
 @dataclass
 class Model:
     """``words(h, c, p, b)``: a word's code, count, P(w) and the parent's weight in its restaurant;
-    ``counts(u, w, c)``: a pair's codes and count; ``weighed``, given a condition on these, their
-    averaged own weight e and correction lp: P(w | u) = e + b_u p_w, and lp is its log10 less that
-    of b_u p_w.
+    ``cells(kind, bucket, n, twos, data)``: blocks of pairs' codes and counts; ``weighed``, given a condition
+    on these, their averaged own weight e and correction lp: P(w | u) = e + b_u p_w, and lp is its
+    log10 less that of b_u p_w.  ``blocks``, given which counts and a function of arrays (u, w, c, e,
+    lp), what that function gives, of pairs without numbers alone where so told; ``weigh`` does the
+    same in a task with (u, w, c, no values) of numbered words.
     """
 
     words: DataFrame
-    counts: DataFrame
-    weighed: Callable[[Column], DataFrame]
+    cells: DataFrame
+    blocks: Callable[..., DataFrame]
+    weigh: Callable[[Iterator[tuple], Callable], Iterator]
+    buckets: int
     total: int
     kinds: int
     unseen: float
     common: Common
 
+    def weighed(self, keep: Column) -> DataFrame:
+        give = lambda *x: _by_rows(list(x), ["u", "w", "c", "e", "lp"])
+        return self.blocks(None, give, "u long, w long, c long, e double, lp double").where(keep)
+
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _words(texts: DataFrame) -> DataFrame:
+def _words(texts: DataFrame, buckets: int) -> DataFrame:
     """``(h, c)``: each token's hash and count in ``texts(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
+        words = Words()
         for b in batches:
             for lo, hi in parts(b.column(0), 16 << 20):
-                h, n = np.unique(hashed(b.column(0)[lo:hi].to_pylist(), memo)[0], return_counts=True)
-                yield pa.record_batch([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+                n = np.bincount(words.read(b.column(0)[lo:hi].to_pylist())[0], minlength=len(words.hash))
+                some = np.flatnonzero(n)
+                h = words.hash[some]
+                yield from dealt(h, [h, n[some].astype(np.int64)], buckets)
+
+    def add_up(blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        h, n = joined(blocks[0], [np.int64] * 2)
+        yield from _by_rows(summed(h, [h], [n]), ["h", "c"])
+
+    return met(texts.select("text").mapInArrow(tidy(run), DEALT), buckets, add_up, "h long, c long")
 
-    return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
+CELLS = "kind int, bucket int, n long, twos long, data binary"
 
-def _pairs(texts: DataFrame, shared) -> DataFrame:
-    """``(u, w, c)``: how often each token follows each context in ``texts(text)``, by codes."""
+
+def _pairs(texts: DataFrame, shared, buckets: int) -> DataFrame:
+    """Blocks of ``(u, w, c)``: how often each token follows each context in ``texts(text)``, by codes;
+    ``kind`` tells whether c is above one, u has no number, w has none.  A pair is in one block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, common = _Memo(), shared.value
-        end = common.codes(np.array([_hash(END)]))[0]
+        words = kept(("words", shared._path), lambda: Words(shared.value))
+        end = shared.value.codes(np.array([_hash(END)]))[0]
         for b in batches:
             for lo, hi in parts(b.column(0), 16 << 20):
-                h, _ = hashed(b.column(0)[lo:hi].to_pylist(), memo)
-                w = common.codes(h)
+                number = words.read(b.column(0)[lo:hi].to_pylist())[0]
+                w = words.code[number]
                 u = before(w, end)
-                _, at, n = np.unique(named(u, w), return_index=True, return_counts=True)
-                for x in range(0, len(at), 100_000):
-                    some = at[x : x + 100_000]
-                    yield pa.record_batch([pa.array(u[some]), pa.array(w[some]), pa.array(n[x : x + 100_000].astype(np.int64))], names=["u", "w", "n"])
-
-    return texts.select("text").mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
+                key, own = named(u, w), (u >= 0) & (w >= 0)
+                both, n = np.unique(key[own], return_counts=True)
+                rare = np.flatnonzero(~own)
+                _, at, m = np.unique(key[rare], return_index=True, return_counts=True)
+                at = rare[at]
+                u, w = np.concatenate([both >> 31, u[at]]), np.concatenate([both & np.int64((1 << 31) - 1), w[at]])
+                yield from dealt(np.concatenate([both, key[at]]), [u, w, np.concatenate([n, m]).astype(np.int64)], buckets)
+        forget(shared)
+
+    def add_up(blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        u, w, n = joined(blocks[0], [np.int64] * 3)
+        key, u, w, c = summed(key := named(u, w), [key, u, w], [n])
+        kind = 4 * (c > 1) + 2 * (u < 0) + (w < 0)
+        for k in range(8):
+            own = np.flatnonzero(kind == k)
+            for lo in range(0, len(own), BLOCK):
+                some = own[lo : lo + BLOCK]
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array(_bucket(key[some[:1]], buckets), pa.int32()), pa.array([len(some)], pa.int64()), pa.array([int((c[some] == 2).sum())], pa.int64()), pa.array([packed([u[some], w[some], c[some]])], pa.binary())], names=["kind", "bucket", "n", "twos", "data"])
+
+    return met(texts.select("text").mapInArrow(tidy(run, keep=True), DEALT), buckets, add_up, CELLS)
+
+
+def _opened(batches: Iterator[pa.RecordBatch], choose: Callable | None = None) -> Iterator[tuple]:
+    """The cells (u, w, c, no columns) of the blocks ``data``, of chosen counts only."""
+    for x in batches:
+        for data in x.column(0).to_pylist():
+            u, w, c = unpacked(data, [np.int64] * 3)
+            if choose is not None:
+                own = choose(c)
+                u, w, c = u[own], w[own], c[own]
+            if len(u):
+                yield u, w, c, []
 
 
 def _thick(batches: Iterator[pa.RecordBatch], least: int = 250_000) -> Iterator[pa.RecordBatch]:
@@ -328,66 +477,127 @@ def _thick(batches: Iterator[pa.RecordBatch], least: int = 250_000) -> Iterator[
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _tally(cells: DataFrame, columns: list[str], value, size: int) -> DataFrame:
-    """Sums for each word of what ``value(batch)`` gives: (u, w, what to add to u, what to add to w), a row a cell.
+def _dealt_rows(table: DataFrame, buckets: int, tag: int) -> DataFrame:
+    """Blocks of a table of eight-byte columns, by the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _thick(batches):
+            yield from dealt(x.column(0).to_numpy(), [c.to_numpy() for c in x.columns], buckets, tag)
+
+    return table.mapInArrow(tidy(run), DEALT)
+
+
+CELL, BY_U, BY_W, HALF = range(4)  # what meets in a word's bucket: cells, values of words, cells with those of u
+
+
+@dataclass
+class Values:
+    """Values of words without a number: ``blocks`` (tag BY_U or BY_W) of their codes and values, the
+    types of these, and those of a word that is not in the blocks.
+    """
+
+    blocks: DataFrame
+    types: dict[int, list]
+    default: dict[int, list]
+
+    def of(self, side: int, code: np.ndarray, blocks: list[bytes]) -> list[np.ndarray]:
+        key, *columns = joined(blocks, [np.int64, *self.types[side]])
+        order = np.argsort(key)
+        at, hit = _found(key[order], code)
+        out = []
+        for c, t, none in zip(columns, self.types[side], self.default[side], strict=True):
+            v = np.full(len(code), none, t)
+            v[hit] = c[order][at[hit]]
+            out.append(v)
+        return out
+
+
+def _apart(cells: DataFrame, values: Values, run: Callable, ddl: str, buckets: int, choose: Callable | None = None) -> DataFrame:
+    """What ``run`` gives of the cells (u, w, c, values of u and of w) of which a word has no number."""
+    types, default = values.types, values.default
+    blocks = {side: values.blocks.where(F.col("tag") == side) for side in (BY_U, BY_W)}
+    values = Values(None, types, default)
+
+    def deal(kind: int, side: int) -> DataFrame:
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for u, w, c, _ in _opened(batches, choose):
+                yield from dealt(u if side == BY_U else w, [u, w, c], buckets, CELL)
+
+        return cells.where(F.col("kind") % 4 == kind).select("data").mapInArrow(tidy(go), DEALT)
+
+    def with_u(found: dict[int, list[bytes]]) -> Iterator[list[np.ndarray]]:
+        u, w, c = joined(found.pop(CELL, []), [np.int64] * 3)
+        if len(u):
+            yield [u, w, c, *values.of(BY_U, u, found.pop(BY_U, []))]
+
+    def left(found: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        yield from run((u, w, c, [*v, *[None] * len(types[BY_W])]) for u, w, c, *v in with_u(found))
+
+    def half(found: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for cell in with_u(found):
+            yield from dealt(cell[1], cell, buckets, HALF)
+
+    def with_w(found: dict[int, list[bytes]]) -> Iterator[tuple]:
+        own = found.pop(BY_W, [])
+        u, w, c = joined(found.pop(CELL, []), [np.int64] * 3)
+        if len(u):
+            yield u, w, c, [*[None] * len(types[BY_U]), *values.of(BY_W, w, own)]
+        u, w, c, *v = joined(found.pop(HALF, []), [np.int64] * 3 + types[BY_U])
+        if len(u):
+            yield u, w, c, [*v, *values.of(BY_W, w, own)]
+
+    one = met(deal(2, BY_U).unionByName(blocks[BY_U]), buckets, left, ddl)
+    both = met(deal(3, BY_U).unionByName(blocks[BY_U]), buckets, half, DEALT)
+    return one.unionByName(met(deal(1, BY_W).unionByName(both).unionByName(blocks[BY_W]), buckets, lambda found: run(with_w(found)), ddl))
+
+
+def _tally(blocks: DataFrame, values: Values | None, columns: list[str], value, size: int, buckets: int) -> DataFrame:
+    """Sums for each word of what ``value(u, w, c, values)`` gives: (u, w, what to add to u, what to add
+    to w), a row a cell.  Without ``values`` it needs none, else words without a number have theirs.
 
     Numbered words are summed in the task, the others once a batch.
     """
     m = len(columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(cells: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros((size, m), np.int64)
-
-        def rows(h: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(h), 100_000):
-                yield pa.record_batch([pa.array(h[lo : lo + 100_000]), *(pa.array(np.ascontiguousarray(v[lo : lo + 100_000, i])) for i in range(m))], names=["h", *columns])
-
-        for x in _thick(batches):
-            u, w, to_u, to_w = value(x)
+        for cell in cells:
+            u, w, to_u, to_w = value(*cell)
             code, v = np.concatenate([u, w]), np.concatenate([to_u, to_w])
             own = code >= 0
             for i in range(m):
                 dense[:, i] += np.bincount(code[own], v[own, i], size).astype(np.int64) if size else 0
-            h, back = np.unique(code[~own], return_inverse=True)
-            yield from rows(h, np.stack([np.bincount(back, v[~own, i], len(h)).astype(np.int64) for i in range(m)], axis=1))
+            if not own.all():
+                h = code[~own]
+                out = summed(h, [h], [v[~own, i] for i in range(m)])
+                yield from dealt(out[0], out, buckets)
         some = np.flatnonzero(dense.any(axis=1))
-        yield from rows(some.astype(np.int64), dense[some])
-
-    sums = cells.mapInArrow(run, "h long, " + ", ".join(f"{c} long" for c in columns))
-    return sums.groupBy("h").agg(*(F.sum(c).alias(c) for c in columns))
+        yield from dealt(some, [some, *(dense[some, i] for i in range(m))], buckets)
 
+    def add_up(blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        h, *v = joined(blocks[0], [np.int64] * (1 + m))
+        yield from _by_rows(summed(h, [h], v), ["h", *columns])
 
-def _attached(cells: DataFrame, by_u: DataFrame, by_w: DataFrame) -> DataFrame:
-    """Cells with the values of those of their words that have no number; null where it has one."""
-    none_u = [F.lit(None).cast(t).alias(c) for c, t in by_u.dtypes if c != "u"]
-    none_w = [F.lit(None).cast(t).alias(c) for c, t in by_w.dtypes if c != "w"]
-    rare_u, rare_w = by_u.where("u < 0"), by_w.where("w < 0")
-    part = lambda k: cells.where(F.col("kind") % 4 == k).drop("kind")
-    own = part(0).select("*", *none_u, *none_w)
-    left = part(2).join(rare_u, "u").select("*", *none_w)
-    right = part(1).select("*", *none_u).join(rare_w, "w")
-    both = part(3).join(rare_u, "u").join(rare_w, "w")
-    return own.unionByName(left).unionByName(right).unionByName(both)
+    own = blocks if values is None else blocks.where("kind % 4 = 0")
+    sums = own.select("data").mapInArrow(tidy(lambda x: tally(_opened(x))), DEALT)
+    if values is not None:
+        sums = sums.unionByName(_apart(blocks, values, tally, DEALT, buckets))
+    return met(sums, buckets, add_up, "h long, " + ", ".join(f"{c} long" for c in columns))
 
 
-def _filled(columns: list[pa.Array], code: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    """Columns of :func:`_attached`, with the numbered words' rows of ``dense`` in place of their nulls."""
+def _filled(columns: list, code: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """The numbered words' rows of ``dense``, the others' of ``columns``, which are not needed where all have numbers."""
     own = code >= 0
-    out = np.zeros((len(code), len(columns)), dense.dtype)
+    width = int(np.prod(dense.shape[1:]))
+    out = np.zeros((len(code), width), dense.dtype)
     if own.any():
-        out[own] = dense.reshape(len(dense), -1)[code[own]]
+        out[own] = dense.reshape(len(dense), width)[code[own]]
     if not own.all():
-        rare = pa.array(~own)
         for i, c in enumerate(columns):
-            out[~own, i] = c.filter(rare).to_numpy(zero_copy_only=False)
+            out[~own, i] = c[~own]
     return out
 
 
-def _flat(table: DataFrame, key: str, name: str, at: list[int], *more: Column) -> DataFrame:
-    """The elements ``at`` of st as columns.  (Lists with nulls among them are slow to send to Python.)"""
-    return table.select(F.col("h").alias(key), *more, *(F.col("st")[i].alias(f"{name}{j}") for j, i in enumerate(at)))
-
-
 def _totals(words: DataFrame, state: State, shared) -> tuple[np.ndarray, np.ndarray]:
     """For each chain the parent's customers and tables, its words of one and two customers, and the
     grid's log weights over all context restaurants, in thousandths, so that sums are exact.
@@ -431,26 +641,27 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
     """
     context = train.sparkSession.sparkContext
     texts = _texts(train, id_col, text_col)
-    counted = scratch.table(_words(texts), "words")
+    counted = scratch.table(_words(texts, _buckets(train)), "words")
     n = counted.agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).first()
     total, kinds = n["total"] or 0, n["kinds"]
-    top = counted.where(_most(counted, words)).select("h", "c").toArrow() if kinds else None
-    common = Common(top.column("h").to_numpy(), top.column("c").to_numpy()) if kinds else Common(np.empty(0, np.int64), np.empty(0, np.int64))
+    level = F.floor(8 * F.log2("c") + 1e-9)
+    least = _within(counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")), words)
+    top = counted.where(level >= least).select("h", "c").toArrow() if least is not None else None
+    common = Common(top.column("h").to_numpy(), top.column("c").to_numpy()) if top else Common(np.empty(0, np.int64), np.empty(0, np.int64))
     scratch.drop(counted)
     shared, size = context.broadcast(common), len(common.h)
     # in folders by count and by which words have a number, so that each part is read by itself
-    kind = F.when(F.col("c") > 1, 4).otherwise(0) + F.when(F.col("u") < 0, 2).otherwise(0) + F.when(F.col("w") < 0, 1).otherwise(0)
-    cells = scratch.table(_pairs(texts, shared).withColumn("kind", kind), "cells", by="kind")
+    buckets = _buckets(train, total)
+    cells = scratch.table(_pairs(texts, shared, buckets), "cells", by="kind")
     multi = cells.where("kind >= 4")
-    few = cells.agg(F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
+    few = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") < 4, F.col("n"))).alias("n1"), F.sum("twos").alias("n2")).first()
 
-    def count(x: pa.RecordBatch):
-        u, w, c = (x.column(i).to_numpy() for i in range(3))
+    def count(u: np.ndarray, w: np.ndarray, c: np.ndarray, _):
         one, none = (c == 1).astype(np.int64), np.zeros(len(c), np.int64)
         return u, w, np.stack([none, one, 1 - one, none, none], axis=1), np.stack([c, none, none, one, 1 - one], axis=1)
 
     # a word's count, and its pairs of one and of more customers, as context (t1, m1) and as word (s1, m2)
-    base = scratch.table(_tally(cells.select("u", "w", "c"), ["c", "t1", "m1", "s1", "m2"], count, size), "base")
+    base = scratch.table(_tally(cells, None, ["c", "t1", "m1", "s1", "m2"], count, size, buckets), "base")
     # the first seating has one table for each cell and each word
     begin = F.array(*[F.col("t1") + F.col("m1")] * chains, *[F.col("s1") + F.col("m2")] * chains)
     still = base.where("m1 + m2 = 0").select("h", "c", begin.alias("st"))
@@ -459,30 +670,31 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
     dense = np.zeros((size, 2 * chains), np.int64)
     if got.num_rows:
         dense[got.column("h").to_numpy()] = _rows(got.column("st").combine_chunks(), got.num_rows)
-    pairs = cells.count() if total else 0
+    pairs = few["n"] or 0
     state = State(kinds, _discount(few["n1"] or 0, few["n2"] or 0), [10.0] * chains, [10.0] * chains, [0.5] * chains, [pairs] * chains, [kinds] * chains)
     states, history = [state], [dense]
     salt = [(seed * 1000 + i) * 100 for i in range(sweeps)]
     for sweep in range(sweeps if total else 0):
         values = context.broadcast((common, state, dense[:, :chains], state.share(dense[:, chains:], common.h)))
 
-        def seat(x: pa.RecordBatch, values=values, salt=salt[sweep]):
+        def seat(u: np.ndarray, w: np.ndarray, c: np.ndarray, more: list, values=values, salt=salt[sweep]):
             common, state, t_dense, share_dense = values.value
-            u, w, c = (x.column(i).to_numpy() for i in range(3))
-            t_u, hw = _filled(x.columns[3 : 3 + chains], u, t_dense), common.hashes(w)
+            t_u, hw = _filled(more[:chains], u, t_dense), common.hashes(w)
             share, rare = np.zeros((len(w), chains)), w < 0
             share[~rare] = share_dense[w[~rare]]
             if rare.any():
-                c0 = np.stack([c.filter(pa.array(rare)).to_numpy(zero_copy_only=False) for c in x.columns[3 + chains :]], axis=1)
-                share[rare] = state.share(c0.astype(np.int64), hw[rare])
+                share[rare] = state.share(np.stack([c[rare] for c in more[chains:]], axis=1), hw[rare])
             t = state.seat(c, t_u, share, pair(common.hashes(u), hw), salt).astype(np.int64)
             none = np.zeros_like(t)
             return u, w, np.concatenate([t, none], axis=1), np.concatenate([none, t], axis=1)
 
         last = 2 * chains * sweep
-        met = _attached(multi, _flat(moving, "u", "t", [last + k for k in range(chains)]), _flat(moving, "w", "c0_", [last + chains + k for k in range(chains)]))
+        at = lambda j: [F.col("st")[last + j + k] for k in range(chains)]
+        rare = moving.where("h < 0")
+        met_ = _dealt_rows(rare.select("h", *at(0)), buckets, BY_U).unionByName(_dealt_rows(rare.select("h", *at(chains)), buckets, BY_W))
+        others = Values(met_, {BY_U: [np.int64] * chains, BY_W: [np.int64] * chains}, {BY_U: [0] * chains, BY_W: [0] * chains})
         names = [f"{x}{k}" for x in ("out", "in") for k in range(chains)]
-        moved = _tally(met, names, seat, size)
+        moved = _tally(multi, others, names, seat, size, buckets)
         now = F.array(*[F.col("t1" if x.startswith("out") else "s1") + F.coalesce(x, F.lit(0)) for x in names])
         was, moving = moving, scratch.table(moving.join(moved, "h", "left").select("h", "c", "t1", "s1", F.concat("st", now).alias("st")), "moving")
         scratch.drop(was)
@@ -523,30 +735,48 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
                 yield pa.record_batch([x.column(0), x.column(1), pa.array(p), pa.array(b)], names=["h", "c", "p", "b"])
 
     every = moving.select("h", "c", "st").unionByName(still.select("h", "c", F.flatten(F.array_repeat("st", len(states))).alias("st")))
-    found = scratch.table(every.mapInArrow(finish, "h long, c long, p double, b double"), "model")
+    found = scratch.table(every.mapInArrow(tidy(finish), "h long, c long, p double, b double"), "model")
+    ask = [(2 * chains * i + k, 2 * chains * i + chains + k) for i in taken for k in range(chains)]
+
+    def values_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _thick(batches):
+            if x.num_rows:
+                h, c, st = x.column(0).to_numpy(), x.column(1).to_numpy(), _rows(x.column(2), x.num_rows)
+                p, b = averaged(st, c, ~h)
+                yield from dealt(h, [h, c, b, *(st[:, i] for i, _ in ask)], buckets, BY_U)
+                yield from dealt(h, [h, p, *(st[:, j] for _, j in ask)], buckets, BY_W)
+
+    # all words met once have the same values
+    p, b = (float(v[0]) for v in averaged(np.ones((1, 2 * chains * len(states)), np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)))
+    others = Values(
+        scratch.table(every.where("h < 0 AND c > 1").mapInArrow(tidy(values_of), DEALT), "values"),
+        {BY_U: [np.int64, np.float64] + [np.int64] * len(ask), BY_W: [np.float64] + [np.int64] * len(ask)},
+        {BY_U: [1, b] + [1] * len(ask), BY_W: [p] + [1] * len(ask)},
+    )
+    scratch.drop(base)
+    scratch.drop(moving)
     p, b = averaged(np.concatenate(history, axis=1), common.c, common.h)
     dense_t = np.stack([history[i][:, :chains] for i in taken], axis=1) if total else np.zeros((0, 0, chains), np.int64)
     dense_share = np.stack([states[i].share(history[i][:, chains:], common.h) for i in taken], axis=1) if total else np.zeros((0, 0, chains))
     values = context.broadcast((common, p, b, dense_t, dense_share))
-    n_taken, width = len(taken), 2 * chains
+    n_taken = len(taken)
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(cells: Iterator[tuple], give: Callable) -> Iterator[pa.RecordBatch]:
         common, p, b, dense_t, dense_share = values.value
-        for x in _thick(batches):
-            u, w, c = (x.column(i).to_numpy() for i in range(3))
-            cu, b_u, p_w = (_filled([x.column(i)], code, table)[:, 0] for i, code, table in ((3, u, common.c), (4, u, b), (5 + n_taken * chains, w, p)))
+        for u, w, c, more in cells:
+            cu, b_u, p_w = (_filled(more[i : i + 1], code, table)[:, 0] for i, code, table in ((0, u, common.c), (1, u, b), (2 + n_taken * chains, w, p)))
             t = np.ones((len(u), n_taken, chains))
             many = np.flatnonzero(c > 1)
             if len(many):
-                mu, mw, own = u[many], w[many], pa.array(many)
+                mu, mw = u[many], w[many]
                 # the seatings of all sweeps of words without a number
                 shape = (len(many), n_taken, chains)
-                t_u = _filled([c_.take(own) for c_ in x.columns[5 : 5 + n_taken * chains]], mu, dense_t).reshape(shape)
+                t_u = _filled([v if v is None else v[many] for v in more[2 : 2 + n_taken * chains]], mu, dense_t).reshape(shape)
                 hw, rare = common.hashes(mw), mw < 0
                 share = np.zeros(shape)
                 share[~rare] = dense_share[mw[~rare]] if len(dense_share) else 0
                 if rare.any():
-                    c0 = np.stack([c_.take(own).filter(pa.array(rare)).to_numpy(zero_copy_only=False) for c_ in x.columns[6 + n_taken * chains :]], axis=1).astype(np.int64).reshape(-1, n_taken, chains)
+                    c0 = np.stack([v[many][rare] for v in more[3 + n_taken * chains :]], axis=1).reshape(-1, n_taken, chains)
                     for j, i in enumerate(taken):
                         share[rare, j] = states[i].share(c0[:, j], hw[rare])
                 key = pair(common.hashes(mu), hw)
@@ -555,25 +785,20 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
             a = np.array([states[i].a for i in taken])
             e = ((c[:, None, None] - state.d * t) / (cu[:, None, None] + a)).mean(axis=(1, 2))
             low = b_u * p_w
-            yield pa.record_batch([*x.columns[:3], pa.array(e), pa.array(np.log10((e + low) / low))], names=["u", "w", "c", "e", "lp"])
+            yield from give(u, w, c, e, np.log10((e + low) / low))
 
-    plain_u, plain_w = found.select(F.col("h").alias("u"), F.col("c").alias("cu"), "b"), found.select(F.col("h").alias("w"), "p")
-    whole = found.join(moving.select("h", "st"), "h")
-    ask = [(width * i + k, width * i + chains + k) for i in taken for k in range(chains)]
-    by_u, by_w = _flat(whole, "u", "t", [i for i, _ in ask], F.col("c").alias("cu"), "b"), _flat(whole, "w", "c0_", [j for _, j in ask], "p")
-
-    def weighed(keep: Column) -> DataFrame:
-        more = _attached(multi.where(keep), by_u, by_w)
-        none = {c: F.lit(None).cast("long").alias(c) for c in more.columns if c.startswith(("t", "c0_"))}
-        single = _attached(cells.where("kind < 4").where(keep), plain_u, plain_w).select(*(none.get(c, c) for c in more.columns))
-        return single.unionByName(more).mapInArrow(weigh, "u long, w long, c long, e double, lp double")
+    def blocks(choose: Callable | None, give: Callable, ddl: str, numbered: bool = True) -> DataFrame:
+        some = multi if choose is not None and not choose(np.ones(1, np.int64))[0] else cells
+        rare = _apart(some, others, lambda x: weigh(x, give), ddl, buckets, choose)
+        return some.where("kind % 4 = 0").select("data").mapInArrow(tidy(lambda x: weigh(_opened(x, choose), give)), ddl).unionByName(rare) if numbered else rare
 
     scratch.release(train.sparkSession)
-    return Model(found, cells.drop("kind"), weighed, total, kinds, unseen, common)
+    return Model(found, cells, blocks, weigh, buckets, total, kinds, unseen, common)
 
 
-MET = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("k", pa.int32()), ("s", pa.struct([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))])
-MET_DDL = "row long, key long, k int, s struct<id:long,n_tokens:long,n_common:long,base:double,score:double>"
+# what the blocks of apply hold
+TEXT, PAIR, WORD, ASKED_PAIR, ASKED_WORD, ANSWER, NUMBERED = range(7)
+TEXT_TYPES = [np.int64] * 5 + [np.float64] * 2  # row, id, has an id, tokens, known ones, base, score
 
 
 def score(docs: DataFrame, train: DataFrame, words: int = WORDS, pairs: int = PAIRS, chains: int = CHAINS, sweeps: int = SWEEPS, burn: int = BURN, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -596,61 +821,114 @@ def apply(docs: DataFrame, model: Model, pairs: int = PAIRS, id_col: str = "doc_
     plain = float(np.log10(0.1 / (total + 0.1 * (kinds + 1))))
     base = F.log10((F.col("c") + 0.1) / (total + 0.1 * (kinds + 1)))
     own = model.words.select(F.col("h").alias("key"), "c", (F.log10("p") + F.log10("b")).alias("lp"), base.alias("base"))
+    buckets, weigh = model.buckets, model.weigh
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                yield pa.record_batch([pa.array(named(x.column(0).to_numpy(), x.column(1).to_numpy())), x.column(2)], names=["key", "lp"])
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1024, np.int64)  # a count below 2**63 has a level below 504
+        for _, _, c, _ in _opened(batches):
+            n += np.bincount(_level(c), minlength=1024)
+        some = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(some), pa.array(n[some])], names=["level", "n"])
+
+    singles = model.cells.where("kind < 4").select(F.lit(0).cast("long").alias("level"), "n")
+    least = _within(model.cells.where("kind >= 4").select("data").mapInArrow(tidy(levels), "level long, n long").unionByName(singles), pairs)
+
+    choose = None if least is None else lambda c: _level(c) < least
+
+    def lookup(u: np.ndarray, w: np.ndarray, c: np.ndarray, e: np.ndarray, lp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        return _by_rows([named(u, w), lp], ["key", "lp"])
+
+    def send(u: np.ndarray, w: np.ndarray, c: np.ndarray, e: np.ndarray, lp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = named(u, w)
+        return dealt(key, [key, lp], buckets, PAIR)
 
-    top = _most(model.counts, pairs)
-    values = lambda keep: model.weighed(keep).select("u", "w", "lp").mapInArrow(name, "key long, lp double")
     got = own.where("key >= 0").toArrow()
     lp, bases = np.zeros(len(model.common.h)), np.zeros(len(model.common.h))
     lp[got.column("key").to_numpy()], bases[got.column("key").to_numpy()] = got.column("lp").to_numpy(), got.column("base").to_numpy()
-    often = values(top).toArrow()  # at most ``pairs`` rows
-    order = np.argsort(often.column("key").to_numpy())
-    shared = spark.sparkContext.broadcast((model.common, lp, bases, often.column("key").to_numpy()[order], often.column("lp").to_numpy()[order]))
-
-    def rest(at: np.ndarray, key: np.ndarray, sign: int) -> tuple[np.ndarray, ...]:
-        """Each text's distinct keys and how often it has them."""
-        order = np.lexsort((key, at))
-        at, key = at[order], key[order]
-        new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (key[1:] != key[:-1])]) if len(at) else np.empty(0, np.int64)
-        return at[new], key[new], sign * np.diff(np.r_[new, len(at)])
+    often, often_lp = np.empty(0, np.int64), np.empty(0)
+    if least is not None:
+        top = model.blocks(lambda c: _level(c) >= least, lookup, "key long, lp double").toArrow()  # at most ``pairs`` rows
+        order = np.argsort(top.column("key").to_numpy())
+        often, often_lp = top.column("key").to_numpy()[order], top.column("lp").to_numpy()[order]
+        del top
+        scratch.release(spark)
+    shared = spark.sparkContext.broadcast((model.common, lp, bases, often, often_lp))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, lp, bases, often, often_lp = shared.value
-        memo, kind, end = _Memo(), MET.field("s").type, common.codes(np.array([_hash(END)]))[0]
+        words, end = kept(("words", shared._path), lambda: Words(common)), common.codes(np.array([_hash(END)]))[0]
         for b in batches:
             for lo, hi in parts(b.column(2)):
-                row, ids = b.column(0)[lo:hi], b.column(1)[lo:hi]
-                h, begin = hashed(b.column(2)[lo:hi].to_pylist(), memo)
-                size = np.diff(np.r_[begin, len(h)])
-                of = np.repeat(np.arange(len(begin)), size)
-                w = common.codes(h)
-                u, own = before(w, end), w >= 0
-                j, met = _found(often, key := named(u, w))
-                base, gain = np.zeros(len(h)), np.zeros(len(h))
+                row, ids = b.column(0)[lo:hi].to_numpy(), b.column(1)[lo:hi]
+                number, begin = words.read(b.column(2)[lo:hi].to_pylist())
+                size = np.diff(np.r_[begin, len(number)])
+                w = words.code[number]
+                own, key = w >= 0, named(before(w, end), w)
+                base, gain = np.zeros(len(w)), np.zeros(len(w))
                 base[own], gain[own] = bases[w[own]], lp[w[own]]
-                gain[met] += often_lp[j[met]]
-                # a row of the text's own sums (k = 0), of its other words (k > 0) and of its other pairs (k < 0)
-                sums = pa.StructArray.from_arrays([ids.cast(pa.int64()), pa.array(size, pa.int64()), pa.array(np.add.reduceat(own.astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(gain, begin))], fields=list(kind))
-                yield pa.record_batch([row, row, pa.array(np.zeros(len(begin)), pa.int32()), sums], schema=MET)
-                rows = row.to_numpy()
-                for at, keys, k in (rest(of[~own], w[~own], 1), rest(of[~met], key[~met], -1)):
-                    for x in range(0, len(at), 100_000):
-                        y = slice(x, x + 100_000)
-                        yield pa.record_batch([pa.array(rows[at[y]]), pa.array(keys[y]), pa.array(k[y], pa.int32()), pa.nulls(len(at[y]), kind)], schema=MET)
+                # equal pairs side by side, by text
+                order = np.argsort(key, kind="stable")
+                key, of = key[order], np.repeat(row, size)[order]
+                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
+                n = np.diff(np.r_[new, len(key)])
+                j, hit = _found(often, key[new])
+                gain[order] += np.repeat(np.where(hit, often_lp[j] if len(often) else 0.0, 0.0), n)
+                sums = [size, np.add.reduceat(own.astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(gain, begin)]
+                yield from dealt(row, [row, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), *sums], buckets, TEXT)
+                left = new[~hit]
+                yield from dealt(key[left], [key[left], of[left], n[~hit]], buckets, ASKED_PAIR)
+                rare = np.flatnonzero(~own)
+                other, of = w[rare], np.repeat(row, size)[rare]
+                order = np.argsort(other, kind="stable")
+                other, of = other[order], of[order]
+                new = np.flatnonzero(np.r_[True, (other[1:] != other[:-1]) | (of[1:] != of[:-1])]) if len(other) else np.empty(0, np.int64)
+                yield from dealt(other[new], [other[new], of[new], np.diff(np.r_[new, len(other)])], buckets, ASKED_WORD)
+        forget(shared)
+
+    unseen = float(np.log10(model.unseen))
+
+    def answer(blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        """Each text's sums go on, with what it gets for the words and pairs of this bucket."""
+        text = joined(blocks.pop(TEXT, []), TEXT_TYPES)
+        yield from dealt(text[0], text, buckets, TEXT)
+        key, lp = joined(blocks.pop(PAIR, []), [np.int64, np.float64])
+        keys, lps = [key], [lp]
+        for u, w, c, _ in _opened([pa.record_batch([pa.array(blocks.pop(NUMBERED, []), pa.binary())], names=["data"])], choose):
+            keys.append(named(u, w))
+            lps += weigh([(u, w, c, [])], lambda u, w, c, e, lp: [lp])
+        key, lp = np.concatenate(keys), np.concatenate(lps)
+        order = np.argsort(key)
+        key, lp = key[order], lp[order]
+        want, row, n = joined(blocks.pop(ASKED_PAIR, []), [np.int64] * 3)
+        at, hit = _found(key, want)
+        gain = n[hit] * lp[at[hit]]
+        row = row[hit]
+        key, lp, base = joined(blocks.pop(WORD, []), [np.int64, np.float64, np.float64])
+        order = np.argsort(key)
+        key, lp, base = key[order], lp[order], base[order]
+        want, of, n = joined(blocks.pop(ASKED_WORD, []), [np.int64] * 3)
+        at, hit = _found(key, want)
+        value = lambda table, none: n * np.where(hit, table[at] if len(table) else none, none)
+        rows = np.concatenate([row, of])
+        pad, none = np.zeros(len(row)), np.zeros(len(row), np.int64)
+        sums = summed(rows, [rows], [np.concatenate([none, np.where(hit, n, 0)]), np.concatenate([pad, value(base, plain)]), np.concatenate([gain, value(lp, unseen)])])
+        yield from dealt(sums[0], sums, buckets, ANSWER)
+
+    def whole(blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        row, ids, has, size, n, base, gain = joined(blocks.pop(TEXT, []), TEXT_TYPES)
+        order = np.argsort(row)
+        to, more, more_base, more_gain = joined(blocks.pop(ANSWER, []), [np.int64, np.int64, np.float64, np.float64])
+        at = order[np.searchsorted(row[order], to)]
+        n = n + np.bincount(at, more, len(row)).astype(np.int64)
+        base, gain = base + np.bincount(at, more_base, len(row)), gain + np.bincount(at, more_gain, len(row))
+        for lo in range(0, len(row), 100_000):
+            x = slice(lo, lo + 100_000)
+            yield pa.record_batch([pa.array(ids[x], mask=has[x] == 0), *(pa.array(c[x]) for c in (size, n, base, gain))], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
     rows = _texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    look = own.where("key < 0").select("key", F.col("c").alias("n"), "lp", "base").unionByName(values(~top).select("key", F.lit(0).cast("long").alias("n"), "lp", F.lit(0.0).alias("base")))
-    k, s = F.col("k"), F.col("s")
-    none = F.when(k > 0, F.lit(float(np.log10(model.unseen)))).otherwise(0.0)
-    met = rows.mapInArrow(measure, MET_DDL).join(look, "key", "left").select(
-        "row", s.id.alias("id"), s.n_tokens.alias("n_tokens"),
-        F.when(k == 0, s.n_common).when((k > 0) & (F.col("n") > 0), k).otherwise(0).alias("known"),
-        F.when(k == 0, s.base).when(k > 0, k * F.coalesce("base", F.lit(plain))).otherwise(0.0).alias("base"),
-        F.when(k == 0, s.score).otherwise(F.abs(k) * F.coalesce("lp", none)).alias("gain"),
-    )
-    out = met.groupBy("row").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("score"))
+    sent = rows.mapInArrow(tidy(measure, keep=True), DEALT).unionByName(_dealt_rows(own.where("key < 0").select("key", "lp", "base"), buckets, WORD))
+    if least is None or least > 0:
+        # cells of numbered words lie in their buckets as they are
+        sent = sent.unionByName(model.cells.where("kind % 4 = 0").select("bucket", F.lit(NUMBERED).alias("tag"), "data")).unionByName(model.blocks(choose, send, DEALT, False))
+    out = met(met(sent, buckets, answer, DEALT), buckets, whole, "id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

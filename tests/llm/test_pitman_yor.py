@@ -125,3 +125,29 @@ def test_seating_weight():
         got = pitman_yor.seating_weight(np.array([c]), np.array([t]), d)[0]
         want = [lgamma(a / d + t) - lgamma(a / d) - lgamma(a + c) + lgamma(a) + t * log(d) for a in pitman_yor.GRID]
         assert np.allclose(got, want, atol=1e-6)
+
+
+def test_pairs_go_in_blocks(spark, sf):
+    """A Spark row holds many pairs, each pair is in one block with its whole count."""
+    docs = documents(spark, sf)
+    texts = pitman_yor._texts(docs, "doc_id", "text").repartition(5)
+    want = Counter(x for r in docs.select("text").collect() for x in zip(["", *words(r.text)], words(r.text)))
+    hashes = {w: pitman_yor._hash(w.encode("utf-8", "surrogatepass")) for w in {w for x in want for w in x}}
+    top = sorted(Counter(w for (_, w), n in want.items() for _ in range(n)).values())[-100]
+    count = Counter()
+    for (_, w), n in want.items():
+        count[hashes[w]] += n
+    some = np.array([h for h, n in count.items() if n > top], np.int64)
+    common = pitman_yor.Common(some, np.array([count[h] for h in some.tolist()], np.int64))
+    blocks = pitman_yor._pairs(texts, spark.sparkContext.broadcast(common), 3).collect()
+    assert len(blocks) < len(want) / 100
+    got = Counter()
+    for r in blocks:
+        u, w, c = pitman_yor.unpacked(bytes(r.data), [np.int64] * 3)
+        assert r.n == len(u) and r.twos == (c == 2).sum()
+        assert {4 * (n > 1) + 2 * (a < 0) + (b < 0) for a, b, n in zip(u.tolist(), w.tolist(), c.tolist())} == {r.kind}
+        assert set(pitman_yor._bucket(pitman_yor.named(u, w), 3).tolist()) == {r.bucket}
+        for pair in zip(common.hashes(u).tolist(), common.hashes(w).tolist(), c.tolist()):
+            assert pair[:2] not in got
+            got[pair[:2]] = pair[2]
+    assert got == {(hashes[a], hashes[b]): n for (a, b), n in want.items()}
