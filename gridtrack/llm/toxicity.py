@@ -9,8 +9,9 @@ go with neither label weigh least and no threshold depends on the number of exam
 Examples become unit vectors in an inverted index cut into blocks of examples, toxic ones first,
 with each term's largest weight in each block.  Terms that a sixteenth of the examples have are held
 as dense rows, whose part of all cosines is one product; with it and the other terms' largest
-weights a query bounds every block, scores the most promising whole, and then all others that could
-still reach its k-th best cosine, so the neighbours are exact.  They vote with a weight that falls with distance; a monotone fit over the
+weights a query bounds every block, scores the most promising whole (all at once where the bounds lie
+within a factor of two), and then all others that could still reach its k-th best cosine, so the
+neighbours are exact.  They vote with a weight that falls with distance; a monotone fit over the
 examples, each scored without itself, turns votes into probabilities.  Texts without any term of an
 example get the rate among such examples.
 
@@ -37,6 +38,16 @@ OFTEN = 16  # a term that one example in so many has is a dense row
 FIRST = 2  # blocks scored at once before the others are judged by their bounds
 MEMO = 300_000  # words numbered before they are forgotten, and those of one text
 TOGETHER = 64  # texts whose frequent terms go through one product
+LATIN = bytes(i if WORD.match(chr(i)) else 32 for i in range(256))  # what WORD does not match becomes a space
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-cased words (WORD), found byte by byte where all characters are Latin-1."""
+    low = text.lower()
+    try:
+        return low.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(low)
 
 
 def terms_of(word: str) -> tuple[int, int]:
@@ -79,7 +90,7 @@ class Terms:
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms, ascending, and how often the text has them."""
-        words = Counter(WORD.findall(text.lower()))
+        words = Counter(words_of(text))
         if len(self.words) > MEMO:
             self.words = Numbers()
         number = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
@@ -123,7 +134,7 @@ class Index:
             size[i] = len(rare_t[-1])
         term = np.concatenate(rare_t) if rare_t else np.empty(0, np.int32)
         order = np.argsort(term, kind="stable")  # within a term by example
-        term, self.who = term[order], np.repeat(np.arange(self.n, dtype=np.int32), size)[order]
+        term, self.who = term[order], np.repeat(np.arange(self.n), size)[order]  # as bincount takes them
         self.weight = np.concatenate(rare_w)[order] if rare_w else np.empty(0, np.float32)
         # a range of postings for each term and block that has it, with its largest weight
         block = self.who // BLOCK
@@ -132,6 +143,7 @@ class Index:
         self.block = block[self.start].astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, self.start) if len(term) else np.empty(0, np.float32)
         self.first = np.searchsorted(term[self.start], np.arange(terms + 1)).astype(np.int32)
+        self.posts = np.searchsorted(term, np.arange(terms + 1)).astype(np.int32)
 
     def unit(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The terms' weights in a vector of length one."""
@@ -153,26 +165,38 @@ class Index:
         base = self.frequent([(t, n)])[0] if base is None else base
         rare = self.row[t] < 0
         t, q = t[rare], (self.unit(t, n) if unit is None else unit)[rare]
-        size = self.first[t + 1] - self.first[t]
+        size, once = self.first[t + 1] - self.first[t], q
         at, q = _ranges(self.first[t], size), np.repeat(q, size)
         block = self.block[at]
         bound = np.bincount(block, q * self.top[at], self.blocks) + np.maximum.reduceat(base, np.arange(0, self.n, BLOCK))
         ids, cos = np.empty(0, np.int64), np.empty(0)
         left = bound > 0
-        some = np.argsort(-bound, kind="stable")[:FIRST]
+        if bound.min() > bound.max() / 2:  # bounds so near each other seldom rule a block out
+            some = np.arange(self.blocks)
+        else:
+            some = np.argsort(-bound, kind="stable")[:FIRST]
         while True:
             now = np.zeros(self.blocks, bool)
             now[some] = left[some]
             left &= ~now
-            own = now[block]
-            where, m = at[own], self.size[at[own]]
-            post = _ranges(self.start[where], m)
-            sums = np.bincount(self.who[post], np.repeat(q[own], m) * self.weight[post], self.n) if len(post) else np.zeros(self.n)
-            sums = np.where(np.repeat(now, BLOCK)[: self.n], sums + base, 0.0)
+            if now.all():
+                m, by = self.posts[t + 1] - self.posts[t], once
+                post = _ranges(self.posts[t], m)
+            else:
+                own = now[block]
+                where, m, by = at[own], self.size[at[own]], q[own]
+                post = _ranges(self.start[where], m)
+            sums = np.bincount(self.who[post], np.repeat(by, m) * self.weight[post], self.n) if len(post) else np.zeros(self.n)
+            sums += base
+            if not now.all():
+                sums[~np.repeat(now, BLOCK)[: self.n]] = 0.0
             if without >= 0:
                 sums[without] = 0
             hit = np.flatnonzero(sums > max(0.0, cos[-1] - 1e-6 if len(cos) == k else 0.0))
             ids, cos = np.concatenate([ids, hit]), np.concatenate([cos, sums[hit]])
+            if len(cos) > 2 * k > 0:  # others are below the k-th when rounded, too
+                near = np.flatnonzero(cos >= np.partition(cos, -k)[-k] - 2e-6)
+                ids, cos = ids[near], cos[near]
             order = np.lexsort((ids, -np.round(cos, 6)))[:k]
             ids, cos = ids[order], cos[order]
             some = np.flatnonzero(left & (bound + 1e-6 >= cos[-1])) if len(cos) == k else np.flatnonzero(left)
@@ -251,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, k: int = 25, id_co
         both = (Counter(), Counter())
         for b in batches:
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                both[y > 0].update({t for w in set(WORD.findall(text.lower())) for t in terms_of(w)})
+                both[y > 0].update({t for w in set(words_of(text)) for t in terms_of(w)})
         names = list(both[0] | both[1])
         for lo in range(0, len(names), 50_000):
             some = names[lo : lo + 50_000]

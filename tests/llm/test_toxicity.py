@@ -127,3 +127,27 @@ def test_a_text_is_weighed_once(monkeypatch):
     monkeypatch.setattr(toxicity.Index, "unit", lambda self, t, n: calls.append(1) or unit(self, t, n))
     assert [(round(p, 9), len(e)) for p, e in model.scores(own[:70])] == [(round(p, 9), len(e)) for p, e in want]
     assert len(calls) == 70
+
+
+def test_words_and_blocks_at_once(monkeypatch):
+    """Latin-1 words are found without the pattern, as it finds them; bounds that lie close send all blocks at once."""
+    probes = ["".join(map(chr, range(0x3000))), "İstanbul ²x ¼ µm\x85a\xa0b\x1cc_d", "", *("a" + chr(i) + "B" for i in range(0x300))]
+    assert all(toxicity.words_of(t) == toxicity.WORD.findall(t.lower()) for t in probes)
+    rng = np.random.default_rng(5)
+    vectors = [(np.sort(rng.choice(400, 30, replace=False)), rng.integers(1, 5, 30)) for _ in range(3 * toxicity.BLOCK)]
+    index = toxicity.Index(vectors, np.zeros(len(vectors), np.int64), 400)
+    dense = np.zeros((len(vectors), 400))
+    for i, (t, n) in enumerate(vectors):
+        dense[i, t] = index.unit(t, n)
+    calls, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda *x: calls.append(1) or ranges(*x))
+    for _ in range(20):  # of no example: the bounds lie close
+        t, n = np.sort(rng.choice(400, 30, replace=False)), rng.integers(1, 5, 30)
+        q = np.zeros(400)
+        q[t] = index.unit(t, n)
+        cos = dense @ q
+        ids, found = index.nearest(t, n, 10)
+        assert np.allclose(found, cos[ids], atol=1e-5) and np.allclose(found, np.sort(cos)[::-1][:10], atol=1e-5)
+    assert len(calls) == 2 * 20
+    monkeypatch.setattr(toxicity, "WORD", None)
+    assert toxicity.words_of("Être à l'heure") == ["être", "à", "l", "heure"]
