@@ -35,6 +35,8 @@ number with the input.  Cells with a word that has no number meet its values in
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -43,10 +45,10 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridtrack.llm.common import forget, kept, parts, scratch, tidy
-from gridtrack.llm.toxicity import Numbers
+from gridtrack.llm.common import forget, parts, scratch, tidy
 
 WORDS = 131_072  # broadcast at most so many words' values; the others are joined
 PAIRS = 1 << 20  # and so many pairs'
@@ -54,43 +56,85 @@ CHAINS = 2
 SWEEPS = 3
 BURN = 1
 END = b""  # no word is empty
-MEMO = 400_000
 BLOCK = 250_000  # entries of a block at most
 BUCKET = 1 << 21  # and about so many tokens to a bucket
+LEAST = 12  # buckets of a small input
+BIG = 64  # customers that are seated singly
 DEALT = "bucket int, tag int, data binary"
 GRID = np.exp(np.linspace(-3, 12, 31))
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256, dtype=np.uint8) + np.where(np.isin(np.arange(256), np.arange(65, 91)), 32, 0).astype(np.uint8)
+_SEED = 11
+# the primes of XXH64
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_LONG = 32  # words of so many bytes are hashed one by one
+
+
 def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 11) >> 1
-
-
-class Words:
-    """A worker's words, numbered as they come, with their hashes and codes; forgotten beyond MEMO."""
-
-    def __init__(self, common: Common | None = None):
-        self.common, self.numbers = common, Numbers()
-        self.hash, self.code = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the tokens (words lower-cased in A-Z, then one end) of all texts, and where each text begins."""
-        if len(self.numbers) > MEMO:
-            self.__init__(self.common)
-        words: list[bytes] = []
-        begin = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            begin[i] = len(words)
-            words += (t or "").encode("utf-8", "surrogatepass").lower().split()
-            words.append(END)
-        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if self.numbers.new:
-            h = np.fromiter(map(_hash, self.numbers.new), np.int64, len(self.numbers.new))
-            self.numbers.new.clear()
-            self.hash = np.concatenate([self.hash, h])
-            if self.common is not None:
-                self.code = np.concatenate([self.code, self.common.codes(h)])
-        return number, begin
+    return xxhash.xxh64_intdigest(word, _SEED) >> 1
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _hashes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """:func:`_hash` of the words of ``text`` (bytes) that begin there: XXH64 step by step, all words of a size at once."""
+    out = np.empty(len(begin), np.uint64)
+    text = np.concatenate([text, np.zeros(8, np.uint8)])
+    eight, four = (np.ndarray(len(text) - 8, t, text, strides=(1,)) for t in ("<u8", "<u4"))
+    kind = np.minimum(size, _LONG).astype(np.uint8)
+    order, edges = np.argsort(kind, kind="stable"), np.r_[0, np.cumsum(np.bincount(kind, minlength=_LONG + 1))]
+    for n in np.flatnonzero(np.diff(edges[:-1])).tolist():
+        some = order[edges[n] : edges[n + 1]]
+        at, h = begin[some], np.full(len(some), (_SEED + int(_P5) + n) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for _ in range(n // 8):
+            h = _turned(h ^ (_turned(eight[at] * _P2, 31) * _P1), 27) * _P1 + _P4
+            at = at + 8
+        if n % 8 >= 4:
+            h = _turned(h ^ (four[at] * _P1), 23) * _P2 + _P3
+            at = at + 4
+        for _ in range(n % 4):
+            h = _turned(h ^ (text[at] * _P5), 11) * _P1
+            at = at + 1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        out[some] = (h ^ (h >> np.uint64(32))) >> np.uint64(1)
+    for i in order[edges[_LONG] :].tolist():
+        out[i] = _hash(text[begin[i] : begin[i] + size[i]].tobytes())
+    return out.view(np.int64)
+
+
+def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens (words lower-cased in A-Z, then one end) of all texts, and where each text begins."""
+    found = [_read(texts[lo:hi]) for lo, hi in parts(texts, 1 << 20)]
+    before_ = np.cumsum([0, *(len(h) for h, _ in found)])
+    return np.concatenate([h for h, _ in found]), np.concatenate([first + n for (_, first), n in zip(found, before_, strict=False)])
+
+
+def _read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    cut = np.zeros(len(data) + 1, bool)  # a text ends before this byte
+    cut[edges] = True
+    space = np.r_[True, _SPACE[data], True]
+    word = ~space[1:-1]
+    begin = np.flatnonzero(word & (space[:-2] | cut[:-1]))
+    size = np.flatnonzero(word & (space[2:] | cut[1:])) + 1 - begin
+    h = _hashes(_LOWER[data], begin, size)
+    # an end after the last word of each text
+    ends = np.searchsorted(begin, edges[1:])
+    first = np.r_[0, ends[:-1]] + np.arange(len(texts))
+    out = np.empty(len(h) + len(texts), np.int64)
+    own = np.ones(len(out), bool)
+    own[ends + np.arange(len(texts))] = False
+    out[own], out[~own] = h, _hash(END)
+    return out, first
 
 
 def before(w: np.ndarray, end: int) -> np.ndarray:
@@ -124,20 +168,29 @@ def tables(c: np.ndarray, strength: np.ndarray, d: float, key: np.ndarray, salt:
     seated in blocks that grow with n, with the odds of the block's middle; the number of its tables
     is binomial.  Random numbers are hashes of ``key``, ``salt`` and the draw's number.
     """
-    t = (c > 0).astype(np.float64)
-    seed = _mix(key.view(np.uint64) + _times(salt, _C1))
+    return seated(c, strength[:, None], d, key, [salt])[:, 0]
+
+
+def seated(c: np.ndarray, strength: np.ndarray, d: float, key: np.ndarray, salts: list[int]) -> np.ndarray:
+    """:func:`tables` for each column of ``strength``, with its salt: all in one go, as they end together."""
+    out = np.repeat((c > 0).astype(np.float64)[:, None], len(salts), axis=1)
+    # falling counts, so that those not yet seated are the first
+    many = np.flatnonzero(c > 1)
+    order = many[np.argsort(-c[many])]
+    less, s = -c[order], strength[order].T.copy()
+    t = np.ones(s.shape)
+    seed = _mix(key[order].view(np.uint64)[None, :] + np.array([_times(x, _C1) for x in salts])[:, None])
     n, step, draw = 1, 1, 0
-    live = np.flatnonzero(c > 1)
-    while len(live):
+    while live := int(np.searchsorted(less, -n)):
         draw += 1
-        x = (_mix(seed[live] + _times(draw, _C1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        size = np.minimum(step, c[live] - n)
-        p = strength[live] / (strength[live] + np.maximum(n + (size - 1) / 2 - d * t[live], 1e-9))
-        t[live] += x < p if step == 1 else _binomial(size, p, x)
+        x = (_mix(seed[:, :live] + _times(draw, _C1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        size = np.minimum(step, -less[:live] - n)
+        p = s[:, :live] / (s[:, :live] + np.maximum(n + (size - 1) / 2 - d * t[:, :live], 1e-9))
+        t[:, :live] += x < p if step == 1 else _binomial(np.tile(size, len(p)), p.ravel(), x.ravel()).reshape(p.shape)
         n += step
-        step = 1 if n < 64 else n // 16
-        live = live[c[live] > n]
-    return np.minimum(t, c)
+        step = 1 if n < BIG else n // 16
+    out[order] = np.minimum(t, -less).T
+    return out
 
 
 def _binomial(size: np.ndarray, p: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -204,10 +257,20 @@ class Common:
         self.h, self.c = h[order], c[order]
         self.order = np.argsort(self.h)
         self.sorted = self.h[self.order]
+        # hashes lie evenly: where those with the same first bits begin
+        self.shift = 63 - min(len(h).bit_length() + 1, 62)
+        self.first = np.searchsorted(self.sorted, np.arange(1 << (63 - self.shift)) << self.shift).astype(np.int32)
 
     def codes(self, h: np.ndarray) -> np.ndarray:
-        at, hit = _found(self.sorted, h)
-        return np.where(hit, self.order[at] if len(self.h) else 0, ~h)
+        if not len(self.h):
+            return ~h
+        last = len(self.h) - 1
+        at = np.minimum(self.first[h >> self.shift], last)
+        live = np.flatnonzero((self.sorted[at] < h) & (at < last))
+        while len(live):
+            at[live] += 1
+            live = live[(self.sorted[at[live]] < h[live]) & (at[live] < last)]
+        return np.where(self.sorted[at] == h, self.order[at], ~h)
 
     def hashes(self, code: np.ndarray) -> np.ndarray:
         return np.where(code >= 0, self.h[np.maximum(code, 0)] if len(self.h) else 0, ~code)
@@ -245,16 +308,38 @@ def _within(levels: DataFrame, most: int) -> int | None:
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of eight bytes an entry, byte by byte, compressed."""
+    """Columns of eight bytes an entry, less their smallest value, byte by byte as far as they need, compressed."""
     n = len(columns[0])
-    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(n, 8).T.tobytes() for c in columns)
-    return n.to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+    head, planes = n.to_bytes(4, "little"), []
+    for c in columns:
+        c = np.ascontiguousarray(c).view(np.uint64)
+        low = int(c.min())
+        width = ((int(c.max()) - low).bit_length() + 7) // 8
+        low = low if width < 8 else 0
+        head += bytes([width]) + low.to_bytes(8, "little")
+        each, out = (c - np.uint64(low)).view(np.uint8).reshape(n, 8), np.empty((width, n), np.uint8)
+        for i in range(width):
+            out[i] = each[:, i]
+        planes.append(out)
+    return head + pa.Codec("zstd", compression_level=1).compress(np.concatenate(planes), asbytes=True)
 
 
 def unpacked(data: bytes, types: list) -> list[np.ndarray]:
-    n = int.from_bytes(data[:4], "little")
-    raw = np.frombuffer(pa.Codec("zstd").decompress(data[4:], 8 * n * len(types)), np.uint8).reshape(len(types), 8, n)
-    return [np.ascontiguousarray(raw[i].T).reshape(-1).view(t) for i, t in enumerate(types)]
+    n, at = int.from_bytes(data[:4], "little"), 4 + 9 * len(types)
+    widths = data[4:at:9]
+    planes = np.empty((0, n), np.uint8)
+    if sum(widths):
+        planes = np.frombuffer(pa.Codec("zstd").decompress(data[at:], n * sum(widths)), np.uint8).reshape(-1, n)
+    out, first = [], 0
+    for k, (t, width) in enumerate(zip(types, widths, strict=True)):
+        each = np.zeros((n, 8), np.uint8)
+        for i in range(width):
+            each[:, i] = planes[first + i]
+        first += width
+        c = each.reshape(-1).view(np.uint64)
+        c += np.uint64(int.from_bytes(data[5 + 9 * k : 13 + 9 * k], "little"))
+        out.append(c.view(t))
+    return out
 
 
 def joined(blocks: list[bytes], types: list) -> list[np.ndarray]:
@@ -316,8 +401,28 @@ def summed(key: np.ndarray, first: list[np.ndarray], sums: list[np.ndarray]) ->
     return [*(c[order[new]] for c in first), *(np.add.reduceat(c[order], new) for c in sums)]
 
 
-def _buckets(docs: DataFrame, tokens: int = 0) -> int:
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET))
+def by_text(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, and for each key and text it is ``of`` (a small number): the key's place among them, the text and how often."""
+    if not len(key):
+        return key, *[np.empty(0, np.int64)] * 3
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    bits = np.int64(int(of.max()).bit_length())
+    both = (np.cumsum(new) - 1 << bits) | of[order]
+    both.sort()
+    at = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    n = np.diff(np.r_[at, len(both)])
+    both = both[at]
+    return key[new], both >> bits, both & ((np.int64(1) << bits) - 1), n
+
+
+def _buckets(docs: DataFrame, tokens: int | None = None) -> int:
+    """As many as Spark has shuffle partitions; where the tokens are known as many as these need, for
+    between buckets go as many blocks as the square of their number.
+    """
+    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return most if tokens is None else max(min(most, LEAST), -(-tokens // BUCKET))
 
 
 def _by_rows(columns: list[np.ndarray], names: list[str], most: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -328,6 +433,16 @@ def _by_rows(columns: list[np.ndarray], names: list[str], most: int = 100_000) -
 # ------------------------------------------------------------------ the model in Spark
 
 
+def _release(spark: SparkSession) -> None:
+    """Let the shuffle files of plans that are done go: Spark's scheduler holds the last plan until the
+    next job, Python holds it in cycles and tells the driver about a second later that they are gone.
+    """
+    spark.range(1).count()
+    gc.collect()
+    time.sleep(1.5)
+    scratch.release(spark)
+
+
 @dataclass
 class State:
     """What the driver knows after some sweeps, one number a chain: the concentrations and discounts,
@@ -363,7 +478,10 @@ class State:
 
     def seat(self, c: np.ndarray, t_u: np.ndarray, share: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
         """Tables of cells, a column a chain."""
-        return np.stack([tables(c, (self.a[k] + self.d * t_u[:, k]) * share[:, k], self.d, key, salt + k) for k in range(len(self.a))], axis=1)
+        return seated(c, self.strength(t_u, share), self.d, key, [salt + k for k in range(len(self.a))])
+
+    def strength(self, t_u: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return (np.array(self.a) + self.d * t_u) * share
 
 
 @dataclass
@@ -385,6 +503,7 @@ class Model:
     kinds: int
     unseen: float
     common: Common
+    sent: Broadcast  # of common
 
     def weighed(self, keep: Column) -> DataFrame:
         give = lambda *x: _by_rows(list(x), ["u", "w", "c", "e", "lp"])
@@ -399,13 +518,10 @@ def _words(texts: DataFrame, buckets: int) -> DataFrame:
     """``(h, c)``: each token's hash and count in ``texts(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
             for lo, hi in parts(b.column(0), 16 << 20):
-                n = np.bincount(words.read(b.column(0)[lo:hi].to_pylist())[0], minlength=len(words.hash))
-                some = np.flatnonzero(n)
-                h = words.hash[some]
-                yield from dealt(h, [h, n[some].astype(np.int64)], buckets)
+                h, n = np.unique(read(b.column(0)[lo:hi])[0], return_counts=True)
+                yield from dealt(h, [h, n.astype(np.int64)], buckets)
 
     def add_up(blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         h, n = joined(blocks[0], [np.int64] * 2)
@@ -423,20 +539,17 @@ def _pairs(texts: DataFrame, shared, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept(("words", shared._path), lambda: Words(shared.value))
         end = shared.value.codes(np.array([_hash(END)]))[0]
         for b in batches:
             for lo, hi in parts(b.column(0), 16 << 20):
-                number = words.read(b.column(0)[lo:hi].to_pylist())[0]
-                w = words.code[number]
+                w = shared.value.codes(read(b.column(0)[lo:hi])[0])
                 u = before(w, end)
                 key, own = named(u, w), (u >= 0) & (w >= 0)
                 both, n = np.unique(key[own], return_counts=True)
                 rare = np.flatnonzero(~own)
-                _, at, m = np.unique(key[rare], return_index=True, return_counts=True)
-                at = rare[at]
-                u, w = np.concatenate([both >> 31, u[at]]), np.concatenate([both & np.int64((1 << 31) - 1), w[at]])
-                yield from dealt(np.concatenate([both, key[at]]), [u, w, np.concatenate([n, m]).astype(np.int64)], buckets)
+                key, u, w, m = summed(key[rare], [key[rare], u[rare], w[rare]], [np.ones(len(rare), np.int64)])
+                u, w = np.concatenate([both >> 31, u]), np.concatenate([both & np.int64((1 << 31) - 1), w])
+                yield from dealt(np.concatenate([both, key]), [u, w, np.concatenate([n, m]).astype(np.int64)], buckets)
         forget(shared)
 
     def add_up(blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -449,19 +562,28 @@ def _pairs(texts: DataFrame, shared, buckets: int) -> DataFrame:
                 some = own[lo : lo + BLOCK]
                 yield pa.record_batch([pa.array([k], pa.int32()), pa.array(_bucket(key[some[:1]], buckets), pa.int32()), pa.array([len(some)], pa.int64()), pa.array([int((c[some] == 2).sum())], pa.int64()), pa.array([packed([u[some], w[some], c[some]])], pa.binary())], names=["kind", "bucket", "n", "twos", "data"])
 
-    return met(texts.select("text").mapInArrow(tidy(run, keep=True), DEALT), buckets, add_up, CELLS)
+    return met(texts.select("text").mapInArrow(tidy(run), DEALT), buckets, add_up, CELLS)
 
 
 def _opened(batches: Iterator[pa.RecordBatch], choose: Callable | None = None) -> Iterator[tuple]:
-    """The cells (u, w, c, no columns) of the blocks ``data``, of chosen counts only."""
+    """The cells (u, w, c, no columns) of the blocks ``data``, of chosen counts only; those of large counts,
+    few but long to seat, at the end all at once.
+    """
+    held: list[list[np.ndarray]] = []
     for x in batches:
         for data in x.column(0).to_pylist():
             u, w, c = unpacked(data, [np.int64] * 3)
             if choose is not None:
                 own = choose(c)
                 u, w, c = u[own], w[own], c[own]
+            big = c > BIG
+            if big.any():
+                held.append([x[big] for x in (u, w, c)])
+                u, w, c = u[~big], w[~big], c[~big]
             if len(u):
                 yield u, w, c, []
+    if held:
+        yield *(np.concatenate(x) for x in zip(*held, strict=True)), []
 
 
 def _thick(batches: Iterator[pa.RecordBatch], least: int = 250_000) -> Iterator[pa.RecordBatch]:
@@ -553,26 +675,31 @@ def _apart(cells: DataFrame, values: Values, run: Callable, ddl: str, buckets: i
 
 def _tally(blocks: DataFrame, values: Values | None, columns: list[str], value, size: int, buckets: int) -> DataFrame:
     """Sums for each word of what ``value(u, w, c, values)`` gives: (u, w, what to add to u, what to add
-    to w), a row a cell.  Without ``values`` it needs none, else words without a number have theirs.
+    to w), the last two a list of columns, None where nothing is.  Without ``values`` it needs none, else words without a number have theirs.
 
     Numbered words are summed in the task, the others once a batch.
     """
     m = len(columns)
 
     def tally(cells: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros((size, m), np.int64)
+        dense = np.zeros((m, size), np.int64)
         for cell in cells:
             u, w, to_u, to_w = value(*cell)
-            code, v = np.concatenate([u, w]), np.concatenate([to_u, to_w])
-            own = code >= 0
-            for i in range(m):
-                dense[:, i] += np.bincount(code[own], v[own, i], size).astype(np.int64) if size else 0
-            if not own.all():
-                h = code[~own]
-                out = summed(h, [h], [v[~own, i] for i in range(m)])
+            away = []
+            for code, v in ((u, to_u), (w, to_w)):
+                far = np.flatnonzero(code < 0)
+                own = np.flatnonzero(code >= 0) if len(far) else slice(None)
+                for i, x in enumerate(v):
+                    if x is not None and len(far) < len(code):
+                        dense[i] += np.bincount(code[own], x[own], size).astype(np.int64)
+                if len(far):
+                    away.append([code[far], *(np.zeros(len(far), np.int64) if x is None else x[far] for x in v)])
+            if away:
+                h, *v = (np.concatenate(x) for x in zip(*away, strict=True))
+                out = summed(h, [h], v)
                 yield from dealt(out[0], out, buckets)
-        some = np.flatnonzero(dense.any(axis=1))
-        yield from dealt(some, [some, *(dense[some, i] for i in range(m))], buckets)
+        some = np.flatnonzero(dense.any(axis=0))
+        yield from dealt(some, [some, *dense[:, some]], buckets)
 
     def add_up(blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         h, *v = joined(blocks[0], [np.int64] * (1 + m))
@@ -615,10 +742,13 @@ def _totals(words: DataFrame, state: State, shared) -> tuple[np.ndarray, np.ndar
             t0 = state.parent_tables(c0, common.hashes(h))
             for k in range(chains):
                 sums[k, :4] += (c0[:, k].sum(), int(t0[:, k].sum()), (c0[:, k] == 1).sum(), (c0[:, k] == 2).sum())
-                order = np.lexsort((t[:, k], c))
-                a, b = c[order], t[order, k]
+                # most are of one customer
+                more = np.flatnonzero((c > 1) | (t[:, k] > 1))
+                more = more[np.lexsort((t[more, k], c[more]))]
+                a, b = np.r_[1, c[more]], np.r_[1, t[more, k]]
                 new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
                 n = np.diff(np.r_[new, len(a)])
+                n[0] += len(c) - len(more) - 1
                 sums[k, 4:] += (np.round(seating_weight(a[new], b[new], state.d) * 1000).astype(np.int64) * n[:, None]).sum(axis=0)
         yield pa.record_batch([pa.array(range(chains), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.int64()))], names=["k", "v"])
 
@@ -657,8 +787,8 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
     few = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") < 4, F.col("n"))).alias("n1"), F.sum("twos").alias("n2")).first()
 
     def count(u: np.ndarray, w: np.ndarray, c: np.ndarray, _):
-        one, none = (c == 1).astype(np.int64), np.zeros(len(c), np.int64)
-        return u, w, np.stack([none, one, 1 - one, none, none], axis=1), np.stack([c, none, none, one, 1 - one], axis=1)
+        one = (c == 1).astype(np.int64)
+        return u, w, [None, one, 1 - one, None, None], [c, None, None, one, 1 - one]
 
     # a word's count, and its pairs of one and of more customers, as context (t1, m1) and as word (s1, m2)
     base = scratch.table(_tally(cells, None, ["c", "t1", "m1", "s1", "m2"], count, size, buckets), "base")
@@ -675,18 +805,17 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
     states, history = [state], [dense]
     salt = [(seed * 1000 + i) * 100 for i in range(sweeps)]
     for sweep in range(sweeps if total else 0):
-        values = context.broadcast((common, state, dense[:, :chains], state.share(dense[:, chains:], common.h)))
+        values = context.broadcast((state, dense[:, :chains], state.share(dense[:, chains:], common.h)))
 
         def seat(u: np.ndarray, w: np.ndarray, c: np.ndarray, more: list, values=values, salt=salt[sweep]):
-            common, state, t_dense, share_dense = values.value
+            common, (state, t_dense, share_dense) = shared.value, values.value
             t_u, hw = _filled(more[:chains], u, t_dense), common.hashes(w)
             share, rare = np.zeros((len(w), chains)), w < 0
             share[~rare] = share_dense[w[~rare]]
             if rare.any():
                 share[rare] = state.share(np.stack([c[rare] for c in more[chains:]], axis=1), hw[rare])
-            t = state.seat(c, t_u, share, pair(common.hashes(u), hw), salt).astype(np.int64)
-            none = np.zeros_like(t)
-            return u, w, np.concatenate([t, none], axis=1), np.concatenate([none, t], axis=1)
+            t, none = [*state.seat(c, t_u, share, pair(common.hashes(u), hw), salt).astype(np.int64).T], [None] * chains
+            return u, w, t + none, none + t
 
         last = 2 * chains * sweep
         at = lambda j: [F.col("st")[last + j + k] for k in range(chains)]
@@ -698,7 +827,8 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
         now = F.array(*[F.col("t1" if x.startswith("out") else "s1") + F.coalesce(x, F.lit(0)) for x in names])
         was, moving = moving, scratch.table(moving.join(moved, "h", "left").select("h", "c", "t1", "s1", F.concat("st", now).alias("st")), "moving")
         scratch.drop(was)
-        scratch.release(train.sparkSession)
+        values.destroy()
+        _release(train.sparkSession)
         latest = moving.select("h", "c", F.slice("st", last + 2 * chains + 1, 2 * chains).alias("st"))
         got = latest.where("h >= 0").toArrow()
         dense = dense.copy()
@@ -758,11 +888,11 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
     p, b = averaged(np.concatenate(history, axis=1), common.c, common.h)
     dense_t = np.stack([history[i][:, :chains] for i in taken], axis=1) if total else np.zeros((0, 0, chains), np.int64)
     dense_share = np.stack([states[i].share(history[i][:, chains:], common.h) for i in taken], axis=1) if total else np.zeros((0, 0, chains))
-    values = context.broadcast((common, p, b, dense_t, dense_share))
+    values = context.broadcast((p, b, dense_t, dense_share))
     n_taken = len(taken)
 
     def weigh(cells: Iterator[tuple], give: Callable) -> Iterator[pa.RecordBatch]:
-        common, p, b, dense_t, dense_share = values.value
+        common, (p, b, dense_t, dense_share) = shared.value, values.value
         for u, w, c, more in cells:
             cu, b_u, p_w = (_filled(more[i : i + 1], code, table)[:, 0] for i, code, table in ((0, u, common.c), (1, u, b), (2 + n_taken * chains, w, p)))
             t = np.ones((len(u), n_taken, chains))
@@ -780,8 +910,8 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
                     for j, i in enumerate(taken):
                         share[rare, j] = states[i].share(c0[:, j], hw[rare])
                 key = pair(common.hashes(mu), hw)
-                for j, i in enumerate(taken):
-                    t[many, j] = states[i].seat(c[many], t_u[:, j], share[:, j], key, salt[i])
+                strength = np.concatenate([states[i].strength(t_u[:, j], share[:, j]) for j, i in enumerate(taken)], axis=1)
+                t[many] = seated(c[many], strength, state.d, key, [salt[i] + k for i in taken for k in range(chains)]).reshape(shape)
             a = np.array([states[i].a for i in taken])
             e = ((c[:, None, None] - state.d * t) / (cu[:, None, None] + a)).mean(axis=(1, 2))
             low = b_u * p_w
@@ -792,8 +922,8 @@ def fit(train: DataFrame, words: int = WORDS, chains: int = CHAINS, sweeps: int
         rare = _apart(some, others, lambda x: weigh(x, give), ddl, buckets, choose)
         return some.where("kind % 4 = 0").select("data").mapInArrow(tidy(lambda x: weigh(_opened(x, choose), give)), ddl).unionByName(rare) if numbered else rare
 
-    scratch.release(train.sparkSession)
-    return Model(found, cells, blocks, weigh, buckets, total, kinds, unseen, common)
+    _release(train.sparkSession)
+    return Model(found, cells, blocks, weigh, buckets, total, kinds, unseen, common, shared)
 
 
 # what the blocks of apply hold
@@ -851,42 +981,43 @@ def apply(docs: DataFrame, model: Model, pairs: int = PAIRS, id_col: str = "doc_
         order = np.argsort(top.column("key").to_numpy())
         often, often_lp = top.column("key").to_numpy()[order], top.column("lp").to_numpy()[order]
         del top
-        scratch.release(spark)
-    shared = spark.sparkContext.broadcast((model.common, lp, bases, often, often_lp))
+        _release(spark)
+    sent_words, shared = model.sent, spark.sparkContext.broadcast((lp, bases, often, often_lp))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, lp, bases, often, often_lp = shared.value
-        words, end = kept(("words", shared._path), lambda: Words(common)), common.codes(np.array([_hash(END)]))[0]
+        common, (lp, bases, often, often_lp) = sent_words.value, shared.value
+        end = common.codes(np.array([_hash(END)]))[0]
         for b in batches:
             for lo, hi in parts(b.column(2)):
                 row, ids = b.column(0)[lo:hi].to_numpy(), b.column(1)[lo:hi]
-                number, begin = words.read(b.column(2)[lo:hi].to_pylist())
-                size = np.diff(np.r_[begin, len(number)])
-                w = words.code[number]
-                own, key = w >= 0, named(before(w, end), w)
+                h, begin = read(b.column(2)[lo:hi])
+                w, size = common.codes(h), np.diff(np.r_[begin, len(h)])
+                del h
+                of, own = np.repeat(np.arange(len(row)), size), w >= 0
                 base, gain = np.zeros(len(w)), np.zeros(len(w))
                 base[own], gain[own] = bases[w[own]], lp[w[own]]
-                # equal pairs side by side, by text
-                order = np.argsort(key, kind="stable")
-                key, of = key[order], np.repeat(row, size)[order]
-                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
-                n = np.diff(np.r_[new, len(key)])
-                j, hit = _found(often, key[new])
-                gain[order] += np.repeat(np.where(hit, often_lp[j] if len(often) else 0.0, 0.0), n)
-                sums = [size, np.add.reduceat(own.astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(gain, begin)]
-                yield from dealt(row, [row, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), *sums], buckets, TEXT)
-                left = new[~hit]
-                yield from dealt(key[left], [key[left], of[left], n[~hit]], buckets, ASKED_PAIR)
+                sums = [np.add.reduceat(x, begin) for x in (own.astype(np.int64), base, gain)]
+                del base, gain
+                key, at, text, n = by_text(named(before(w, end), w), of)
+                j, hit = _found(often, key)
+                sums[2] += np.bincount(text, n * np.where(hit, often_lp[j] if len(often) else 0.0, 0.0)[at], len(row))
+                yield from dealt(row, [row, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), size, *sums], buckets, TEXT)
+                left = np.flatnonzero(~hit[at])
+                key = key[at[left]]
+                yield from dealt(key, [key, row[text[left]], n[left]], buckets, ASKED_PAIR)
                 rare = np.flatnonzero(~own)
-                other, of = w[rare], np.repeat(row, size)[rare]
-                order = np.argsort(other, kind="stable")
-                other, of = other[order], of[order]
-                new = np.flatnonzero(np.r_[True, (other[1:] != other[:-1]) | (of[1:] != of[:-1])]) if len(other) else np.empty(0, np.int64)
-                yield from dealt(other[new], [other[new], of[new], np.diff(np.r_[new, len(other)])], buckets, ASKED_WORD)
+                key, at, text, n = by_text(w[rare], of[rare])
+                yield from dealt(key[at], [key[at], row[text], n], buckets, ASKED_WORD)
         forget(shared)
 
     unseen = float(np.log10(model.unseen))
 
+    def by_row(row: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+        """Sums for each row of a block: its rows were read together, so that they lie close."""
+        low = row.min()
+        some = np.flatnonzero(np.bincount(row - low))
+        return [some + low, *(np.bincount(row - low, c)[some] for c in columns)]
+
     def answer(blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         """Each text's sums go on, with what it gets for the words and pairs of this bucket."""
         text = joined(blocks.pop(TEXT, []), TEXT_TYPES)
@@ -899,19 +1030,24 @@ def apply(docs: DataFrame, model: Model, pairs: int = PAIRS, id_col: str = "doc_
         key, lp = np.concatenate(keys), np.concatenate(lps)
         order = np.argsort(key)
         key, lp = key[order], lp[order]
-        want, row, n = joined(blocks.pop(ASKED_PAIR, []), [np.int64] * 3)
-        at, hit = _found(key, want)
-        gain = n[hit] * lp[at[hit]]
-        row = row[hit]
+        sums: list[list[np.ndarray]] = [[none := np.empty(0, np.int64), none, np.empty(0), np.empty(0)]]
+        for block in blocks.pop(ASKED_PAIR, []):
+            want, row, n = unpacked(block, [np.int64] * 3)
+            at, hit = _found(key, want)
+            if hit.any():
+                row, gain = by_row(row[hit], n[hit] * lp[at[hit]])
+                sums.append([row, np.zeros(len(row), np.int64), np.zeros(len(row)), gain])
         key, lp, base = joined(blocks.pop(WORD, []), [np.int64, np.float64, np.float64])
         order = np.argsort(key)
         key, lp, base = key[order], lp[order], base[order]
-        want, of, n = joined(blocks.pop(ASKED_WORD, []), [np.int64] * 3)
-        at, hit = _found(key, want)
-        value = lambda table, none: n * np.where(hit, table[at] if len(table) else none, none)
-        rows = np.concatenate([row, of])
-        pad, none = np.zeros(len(row)), np.zeros(len(row), np.int64)
-        sums = summed(rows, [rows], [np.concatenate([none, np.where(hit, n, 0)]), np.concatenate([pad, value(base, plain)]), np.concatenate([gain, value(lp, unseen)])])
+        for block in blocks.pop(ASKED_WORD, []):
+            want, row, n = unpacked(block, [np.int64] * 3)
+            at, hit = _found(key, want)
+            value = lambda table, none: n * np.where(hit, table[at] if len(table) else none, none)  # noqa: B023, E731
+            row, known, low, gain = by_row(row, n * hit, value(base, plain), value(lp, unseen))
+            sums.append([row, known.astype(np.int64), low, gain])
+        rows, *sums = (np.concatenate(x) for x in zip(*sums, strict=True))
+        sums = summed(rows, [rows], sums)
         yield from dealt(sums[0], sums, buckets, ANSWER)
 
     def whole(blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -926,9 +1062,11 @@ def apply(docs: DataFrame, model: Model, pairs: int = PAIRS, id_col: str = "doc_
             yield pa.record_batch([pa.array(ids[x], mask=has[x] == 0), *(pa.array(c[x]) for c in (size, n, base, gain))], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
     rows = _texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    sent = rows.mapInArrow(tidy(measure, keep=True), DEALT).unionByName(_dealt_rows(own.where("key < 0").select("key", "lp", "base"), buckets, WORD))
+    sent = rows.mapInArrow(tidy(measure), DEALT).unionByName(_dealt_rows(own.where("key < 0").select("key", "lp", "base"), buckets, WORD))
     if least is None or least > 0:
-        # cells of numbered words lie in their buckets as they are
-        sent = sent.unionByName(model.cells.where("kind % 4 = 0").select("bucket", F.lit(NUMBERED).alias("tag"), "data")).unionByName(model.blocks(choose, send, DEALT, False))
+        # cells of numbered words lie in their buckets as they are; the others' shuffle files go before the texts are sent
+        rare = scratch.table(model.blocks(choose, send, DEALT, False), "rare")
+        _release(spark)
+        sent = sent.unionByName(model.cells.where("kind % 4 = 0").select("bucket", F.lit(NUMBERED).alias("tag"), "data")).unionByName(rare)
     out = met(met(sent, buckets, answer, DEALT), buckets, whole, "id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -1,9 +1,11 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridtrack.llm import pitman_yor
@@ -151,3 +153,54 @@ def test_pairs_go_in_blocks(spark, sf):
             assert pair[:2] not in got
             got[pair[:2]] = pair[2]
     assert got == {(hashes[a], hashes[b]): n for (a, b), n in want.items()}
+
+
+def test_words_are_read_as_bytes():
+    """Tokens and hashes of odd texts, and what reading takes: a few bytes for each of the text's, no object a word."""
+    long = ["x" * n + "Y" for n in range(40)]
+    texts = ["A b  C\x0b\x0cd\te\nf\r", None, "", " ", "ÄÖ zweite straße x", *long, "\x00 a\x00b \x1c\x85 " + "z" * 500, " end "]
+    for own in (texts, [None], ["", ""], texts[::-1]):
+        for kind in (pa.string(), pa.large_string()):
+            h, begin = pitman_yor.read(pa.array(["cut", *own, "cut"], kind)[1:-1])
+            each = [[pitman_yor._hash(w.encode()) for w in words(t)] for t in own]
+            assert h.tolist() == [x for ws in each for x in ws]
+            assert np.diff(begin).tolist() == [len(ws) for ws in each[:-1]] and begin[0] == 0
+    text = pa.array([" ".join(f"word{i * k % 9973}" for i in range(700)) for k in range(2500)])
+    tracemalloc.start()
+    h, _ = pitman_yor.read(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(h) == 701 * 2500
+    assert most < 3 * text.nbytes
+
+
+def test_chains_are_seated_at_once():
+    """Several columns of strengths give what each gives alone, and a cell's tables depend on no other cell."""
+    rng = np.random.default_rng(3)
+    c, key = np.minimum(rng.zipf(1.5, 3000), 10**6).astype(np.int64), rng.integers(0, 2**62, 3000)
+    strength = rng.random((3000, 3)) * 3
+    got = pitman_yor.seated(c, strength, 0.4, key, [5, 6, 9])
+    assert got.shape == strength.shape and (got >= 1).all() and (got <= c[:, None]).all()
+    for k, salt in enumerate((5, 6, 9)):
+        assert (got[:, k] == pitman_yor.tables(c, strength[:, k], 0.4, key, salt)).all()
+    some = rng.permutation(3000)[:100]
+    assert (got[some] == pitman_yor.seated(c[some], strength[some], 0.4, key[some], [5, 6, 9])).all()
+
+
+def test_blocks_keep_their_columns():
+    rng = np.random.default_rng(4)
+    for columns in ([np.zeros(5, np.int64)], [np.array([-7])], [rng.integers(-(2**63), 2**63 - 1, 900), rng.random(900) - 0.5, np.arange(900) + 2**40, -np.arange(900)]):
+        back = pitman_yor.unpacked(pitman_yor.packed(columns), [c.dtype for c in columns])
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(columns, back, strict=True))
+
+
+def test_buckets_follow_the_tokens(spark):
+    """Blocks go from each bucket to each: many shuffle partitions must not make many buckets of few tokens."""
+    train = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 211)
+        assert pitman_yor.fit(train, words=3).buckets <= 12
+        assert pitman_yor._buckets(train, 10**9) == -(-(10**9) // pitman_yor.BUCKET)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
